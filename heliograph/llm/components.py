@@ -1,0 +1,30 @@
+"""Connected components by label propagation with pointer jumping, on tables only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heliograph.llm.common import materialise
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Rows (node, root) of undirected ``edges`` (a, b); the root is a component's smallest node.
+
+    A round takes the smallest label among a node's neighbours, then the label of that label, so that paths halve.
+    Every round is written to the shared folder, which cuts the lineage and outlives executors. Edges whose ends share
+    a label are left out of later rounds' work only by yielding nothing new; rounds end when no label changes. Nulls
+    in either column are left out; repeated edges and loops do no harm; no edges give no rows.
+    """
+    both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("root").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("at"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("over"))
+        moved = materialise(step.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("over", "next")).alias("root")), "labels")
+        changed = not moved.where(F.col("root") != F.col("was")).isEmpty()
+        labels = moved.select("node", "root")
+        if not changed:
+            return labels

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import read_table
 from heliograph.llm.decontaminate import find_contamination, words_hit
+from heliograph.llm.edit_counts import count_edited, derived_edits
+from heliograph.llm.fingerprints import fingerprint_documents
 from heliograph.llm.language import fit_dictionaries, held_out, identify_language
 from heliograph.llm.lexicon import bpe_round_trip
 from heliograph.llm.ngram_join import near_duplicates
 from heliograph.llm.secret_scan import findings_from_texts, fit_forest, scan
+from heliograph.llm.site_tree import extract_text
 from heliograph.llm.token_ids import token_file_digests
+from heliograph.llm.tool_calls import derived_messages, link_calls, tools_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     predicted = identify_language(docs.select("doc_id", "text"), fit_dictionaries(docs))
@@ -48,9 +56,21 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_edited(derived_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path(TOKENIZER))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_calls(derived_messages(read_table(spark, sf_dir, "conversations")), tools_table(spark))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op4_language, op5_decontaminate, op6_secrets, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_fingerprints, op4_language, op5_decontaminate, op6_secrets, op7_edit_counts, op8_tool_calls, op9_html_text, op10_ngram_join)}
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -98,7 +99,10 @@ def ordered_shards(df: DataFrame, key: str, shards: int, column: str = "shard")
 
 
 def worker_file(name: str, content: bytes) -> str:
-    """Local file of this worker process with ``content``, for memory mapping; written once and renamed into place."""
+    """Local file of this worker process with ``content``, for memory mapping; written once and renamed into place.
+
+    Of files with the same beginning, up to the first ``-``, the newest few stay; a mapped file lives on until closed.
+    """
     folder = os.path.join(tempfile.gettempdir(), "heliograph")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
@@ -106,4 +110,9 @@ def worker_file(name: str, content: bytes) -> str:
         with tempfile.NamedTemporaryFile(dir=folder, delete=False) as out:
             out.write(content)
         os.replace(out.name, path)
+        stem = name.split("-")[0] + "-"
+        own = sorted((e.stat().st_mtime, e.path) for e in os.scandir(folder) if e.name.startswith(stem))
+        for _, old in own[:-3]:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(old)
     return path

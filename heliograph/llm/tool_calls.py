@@ -76,6 +76,13 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _finite(number: str) -> float:
+    value = float(number)
+    if not math.isfinite(value):
+        raise ValueError(number)
+    return value
+
+
 @functools.lru_cache(maxsize=1000)
 def _schema(text: str | None) -> dict | None:
     return json.loads(text) if text else None
@@ -88,8 +95,8 @@ def _serialise(batches):
         for r in rows:
             problem, arguments, state = None, None, "ok"
             try:
-                arguments = json.loads(r["arguments"] if r["arguments"] is not None else "", parse_constant=lambda c: 1 / 0)
-            except (ValueError, ZeroDivisionError, RecursionError):
+                arguments = json.loads(r["arguments"] if r["arguments"] is not None else "", parse_constant=_finite, parse_float=_finite)
+            except (ValueError, RecursionError):
                 problem, state = "not JSON", "invalid"
             if state == "ok":
                 schema = _schema(r["schema"])
@@ -102,7 +109,8 @@ def _serialise(batches):
             elif state == "ok" and not r["n_results"]:
                 state = "no result"
             record = {"arguments": arguments, "id": r["call_id"], "name": r["name"], "result": r["result"]}
-            status.append(state), error.append(problem), lines.append(canonical(record))
+            # half a surrogate pair is JSON but not text
+            status.append(state), error.append(problem), lines.append(canonical(record).encode("utf-8", "replace").decode())
         names = ["conv_id", "call_id", "turn", "level", "name", "n_calls", "n_results"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(status, pa.string()), pa.array(error, pa.string()), pa.array(lines, pa.string())], [*names, "status", "error", "json"])
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -117,3 +118,11 @@ def apply_trees(df: DataFrame, model, features: Sequence[str]) -> DataFrame:
     out = model.transform(rows.withColumnRenamed("_features", model.getFeaturesCol()))
     p = vector_to_array(F.col("probability"))
     return out.withColumns({"tree_prediction": F.col("prediction").cast("int"), "tree_score": F.array_max(p), "tree_probabilities": p}).drop("prediction", "rawPrediction", "probability", model.getFeaturesCol())
+
+
+def threshold(df: DataFrame, feature: str, label: str) -> float:
+    """The cut of one feature that a decision tree of depth one finds best for a two-class label."""
+    rows = VectorAssembler(inputCols=[feature], outputCol="_features").transform(df).select(F.col(label).cast("double").alias("_label"), "_features")
+    model = DecisionTreeClassifier(labelCol="_label", featuresCol="_features", maxDepth=1, maxBins=256).fit(rows)
+    found = re.search(r"feature 0 <= (\S+)\)", model.toDebugString)
+    return float(found[1]) if found else float("nan")

@@ -66,3 +66,63 @@ def gaussian_chi2(df: DataFrame, c: Curve) -> DataFrame:
     z = F.try_divide(F.col(c.flux) - F.avg(c.flux).over(own), F.stddev_pop(c.flux).over(own))
     rows = df.select(c.key, (rank / n).alias("empirical"), z.alias("z")).withColumn("expected", normal_cdf("z"))
     return rows.groupBy(c.key).agg(F.sum(F.try_divide((F.col("empirical") - F.col("expected")) * (F.col("empirical") - F.col("expected")), F.col("expected"))).alias("gaussian_chi2"))
+
+
+def band_choice(df: DataFrame, c: Curve, second: tuple[str, str]) -> DataFrame:
+    """The band of better mean signal-to-noise per source, as flux and sigma columns of the curve's names."""
+    flux, sigma = second
+    own = c.whole()
+    first = F.coalesce(F.avg(F.try_divide(F.col(c.flux), F.col(c.sigma))).over(own), F.lit(0.0))
+    other = F.coalesce(F.avg(F.try_divide(F.col(flux), F.col(sigma))).over(own), F.lit(0.0))
+    rows = df.withColumn("_second", other > first)
+    return rows.withColumns({c.flux: F.when(F.col("_second"), F.col(flux)).otherwise(F.col(c.flux)), c.sigma: F.when(F.col("_second"), F.col(sigma)).otherwise(F.col(c.sigma))}).drop("_second")
+
+
+def robust(df: DataFrame, c: Curve) -> DataFrame:
+    """Median deviation over the median error, median skew, and interquantile ranges over the median error."""
+    q = lambda p: F.percentile(c.flux, F.lit(p))
+    rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")), c.key)
+    s = F.max("_s")
+    return rows.groupBy(c.key).agg(
+        F.try_divide(F.median(F.abs(F.col(c.flux) - F.col("_m"))), s).alias("mad_over_noise"), F.try_divide(F.avg(c.flux) - F.max("_m"), F.stddev_pop(c.flux)).alias("median_skew"),
+        F.try_divide(q(0.6) - q(0.4), s).alias("i60r"), F.try_divide(q(0.75) - q(0.25), s).alias("iqr"), F.try_divide(q(0.85) - q(0.15), s).alias("i85r"),
+    )
+
+
+def gaussian_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """Mean and covariance of two columns per key."""
+    return df.groupBy(key).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.var_pop(x).alias("var_x"), F.var_pop(y).alias("var_y"), F.covar_pop(x, y).alias("cov_xy"))
+
+
+def mixture_ratio(df: DataFrame, key: str, value: str, rounds: int = 12) -> DataFrame:
+    """Mean log-likelihood of two normal components less that of one, per key.
+
+    Expectation-maximisation by rounds of aggregation: a key's rows never meet in one task.
+    """
+    rows = df.select(key, F.col(value).alias("v")).where(F.col(value).isNotNull())
+    base = rows.groupBy(key).agg(F.avg("v").alias("m"), F.greatest(F.var_pop("v"), F.lit(1e-12)).alias("s"), F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.75)).alias("b"))
+    state = base.withColumns({"sa": F.col("s"), "sb": F.col("s"), "wa": F.lit(0.5)})
+    density = lambda m, s: F.exp(-(F.col("v") - m) * (F.col("v") - m) / (2 * s)) / F.sqrt(2 * math.pi * s)
+    both = lambda: (F.col("wa") * density(F.col("a"), F.col("sa")), (1 - F.col("wa")) * density(F.col("b"), F.col("sb")))
+    for _ in range(rounds):
+        pa, pb = both()
+        r = rows.join(state, key).withColumn("r", F.coalesce(F.try_divide(pa, pa + pb), F.lit(0.5)))
+        v, w = F.col("v"), F.col("r")
+        sums = r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("na"), F.sum(w * v).alias("xa"), F.sum(w * v * v).alias("xxa"), F.sum(v).alias("x"), F.sum(v * v).alias("xx"), F.max("m").alias("m"), F.max("s").alias("s"))
+        nb = F.col("n") - F.col("na")
+        mean_a, mean_b = F.col("xa") / F.greatest("na", F.lit(1e-9)), (F.col("x") - F.col("xa")) / F.greatest(nb, F.lit(1e-9))
+        floor = F.col("s") * 1e-3
+        state = sums.select(
+            key, "m", "s", mean_a.alias("a"), mean_b.alias("b"), F.greatest(F.col("xxa") / F.greatest("na", F.lit(1e-9)) - mean_a * mean_a, floor).alias("sa"),
+            F.greatest((F.col("xx") - F.col("xxa")) / F.greatest(nb, F.lit(1e-9)) - mean_b * mean_b, floor).alias("sb"), (F.col("na") / F.col("n")).alias("wa"),
+        )
+    pa, pb = both()
+    return rows.join(state, key).groupBy(key).agg((F.avg(F.log(F.greatest(pa + pb, F.lit(1e-300)))) - F.avg(F.log(density(F.col("m"), F.col("s"))))).alias("ratio"))
+
+
+def uneven_fourier(df: DataFrame, c: Curve, frequencies: list[float]) -> DataFrame:
+    """Amplitude of each frequency in an unevenly sampled curve, over the square root of its rows."""
+    rows = df.withColumn("frequency", F.explode(F.array(*[F.lit(float(f)) for f in frequencies])))
+    w = -2 * math.pi * F.col("frequency") * F.col(c.time)
+    sums = rows.groupBy(c.key, "frequency").agg(F.sum(F.col(c.flux) * F.cos(w)).alias("x"), F.sum(F.col(c.flux) * F.sin(w)).alias("y"), F.count(F.lit(1)).alias("n"))
+    return sums.select(c.key, "frequency", (F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) / F.sqrt("n")).alias("amplitude"))

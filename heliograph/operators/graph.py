@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +75,80 @@ def name_clusters(members: DataFrame, positions: DataFrame, on: tuple[str, str,
     centre = centroids(members.join(positions, key), "cluster", ra, dec)
     named = centre.select("cluster", ids.encode(healpix.pixel(F.col("ra"), F.col("dec"), order), F.col("ra"), F.col("dec")).alias("source"))
     return members.join(named, "cluster").select(key, "source")
+
+
+def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
+    """Each point once for its own pixel (``owner`` true) and once for every other pixel within ``margin_arcsec``.
+
+    The pixels of sixteen positions around a point stand for its circle; pixels are far wider than the margin.
+    """
+    key, ra, dec = on
+    r = margin_arcsec / 3600
+    at = [F.struct(F.col(ra).alias("a"), F.col(dec).alias("d"))]
+    for k in range(16):
+        t = 2 * math.pi * k / 16
+        d = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(dec) + r * math.sin(t)))
+        near_pole = F.greatest(F.cos(F.radians(d)), F.lit(math.radians(r)))
+        at.append(F.struct((F.col(ra) + F.least(F.lit(180.0), r / near_pole) * math.cos(t)).alias("a"), d.alias("d")))
+    own = healpix.pixel(F.col(ra), F.col(dec), order)
+    pixels = F.array_distinct(F.transform(F.array(*at), lambda p: healpix.pixel(p["a"], p["d"], order)))
+    out = points.withColumns({"_own": own, "pixel": F.explode(pixels)})
+    return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own")
+
+
+def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float, least_points: int) -> pd.DataFrame:
+    """Density clusters of one pixel and its margin, over a grid of cells as wide as the radius."""
+    a, d = np.radians(pdf[ra].to_numpy(float)), np.radians(pdf[dec].to_numpy(float))
+    v = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1)
+    chord = 2 * math.sin(math.radians(arcsec / 3600) / 2)
+    cells: dict[tuple, list[int]] = {}
+    where = [tuple(c) for c in np.floor(v / chord).astype(np.int64).tolist()]
+    for i, c in enumerate(where):
+        cells.setdefault(c, []).append(i)
+    near = []
+    for i, (x, y, z) in enumerate(where):
+        others = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for s in (-1, 0, 1) for j in cells.get((x + p, y + q, z + s), ())])
+        near.append(others[((v[others] - v[i]) ** 2).sum(1) <= chord * chord])
+    core = np.array([len(n) >= least_points for n in near])
+    ids = pdf[key].to_numpy()
+    label: dict[int, int] = {}
+    for start in np.argsort(ids, kind="stable"):
+        if not core[start] or start in label:
+            continue
+        label[start], stack = start, [start]
+        while stack:
+            for j in near[stack.pop()]:
+                if core[j] and j not in label:
+                    label[j] = start
+                    stack.append(j)
+    rows = []
+    for i in range(len(ids)):
+        reach = [label[i]] if core[i] else [label[j] for j in near[i] if core[j]]
+        if reach:
+            rows.append((ids[i], min(ids[r] for r in reach)))
+    return pd.DataFrame(rows, columns=[key, "cluster"])
+
+
+def dbscan_by_pixel(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, order: int = 5, margin_arcsec: float = 25.0, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
+    """Density clusters pixel by pixel with margins; a cluster belongs to the pixel of its centroid, so it comes out once.
+
+    For dense fields whose clusters are smaller than the margin: one shuffle, and a task holds one pixel. ``order`` has
+    to be fine enough for a pixel to fit in memory (see ``healpix.subdivision_order``).
+    """
+    key, ra, dec = on
+    halo = with_halo(points.select(*on), margin_arcsec, order, on)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _dbscan_frame(pdf, key, ra, dec, arcsec, least_points).merge(pdf, on=key)
+        kept = []
+        for cluster, own in found.groupby("cluster"):
+            if len(own) < least_members:
+                continue
+            a, d = np.radians(own[ra].to_numpy(float)), np.radians(own[dec].to_numpy(float))
+            x, y, z = (np.cos(d) * np.cos(a)).mean(), (np.cos(d) * np.sin(a)).mean(), np.sin(d).mean()
+            if healpix._python_pixel(math.degrees(math.atan2(y, x)) % 360, math.degrees(math.atan2(z, math.hypot(x, y))), order) == pdf["pixel"].iloc[0]:
+                kept.append(own[[key, "cluster"]])
+        return pd.concat(kept) if kept else found[[key, "cluster"]].iloc[:0]
+
+    kind = dict(points.dtypes)[key]
+    return halo.groupBy("pixel").applyInPandas(one, f"{key} {kind}, cluster {kind}")

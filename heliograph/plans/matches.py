@@ -142,3 +142,35 @@ def dbscan(spark: SparkSession, folder: str) -> DataFrame:
     """Density clusters of events on the sky by supplier nation; tests hold it against a brute-force version."""
     pts = _points(spark, folder)
     return graph.dbscan(pts, 3.0, 3)
+
+
+@query("WITH p AS (" + sky_sql("part", "p_partkey") + ") SELECT p_partkey, round(sqrt((ra - 187.5::DOUBLE) * (ra - 187.5::DOUBLE) + (dec + 2.4::DOUBLE) * (dec + 2.4::DOUBLE)), 6) AS degrees FROM p WHERE ra BETWEEN 177.5 AND 197.5 AND dec BETWEEN -12.4 AND 7.6 AND sqrt((ra - 187.5::DOUBLE) * (ra - 187.5::DOUBLE) + (dec + 2.4::DOUBLE) * (dec + 2.4::DOUBLE)) < 10")
+def box_and_cone(spark: SparkSession, folder: str) -> DataFrame:
+    """A box that prunes and a planar cone within it."""
+    from heliograph.functions import geo
+
+    rows = positions(spark, folder, "part", "p_partkey").where(F.col("ra").between(177.5, 197.5) & F.col("dec").between(-12.4, 7.6))
+    return rounded(rows.select("p_partkey", geo.planar_distance(F.col("ra"), F.col("dec"), F.lit(187.5), F.lit(-2.4)).alias("degrees")).where(F.col("degrees") < 10))
+
+
+@query("WITH c AS (" + sky_sql("customer", "c_custkey") + ") SELECT c_custkey, round(" + haversine_sql("c", "d") + " / nullif(" + haversine_sql("e", "f") + ", 0), 4) AS ratio FROM c, LATERAL (SELECT c.ra AS ra, c.dec * 0.99::DOUBLE AS dec) d, LATERAL (SELECT c.dec AS ra, c.ra AS dec) e, LATERAL (SELECT c.dec * 0.99::DOUBLE AS ra, c.ra AS dec) f".replace("LATERAL ", "LATERAL "))
+def swapped_angles(spark: SparkSession, folder: str) -> DataFrame:
+    """How wrong a distance is whose right ascension and declination were swapped."""
+    from heliograph.functions import geo
+
+    ra, dec = F.col("ra"), F.col("dec")
+    right, wrong = geo.haversine_arcsec(ra, dec, ra, dec * 0.99), geo.haversine_arcsec(dec, ra, dec * 0.99, ra)
+    return rounded(positions(spark, folder, "customer", "c_custkey").select("c_custkey", F.try_divide(right, wrong).alias("ratio")), 4)
+
+
+@query()
+def pixel_halo(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of each pixel and those that its margin borrows; tests hold it against a search of all pixels."""
+    halo = graph.with_halo(positions(spark, folder, "customer", "c_custkey"), 3600.0, 5, _ON("c_custkey"))
+    return halo.groupBy("pixel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("owner").cast("long")).alias("owned"))
+
+
+@query()
+def dbscan_by_pixel(spark: SparkSession, folder: str) -> DataFrame:
+    """The same clusters by pixels with margins; tests hold it against the clustering without pixels."""
+    return graph.dbscan_by_pixel(_points(spark, folder), 3.0, 3, margin_arcsec=120.0)

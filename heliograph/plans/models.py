@@ -90,3 +90,32 @@ def synthetic_features(spark: SparkSession, folder: str) -> DataFrame:
     c = Curve(ties=("flux",))
     known = curves.groupBy("source_id").agg(F.min("kind").alias("kind"), F.min("label").alias("label"), F.min("period").alias("period"))
     return rounded(ft.von_neumann(curves, c).join(ft.spreads(curves, c).select("source_id", "i90r"), "source_id").join(known, "source_id"), 4)
+
+
+@query("SELECT l_suppkey, round(avg(l_quantity), 6) AS mean_x, round(avg(l_discount), 6) AS mean_y, round(var_pop(l_quantity), 6) AS var_x, round(var_pop(l_discount), 6) AS var_y, round(covar_pop(l_quantity, l_discount), 6) AS cov_xy FROM lineitem GROUP BY 1")
+def gaussian_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ft.gaussian_fit(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity", "l_discount"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 9) GROUP BY 1, 2)
+SELECT user_id, arg_min(event_type, (-n, event_type)) AS label, max(n) AS votes FROM c GROUP BY 1""")
+def recent_mode(spark: SparkSession, folder: str) -> DataFrame:
+    """The commonest of each key's last nine labels; the smallest of equal ones."""
+    last = ev.per_class_sample(table(spark, folder, "events"), "user_id", 9, [F.col("ts").desc(), F.col("event_id").desc()])
+    counts = last.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("user_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "event_type")).alias("b"))
+    return best.select("user_id", F.col("b.event_type").alias("label"), (-F.col("b.m")).alias("votes"))
+
+
+@query()
+def mixture_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Two normal components against one, per supplier; tests hold it against numpy."""
+    return rounded(ft.mixture_ratio(table(spark, folder, "lineitem"), "l_suppkey", "l_extendedprice"), 4)
+
+
+@query()
+def threshold_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree of depth one that finds the threshold of one feature; tests check what it separates."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_extendedprice").alias("price"), (F.col("l_quantity") > 25).cast("double").alias("large"))
+    cut = ev.threshold(rows, "price", "large")
+    return rows.groupBy("large").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("price") > cut).cast("long")).alias("above")).withColumn("threshold", F.round(F.lit(cut), 4))

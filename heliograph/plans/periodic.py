@@ -163,3 +163,35 @@ def period_search(spark: SparkSession, folder: str) -> DataFrame:
     """A grid of 2,000 periods for each supplier, in numpy; its parts have queries with SQL of their own."""
     found = pd_.search(light_curves(spark, folder), LC, np.geomspace(2, 400, 2000))
     return rounded(pd_.top_peaks(found, "source_id"), 4)
+
+
+_BAND2 = ", b AS (SELECT *, 90000.0::DOUBLE - flux AS f2, sig * 0.7::DOUBLE AS s2 FROM lc), q AS (SELECT *, coalesce(avg(f2 / s2) OVER (PARTITION BY source_id), 0) > coalesce(avg(flux / sig) OVER (PARTITION BY source_id), 0) AS two FROM b), c AS (SELECT source_id, CASE WHEN two THEN f2 ELSE flux END AS flux, CASE WHEN two THEN s2 ELSE sig END AS sig FROM q)"
+
+
+@query(_PART + _BAND2 + """, s AS (SELECT source_id, median(flux) AS m, median(sig) AS n FROM c GROUP BY 1)
+SELECT source_id, round(median(abs(flux - m)) / max(n), 6) AS mad_over_noise, round((avg(flux) - max(m)) / nullif(stddev_pop(flux), 0), 6) AS median_skew, round((quantile_cont(flux, 0.6) - quantile_cont(flux, 0.4)) / max(n), 6) AS i60r,
+ round((quantile_cont(flux, 0.75) - quantile_cont(flux, 0.25)) / max(n), 6) AS iqr, round((quantile_cont(flux, 0.85) - quantile_cont(flux, 0.15)) / max(n), 6) AS i85r FROM c JOIN s USING (source_id) GROUP BY 1""")
+def robust_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the band with the better signal."""
+    rows = light_curves(spark, folder, "l_partkey").withColumns({"f2": 90000.0 - F.col("flux"), "s2": F.col("sig") * 0.7})
+    return rounded(ft.robust(ft.band_choice(rows, LC, ("f2", "s2")), LC))
+
+
+@query("WITH f AS (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE, 0.23::DOUBLE]) AS frequency), " + lc_sql() + " SELECT source_id, frequency, round(sqrt(sum(flux * cos(-2 * pi() * frequency * mjd)) ** 2 + sum(flux * sin(-2 * pi() * frequency * mjd)) ** 2) / sqrt(count(*)), 4) AS amplitude FROM lc, f GROUP BY 1, 2")
+def uneven_fourier(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ft.uneven_fourier(light_curves(spark, folder), LC, [0.01, 0.1, 0.23]), 4)
+
+
+@query(_WITH + ", o AS (SELECT source_id, 5 + avg(chi) AS p FROM lc GROUP BY 1) SELECT source_id, round(p * 0.95::DOUBLE + k * (0.1::DOUBLE * p / 20), 6) AS period FROM o, range(0, 21) r(k)")
+def refined_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """A fine grid of periods around each source's first estimate."""
+    first = light_curves(spark, folder).groupBy("source_id").agg((5 + F.avg("chi")).alias("p"))
+    return rounded(pd_.refined(first, "source_id", "p"))
+
+
+@query(_PART + ", p AS (SELECT source_id, max(mjd) - min(mjd) + 0.25::DOUBLE AS period FROM lc GROUP BY 1) SELECT CAST(least(floor(log10(period) / (4.0::DOUBLE / 180)), 179) AS INT) AS bin, count(*) AS n, round(log10(count(*) + 1), 6) AS log_n FROM p WHERE log10(period) BETWEEN 0 AND 4 GROUP BY 1")
+def period_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    from heliograph.operators.lightcurve import histogram
+
+    spans = light_curves(spark, folder, "l_partkey").groupBy("source_id").agg(F.log10(F.max("mjd") - F.min("mjd") + 0.25).alias("v"))
+    return rounded(histogram(spans, "v", 180, 0.0, 4.0))

@@ -256,3 +256,44 @@ def test_session_stream_equals_batch(spark, folder, tmp_path):
     final = {tuple(r) for r in spark.table("sessions").collect()}
     batch = {tuple(r) for r in epochs.sessions(events, "user_id", "ts", "6 hours").collect()}
     assert final and final <= batch
+
+
+def test_pixel_backend_equals_the_join_backend(spark, folder):
+    as_sets = lambda df: {frozenset(r["id"] for r in g) for g in __import__("itertools").groupby(sorted(df.collect(), key=lambda r: r["cluster"]), key=lambda r: r["cluster"]) for g in [list(g[1])]}
+    one, two = registry.QUERIES["dbscan"](spark, folder), registry.QUERIES["dbscan_by_pixel"](spark, folder)
+    assert as_sets(one) == as_sets(two) and one.count() > 0
+
+
+def test_halo_holds_all_near_points(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))))] + [(1000, 0.001, 89.999), (1001, 180.0, -89.999)]
+    points = spark.createDataFrame(rows, "id int, ra double, dec double")
+    halo = graph.with_halo(points, 1800.0, 4)
+    assert halo.where("owner").count() == len(rows)
+    found = {(r["id"], r["pixel"]) for r in halo.collect()}
+    near = joins.within_radius(points.withColumnRenamed("id", "a"), points.withColumnRenamed("id", "b"), 900.0, ("a", "ra", "dec"), ("b", "ra", "dec")).collect()
+    home = {i: healpix._python_pixel(a, d, 4) for i, a, d in rows}
+    assert all((r["a"], home[r["b"]]) in found for r in near)
+
+
+def test_mixture_tells_two_groups_from_one(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, float(v)) for v in np.concatenate([rng.normal(0, 1, 80), rng.normal(12, 1, 80)])] + [(2, float(v)) for v in rng.normal(0, 1, 160)]
+    got = {r["k"]: r["ratio"] for r in features.mixture_ratio(spark.createDataFrame(rows, "k int, v double"), "k", "v").collect()}
+    v = np.array([x for k, x in rows if k == 1])
+    normal = lambda m, s: np.exp(-((v - m) ** 2) / (2 * s)) / np.sqrt(2 * np.pi * s)
+    a, b = v[:80], v[80:]
+    best = np.log(0.5 * normal(a.mean(), a.var()) + 0.5 * normal(b.mean(), b.var())).mean() - np.log(normal(v.mean(), v.var())).mean()
+    assert got[1] == pytest.approx(best, abs=0.01) and abs(got[2]) < 0.1
+
+
+def test_threshold_of_one_feature(spark):
+    rows = spark.createDataFrame([(float(i), float(i > 30)) for i in range(100)], "x double, y double")
+    assert 30 <= evaluation.threshold(rows, "x", "y") <= 31
+
+
+def test_prefer_double_and_one_class(spark):
+    got = spark.createDataFrame([(3.0,), (5.0,), (None,)], "p double").select(periods.prefer_double(F.col("p")).alias("d")).collect()
+    assert [r["d"] for r in got] == [6.0, 5.0, None]
+    m = evaluation.confusion(spark.createDataFrame([(1, 1), (None, 1)], "t int, p int"), "t", "p")
+    assert evaluation.summary_scores(m).first()["macro_f1"] == 1.0

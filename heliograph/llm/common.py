@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound of the text bytes that one numpy pass works on; a longer document makes a pass of its own.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,11 +91,18 @@ def ordered_shards(df: DataFrame, key: str, shards: int, column: str = "shard")
     if cuts:
         got = df.select(F.percentile_approx(F.col(key).cast("double"), cuts, 10 * shards).alias("q")).first()["q"]
         bounds = sorted({float(x) for x in got or []})
+    if not bounds:
+        return df.withColumn(column, F.when(F.col(key).isNull(), 1).otherwise(0))
     splits = [-float("inf"), *bounds, float("inf")]
     binned = Bucketizer(splits=splits, inputCol="_shard_key", outputCol="_shard_bin", handleInvalid="keep").transform(
         df.withColumn("_shard_key", F.col(key).cast("double"))
     )
-    return binned.withColumn(column, F.col("_shard_bin").cast("int")).drop("_shard_key", "_shard_bin")
+    return binned.withColumn(column, F.coalesce(F.col("_shard_bin").cast("int"), F.lit(len(splits) - 1))).drop("_shard_key", "_shard_bin")
+
+
+def hashed_share(share, *columns):
+    """Rows whose hash of ``columns`` falls in the first ``share``: a sample that needs no order and no shuffle."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < F.lit(float(1 << 40)) * share
 
 
 def worker_file(name: str, content: bytes) -> str:

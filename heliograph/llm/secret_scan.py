@@ -23,6 +23,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.llm.common import hashed_share, materialise
+
 #: Rows drawn for labelled findings, words of the dictionary, and the forest's size: the bounds of the fit.
 SAMPLE_ROWS, DICTIONARY_WORDS, TREES, DEPTH = 3000, 400, 15, 6
 CONTEXT = 48
@@ -73,12 +75,13 @@ def features(candidate: Column, before: Column, after: Column, path: Column, dic
 
 
 def findings_from_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Labelled findings made from the ``rows`` texts with the smallest hashes of doc_id.
+    """Labelled findings made from a share of the texts by hash of doc_id that makes about ``rows``.
 
-    Digests of a text stand for random keys. Equal strings come with both labels, told apart by their surroundings.
+    They are written to the shared folder, since fitting reads them again and again. Digests of a text stand for random keys. Equal strings come with both labels, told apart by their surroundings.
     """
     base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, 4000).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    base = base.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "text").limit(rows)
+    total = docs.count()
+    base = base.where(hashed_share(min(1.0, rows / max(total, 1)), "doc_id")).withColumn("h", F.xxhash64("doc_id", F.lit(1)))
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     base = base.withColumn("words", words).where(F.size("words") > 0).withColumn("at", F.pmod(F.shiftright("h", 8), F.size("words")))
     near = lambda start, count: F.array_join(F.slice("words", start, count), " ")
@@ -106,7 +109,8 @@ def findings_from_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     ]
     kind = F.pmod(F.col("h"), F.lit(len(shapes)))
     pick = lambda k: reduce(lambda rest, i: F.when(kind == i, shapes[i][k] if isinstance(shapes[i][k], Column) else F.lit(shapes[i][k])).otherwise(rest), range(len(shapes)), F.lit(None))
-    return base.select(pick(0).alias("before"), pick(1).alias("candidate"), F.concat(pick(2), right).alias("after"), pick(3).alias("path"), pick(4).alias("is_secret"))
+    made = base.select(pick(0).alias("before"), pick(1).alias("candidate"), F.concat(pick(2), right).alias("after"), pick(3).alias("path"), pick(4).alias("is_secret"))
+    return materialise(made, "findings")
 
 
 def _expression(tree: str) -> str:
@@ -173,10 +177,11 @@ def scan(docs: DataFrame, forest: Forest, path: str | None = "source") -> DataFr
 
 def redact(docs: DataFrame, forest: Forest, path: str | None = "source") -> DataFrame:
     """``docs`` with secrets replaced by a placeholder; n_chars, where there is one, follows the text."""
-    found = scan(docs, forest, path)
+    columns = [F.col("text").cast("string").alias("text"), *([F.col(path).alias("_path")] if path in docs.columns else [])]
+    found = scan(docs.select(F.struct("*").alias("_row"), *columns), forest, "_path")
     kept = F.transform("pieces", lambda piece, i: F.when((i % 2 == 1) & F.get(F.col("findings"), F.floor(i / 2).cast("int"))["is_secret"], F.lit(PLACEHOLDER)).otherwise(piece))
     touched = F.exists("findings", lambda x: x["is_secret"])
-    out = found.withColumn("text", F.when(touched, F.array_join(kept, "")).otherwise(F.col("text")))
+    changed = {"text": F.when(touched, F.array_join(kept, "")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.char_length(changed["text"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

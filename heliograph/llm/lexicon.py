@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import passes, ranges, text_buffers, worker_file
+from heliograph.llm.common import materialise, passes, ranges, text_buffers, worker_file
 from heliograph.llm.pretokens import Distinct, boundaries, code_points
 
 #: Words in the lexicon at most, and the occurrences that one needs. Other words are merged, with the same result.
@@ -282,10 +282,23 @@ def _count_words(batches):
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> list[str]:
-    """The commonest pre-tokens of all texts; ``most`` of them at most reach the driver."""
+    """The commonest pre-tokens of all texts; ``most`` of them at most reach the driver.
+
+    How common a word must be comes from a histogram of counts on a logarithmic scale, some thousand bars at most, so
+    that no task gathers or sorts the words.
+    """
     counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(most)
-    return top.toPandas()["word"].tolist()
+    counts = materialise(counts.where(F.col("n") >= least).withColumn("bar", F.floor(64 * F.log2("n")).cast("int")), "word-counts")
+    bars = sorted(((r["bar"], r["words"]) for r in counts.groupBy("bar").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    lowest, total = None, 0
+    for bar, words in bars:
+        total += words
+        if total > most:
+            break
+        lowest = bar
+    if lowest is None:
+        return []
+    return sorted(counts.where(F.col("bar") >= lowest).select("word").toPandas()["word"])
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> bytes:

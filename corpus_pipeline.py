@@ -20,8 +20,8 @@ from heliograph.llm.secret_scan import findings_from_texts, fit_forest, redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    predicted = identify_language(docs, fit_dictionaries(docs))
-    return predicted.where(~F.col("rejected")).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")  # so that no column of docs meets a result's name
+    return identify_language(whole, fit_dictionaries(docs)).where(~F.col("rejected")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,4 +73,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_fingerprints, op4_language, op5_decontaminate, op6_secrets, op7_edit_counts, op8_tool_calls, op9_html_text, op10_ngram_join)}
-ORACLES: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The rest is beyond SQL: tokenizers, automata, compression, hashing in chunks, forests, trees of counts, HTML.
+ORACLES: dict[str, str] = {
+    "op5_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS s FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) r(k) WHERE len(w) > 0),
+ dw AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw) l, unnest(range(1, len(w) - n + 2)) r(k) WHERE len(w) >= n),
+ h AS (SELECT doc_id, k, dw.n, item FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM h, unnest(range(k, k + n)) r(p) GROUP BY 1), m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op10_ngram_join": f"""WITH RECURSIVE d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, text, CASE WHEN len(w) > 0 THEN list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' ')))) ELSE [] END AS g FROM d),
+ n AS (SELECT doc_id, len(g) AS size, CASE WHEN text IS NULL THEN 'doc' || doc_id WHEN len(g) = 0 THEN 'text' || text ELSE 'runs' || array_to_string(g, '/') END AS node FROM s), e AS (SELECT doc_id, unnest(g) AS g FROM s),
+ rep AS (SELECT node, min(doc_id) AS r, any_value(size) AS size, count(*) AS copies FROM n GROUP BY 1), re AS (SELECT r, size, g FROM rep JOIN e ON e.doc_id = r),
+ p AS (SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.size) AS sa, any_value(b.size) AS sb FROM re a JOIN re b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-6),
+ t AS (SELECT r AS node, r AS root FROM rep UNION SELECT p.b, t.root FROM t JOIN p ON p.a = t.node), c AS (SELECT node, min(root) AS class_id FROM t GROUP BY 1),
+ l AS (SELECT a, count(*) AS texts, sum(copies) AS docs FROM p JOIN rep ON p.b = r GROUP BY 1)
+SELECT n.doc_id, class_id, CAST(coalesce(docs, 0) + copies - 1 AS BIGINT) AS n_links, coalesce(texts, 0) AS n_text_links, copies AS n_copies FROM n JOIN rep USING (node) JOIN c ON c.node = r LEFT JOIN l ON l.a = r""",
+}

@@ -1,0 +1,354 @@
+"""Text operators and pipeline stages on Spark: against brute force, and on nulls, repeats, ties and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import regex
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from heliograph.llm import common, components, decontaminate, edit_counts, fingerprints, language, lexicon, ngram_join, secret_scan, site_tree, token_ids, tool_calls
+from heliograph.llm.queries import QUERIES
+from test_text_kernels import brute_windows, lower_words
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, shard string, node string, items string"
+LONG = "the quick brown fox jumps over the lazy dog again " * 3000
+SECRET = 'set token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" now'
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty, blank and long texts, repeats, ties, and extra columns named like results."""
+    texts = [None, "", " \n\t ", "one", "one", "a<|endoftext|>b", LONG, LONG, "12 34 — !", SECRET, SECRET, "x" * 700, "the end of it is not with us", "a b c d e f g h i j k l m", "﷐ \x00 é漢😀"]
+    rows = [(i if i % 5 else None, t, "en" if i % 3 else None, "src" if i % 2 else None, len(t) if t else None, 1.0, "r", "s", "n", "i") for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[3], rows[3], rows[6]], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts_of(spark, folder):
+    return common.read_table(spark, folder, "documents").toPandas().sort_values("doc_id").reset_index(drop=True)
+
+
+def library_ids(texts):
+    return [e.ids for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def check_token_file(got, docs):
+    got = got.sort_values(["start"]).reset_index(drop=True)
+    docs = docs.assign(text=docs["text"].fillna("")).sort_values(["doc_id", "text"], na_position="last", kind="stable")
+    ids = [np.array([*x, 2], "<u4") for x in library_ids(docs["text"])]
+    assert got["n_tokens"].tolist() == [len(x) for x in ids]
+    assert got["start"].tolist() == (np.cumsum([len(x) for x in ids]) - [len(x) for x in ids]).tolist()
+    assert got["ids_crc32"].tolist() == [zlib.crc32(x.tobytes()) for x in ids]
+
+
+def test_token_files(spark, folder, odd, none):
+    check_token_file(QUERIES["op1_token_ids"](spark, folder).toPandas(), texts_of(spark, folder))
+    check_token_file(token_ids.token_file_digests(odd, PATH).toPandas(), odd.toPandas())
+    assert token_ids.token_file_digests(none, PATH).count() == 0
+
+
+def check_bpe(got, docs):
+    want = {(None if pd.isna(d) else int(d), len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t, i in zip(docs["doc_id"], docs["text"].fillna(""), library_ids(docs["text"]))}
+    assert len(got) == len(docs)
+    assert {(None if pd.isna(r.doc_id) else int(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.itertuples()} == want
+
+
+def test_bpe(spark, folder, odd, none):
+    check_bpe(QUERIES["op2_bpe"](spark, folder).toPandas(), texts_of(spark, folder))
+    check_bpe(lexicon.bpe_round_trip(odd, PATH).toPandas(), odd.toPandas())
+    assert lexicon.bpe_round_trip(none, PATH).count() == 0
+    back = lexicon.bpe_decode(lexicon.bpe_encode(odd, PATH), PATH).toPandas()
+    assert sorted(back["text"]) == sorted(odd.toPandas()["text"].fillna(""))
+
+
+def test_frequent_words_are_counted_over_all_texts(spark, odd):
+    counts = Counter(w for t in odd.toPandas()["text"].dropna() for w in regex.findall(public_tokenizers.PATTERN, t))
+    got = lexicon.frequent_words(odd, 12, 2)
+    assert " the" in got and 0 < len(got) <= 12 and min(counts[w] for w in got) > 2
+    assert set(lexicon.frequent_words(odd, 1000, 2)) == {w for w, n in counts.items() if n > 1}
+
+
+def check_fingerprints(got, docs):
+    docs = docs.assign(text=docs["text"].fillna(""), order=docs["doc_id"].fillna(-1e18)).sort_values(["order", "text"], ascending=[False, True])
+    texts = docs["text"].tolist()
+    follow = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, follow)]
+    marks = [fingerprints.fingerprints([t.encode()])[0] for t in texts]
+    want = sorted((len(t), hashlib.sha256(e.encode()).hexdigest(), m) for t, e, m in zip(texts, edited, marks))
+    assert sorted((r.n_chars, r.edited_sha256, r.fingerprint) for r in got.itertuples()) == want
+    assert got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
+
+
+def test_fingerprints(spark, folder, odd, none):
+    got = QUERIES["op3_fingerprints"](spark, folder).toPandas()
+    check_fingerprints(got, texts_of(spark, folder))
+    assert (got["near_edited"] > got["near_next"]).mean() > 0.95
+    check_fingerprints(fingerprints.fingerprint_documents(odd).toPandas(), odd.toPandas())
+    alone = fingerprints.fingerprint_documents(odd.where("doc_id = 11")).first()
+    assert (alone["near_next"], alone["near_edited"]) == (1.0, 1.0)
+    assert fingerprints.fingerprint_documents(none).count() == 0
+
+
+def test_language(spark, folder, odd, none):
+    got = QUERIES["op4_language"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    docs = texts_of(spark, "/root/testdata/sf0.01").set_index("doc_id")
+    held = pd.Series([zlib.crc32(str(i).encode()) % 3 == 1 for i in docs.index], docs.index)
+    assert (got["held_out"] == held).all()
+    assert (got["lang_pred"] == docs["lang"])[held].mean() > 0.98 and got["rejected"].mean() < 0.02
+    out = language.identify_language(odd, language.fit_dictionaries(odd)).toPandas()
+    assert len(out) == odd.count() and set(out["lang_pred"]) == {"en", "und"}
+    assert out[out["text"].isna() | out["text"].isin(["", " \n\t ", "12 34 — !"])]["lang_pred"].eq("und").all()
+    assert language.fit_dictionaries(none) == {} and language.identify_language(none, {}).count() == 0
+    assert language.identify_language(odd, {}).where("lang_pred <> 'und'").count() == 0
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, odd):
+    changed = odd.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang")))
+    assert language.fit_dictionaries(changed) == language.fit_dictionaries(odd)
+
+
+def test_contamination(spark, folder, odd, none):
+    docs, items = texts_of(spark, folder), common.read_table(spark, folder, "benchmark").toPandas()
+    want = brute_windows(docs["text"].tolist(), [(str(i), t) for i, t in zip(items["item_id"], items["text"])], 10)
+    got = QUERIES["op5_decontaminate"](spark, folder).toPandas().sort_values("doc_id")
+    assert got["n_words"].tolist() == [w[0] for w in want] and got["n_hit"].tolist() == [w[1] for w in want] and got["n_items"].tolist() == [len(w[2]) for w in want]
+    assert got["items_sha256"].tolist() == [hashlib.sha256(",".join(w[2]).encode()).hexdigest() for w in want]
+    assert got["contaminated"].sum() > 0
+    bench = spark.createDataFrame([(1, "THE QUICK, brown fox"), (2, None), (3, ""), (4, "one"), (5, "a b c d e f g h i j k")], "item_id long, text string")
+    found = decontaminate.find_contamination(odd, bench).toPandas()
+    assert sorted(map(str, found["items"].map(list))) == sorted(str(w[2]) for w in brute_windows(odd.toPandas()["text"].tolist(), [(str(r.item_id), r.text) for r in bench.collect()], 10))
+    assert decontaminate.find_contamination(none, bench).count() == 0
+    assert decontaminate.find_contamination(odd, bench.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_contamination_in_many_blocks(spark, folder, monkeypatch):
+    docs, bench = common.read_table(spark, folder, "documents").select("doc_id", "text"), common.read_table(spark, folder, "benchmark")
+    once = {r["doc_id"]: (r["spans"], r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()}
+    clean = {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    assert len(decontaminate._blocks(bench)) > 2
+    assert {r["doc_id"]: (r["spans"], r["items"]) for r in decontaminate.find_contamination(docs, bench).collect()} == once
+    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench).collect()} == clean
+
+
+def test_removal_leaves_no_window(spark, odd):
+    bench = spark.createDataFrame([(1, "a b c d"), (4, "one")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x a b A B C D c d y", 19), (2, "clean text", 10), (3, None, None), (4, "One, two; one", 13)], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontaminate.remove_contamination(rows, bench, 4).collect()}
+    assert out[2] == ("clean text", 10) and out[3] == (None, None) and out[4] == (", two; ", 7)
+    assert lower_words(out[1][0]) == ["x", "y"]
+    again = decontaminate.find_contamination(decontaminate.remove_contamination(odd, bench, 4), bench, 4)
+    assert again.where("size(spans) > 0").count() == 0 and again.count() == odd.count()
+
+
+def test_secrets(spark, folder, odd, none):
+    got = QUERIES["op6_secrets"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
+    docs = texts_of(spark, "/root/testdata/sf0.01").set_index("doc_id")
+    wanted = docs["text"].map(lambda t: len(re.findall(r'(?i:token = )"[0-9a-fA-F]{40}"', t)))
+    assert (got["n_secrets"] == wanted).mean() > 0.995 and wanted.sum() > 0
+    candidates = docs["text"].map(lambda t: len(re.findall(secret_scan.CANDIDATE, t)))
+    assert (got["n_candidates"] == candidates).all()
+    forest = secret_scan.fit_forest(secret_scan.findings_from_texts(common.read_table(spark, folder, "documents")))
+    out = secret_scan.redact(odd, forest)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    texts = [r["text"] for r in out.collect()]
+    assert texts.count('set token = "[SECRET]" now') == 2 and texts.count(None) == 1 and LONG in texts and not any("9c8b" in (t or "") for t in texts)
+    assert out.where("text like 'set%'").first()["n_chars"] == len('set token = "[SECRET]" now')
+    assert secret_scan.redact(none, forest).count() == 0
+    assert secret_scan.scan(odd, secret_scan.fit_forest(secret_scan.findings_from_texts(none))).where("exists(findings, x -> x.is_secret)").count() > 0
+
+
+def test_forest_on_findings_it_has_not_seen(spark, folder):
+    made = secret_scan.findings_from_texts(common.read_table(spark, "/root/testdata/sf0.01", "documents")).withColumn("k", F.pmod(F.xxhash64("candidate"), F.lit(2)))
+    forest = secret_scan.fit_forest(made.where("k = 0"))
+    rows = made.where("k = 1").withColumn("x", F.struct(*[c.alias(n) for n, c in secret_scan.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), forest.dictionary).items()]))
+    right = rows.select((F.expr(forest.score("x")) >= 0.5).cast("int").alias("p"), "is_secret").where("p = is_secret").count()
+    assert right / rows.count() > 0.95
+
+
+def test_secrets_stay_in_the_jvm(spark, folder):
+    forest = secret_scan.fit_forest(secret_scan.findings_from_texts(common.read_table(spark, folder, "documents")))
+    plan = secret_scan.redact(common.read_table(spark, folder, "documents"), forest)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_edit_counts(spark, folder, odd, none):
+    docs = edit_counts.derived_edits(common.read_table(spark, folder, "documents").select("doc_id", "text"))
+    got = {r["doc_id"]: r for r in QUERIES["op7_edit_counts"](spark, folder).collect()}
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    size = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    for r in docs.collect():
+        text = r["text"] or ""
+        before = size(text)
+        for e in r["edits"]:
+            at = min(e["start"], len(text))
+            text = text[:at] + e["inserted"] + text[at + e["removed"] :]
+        own = got[r["doc_id"]]
+        assert (own["tokens_before"], own["tokens_after"], own["n_chars_after"]) == (before, size(text), len(text))
+    out = edit_counts.count_edited(edit_counts.derived_edits(odd), PATH)
+    assert out.count() == odd.count() and edit_counts.count_edited(edit_counts.derived_edits(none), PATH).count() == 0
+    assert edit_counts.count_edited(odd.withColumn("edits", F.lit(None).cast("array<struct<start:long,removed:long,inserted:string>>")), PATH).where("tokens_before <> tokens_after").count() == 0
+
+
+MESSAGES = "conv_id long, turn long, text string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, result_of string"
+
+
+def test_tool_calls(spark):
+    call = lambda i, args, *after, name="measure": (i, name, args, list(after))
+    rows = [
+        (1, 0, "", [call("a", '{"length":30}'), call("b", '{"unit":"char","length":20}', "a")], None), (1, 1, "ra", [], "a"), (1, 2, "rb", None, "b"), (1, 3, "again", [], "a"),
+        (1, 4, "", [call("c", "{}", "a", "b"), call("d", "not json"), call("e", None, name="nothing"), call("f", '{"length":1e999}', "gone")], None),
+        (2, 0, "", [call("a", '{"length":20}', "b"), call("b", '{"length":20}', "a"), call("z", '{"length":20}', "b")], None), (2, 1, None, [], "zz"), (3, 0, "", [call(None, "{}")], None),
+        (4, 0, "", [call("a", '{"length":"\\ud800"}')], None), (4, 0, "", [call("a", '{"length":"\\ud800"}')], None),
+    ]
+    messages = spark.createDataFrame(rows, MESSAGES)
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link_calls(messages, tool_calls.tools_table(spark)).collect()}
+    assert {k: (r["level"], r["status"]) for k, r in got.items()} == {
+        (1, "a"): (0, "ok"), (1, "b"): (1, "ok"), (1, "c"): (2, "invalid"), (1, "d"): (0, "invalid"), (1, "e"): (0, "invalid"), (1, "f"): (0, "invalid"),
+        (2, "a"): (None, "cycle"), (2, "b"): (None, "cycle"), (2, "z"): (None, "cycle"), (4, "a"): (0, "invalid"),
+    }
+    assert got[1, "b"]["json"] == '{"arguments":{"length":20,"unit":"char"},"id":"b","name":"measure","result":"rb"}'
+    assert (got[1, "a"]["n_results"], got[4, "a"]["n_calls"]) == (2, 2)
+    assert [r["result_of"] for r in tool_calls.orphan_results(messages).collect()] == ["zz"]
+    assert tool_calls.link_calls(spark.createDataFrame([], MESSAGES), tool_calls.tools_table(spark)).count() == 0
+
+
+def test_tool_calls_of_the_table(spark, folder):
+    turns = common.read_table(spark, folder, "conversations").toPandas()
+    got = QUERIES["op8_tool_calls"](spark, folder).toPandas()
+    asked = turns[turns["role"] == "assistant"]
+    assert len(got) == len(asked) and got["status"].isin(["ok", "invalid", "no result"]).all()
+    replied = turns[(turns["role"] == "user") & (turns["turn"] > 0)]
+    pairs = asked.assign(turn=asked["turn"] + 1).merge(replied, on=["conv_id", "turn"])
+    assert (got["n_results"] > 0).sum() == len(pairs)
+
+
+def test_html_text(spark, folder):
+    pages = common.read_table(spark, folder, "pages").toPandas().set_index("page_id")
+    import html
+
+    def brute(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", inner)]
+        return "\n".join(b for b in blocks if b)
+
+    got = QUERIES["op9_html_text"](spark, folder).toPandas().set_index("page_id")
+    assert got["text"].to_dict() == {k: brute(v) for k, v in pages["html"].items()}
+    assert (got["n_chars"] == got["text"].map(len)).all()
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_html_site_tree(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(site_tree, "BROADCAST_NODES", broadcast)
+    page = "<body><div>Site words</div><section>{}</section></body>"
+    rows = [(i, "http://one.org/x", page.format(f"own text {i}"), "clash") for i in range(12)] + [(90, "http://two.org", page.format("alone"), "c"), (91, None, None, None), (92, "http://one.org", "", None), (0, "http://one.org/x", page.format("own text 0"), "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = [(r["page_id"], r["text"]) for r in site_tree.extract_text(pages).orderBy("page_id").collect()]
+    assert got == [(0, "own text 0"), (0, "own text 0"), *[(i, f"own text {i}") for i in range(1, 12)], (90, "Site words\nalone"), (91, ""), (92, "")]
+    assert site_tree.extract_text(pages.limit(0)).count() == 0
+
+
+def brute_classes(docs, size=5, threshold=0.8):
+    sets, ids, texts = [], docs["doc_id"].tolist(), docs["text"].tolist()
+    for t in texts:
+        own = lower_words(t)
+        sets.append(frozenset(tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))) if own else frozenset())
+    parent, links = list(range(len(ids))), [0] * len(ids)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            same = not a and not b and texts[i] is not None and texts[i] == texts[j]
+            if same or (a and b and len(a & b) >= threshold * len(a | b) - 1e-9):
+                links[i] += 1
+                links[j] += 1
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    low: dict[int, list] = {}
+    for i, d in enumerate(ids):
+        low.setdefault(root(i), []).append(d)
+    return [(d, min((x for x in low[root(i)] if not pd.isna(x)), default=None), links[i]) for i, d in enumerate(ids)]
+
+
+def as_rows(frame):
+    return sorted(((None if pd.isna(a) else int(a), None if pd.isna(b) else int(b), int(c)) for a, b, c in frame), key=str)
+
+
+def test_near_duplicates(spark, folder, odd, none):
+    docs = texts_of(spark, folder)
+    got = QUERIES["op10_ngram_join"](spark, folder).toPandas()
+    assert as_rows(got[["doc_id", "class_id", "n_links"]].itertuples(index=False)) == as_rows(brute_classes(docs))
+    out = ngram_join.near_duplicates(odd).toPandas()
+    assert as_rows(out[["doc_id", "class_id", "n_links"]].itertuples(index=False)) == as_rows(brute_classes(odd.toPandas().astype(object).where(lambda f: f.notna(), None)))
+    assert ngram_join.near_duplicates(none).count() == 0 and ngram_join.keep_one(none).count() == 0
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """A group of near copies over many blocks, with chains below the threshold, and hundreds of exact copies."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    r = np.random.default_rng(0)
+    base = [f"w{r.integers(1000)}" for _ in range(120)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for k in r.integers(0, 120, r.integers(0, 4)):
+            own[k] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(base)) for i in range(40)] + [(300, "quite other words stand here alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).toPandas()
+    assert as_rows(got[["doc_id", "class_id", "n_links"]].itertuples(index=False)) == as_rows(brute_classes(docs.toPandas()))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_pipeline_equals_its_parts(spark, folder):
+    docs = texts_of(spark, folder)
+    got = corpus_pipeline.run(spark, folder).toPandas().set_index("doc_id")
+    table = common.read_table(spark, folder, "documents")
+    spoken = language.identify_language(table, language.fit_dictionaries(table)).where("not rejected").toPandas()
+    kept = {c for _, c, _ in brute_classes(spoken.sort_values("doc_id").reset_index(drop=True))}
+    assert set(got.index) == kept and len(kept) < len(docs)
+    items = [(str(r["item_id"]), r["text"]) for r in common.read_table(spark, folder, "benchmark").collect()]
+    untouched = [d for d, t in zip(docs["doc_id"], docs["text"]) if d in kept and brute_windows([t], items, 10)[0][1] == 0 and not re.search(secret_scan.CANDIDATE, t)]
+    by_id = docs.set_index("doc_id")["text"]
+    assert len(untouched) > 50
+    for d in untouched:
+        assert got.loc[d, "decoded_sha256"] == hashlib.sha256(by_id[d].encode()).hexdigest()
+    changed = [d for d in kept if got.loc[d, "decoded_sha256"] != hashlib.sha256(by_id[d].encode()).hexdigest()]
+    assert changed and not set(changed) & set(untouched)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_take_odd_rows(spark, folder, odd, none, name, stage):
+    out = stage(spark, odd, folder)
+    assert stage(spark, none, folder).count() == 0
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert out.columns == odd.columns
+    assert 0 < out.count() <= odd.count()

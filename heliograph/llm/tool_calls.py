@@ -1,11 +1,11 @@
 """Tool-call linking for chat data.
 
 Calls and results are hash-joined by conversation and identifier; calls are put in topological order of what they come
-after, by rounds that settle all calls whose predecessors are settled; arguments are validated against the tools'
+after, by levels: a call's level is one above the highest level that it comes after; arguments are validated against the tools'
 schemas; each call with its result is serialised as canonical JSON (sorted keys, no blanks, no escapes beyond need).
 
 No conversation is gathered in one place: rounds are joins on calls, and the order of a conversation's calls is the sort
-key (level, turn, call_id). The number of rounds is the longest chain of calls, not the number of calls.
+key (level, turn, call_id). Chains of calls are followed by doubling; rounds are needed only for calls after several.
 
 Defined cases: calls without an identifier are dropped; of calls with one identifier in a conversation the first turn's
 counts, then the smallest arguments, and of results likewise, both with their number given. A result without a call is
@@ -127,20 +127,44 @@ def _results(messages: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """Topological levels of ``calls`` (conv_id, call_id, after): rows (conv_id, call_id, level), none for cycles."""
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct()
+    """Topological levels of ``calls`` (conv_id, call_id, after): rows (conv_id, call_id, level), null for cycles.
+
+    A call after just one other points to it; pointers are followed by doubling until they reach a call that comes after
+    none or after several. Only calls after several are then settled in rounds, each after all that it waits for.
+    """
+    key = ["conv_id", "call_id"]
     known = calls.select("conv_id", F.col("call_id").alias("before"))
-    waiting = materialise(edges.join(known, ["conv_id", "before"], "left_semi").select("conv_id", "call_id", "before"), "waiting")
-    settled = calls.select("conv_id", "call_id").join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    done = last = materialise(settled.withColumn("level", F.lit(0)), "settled")
-    level = 0
-    while not waiting.isEmpty() and not last.isEmpty():
-        level += 1
-        reached = waiting.select("conv_id", "call_id").distinct()
-        left = materialise(waiting.join(last.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_anti").select("conv_id", "call_id", "before"), "waiting")
-        last = materialise(reached.join(left.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "settled")
-        waiting, done = left, done.unionByName(last)
-    return done
+    edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct().join(known, ["conv_id", "before"], "left_semi").select(*key, "before")
+    counted = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("first"))
+    edges, counted = materialise(edges, "edges"), materialise(counted, "degrees")
+    chain = materialise(counted.where("n = 1").select(*key, F.col("first").alias("to"), F.lit(1).alias("steps")), "chain")
+    longest = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(int(longest).bit_length()):
+        hop = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("on"), F.col("steps").alias("more"))
+        moved = chain.join(hop, ["conv_id", "to"], "left").select(*key, F.coalesce("on", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("on").isNotNull().alias("moved"))
+        moved = materialise(moved, "chain")
+        chain = moved.select(*key, "to", "steps")
+        if moved.where("moved").isEmpty():
+            break
+    # what a call after several waits for: the ends of its predecessors' chains
+    through = chain.select("conv_id", F.col("call_id").alias("before"), "to", "steps")
+    waiting = edges.join(counted.where("n > 1").select(*key), key, "left_semi").join(through, ["conv_id", "before"], "left")
+    waiting = materialise(waiting.select(*key, F.coalesce("to", "before").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "waiting")
+    done = last = calls.select(*key).join(counted.select(*key), key, "left_anti").withColumn("level", F.lit(0))
+    best = None
+    while not waiting.isEmpty():
+        met = waiting.join(last.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left").select(*key, "to", "steps", (F.col("level") + F.col("steps")).alias("reached"))
+        met = materialise(met, "waiting")
+        some = met.groupBy(*key).agg(F.max("reached").alias("reached"), F.count_if(F.col("reached").isNull()).alias("open"))
+        best = some if best is None else some.join(best.select(*key, F.col("reached").alias("was")), key, "left").select(*key, F.greatest("reached", "was").alias("reached"), "open")
+        best = materialise(best, "reached")
+        last = best.where("open = 0").select(*key, F.col("reached").cast("int").alias("level"))
+        best, waiting = best.where("open > 0"), met.where("reached IS NULL").select(*key, "to", "steps")
+        if last.isEmpty():
+            break
+        done = done.unionByName(last)
+    ends = done.select("conv_id", F.col("call_id").alias("to"), "level")
+    return done.unionByName(chain.join(ends, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("steps")).cast("int").alias("level")))
 
 
 def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:

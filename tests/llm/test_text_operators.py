@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -230,6 +231,23 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(spark.createDataFrame([], MESSAGES), tool_calls.tools_table(spark)).count() == 0
 
 
+def test_levels_match_a_plain_sort(spark):
+    r = random.Random(4)
+    rows, want = [(9, f"c{i}", [f"c{i - 1}"]) for i in range(1, 300)] + [(9, "c0", [])], {(9, f"c{i}"): i for i in range(300)}
+    for conv in range(30):
+        own = {f"k{i}": sorted({f"k{r.randrange(12)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))} if r.random() < 0.1 else {f"k{r.randrange(i)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3])) if i}) for i in range(12)}
+        rows += [(conv + 10, k, v + ["unknown"]) for k, v in own.items()]
+        level: dict = {}
+        for _ in own:
+            for k, v in own.items():
+                if k not in level and all(x in level for x in v):
+                    level[k] = 1 + max((level[x] for x in v), default=-1)
+        want |= {(conv + 10, k): n for k, n in level.items()}
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = tool_calls.levels(calls).collect()
+    assert {(x["conv_id"], x["call_id"]): x["level"] for x in got} == want and len(got) == len(want)
+
+
 def test_tool_calls_of_the_table(spark, folder):
     turns = common.read_table(spark, folder, "conversations").toPandas()
     got = QUERIES["op8_tool_calls"](spark, folder).toPandas()

@@ -4,8 +4,9 @@ A rolling hash over seven bytes cuts a text into chunks where it meets a block s
 character of a signature. Block sizes are 3 * 2**level, and the cuts of a level are among those of the level below. A
 fingerprint has the lowest level whose signature has at most 64 characters, and the signatures of that level and the two
 above: ``level:signature:signature:signature``. Where that signature is short, as for texts that repeat themselves, the
-level below is taken, and the last character stands for all the rest of the text. Two fingerprints are compared at the levels that both have, by the edit
-distance of their signatures; signatures without five characters in a row in common are unlike.
+level below is taken, and the last character stands for all the rest of the text. Two fingerprints are compared at the
+levels that both have, by the edit distance of their signatures; signatures without five characters in a row in common
+are unlike.
 
 Documents follow each other by descending doc_id; equal ids by text, a null id last, and the last is followed by the
 first. A document that is alone follows itself. A null text is empty; an empty text has the fingerprint ``0:::``. Repeated

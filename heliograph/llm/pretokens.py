@@ -29,16 +29,20 @@ def class_table() -> np.ndarray:
     return table
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    forth, back = np.full(size, _STEP, np.uint64), np.full(size, _BACK, np.uint64)
-    forth[0] = back[0] = 1
-    return np.multiply.accumulate(forth), np.multiply.accumulate(back)
+_kept_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash step and of its inverse modulo 2**64, at least ``n`` of each."""
-    return _powers(1 << max(16, int(n).bit_length()))
+    """Powers of the hash step and of its inverse modulo 2**64, at least ``n`` of each; the longest so far are kept."""
+    if not _kept_powers or len(_kept_powers[0]) < n:
+        size = max(1 << 16, n + n // 8)
+        both = []
+        for step in (_STEP, _BACK):
+            run = np.full(size, step, np.uint64)
+            run[0] = 1
+            both.append(np.multiply.accumulate(run))
+        _kept_powers[:] = both
+    return _kept_powers[0], _kept_powers[1]
 
 
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +93,28 @@ class Distinct:
         self.points, self.starts, self.lengths = points, starts, ends - starts
         if not len(starts):
             self.first = self.of = np.zeros(0, np.int64)
+            self.codes = np.zeros(0, np.uint64)
             return
         forth, back = powers(len(points) + 1)
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * forth[: len(points)], out=sums[1:])
         code = (sums[ends] - sums[starts]) * back[starts]
         code ^= code >> np.uint64(29)
-        _, self.first, self.of = np.unique(code, return_index=True, return_inverse=True)
+        self.codes, self.first, self.of = np.unique(code, return_index=True, return_inverse=True)
         rep = self.first[self.of]
         if not (np.array_equal(self.lengths[rep], self.lengths) and np.array_equal(points[ranges(starts[rep], self.lengths)], points[starts[0] :])):
             self._exact()
+            self.codes = code[self.first]
+
+    def checks(self) -> np.ndarray:
+        """A second hash of each different pre-token, independent of ``codes``."""
+        spread = (self.points.astype(np.uint64) + np.uint64(0x51ED270B)) * np.uint64(0xD6E8FEB86659FD93)
+        spread ^= spread >> np.uint64(32)
+        forth, back = powers(len(self.points) + 1)
+        sums = np.zeros(len(self.points) + 1, np.uint64)
+        np.cumsum(spread * forth[: len(self.points)], out=sums[1:])
+        at, size = self.starts[self.first], self.lengths[self.first]
+        return (sums[at + size] - sums[at]) * back[at] + size.astype(np.uint64)
 
     def _exact(self) -> None:
         """Two different pre-tokens had equal hashes: tell them apart by their text."""
@@ -116,5 +132,51 @@ class Distinct:
         text = self.points.tobytes().decode("utf-32-le")
         return [text[a : a + n] for a, n in zip(self.starts[which].tolist(), self.lengths[which].tolist())]
 
-    def words(self) -> list[str]:
-        return self._words(self.first)
+    def words(self, which: np.ndarray | slice = slice(None)) -> list[str]:
+        """Texts of the different pre-tokens, or of ``which`` of them."""
+        return self._words(self.first[which])
+
+
+class WordValues:
+    """A memory from pre-tokens to short lists of numbers, in sorted arrays: some forty bytes a word.
+
+    Words are known by two independent 64-bit hashes. Beyond ``most`` words all are forgotten.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts = [tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int32)) for _ in range(2)]
+        self.values, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def find(self, codes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts in ``values`` and lengths; a start of -1 for words not known."""
+        start, length = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64)
+        for known, check, begin, size in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+                hit = (known[at] == codes) & (check[at] == checks)
+                start[hit], length[hit] = begin[at[hit]], size[at[hit]]
+        return start, length
+
+    def add(self, codes: np.ndarray, checks: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+        if sum(len(p[0]) for p in self.parts) + len(codes) > self.most:
+            self._forget()
+        if self.used + len(values) > len(self.values):
+            self.values = np.concatenate((self.values, np.zeros(len(self.values) + len(values), np.int32)))
+        self.values[self.used : self.used + len(values)] = values
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += len(values)
+        old, new = self.parts
+        new = self._sorted(new, (codes, checks, begin, sizes.astype(np.int32)))
+        if len(new[0]) > len(old[0]) // 4:
+            old, new = self._sorted(old, new), tuple(a[:0] for a in new)
+        self.parts = [old, new]
+
+    @staticmethod
+    def _sorted(one: tuple, two: tuple) -> tuple:
+        both = [np.concatenate(x) for x in zip(one, two)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)

@@ -13,8 +13,10 @@ Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import materialise, ordered_shards, passes, ranges, scratch_path, shard_count, text_buffers
-from heliograph.llm.pretokens import Distinct, boundaries, code_points
+from heliograph.llm.lexicon import byte_alphabet
+from heliograph.llm.pretokens import Distinct, WordValues, boundaries, code_points
 
 #: Tokens in a block at most, unless a single document has more.
 BLOCK_TOKENS = 1 << 18
 #: Pre-tokens whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_500_000
 # Lengths in bytes of the four values that a control byte describes, and the places of their bytes in the data stream.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 WIDTH = LENGTHS.sum(1).astype(np.int64)
@@ -71,6 +74,16 @@ def _tokenizer(path: str):
     return tokenizer, special
 
 
+#: A byte-level vocabulary's character for each byte, as a table for str.translate.
+BYTE_CHARS = {byte: char for char, byte in byte_alphabet().items()}
+
+
+def model_ids(model, words: list[str]) -> Iterator[list[int]]:
+    """Ids of pre-tokens by a byte-level model of the library."""
+    for word in words:
+        yield [token.id for token in model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))]
+
+
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each different pre-token of a byte-level model.
 
@@ -79,35 +92,36 @@ class LibraryEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, special = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.special = [s.encode() for s in special]
-        self.known: dict[str, tuple[int, int]] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _add(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            n = len(got.ids)
-            if self.used + n > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(max(n, len(self.ids)), np.uint32)))
-            self.ids[self.used : self.used + n] = got.ids
-            self.known[word] = (self.used, n)
-            self.used += n
+        self.known = WordValues(KEPT_WORDS)
+
+    def each(self, tokens: Distinct) -> tuple[np.ndarray, np.ndarray]:
+        """Starts in ``known.values`` and numbers of ids of all different pre-tokens."""
+        if 2 * len(tokens.codes) > self.known.most:  # a text of its own size: what it needs has to fit at once
+            self.known = WordValues(4 * len(tokens.codes))
+        checks = tokens.checks()
+        while True:
+            start, length = self.known.find(tokens.codes, checks)
+            new = np.flatnonzero(start < 0)
+            if not len(new):
+                return start, length
+            ids = [*model_ids(self.model, tokens.words(new))]
+            sizes = np.array([len(x) for x in ids], np.int64)
+            # a full memory is emptied first, and then the loop's second round adds what it held
+            self.known.add(tokens.codes[new], checks[new], np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text."""
         points, places = code_points(raw, offsets)
         starts = boundaries(points, places)
         tokens = Distinct(points, starts)
-        words = tokens.words()
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-            self.used = 0
-        self._add([w for w in words if w not in self.known])
-        spans = np.array([self.known[w] for w in words], np.int64).reshape(-1, 2)
+        begin, size = self.each(tokens)
         slot = np.zeros(len(starts), np.int64)
         slot[tokens.first] = np.arange(len(tokens.first))
-        spans = spans[slot[tokens.first[tokens.of]]] if len(starts) else spans
-        ids = self.ids[ranges(spans[:, 0], spans[:, 1])]
-        ends = np.concatenate(([0], np.cumsum(spans[:, 1])))[np.searchsorted(starts, places)]
+        which = slot[tokens.first[tokens.of]] if len(starts) else slot
+        ids = self.known.values[ranges(begin[which], size[which])].astype(np.uint32)
+        ends = np.concatenate(([0], np.cumsum(size[which])))[np.searchsorted(starts, places)]
         counts = np.diff(ends)
         whole = raw.tobytes()
         if any(s in whole for s in self.special):

@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, size: int = RUN_WORDS, threshold: float = T
     first = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     known = linked.join(first, "root").select("node", "class_id").join(degrees, "node")
     table = nodes.join(known, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    joined = sketches.select("doc_id", "node").join(table, "node", "left")
+    # written first, so that both sides of the last join are plain shuffles and a node with many copies can be split
+    joined = sketches.select("doc_id", "node").join(materialise(table, "classes"), "node", "left")
     return joined.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), F.coalesce("copies", F.lit(1)).alias("n_copies")
     )

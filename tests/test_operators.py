@@ -264,6 +264,18 @@ def test_pixel_backend_equals_the_join_backend(spark, folder):
     assert as_sets(one) == as_sets(two) and one.count() > 0
 
 
+@pytest.mark.parametrize("name", ["dbscan", "dbscan_by_pixel"])
+def test_clustering_takes_the_events_of_all_users(spark, name):
+    events = tables.table(spark, "/root/testdata/sf0.01", "events").toPandas()
+    got = {r["id"] for r in registry.QUERIES[name](spark, "/root/testdata/sf0.01").collect()}
+    wanted = set()
+    for user, own in events.groupby("user_id"):  # a user's events lie on a strip of their own, so steps in one dimension do
+        along = (own["value"] / 2000 * 3600).to_numpy() * np.cos(np.radians(user % 40 - 20 + user // 40 * 0.02))
+        near = np.abs(along[:, None] - along[None, :]) <= 3.0
+        wanted |= set(own["event_id"][near[:, near.sum(1) >= 3].any(1)])
+    assert got == wanted and events["user_id"][events["event_id"].isin(got)].max() >= 40
+
+
 def test_halo_holds_all_near_points(spark):
     rng = np.random.default_rng(6)
     rows = [(i, float(a), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))))] + [(1000, 0.001, 89.999), (1001, 180.0, -89.999)]

@@ -1,17 +1,18 @@
 """Main text of web pages by site style trees.
 
-Pages of one host are merged into a style tree whose nodes are paths of tags with their classes. A node's importance
-joins two entropies over the host's pages: of the child layouts that it shows (presentation), and of the texts that it
-holds - a text on many of the pages says little (content). Names weigh in too: a node named as a menu, footer, advert or
-the like has little importance, and what lies in an article element is never thought unimportant for being repeated.
-Branches of low importance go from each page; the texts of the blocks left are joined in page order.
+Pages of one host are merged into a style tree whose nodes are paths of tags with their classes, articles included. A
+node's importance joins two entropies over the host's pages: of the child layouts that it shows (presentation), and of the
+texts that it holds - a text on many of the pages says little (content). A text that stays the same on most pages of its
+node is a branch with an importance of its own. Names are weights: an element named as a menu, footer, advert or the like
+lowers the importance of what it holds, an article raises it. Names of html, body and of what the page's article stands in
+don't count. Branches of low weighted importance go from each page; the texts of the blocks left are joined in page order.
 
 Only counts for (host, node, text) are shuffled to build the trees. What goes back to the pages is one row for each host
-that has unimportant nodes: broadcast if they are few, else joined by host and salt, so that a host with many pages is
+that has decided branches: broadcast if they are few, else joined by host and salt, so that a host with many pages is
 split.
 
-Defined cases: a null html or url is empty, and the text of an empty page is empty. A page alone on its host goes by names
-alone. Open tags at the end of a page and stray end tags do no harm. Repeated rows stay; other columns are kept.
+Defined cases: a null html or url is empty, and the text of an empty page is empty. Nodes on fewer than four pages go by
+names alone, and so does the article of a page of which nothing else would be left. Open tags at the end of a page and stray end tags do no harm. Repeated rows stay; other columns are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import materialise
 
 LEAST_IMPORTANCE, PRESENTATION_SHARE, LEAST_PAGES = 0.2, 0.1, 4
-#: Unimportant nodes of all hosts up to which they are broadcast, eight bytes each; beyond, pages are joined by host and salt.
+#: What an element's names, and an article, multiply importance by.
+NAMED_WEIGHT, ARTICLE_WEIGHT = 0.21, 1.5
+#: Decided branches of all hosts up to which they are broadcast, sixteen bytes each; beyond, pages are joined by host and salt.
 BROADCAST_NODES, SALTS = 500_000, 64
 # Elements of HTML by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,15 +55,18 @@ def _described(tag: str, rest: str) -> tuple[str, bool, bool]:
     names = " ".join(sorted({(a or b or c).lower() for _, a, b, c in _NAMES.findall(rest)})) if "=" in rest else ""
     words = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()
     article = tag in ("article", "main") or bool(names and IMPORTANT.search(words))
-    unimportant = tag in DROPPED or bool(names and not article and UNIMPORTANT.search(words))
+    unimportant = tag in DROPPED or bool(names and not article and tag not in ("html", "body") and UNIMPORTANT.search(words))
     return f"{tag}.{names}" if names else tag, unimportant, article
 
 
 def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
     """Blocks of a page (path, text, unimportant by name, within an article), and each path's child layout."""
-    blocks: list[tuple[str, str, bool, bool]] = []
+    blocks: list[tuple[str, str, tuple[int, ...], int]] = []
     layouts: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # tag, path, the elements around that names call unimportant, and the outermost article; both by number
+    stack: list[tuple[str, str, tuple[int, ...], int]] = [("", "", (), 0)]
+    held: dict[int, tuple[int, ...]] = {}
+    number = 0
     text: list[str] = []
     where = stack[-1]
 
@@ -103,27 +109,49 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]
                 del stack[depth:]
         name, unimportant, article = _described(tag, m[4])
         _, path, low, inside = stack[-1]
+        number += 1
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             if tag in BLOCKS or tag in DROPPED or unimportant:
                 own = layouts.setdefault(path, [])
                 if not own or own[-1] != name:
                     own.append(name)
                 path = f"{path}/{name}"
-            stack.append((tag, path, low or unimportant, inside or article))
+            if article and not inside:
+                held[number] = low
+            stack.append((tag, path, (*low, number) if unimportant else low, inside or (number if article else 0)))
     if at < len(page):
         if not text:
             where = stack[-1]
         text.append(page[at:])
     flush()
-    return blocks, {path: ",".join(own) for path, own in layouts.items()}
+    sizes: Counter = Counter()
+    for _, joined, _, inside in blocks:
+        if inside:
+            sizes[inside] += len(joined)
+    around = set(held[max(sizes, key=sizes.get)]) if sizes else set()  # what the longest article stands in
+    return [(path, joined, not around.issuperset(low), bool(inside)) for path, joined, low, inside in blocks], {path: ",".join(own) for path, own in layouts.items()}
 
 
-def main_text(page: str | None, low: set[int]) -> str:
-    """Text of the important blocks of a page. If it has an article with text, only blocks in articles count."""
+def main_text(page: str | None, low: set[int] | dict[int, float]) -> str:
+    """Text of the important blocks of a page. ``low`` has the importance of branches of the host's tree (a set: 0)."""
     blocks, _ = parse(page or "")
-    kept = [b for b in blocks if not b[2]]
-    inside = [b for b in kept if b[3]]
-    return "\n".join(b[1] for b in (inside or [b for b in kept if _code(b[0]) not in low]))
+    known = low if isinstance(low, dict) else dict.fromkeys(low, 0.0)
+
+    def stays(path: str, text: str, named: bool, inside: bool) -> bool:
+        node = _code(path) if known else 0
+        values = [known[c] for c in (node, _branch(node, _code(text))) if c in known] if known else []
+        if not values:
+            return not named
+        return min(values) * (NAMED_WEIGHT if named else 1) * (ARTICLE_WEIGHT if inside and not named else 1) >= LEAST_IMPORTANCE
+
+    kept = [b[1] for b in blocks if stays(*b)]
+    return "\n".join(kept or [b[1] for b in blocks if b[3] and not b[2]])
+
+
+def _branch(node: int, text: int) -> int:
+    """The number of a text of a node, as SQL's node ^ (text << 1)."""
+    value = (node ^ (text << 1)) & (1 << 64) - 1
+    return value - (value >> 63 << 64)
 
 
 def _code(text: str) -> int:
@@ -139,7 +167,8 @@ def _count_batches(batches):
         found: Counter = Counter()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             blocks, layouts = parse(page or "")
-            own = {(p, t) for p, t, low, inside in blocks if not low and not inside}
+            own = {(p, t) for p, t, _, _ in blocks}
+            found.update((host, _code(p), "n", 0) for p in {p for p, _, named, _ in blocks if named})
             nodes = {p for p, _ in own}
             found.update((host, _code(p), "t", _code(t)) for p, t in own)
             found.update((host, _code(p), "p", 0) for p in nodes)
@@ -150,35 +179,38 @@ def _count_batches(batches):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes of all hosts' trees: host, node, pages, presentation, content, importance.
+    """Branches of all hosts' trees: host, node, pages, named, presentation, content, importance.
 
     With m pages, content importance is 1 less the mean of ln(n) / ln(m) over a node's texts, n the pages with the text;
-    presentation importance is the entropy of its layouts to the base m. Nodes that names decide already have no row.
+    presentation importance is the entropy of its layouts to the base m. A text on many pages has a row besides its node.
     """
     counts = pages.select(_host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_count_batches, "host string, node long, kind string, feature long, n long")
-    counts = counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "site-counts")
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     n = F.col("n").cast("double")
-    nodes = counts.groupBy("host", "node").agg(of("p", n).alias("pages"), of("t", F.log(n)).alias("logs"), of("t", F.lit(1.0)).alias("texts"), of("l", n * F.log(n)).alias("layout_logs"))
+    nodes = counts.groupBy("host", "node").agg(of("p", n).alias("pages"), of("n", n).isNotNull().alias("named"), of("t", F.log(n)).alias("logs"), of("t", F.lit(1.0)).alias("texts"), of("l", n * F.log(n)).alias("layout_logs"))
     base = F.log("pages")
-    return nodes.where(F.col("pages") >= LEAST_PAGES).select(
-        "host", "node", "pages", ((base - F.col("layout_logs") / F.col("pages")) / base).alias("presentation"), (1 - F.col("logs") / F.col("texts") / base).alias("content")
-    ).withColumn("importance", PRESENTATION_SHARE * F.col("presentation") + (1 - PRESENTATION_SHARE) * F.col("content"))
+    nodes = nodes.where(F.col("pages") >= LEAST_PAGES).select("host", "node", "pages", "named", ((base - F.col("layout_logs") / F.col("pages")) / base).alias("presentation"), (1 - F.col("logs") / F.col("texts") / base).alias("content"))
+    repeated = counts.where((F.col("kind") == "t") & (F.col("n") > 2)).select("host", "node", "feature", n.alias("n"))
+    # 2 pages of 4 are content of 1/2, so that texts on fewer than 3 pages are never low
+    texts = nodes.join(repeated, ["host", "node"]).select("host", F.col("node").bitwiseXOR(F.shiftleft("feature", 1)).alias("node"), "pages", F.lit(False).alias("named"), "presentation", (1 - F.log("n") / base).alias("content"))
+    return nodes.union(texts).withColumn("importance", PRESENTATION_SHARE * F.col("presentation") + (1 - PRESENTATION_SHARE) * F.col("content"))
 
 
 def _extract_batches(batches):
     for batch in batches:
-        texts = [main_text(page, set(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("_low").to_pylist())]
-        names = [c for c in batch.schema.names if c not in ("html", "_low", "text", "n_chars")]
+        texts = [main_text(page, dict(zip(low or (), values or ()))) for page, low, values in zip(*(batch.column(c).to_pylist() for c in ("html", "_low", "_values")))]
+        names = [c for c in batch.schema.names if c not in ("html", "_low", "_values", "text", "n_chars")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with text and n_chars instead of html."""
-    low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE)
-    low = materialise(low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("node").alias("_low")), "site-trees")
+    low = style_tree(pages).where((F.col("importance") < LEAST_IMPORTANCE) | (F.col("named") & (F.col("importance") >= LEAST_IMPORTANCE / NAMED_WEIGHT)))
+    low = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("node", "importance")).alias("_found"))
+    low = materialise(low.select("_host", F.col("_found.node").alias("_low"), F.col("_found.importance").alias("_values")), "site-trees")
     nodes = low.agg(F.sum(F.size("_low"))).first()[0] or 0
-    rows = pages.drop("text", "n_chars", "_low", "_host", "_of", "_salt").withColumn("html", F.col("html").cast("string")).withColumn("_of", _host("url"))
+    rows = pages.drop("text", "n_chars", "_low", "_values", "_host", "_of", "_salt").withColumn("html", F.col("html").cast("string")).withColumn("_of", _host("url"))
     if nodes <= BROADCAST_NODES:
         joined = rows.join(F.broadcast(low), F.col("_of") == F.col("_host"), "left")
     else:  # a host's pages are dealt to many tasks, and its few unimportant nodes to each of them
@@ -186,5 +218,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
         joined = rows.join(salted, (F.col("_of") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
     joined = joined.drop("_of", "_host")
-    schema = joined.drop("html", "_low").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    schema = joined.drop("html", "_low", "_values").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     return joined.mapInArrow(_extract_batches, schema)

@@ -283,6 +283,16 @@ def test_html_site_tree(spark, monkeypatch, broadcast):
     assert site_tree.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_site_tree_decides_in_articles_and_beside_them(spark):
+    page = '<html><body class="has-sidebar"><form class="search"><div>Beside {0}</div><article><p>Own {0}</p><p>Sign up for our letter</p><div class="box">Tell a friend</div></article></form><div class="ad">Buy {0}</div></body></html>'
+    rows = [(i, "http://one.org/x", page.format(f"text {i}")) for i in range(12)]
+    got = [r["text"] for r in site_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == [f"Beside text {i}\nOwn text {i}" for i in range(12)]
+    same = [(i, "http://one.org/x", page.format("again")) for i in range(12)]  # copies of one page: names alone
+    got = [r["text"] for r in site_tree.extract_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()]
+    assert got == ["Own again\nSign up for our letter\nTell a friend"] * 12
+
+
 def brute_classes(docs, size=5, threshold=0.8):
     sets, ids, texts = [], docs["doc_id"].tolist(), docs["text"].tolist()
     for t in texts:

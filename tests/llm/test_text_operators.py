@@ -106,6 +106,26 @@ def test_fingerprints(spark, folder, odd, none):
     assert fingerprints.fingerprint_documents(none).count() == 0
 
 
+def test_language_rejects_narrow_margins(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents")
+    every = language.fit_dictionaries(docs)
+    names = sorted(every)
+    rows = texts_of(spark, "/root/testdata/sf0.01")
+    rows = rows[[zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"]]]
+    rows = rows[rows["text"].str.split().str.len() >= 30]
+    rejected = lambda texts, known: np.mean([language.classify(t, known)[2] for t in texts])
+    whole = tuple(sorted(every.items()))
+    assert rejected(rows["text"], whole) < 0.02
+    for name in names:
+        assert rejected(rows["text"][rows["lang"] == name], tuple(x for x in whole if x[0] != name)) > 0.8
+    different = {n: [" ".join(dict.fromkeys(language.letters(t).decode().split()))[:400] for t in rows["text"][rows["lang"] == n]] for n in names}
+    mixed = [f"{a} {b}" for i, one in enumerate(names) for two in names[i + 1 :] for a, b in zip(different[one], different[two]) if len(a) > 390 and len(b) > 390]
+    assert len(mixed) > 20 and rejected(mixed, whole) > 0.6
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(40)]
+    assert rejected(noise, whole) > 0.9
+
+
 def test_language(spark, folder, odd, none):
     got = QUERIES["op4_language"](spark, "/root/testdata/sf0.01").toPandas().set_index("doc_id")
     docs = texts_of(spark, "/root/testdata/sf0.01").set_index("doc_id")

@@ -77,9 +77,11 @@ def name_clusters(members: DataFrame, positions: DataFrame, on: tuple[str, str,
     return members.join(named, "cluster").select(key, "source")
 
 
-def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
+def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str] = ("id", "ra", "dec"), finer: dict[int, int] | None = None) -> DataFrame:
     """Each point once for its own pixel (``owner`` true) and once for every other pixel within ``margin_arcsec``.
 
+    ``finer`` gives pixels of ``order`` that are cut, and the orders of their pieces; then ``pixel`` numbers the pieces.
+
     The pixels of sixteen positions around a point stand for its circle; pixels are far wider than the margin.
     """
     key, ra, dec = on
@@ -90,14 +92,27 @@ def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str
         d = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(dec) + r * math.sin(t)))
         near_pole = F.greatest(F.cos(F.radians(d)), F.lit(math.radians(r)))
         at.append(F.struct((F.col(ra) + F.least(F.lit(180.0), r / near_pole) * math.cos(t)).alias("a"), d.alias("d")))
-    own = healpix.pixel(F.col(ra), F.col(dec), order)
-    pixels = F.array_distinct(F.transform(F.array(*at), lambda p: healpix.pixel(p["a"], p["d"], order)))
+    finest = max(finer.values()) if finer else order
+    orders = F.create_map(*[F.lit(x) for pair in finer.items() for x in pair]) if finer else None
+
+    def piece(a, d):  # numbers are nested: a coarser pixel's number is a finer one's without its last bits
+        fine = healpix.pixel(a, d, finest).cast("long")
+        if not finer:
+            return fine
+        cut = F.coalesce(F.try_element_at(orders, F.shiftright(fine, 2 * (finest - order))), F.lit(order))
+        return F.call_function("shiftright", fine, (2 * (finest - cut)).cast("int")) + cut.cast("long") * F.lit(1 << 40)
+
+    own = piece(F.col(ra), F.col(dec))
+    pixels = F.array_distinct(F.transform(F.array(*at), lambda p: piece(p["a"], p["d"])))
     out = points.withColumns({"_own": own, "pixel": F.explode(pixels)})
     return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own")
 
 
 def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float, least_points: int) -> pd.DataFrame:
-    """Density clusters of one pixel and its margin, over a grid of cells as wide as the radius."""
+    """Memberships of one pixel and its margin (id, core, owner, local cluster), over a grid of cells as wide as the radius.
+
+    A core point has its local cluster; a border point that the pixel owns has every local cluster in its reach.
+    """
     a, d = np.radians(pdf[ra].to_numpy(float)), np.radians(pdf[dec].to_numpy(float))
     v = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1)
     chord = 2 * math.sin(math.radians(arcsec / 3600) / 2)
@@ -110,7 +125,7 @@ def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float,
         others = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for s in (-1, 0, 1) for j in cells.get((x + p, y + q, z + s), ())])
         near.append(others[((v[others] - v[i]) ** 2).sum(1) <= chord * chord])
     core = np.array([len(n) >= least_points for n in near])
-    ids = pdf[key].to_numpy()
+    ids, owner = pdf[key].to_numpy(), pdf["owner"].to_numpy()
     label: dict[int, int] = {}
     for start in np.argsort(ids, kind="stable"):
         if not core[start] or start in label:
@@ -123,32 +138,33 @@ def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float,
                     stack.append(j)
     rows = []
     for i in range(len(ids)):
-        reach = [label[i]] if core[i] else [label[j] for j in near[i] if core[j]]
-        if reach:
-            rows.append((ids[i], min(ids[r] for r in reach)))
-    return pd.DataFrame(rows, columns=[key, "cluster"])
+        reach = [label[i]] if core[i] else {label[j] for j in near[i] if core[j]} if owner[i] else ()
+        rows += [(ids[i], bool(core[i]), bool(owner[i]), ids[r]) for r in reach]
+    return pd.DataFrame(rows, columns=[key, "core", "owner", "local"])
+
 
+#: Points of a pixel from which it is cut into finer ones.
+PIXEL_ROWS = 100_000
 
-def dbscan_by_pixel(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, order: int = 5, margin_arcsec: float = 25.0, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
-    """Density clusters pixel by pixel with margins; a cluster belongs to the pixel of its centroid, so it comes out once.
 
-    For dense fields whose clusters are smaller than the margin: one shuffle, and a task holds one pixel. ``order`` has
-    to be fine enough for a pixel to fit in memory (see ``healpix.subdivision_order``).
+def dbscan_by_pixel(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, order: int = 5, margin_arcsec: float = 0.0, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
+    """The same clusters as :func:`dbscan`, of any length: pixels find local clusters, and shared core points join them.
+
+    Four radii of margin make sure that a pixel knows which neighbours of its own points are core points; a wider margin
+    changes nothing. A task holds one pixel; one of more than ``PIXEL_ROWS`` points is cut as far as the margin lets.
     """
     key, ra, dec = on
-    halo = with_halo(points.select(*on), margin_arcsec, order, on)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _dbscan_frame(pdf, key, ra, dec, arcsec, least_points).merge(pdf, on=key)
-        kept = []
-        for cluster, own in found.groupby("cluster"):
-            if len(own) < least_members:
-                continue
-            a, d = np.radians(own[ra].to_numpy(float)), np.radians(own[dec].to_numpy(float))
-            x, y, z = (np.cos(d) * np.cos(a)).mean(), (np.cos(d) * np.sin(a)).mean(), np.sin(d).mean()
-            if healpix._python_pixel(math.degrees(math.atan2(y, x)) % 360, math.degrees(math.atan2(z, math.hypot(x, y))), order) == pdf["pixel"].iloc[0]:
-                kept.append(own[[key, "cluster"]])
-        return pd.concat(kept) if kept else found[[key, "cluster"]].iloc[:0]
-
+    margin = max(margin_arcsec, 4 * arcsec)
+    finest = max(order, min(12, int(math.log2(math.degrees(1.02) * 3600 / (4 * margin)))))
+    sizes = points.groupBy(healpix.pixel(F.col(ra), F.col(dec), order).alias("pixel")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIXEL_ROWS)
+    finer = {r["pixel"]: min(finest, order + math.ceil(0.5 * math.log2(r["n"] / PIXEL_ROWS))) for r in sizes.collect()}
+    halo = with_halo(points.select(*on), margin, order, on, finer)
     kind = dict(points.dtypes)[key]
-    return halo.groupBy("pixel").applyInPandas(one, f"{key} {kind}, cluster {kind}")
+    found = cut_lineage(halo.groupBy("pixel").applyInPandas(lambda pdf: _dbscan_frame(pdf, key, ra, dec, arcsec, least_points), f"{key} {kind}, core boolean, owner boolean, local {kind}"))
+    shared = found.where("core").groupBy(key).agg(F.collect_set("local").alias("all")).where(F.size("all") > 1)  # as many as pixels meet there
+    joined = components(shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")).select(F.col("id").alias("local"), "label")
+    named = found.where("owner").join(joined, "local", "left").groupBy(key).agg(F.min(F.coalesce("label", "local")).alias("cluster"))
+    if least_members <= 1:
+        return named
+    big = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_members).select("cluster")
+    return named.join(big, "cluster", "left_semi").select(key, "cluster")

@@ -276,6 +276,17 @@ def test_clustering_takes_the_events_of_all_users(spark, name):
     assert got == wanted and events["user_id"][events["event_id"].isin(got)].max() >= 40
 
 
+@pytest.mark.parametrize("rows", [10**6, 50])
+def test_pixels_join_long_clusters_and_cut_crowded_pixels(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "PIXEL_ROWS", rows)
+    chain = [(i, 40.0 + i * 2.0 / 3600, 1.0) for i in range(6000)]  # 12,000 arc seconds over several pixels
+    alone = [(9000 + i, 40.0 + i * 2.0 / 3600, 2.0) for i in range(5)] + [(9100, 200.0, 70.0)]
+    points = spark.createDataFrame(chain + alone, "id long, ra double, dec double")
+    for margin in (0.0, 25.0):
+        got = {r["id"]: r["cluster"] for r in graph.dbscan_by_pixel(points, 3.0, 3, margin_arcsec=margin).collect()}
+        assert got == {i: 1 for i in range(6000)} | {9000 + i: 9001 for i in range(5)}  # named by the first core point
+
+
 def test_halo_holds_all_near_points(spark):
     rng = np.random.default_rng(6)
     rows = [(i, float(a), float(d)) for i, (a, d) in enumerate(zip(rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))))] + [(1000, 0.001, 89.999), (1001, 180.0, -89.999)]

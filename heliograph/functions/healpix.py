@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.functions import geo
+
 
 def parent(pixel: Column, order: int, coarser: int) -> Column:
     return F.shiftright(pixel, 2 * (order - coarser))
@@ -48,6 +50,124 @@ def pixel(ra: Column, dec: Column, order: int) -> Column:
     return face * (side * side) + _spread(x.cast("long"), order) + 2 * _spread(y.cast("long"), order)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+# Masks of every second bit, pair, nibble, byte and so on, for taking the bits of two numbers apart.
+_MASKS = [0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF, 0x00000000FFFFFFFF]
+
+
+def _halved(value: Column, shift, by: int, mask: Column) -> Column:
+    return _bound(value, lambda v: v.bitwiseOR(shift(v, by)).bitwiseAND(mask))
+
+
+def _gathered(value: Column) -> Column:
+    """The bits at even places of ``value``, next to each other, by halving the gaps."""
+    masks = [F.lit(m).cast("long") for m in _MASKS]
+    out = value.bitwiseAND(masks[0])
+    for k in range(5):
+        out = _halved(out, F.shiftright, 1 << k, masks[k + 1])
+    return out
+
+
+def _spread_out(value: Column) -> Column:
+    masks = [F.lit(m).cast("long") for m in _MASKS]
+    out = value
+    for k in reversed(range(5)):
+        out = _halved(out, F.shiftleft, 1 << k, masks[k])
+    return out
+
+
+def _face(nested: Column, order: int) -> tuple[Column, Column, Column]:
+    """Base pixel of a nested pixel, and its place within that."""
+    nested = nested.cast("long")
+    inside = nested.bitwiseAND(F.lit((1 << 2 * order) - 1).cast("long"))
+    return F.shiftright(nested, 2 * order), _gathered(inside), _gathered(F.shiftright(inside, 1))
+
+
+# The base pixel beyond each border of the twelve base pixels (-1: none), in the order S, SE, E, SW, own,
+# NE, W, NW, N; how places turn there for base pixels of the north, belt and south (1: mirror x, 2: mirror y, 4: swap).
+BEYOND = [
+    [8, 9, 10, 11, -1, -1, -1, -1, 10, 11, 8, 9],
+    [5, 6, 7, 4, 8, 9, 10, 11, 9, 10, 11, 8],
+    [-1, -1, -1, -1, 5, 6, 7, 4, -1, -1, -1, -1],
+    [4, 5, 6, 7, 11, 8, 9, 10, 11, 8, 9, 10],
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11],
+    [1, 2, 3, 0, 0, 1, 2, 3, 5, 6, 7, 4],
+    [-1, -1, -1, -1, 7, 4, 5, 6, -1, -1, -1, -1],
+    [3, 0, 1, 2, 3, 0, 1, 2, 4, 5, 6, 7],
+    [2, 3, 0, 1, -1, -1, -1, -1, 0, 1, 2, 3],
+]
+TURNS = [[0, 0, 3], [0, 0, 6], [0, 0, 0], [0, 0, 5], [0, 0, 0], [5, 0, 0], [0, 0, 0], [6, 0, 0], [3, 0, 0]]
+
+
+def neighbours(nested: Column, order: int) -> Column:
+    """The up to eight pixels around a nested pixel, as an array: SW, W, NW, N, NE, E, SE, S; -1 where there is none."""
+    side = 1 << order
+    by_border = F.array(*[F.array(*[F.lit(v).cast("long") for v in row]) for row in BEYOND])
+    turns = F.array(*[F.array(*[F.lit(v) for v in row]) for row in TURNS])
+    steps = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))])
+    over = lambda v: F.when(v < 0, -1).when(v >= side, 1).otherwise(0)
+    wrap = lambda v: F.pmod(v, F.lit(side).cast("long"))
+
+    def entered(place: Column, at: Column) -> Column:
+        """The pixel at a place that may lie beyond its base pixel's border; ``at`` has what the border does to it."""
+        has = lambda bit: at["turn"].bitwiseAND(F.lit(bit)) > 0
+        in_x, in_y = F.when(has(1), side - 1 - wrap(place["x"])).otherwise(wrap(place["x"])), F.when(has(2), side - 1 - wrap(place["y"])).otherwise(wrap(place["y"]))
+        to_x, to_y = F.when(has(4), in_y).otherwise(in_x), F.when(has(4), in_x).otherwise(in_y)
+        return F.when(at["into"] < 0, F.lit(-1).cast("long")).otherwise(at["into"] * (side * side) + _spread_out(to_x) + 2 * _spread_out(to_y))
+
+    def moved(own: Column, step: Column) -> Column:
+        place = F.struct((own["x"] + step["dx"]).alias("x"), (own["y"] + step["dy"]).alias("y"))
+        border = lambda p: F.lit(4) + over(p["x"]) + 3 * over(p["y"])
+        crossing = lambda p: F.struct(F.get(F.get(by_border, border(p)), own["face"].cast("int")).alias("into"), F.get(F.get(turns, border(p)), F.shiftright(own["face"], 2).cast("int")).alias("turn"))
+        return _bound(place, lambda p: _bound(crossing(p), lambda at: entered(p, at)))
+
+    face, x, y = _face(nested, order)
+    return _bound(F.struct(face.alias("face"), x.alias("x"), y.alias("y")), lambda own: F.transform(steps, lambda step: moved(own, step)))
+
+
+def _ring(nested: Column, order: int) -> tuple[Column, Column, Column, Column]:
+    """Ring of a nested pixel, pixels in a quarter of it, its place in the ring from 1, and whether the ring is shifted."""
+    side = 1 << order
+    face, x, y = _face(nested, order)
+    row = F.shiftright(face, 2) + 2  # the face's lowest corner is in this multiple of rings
+    ring = row * side - x - y - 1
+    quarter = F.when(ring < side, ring).when(ring > 3 * side, 4 * side - ring).otherwise(side)
+    shifted = F.when((ring < side) | (ring > 3 * side), 0).otherwise((ring - side).bitwiseAND(F.lit(1).cast("long")))
+    # half-quarters east of the meridian at which a face is centred
+    east = 2 * F.pmod(face, F.lit(4)) + F.when(F.shiftright(face, 2) == 1, 0).otherwise(1)
+    place = F.floor((east * quarter + x - y + 1 + shifted) / 2)
+    place = F.when(place > 4 * quarter, place - 4 * quarter).when(place < 1, place + 4 * quarter).otherwise(place)
+    return ring, quarter, place, shifted
+
+
+def centre(nested: Column, order: int) -> tuple[Column, Column]:
+    """Right ascension and declination of a nested pixel's centre, in degrees."""
+    side = 1 << order
+    ring, quarter, place, shifted = _ring(nested, order)
+    cap = quarter * quarter / (3.0 * side * side)
+    z = F.when(ring < side, 1 - cap).when(ring > 3 * side, cap - 1).otherwise((2 * side - ring) * 2 / (3.0 * side))
+    return F.pmod((place - (shifted + 1) * 0.5) * 90 / quarter, F.lit(360.0)), F.degrees(F.asin(z))
+
+
+def to_ring(nested: Column, order: int) -> Column:
+    """Number of a nested pixel in the ring scheme."""
+    side = 1 << order
+    ring, quarter, place, _ = _ring(nested, order)
+    before = F.when(ring < side, 2 * quarter * (quarter - 1)).when(ring > 3 * side, 12 * side * side - 2 * quarter * (quarter + 1)).otherwise(2 * side * (side - 1) + (ring - side) * 4 * side)
+    return (before + place - 1).cast("long")
+
+
+def belt_cover(spark: SparkSession, latitude: float, order: int, finer: int = 3) -> DataFrame:
+    """Pixels at ``order`` that hold a pixel centre, ``finer`` orders below, within ``latitude`` degrees of the galactic plane."""
+    pixels = spark.range(12 << 2 * (order + finer))
+    ra, dec = centre(F.col("id"), order + finer)
+    return pixels.where(F.abs(geo.galactic_latitude(ra, dec)) < latitude).select(F.shiftright("id", 2 * finer).cast("long").alias("pixel")).distinct()
+
+
 def subdivision_order(rows: Column) -> Column:
     """Order into which a partition of ``rows`` rows is cut so that pieces fit in memory; never coarser than 5."""
     small = F.ceil(0.5 * F.log2(rows / 19e6))

@@ -3,64 +3,123 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions import geo, healpix, ids
-from heliograph.operators.joins import within_radius
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write and read back under the session's shared checkpoint folder, so that rounds don't pile up plans."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="heliograph-")
-        spark.sparkContext.setCheckpointDir(root)
-    path = f"{root}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from heliograph.sources.scratch import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) of undirected edges (a, b): the label is the component's smallest id."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    """(node, root) of undirected ``edges`` (a, b); the root is a component's smallest node.
+
+    A round takes the smallest label among a node's neighbours, hooks a whole tree of labels to the smallest that any of
+    its nodes has met, and follows labels to their labels, so that the rounds grow with the logarithm of a component's
+    length. Every round is written to the shared folder, which cuts the lineage and outlives executors; the round before
+    it is deleted. Rounds end when no label changes. Nulls in either column are left out; repeated edges and loops do no
+    harm; no edges give no rows.
+    """
+    both = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("was"), F.least("label", "near").alias("via"))
-        hop = labels.select(F.col("id").alias("via"), F.col("label").alias("over"))
-        moved = cut_lineage(step.join(hop, "via", "left").select("id", "was", F.least("via", F.coalesce("over", "via")).alias("label")))
-        labels = moved.select("id", "label")
-        if moved.where(F.col("label") != F.col("was")).isEmpty():
-            return labels
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("at")).agg(F.min("root").alias("near"))
+        met = labels.join(near, F.col("node") == F.col("at"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("near", "root")).alias("low"))
+        hooks = met.where(F.col("low") < F.col("was")).groupBy(F.col("was").alias("node")).agg(F.min("low").alias("hook"))
+        step = met.join(hooks, "node", "left").select("node", "was", F.least("low", F.coalesce("hook", "low")).alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("over"))
+        moved = materialise(step.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("over", "next")).alias("root")), "labels")
+        changed = not moved.where(F.col("root") != F.col("was")).isEmpty()
+        discard(labels)
+        labels = moved
+        if not changed:
+            discard(both)
+            return labels.drop("was")
+
+
+def _gridded(points: DataFrame, key: str, ra: str, dec: str, chord: float) -> DataFrame:
+    """(id, x, y, z, f): vectors with their cell of half the radius. All points of such a cell are in reach of each other."""
+    x, y, z = geo.unit_vector(F.col(ra), F.col(dec))
+    rows = points.select(F.col(key).alias("id"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return rows.withColumn("f", F.struct(*[F.floor(F.col(c) / (chord / 2)).cast("long").alias(c) for c in "xyz"]))
+
+
+def _on_sphere(cell: list[Column], side: float) -> Column:
+    """Whether a cell can hold a point of the sphere: its centre is at most half a diagonal off."""
+    return F.abs(F.sqrt(sum(((c + 0.5) * (c + 0.5) for c in cell), F.lit(0.0))) * side - 1) <= 0.8661 * side
+
+
+def _in_reach(left: DataFrame, right: DataFrame, chord: float) -> DataFrame:
+    """Rows of both sides (named l and r) within the radius: cells as wide as it, the left side in all 27 around its own."""
+    wide = lambda c: F.floor(F.col(f"f.{c}") / 2)
+    around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    one = left.withColumn("_s", F.explode(around)).withColumns({f"_{c}": wide(c) + F.col(f"_s.{c}") for c in "xyz"}).drop("_s")
+    one = one.where(_on_sphere([F.col(f"_{c}") for c in "xyz"], chord)).alias("l")
+    two = right.withColumns({f"_{c}": wide(c) for c in "xyz"}).alias("r")
+    apart = sum(((F.col(f"l.{c}") - F.col(f"r.{c}")) * (F.col(f"l.{c}") - F.col(f"r.{c}")) for c in "xyz"), F.lit(0.0))
+    same = (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l._z") == F.col("r._z"))
+    return one.join(two, same & (apart <= chord * chord))
 
 
 def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
     """(id, cluster): clusters are named by their smallest core id; border points go to the smallest core in reach.
 
     A point counts itself; noise and clusters of fewer than ``least_members`` give no rows.
+
+    Points fall into cells whose points all reach each other. A cell of ``least_points`` or more is core as a whole, so
+    that only points of thin cells, a few in each, are compared with their surroundings; clusters are components of
+    cells, not of points. Pairs of points are never written or shuffled: they are counted, or reduced to pairs of cells,
+    where they arise, and cells whose extents decide don't need them.
     """
     key, ra, dec = on
-    left, right = points.select(F.col(key).alias("a"), ra, dec), points.select(F.col(key).alias("b"), ra, dec)
-    pairs = cut_lineage(within_radius(left, right, arcsec, ("a", ra, dec), ("b", ra, dec)).select("a", "b"))
-    core = cut_lineage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_points).select(F.col("a").alias("core")))
-    reached = pairs.join(core, F.col("b") == F.col("core")).select("a", "b")
-    linked = reached.join(core, F.col("a") == F.col("core"), "left_semi")
-    labels = components(linked)
-    border = reached.join(core, F.col("a") == F.col("core"), "left_anti").join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("label"))
-    all_ = labels.select(F.col("id").alias(key), F.col("label").alias("cluster")).union(border.select("a", "label"))
+    chord = 2 * math.sin(math.radians(arcsec / 3600) / 2)
+    rows = _gridded(points, key, ra, dec, chord)
+    full = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialise(rows.join(full, "f").select("id", "x", "y", "z", "f", (F.col("n") >= least_points).alias("dense")), "points")
+    thin = rows.where(~F.col("dense"))
+    counted = _in_reach(thin, rows, chord).groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    found = thin.join(counted, "id").select("id", "x", "y", "z", "f", (F.col("n") >= least_points).alias("core"))
+    found = materialise(rows.where("dense").select("id", "x", "y", "z", "f", F.lit(True).alias("core")).unionByName(found), "core-points")
+    core = found.where("core").drop("core")
+    extent = [g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("lo_", F.min), ("hi_", F.max))]
+    cells = materialise(core.groupBy("f").agg(F.min("id").alias("cell"), *extent), "cells")
+    flat = cells.select("cell", "f", "lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z")
+    linked = materialise(_cell_pairs(flat, chord), "cell-pairs")
+    unsure = linked.where(~F.col("sure")).select("a", "b")
+    named = core.join(cells.select("f", "cell"), "f")
+    ends = unsure.join(named.select(F.col("cell").alias("a"), F.struct("x", "y", "z").alias("p")).distinct(), "a").join(named.select(F.col("cell").alias("b"), F.struct("x", "y", "z").alias("q")).distinct(), "b")
+    apart = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz"), F.lit(0.0))
+    edges = linked.where("sure").select("a", "b").union(ends.where(apart <= chord * chord).select("a", "b").distinct())
+    roots = components(edges)
+    cells = materialise(cells.join(roots.select(F.col("node").alias("cell"), "root"), "cell", "left").select("f", F.coalesce("root", "cell").alias("cluster")), "clusters")
+    inner = core.join(cells, "f").select("id", "x", "y", "z", "f", "cluster")
+    border = _in_reach(found.where(~F.col("core")), inner, chord).groupBy(F.col("l.id").alias("id")).agg(F.min("r.cluster").alias("cluster"))
+    all_ = inner.select(F.col("id").alias(key), "cluster").union(border.select(F.col("id").alias(key), "cluster"))
     if least_members <= 1:
         return all_
     big = all_.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_members).select("cluster")
     return all_.join(big, "cluster", "left_semi").select(key, "cluster")
 
 
+def _cell_pairs(cells: DataFrame, chord: float) -> DataFrame:
+    """(a, b, sure) of core cells near each other, once each: sure if their extents alone put all points in reach."""
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i, j, k in steps])
+    half, f = chord / 2, F.col("f")
+    one = cells.withColumn("_s", F.explode(around)).withColumn("_f", F.struct(*[(f[c] + F.col("_s")[c]).alias(c) for c in "xyz"])).where(_on_sphere([f[c] + F.col("_s")[c] for c in "xyz"], half)).drop("_s").alias("l")
+    two = cells.alias("r")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"l.lo_{c}") - F.col(f"r.hi_{c}"), F.col(f"r.lo_{c}") - F.col(f"l.hi_{c}"))
+    span = lambda c: F.greatest(F.col(f"l.hi_{c}"), F.col(f"r.hi_{c}")) - F.least(F.col(f"l.lo_{c}"), F.col(f"r.lo_{c}"))
+    near, far = (sum((g(c) * g(c) for c in "xyz"), F.lit(0.0)) for g in (gap, span))
+    met = one.join(two, F.col("l._f") == F.col("r.f")).where(near <= chord * chord)
+    return met.select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), (far <= chord * chord).alias("sure"))
+
+
 def centroids(df: DataFrame, key: str, ra: str, dec: str) -> DataFrame:
     """Mean direction of each key's positions, and their number."""
     x, y, z = geo.unit_vector(F.col(ra), F.col(dec))
@@ -77,70 +136,161 @@ def name_clusters(members: DataFrame, positions: DataFrame, on: tuple[str, str,
     return members.join(named, "cluster").select(key, "source")
 
 
-def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str] = ("id", "ra", "dec"), finer: dict[int, int] | None = None) -> DataFrame:
-    """Each point once for its own pixel (``owner`` true) and once for every other pixel within ``margin_arcsec``.
+#: The order of pixels that make up borders, and a lower bound of a pixel's width as a share of the root of its area.
+BORDER_ORDER, NARROWEST = 13, 0.4
 
-    ``finer`` gives pixels of ``order`` that are cut, and the orders of their pieces; then ``pixel`` numbers the pieces.
 
-    The pixels of sixteen positions around a point stand for its circle; pixels are far wider than the margin.
+def border_order(margin_arcsec: float) -> int:
+    """The finest order, up to ``BORDER_ORDER``, whose pixels are all wider than the margin."""
+    width = NARROWEST * math.degrees(math.sqrt(4 * math.pi / 12)) * 3600
+    return max(0, min(BORDER_ORDER, int(math.log2(max(1.0, width / margin_arcsec)))))
+
+
+def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str] = ("id", "ra", "dec"), finer: dict[int, int] | None = None, border: int | None = None) -> DataFrame:
+    """Each point once for its own pixel (``owner`` true) and once for every other pixel whose border ring holds it.
+
+    A pixel's border ring is made of the pixels of order ``border`` that touch it from outside: exactly those of whose
+    eight neighbours one lies inside. Without ``border`` it is the finest order whose pixels are wider than the margin, so
+    that the ring holds every point within ``margin_arcsec`` of the pixel.
+
+    ``finer`` gives pixels of ``order`` that are cut, and the orders of their pieces; then ``pixel`` numbers the pieces.
     """
-    key, ra, dec = on
-    r = margin_arcsec / 3600
-    at = [F.struct(F.col(ra).alias("a"), F.col(dec).alias("d"))]
-    for k in range(16):
-        t = 2 * math.pi * k / 16
-        d = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(dec) + r * math.sin(t)))
-        near_pole = F.greatest(F.cos(F.radians(d)), F.lit(math.radians(r)))
-        at.append(F.struct((F.col(ra) + F.least(F.lit(180.0), r / near_pole) * math.cos(t)).alias("a"), d.alias("d")))
+    _, ra, dec = on
     finest = max(finer.values()) if finer else order
+    border = max(border_order(margin_arcsec) if border is None else border, finest)
     orders = F.create_map(*[F.lit(x) for pair in finer.items() for x in pair]) if finer else None
 
-    def piece(a, d):  # numbers are nested: a coarser pixel's number is a finer one's without its last bits
-        fine = healpix.pixel(a, d, finest).cast("long")
+    def piece(small):  # numbers are nested: a coarser pixel's number is a finer one's without its last bits
+        fine = F.shiftright(small, 2 * (border - finest))
         if not finer:
             return fine
         cut = F.coalesce(F.try_element_at(orders, F.shiftright(fine, 2 * (finest - order))), F.lit(order))
         return F.call_function("shiftright", fine, (2 * (finest - cut)).cast("int")) + cut.cast("long") * F.lit(1 << 40)
 
-    own = piece(F.col(ra), F.col(dec))
-    pixels = F.array_distinct(F.transform(F.array(*at), lambda p: piece(p["a"], p["d"])))
-    out = points.withColumns({"_own": own, "pixel": F.explode(pixels)})
-    return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own")
+    rows = points.withColumn("_small", healpix.pixel(F.col(ra), F.col(dec), border).cast("long"))
+    # most points lie within their piece and touch no other
+    inside = F.col("_small").bitwiseAND(F.lit((1 << 2 * (border - finest)) - 1).cast("long"))
+    axes = [F.lit((0x5555555555555555 << k) & ((1 << 2 * (border - finest)) - 1)).cast("long") for k in (0, 1)]
+    on_edge = reduce(or_, [(inside.bitwiseAND(axis) == 0) | (inside.bitwiseAND(axis) == axis) for axis in axes])
+    rows = rows.withColumn("_around", F.when(on_edge, F.filter(healpix.neighbours(F.col("_small"), border), lambda p: p >= 0)).otherwise(F.array().cast("array<bigint>")))
+    pixels = F.array_distinct(F.transform(F.concat(F.array("_small"), "_around"), piece))
+    out = rows.withColumns({"_own": piece(F.col("_small")), "pixel": F.explode(pixels)})
+    return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own", "_small", "_around")
+
+
+#: Pairs of points that a pixel's task compares at a time, at most.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    base = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - base, lengths)
+
+
+def _near_pairs(v: np.ndarray, cell: np.ndarray, left: np.ndarray, right: np.ndarray, chord: float):
+    """Blocks (i, j) of places of left and right points within the radius, by cells as wide as it."""
+    wide = cell >> 1
+    low = wide.min(0) - 1
+    size = wide.max(0) - low + 2
+    number = lambda c: ((c[:, 0] - low[0]) * size[1] + c[:, 1] - low[1]) * size[2] + c[:, 2] - low[2]
+    order = np.argsort(number(wide[right]), kind="stable")
+    right, codes = right[order], number(wide[right])[order]
+    for step in np.ndindex(3, 3, 3):
+        wanted = number(wide[left] + np.array(step) - 1)
+        first, last = np.searchsorted(codes, wanted, "left"), np.searchsorted(codes, wanted, "right")
+        some = np.flatnonzero(last > first)
+        ends = np.cumsum((last - first)[some])
+        lo = 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, "right")))
+            part = some[lo:hi]
+            i, j = np.repeat(left[part], (last - first)[part]), right[_spans(first[part], (last - first)[part])]
+            hit = ((v[i] - v[j]) ** 2).sum(1) <= chord * chord
+            yield i[hit], j[hit]
+            lo = hi
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of the component of each of ``n`` nodes."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def _touching(v: np.ndarray, members: list[np.ndarray], a: np.ndarray, b: np.ndarray, chord: float) -> np.ndarray:
+    """Which pairs of cells have two points within the radius; a pair ends at its first block with a hit."""
+    out = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a, b)):
+        one, two = v[members[x]], v[members[y]]
+        rows = max(1, PAIRS_AT_ONCE // len(two))
+        out[k] = any((((one[i : i + rows, None] - two[None]) ** 2).sum(2) <= chord * chord).any() for i in range(0, len(one), rows))
+    return out
 
 
 def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float, least_points: int) -> pd.DataFrame:
-    """Memberships of one pixel and its margin (id, core, owner, local cluster), over a grid of cells as wide as the radius.
+    """Memberships of one pixel and its margin (id, core, owner, local cluster), by cells as in :func:`dbscan`.
 
     A core point has its local cluster; a border point that the pixel owns has every local cluster in its reach.
     """
+    pdf = pdf.sort_values(key, kind="stable")
     a, d = np.radians(pdf[ra].to_numpy(float)), np.radians(pdf[dec].to_numpy(float))
     v = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1)
     chord = 2 * math.sin(math.radians(arcsec / 3600) / 2)
-    cells: dict[tuple, list[int]] = {}
-    where = [tuple(c) for c in np.floor(v / chord).astype(np.int64).tolist()]
-    for i, c in enumerate(where):
-        cells.setdefault(c, []).append(i)
-    near = []
-    for i, (x, y, z) in enumerate(where):
-        others = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for s in (-1, 0, 1) for j in cells.get((x + p, y + q, z + s), ())])
-        near.append(others[((v[others] - v[i]) ** 2).sum(1) <= chord * chord])
-    core = np.array([len(n) >= least_points for n in near])
-    ids, owner = pdf[key].to_numpy(), pdf["owner"].to_numpy()
-    label: dict[int, int] = {}
-    for start in np.argsort(ids, kind="stable"):
-        if not core[start] or start in label:
-            continue
-        label[start], stack = start, [start]
-        while stack:
-            for j in near[stack.pop()]:
-                if core[j] and j not in label:
-                    label[j] = start
-                    stack.append(j)
-    rows = []
-    for i in range(len(ids)):
-        reach = [label[i]] if core[i] else {label[j] for j in near[i] if core[j]} if owner[i] else ()
-        rows += [(ids[i], bool(core[i]), bool(owner[i]), ids[r]) for r in reach]
-    return pd.DataFrame(rows, columns=[key, "core", "owner", "local"])
+    grid = np.floor(v / (chord / 2)).astype(np.int64)
+    cells, of, sizes = np.unique(grid, axis=0, return_inverse=True, return_counts=True)
+    of = of.reshape(-1)
+    everyone, core = np.arange(len(v)), sizes[of] >= least_points
+    thin = np.flatnonzero(~core)
+    reached = np.zeros(len(v), np.int64)
+    for i, _ in _near_pairs(v, grid, thin, everyone, chord):
+        reached += np.bincount(i, minlength=len(v))
+    core[thin] = reached[thin] >= least_points
+    inner = np.flatnonzero(core)
+    used, place = np.unique(of[inner], return_inverse=True)
+    if len(used):
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(len(used)))
+        members = np.split(inner[order], cuts[1:])
+        low, high = np.minimum.reduceat(v[inner[order]], cuts), np.maximum.reduceat(v[inner[order]], cuts)
+        own = cells[used]
+        low_cell, span = own.min(0) - 2, own.max(0) - own.min(0) + 5
+        number = lambda c: ((c[:, 0] - low_cell[0]) * span[1] + c[:, 1] - low_cell[1]) * span[2] + c[:, 2] - low_cell[2]
+        by = np.argsort(number(own))
+        codes, left, right = number(own)[by], [], []
+        for step in np.ndindex(5, 5, 5):
+            if step > (2, 2, 2):
+                wanted = number(own + np.array(step) - 2)
+                at = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+                hit = np.flatnonzero(codes[at] == wanted)
+                left.append(hit), right.append(by[at[hit]])
+        one, two = np.concatenate(left), np.concatenate(right)
+        gap = np.maximum(0, np.maximum(low[one] - high[two], low[two] - high[one]))
+        near = (gap**2).sum(1) <= chord * chord
+        one, two = one[near], two[near]
+        sure = ((np.maximum(high[one], high[two]) - np.minimum(low[one], low[two])) ** 2).sum(1) <= chord * chord
+        linked = sure.copy()
+        linked[~sure] = _touching(v, members, one[~sure], two[~sure], chord)
+        group = _joined(len(used), one[linked], two[linked])
+        # rows are in order of id, so the least place of a group is its least id
+        least = np.full(len(used), len(v))
+        np.minimum.at(least, group, np.array([m.min() for m in members]))
+        label = np.full(len(v), -1)
+        label[inner] = least[group[place]]
+    ids, owner = pdf[key].to_numpy(), pdf["owner"].to_numpy(bool)
+    who, local = [inner], [label[inner]] if len(used) else [inner]
+    border = np.flatnonzero(~core & owner)
+    if len(border) and len(inner):
+        pairs = [np.stack([i, label[j]], 1) for i, j in _near_pairs(v, grid, border, inner, chord)]
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        who.append(pairs[:, 0]), local.append(pairs[:, 1])
+    who, local = np.concatenate(who), np.concatenate(local)
+    return pd.DataFrame({key: ids[who], "core": core[who], "owner": owner[who], "local": ids[local]})
 
 
 #: Points of a pixel from which it is cut into finer ones.
@@ -151,18 +301,20 @@ def dbscan_by_pixel(points: DataFrame, arcsec: float, least_points: int, least_m
     """The same clusters as :func:`dbscan`, of any length: pixels find local clusters, and shared core points join them.
 
     Four radii of margin make sure that a pixel knows which neighbours of its own points are core points; a wider margin
-    changes nothing. A task holds one pixel; one of more than ``PIXEL_ROWS`` points is cut as far as the margin lets.
+    changes nothing. A task holds one pixel; one of more than ``PIXEL_ROWS`` points is cut, into pieces of an order that
+    follows its number of points, as far as the margin lets. Within a piece the work follows the number of cells.
     """
     key, ra, dec = on
     margin = max(margin_arcsec, 4 * arcsec)
-    finest = max(order, min(12, int(math.log2(math.degrees(1.02) * 3600 / (4 * margin)))))
+    border = border_order(margin)
+    order = min(order, border)
     sizes = points.groupBy(healpix.pixel(F.col(ra), F.col(dec), order).alias("pixel")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIXEL_ROWS)
-    finer = {r["pixel"]: min(finest, order + math.ceil(0.5 * math.log2(r["n"] / PIXEL_ROWS))) for r in sizes.collect()}
-    halo = with_halo(points.select(*on), margin, order, on, finer)
+    finer = {r["pixel"]: min(border, order + math.ceil(0.5 * math.log2(r["n"] / PIXEL_ROWS))) for r in sizes.collect()}  # 12,288 pixels at order 5
+    halo = with_halo(points.select(*on), margin, order, on, finer, border)
     kind = dict(points.dtypes)[key]
-    found = cut_lineage(halo.groupBy("pixel").applyInPandas(lambda pdf: _dbscan_frame(pdf, key, ra, dec, arcsec, least_points), f"{key} {kind}, core boolean, owner boolean, local {kind}"))
+    found = materialise(halo.groupBy("pixel").applyInPandas(lambda pdf: _dbscan_frame(pdf, key, ra, dec, arcsec, least_points), f"{key} {kind}, core boolean, owner boolean, local {kind}"), "local-clusters")
     shared = found.where("core").groupBy(key).agg(F.collect_set("local").alias("all")).where(F.size("all") > 1)  # as many as pixels meet there
-    joined = components(shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")).select(F.col("id").alias("local"), "label")
+    joined = components(shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")).select(F.col("node").alias("local"), F.col("root").alias("label"))
     named = found.where("owner").join(joined, "local", "left").groupBy(key).agg(F.min(F.coalesce("label", "local")).alias("cluster"))
     if least_members <= 1:
         return named

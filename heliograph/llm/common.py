@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
-import uuid
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.sources.scratch import clear_scratch, discard, materialise, scratch_path, shared_dir  # noqa: F401
+
 #: Upper bound of the text bytes that one numpy pass works on; a longer document makes a pass of its own.
 PASS_BYTES = 1_000_000
 
@@ -23,27 +25,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="heliograph-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -108,9 +89,10 @@ def hashed_share(share, *columns):
 def worker_file(name: str, content: bytes) -> str:
     """Local file of this worker process with ``content``, for memory mapping; written once and renamed into place.
 
-    Of files with the same beginning, up to the first ``-``, the newest few stay; a mapped file lives on until closed.
+    Of files with the same beginning, up to the first ``-``, all but the newest few go after an hour, which no mapping
+    needs; a mapped file lives on until closed, and a lost one is written again from the broadcast.
     """
-    folder = os.path.join(tempfile.gettempdir(), "heliograph")
+    folder = os.path.join(tempfile.gettempdir(), f"heliograph-{os.getuid()}")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
     if not os.path.exists(path):
@@ -119,7 +101,8 @@ def worker_file(name: str, content: bytes) -> str:
         os.replace(out.name, path)
         stem = name.split("-")[0] + "-"
         own = sorted((e.stat().st_mtime, e.path) for e in os.scandir(folder) if e.name.startswith(stem))
-        for _, old in own[:-3]:
-            with contextlib.suppress(FileNotFoundError):
-                os.remove(old)
+        for written, old in own[:-3]:
+            if written < time.time() - 3600:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(old)
     return path

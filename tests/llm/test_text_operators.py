@@ -17,8 +17,9 @@ import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heliograph.llm import common, components, decontaminate, edit_counts, fingerprints, language, lexicon, ngram_join, secret_scan, site_tree, token_ids, tool_calls
+from heliograph.llm import common, decontaminate, edit_counts, fingerprints, language, lexicon, ngram_join, secret_scan, site_tree, token_ids, tool_calls
 from heliograph.llm.queries import QUERIES
+from heliograph.operators import graph
 from test_text_kernels import brute_windows, lower_words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -370,9 +371,45 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert as_rows(got[["doc_id", "class_id", "n_links"]].itertuples(index=False)) == as_rows(brute_classes(docs.toPandas()))
 
 
+def test_null_ids_keep_their_links(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(None, text), (21, text + "!"), (None, text + " eleven"), (22, None), (None, None)], "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).toPandas()
+    assert sorted(zip(got["class_id"].fillna(-1), got["n_links"])) == [(-1, 0), (21, 2), (21, 2), (21, 2), (22, 0)]
+
+
+def test_keep_one_chooses_rows(spark):
+    alpha, other = "alpha beta gamma delta epsilon zeta", "quite other words are standing here"
+    rows = [(5, alpha, {"a": 1}), (5, other, {"b": 2}), (5, alpha, {"c": 3}), (5, alpha, {"c": 3}), (None, alpha, None), (None, "alone among all the others here", None), (None, None, None), (7, None, None), (7, None, None), (9, other + "!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    for part in (docs.repartition(5), docs.coalesce(1)):
+        got = ngram_join.keep_one(part)
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, alpha), (5, other), (None, "alone among all the others here"), (None, None), (7, None), (7, None)], key=str)
+
+
+def test_chains_are_verified_by_bucket(spark, monkeypatch):
+    """A long chain of texts, each like the next only, makes one component but no more rows than its buckets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    seen = []
+    units = ngram_join._units
+
+    def counted(*tables):
+        out = units(*tables)
+        seen.append(out.agg(F.count_if("by_bucket").alias("split"), F.sum("blocks").alias("repeats")).first())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_units", counted)
+    words = [f"w{i}" for i in range(1600)]
+    docs = spark.createDataFrame([(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(240)], "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).toPandas()
+    assert as_rows(got[["doc_id", "class_id", "n_links"]].itertuples(index=False)) == as_rows(brute_classes(docs.toPandas()))
+    assert seen[0]["split"] > 0 and seen[0]["repeats"] < 240 * 40
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 

@@ -9,33 +9,37 @@ Windows come to the tasks in blocks of bounded size; a further block is a furthe
 adds its spans to those found. No row is shuffled.
 
 Defined cases: words are lower-cased A-Z, digits and all characters beyond ASCII. An item of fewer words than a window is
-one window; an item without words or with a null text has none. A null text has no words. Equal windows of several items
-count for each of them. Repeated rows stay; empty tables on either side work; other columns are kept.
+one window; an item without words or with a null text has none. An item with a null item_id hits words like any other and
+is named nowhere. A null text has no words. Equal windows of several items count for each of them. Repeated rows stay;
+empty tables on either side work; other columns are kept, but for n_words, spans and items, which are replaced.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import passes, ranges, text_buffers
+from heliograph.llm.common import materialise, passes, ranges, text_buffers
 from heliograph.llm.fm_index import FMIndex
 from heliograph.llm.words import Words, mix
 
 WINDOW = 10
 #: Bytes of text in an indexed shard, and of benchmark text in a block of windows.
 SHARD_BYTES, BLOCK_BYTES = 4_000_000, 8_000_000
+#: Passes over blocks that run in one stage; then the rows found so far are written.
+PASSES_AT_ONCE = 4
 FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
 class Phrases:
     """Numbered words, their allowed neighbours, and the different windows of each length with their items."""
 
-    def __init__(self, items: tuple[tuple[str, str | None], ...], window: int):
+    def __init__(self, items: tuple[tuple[str | None, str | None], ...], window: int):
         raw, offsets = text_buffers(pa.array([t for _, t in items], pa.string()))
         words = Words(raw, offsets)
         self.names = [name for name, _ in items]
@@ -130,12 +134,12 @@ def find(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tuple[Words,
     owner = np.searchsorted(words.cuts + np.arange(len(words.cuts)), begins, "right") - 1
     hits: dict[int, set[str]] = {}
     for t, own in zip(text.tolist(), items):
-        hits.setdefault(t, set()).update(phrases.names[i] for i in own)
+        hits.setdefault(t, set()).update(phrases.names[i] for i in own if phrases.names[i] is not None)
     return words, begins - owner, ends - owner, hits
 
 
 @functools.lru_cache(maxsize=2)
-def _phrases(items: tuple[tuple[str, str | None], ...], window: int) -> Phrases:
+def _phrases(items: tuple[tuple[str | None, str | None], ...], window: int) -> Phrases:
     return Phrases(items, window)
 
 
@@ -167,59 +171,95 @@ def _find_batches(shared, window: int, text: str):
     return run
 
 
+def _cut(part: np.ndarray, places: np.ndarray, words: Words, begins: np.ndarray, ends: np.ndarray) -> dict[int, bytes]:
+    """The texts that have spans, without them."""
+    owner = np.searchsorted(words.cuts, begins, "right") - 1
+    whole, kept = part.tobytes(), {}
+    order = np.searchsorted(owner, np.unique(owner))
+    for lo, hi in zip(order, [*order[1:], len(owner)]):
+        t = int(owner[lo])
+        pieces, at = [], int(places[t])
+        for a, b in zip(begins[lo:hi], ends[lo:hi]):
+            pieces.append(whole[at : words.starts[a]])
+            at = int(words.ends[b - 1])
+        kept[t] = b"".join([*pieces, whole[at : places[t + 1]]])
+    return kept
+
+
+def _with_texts(batch: pa.RecordBatch, changed: dict[int, str]) -> pa.RecordBatch:
+    if not changed:
+        return batch
+    column = batch.column("text")
+    texts = column.to_pylist()
+    for t, x in changed.items():
+        texts[t] = x
+    at = batch.schema.get_field_index("text")
+    return batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+
+
 def _remove_batches(shared, window: int):
+    """Removal with all phrases at hand: a text is cut until no window is left."""
+
     def run(batches):
         phrases = _phrases(shared.value, window)
         for batch in batches:
-            column = batch.column("text")
-            raw, offsets = text_buffers(column)
+            raw, offsets = text_buffers(batch.column("text"))
             changed: dict[int, str] = {}
             for lo, hi in passes(offsets, SHARD_BYTES):
-                texts = {t: b"" for t in range(hi - lo)}
                 part, places = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 which = np.arange(hi - lo)
                 while True:  # words that come together where a span went may form a window again
                     words, begins, ends, _ = find(part, places, phrases)
                     if not len(begins):
                         break
-                    owner = np.searchsorted(words.cuts, begins, "right") - 1
-                    whole, kept = part.tobytes(), {}
-                    for t in np.unique(owner):
-                        pieces, at = [], int(places[t])
-                        for a, b in zip(begins[owner == t], ends[owner == t]):
-                            pieces.append(whole[at : words.starts[a]])
-                            at = int(words.ends[b - 1])
-                        kept[int(which[t])] = b"".join([*pieces, whole[at : places[t + 1]]])
+                    kept = {int(which[t]): x for t, x in _cut(part, places, words, begins, ends).items()}
                     changed |= {lo + t: x.decode() for t, x in kept.items()}
                     which = np.array([*kept])
                     part = np.frombuffer(b"".join(kept.values()), np.uint8)
                     places = np.concatenate(([0], np.cumsum([len(x) for x in kept.values()])))
-            if changed:
-                texts = column.to_pylist()
-                for t, x in changed.items():
-                    texts[t] = x
-                at = batch.schema.get_field_index("text")
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
-            yield batch
+            yield _with_texts(batch, changed)
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[tuple[str, str | None], ...]]:
-    """Items in blocks of bounded size, one collected at a time; the number of blocks follows the benchmark's size."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull())
+def _cut_batches(batches):
+    """Texts without the spans found for them."""
+    for batch in batches:
+        raw, offsets = text_buffers(batch.column("text"))
+        spans, changed = batch.column("spans").to_pylist(), {}
+        for lo, hi in passes(offsets, SHARD_BYTES):
+            part, places = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            words = Words(part, places)
+            ends = [(words.cuts[t] + x["first"], words.cuts[t] + x["last"]) for t in range(hi - lo) for x in spans[lo + t] or ()]
+            if ends:
+                begins, ends = (np.array(x, np.int64) for x in zip(*ends))
+                changed |= {lo + t: x.decode() for t, x in _cut(part, places, words, begins, ends).items()}
+        yield _with_texts(batch.select([c for c in batch.schema.names if c not in ("n_words", "spans", "items")]), changed)
+
+
+def _blocks(benchmark: DataFrame) -> list[tuple[tuple[str | None, str | None], ...]]:
+    """All items in blocks of bounded size; see :func:`_each_block`."""
+    return [*_each_block(benchmark)]
+
+
+def _each_block(benchmark: DataFrame) -> Iterator[tuple[tuple[str | None, str | None], ...]]:
+    """Items in blocks of bounded size, one on the driver at a time; their number follows the benchmark's size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = int(-(-total // BLOCK_BYTES)) or 1
-    own = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(count)))
-    return [tuple(sorted(((r["item_id"], r["text"]) for r in own.where(F.col("block") == b).collect()), key=lambda x: (x[0], x[1] or ""))) for b in range(count)]
+    own = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    for b in range(count):
+        yield tuple(sorted(((r["item_id"], r["text"]) for r in own.where(F.col("block") == b).collect()), key=lambda x: (x[0] or "", x[1] or "")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` (with a string column text) with n_words, the merged spans of words hit, and the items that occur."""
     out = docs.drop("n_words", "spans", "items")
     spark = docs.sparkSession
-    for k, block in enumerate(_blocks(benchmark)):
-        schema = out.schema if k else out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<first:long,last:long>>"), "items": F.lit(None).cast("array<string>")}).schema
+    schema = out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<first:long,last:long>>"), "items": F.lit(None).cast("array<string>")}).schema
+    for k, block in enumerate(_each_block(benchmark)):
+        if k and k % PASSES_AT_ONCE == 0:
+            out = materialise(out, "found")
         out = out.mapInArrow(_find_batches(spark.sparkContext.broadcast(block), window, "text"), schema)
     return out
 
@@ -231,10 +271,24 @@ def words_hit(spans: str = "spans") -> Column:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the spans of words that are hit; n_chars, where there is one, follows the text.
 
-    Removal goes on until no window is left, so that a cut never joins words into a new one.
+    Removal goes on until no window is left, so that a cut never joins words into a new one. A benchmark of several
+    blocks takes a round of passes for each step of that, in which all blocks' spans are found before any is cut, and only
+    rows that a round has cut go into the next: the result is the same for any size of blocks.
     """
-    out = docs
-    blocks = _blocks(benchmark)
-    for block in blocks if len(blocks) == 1 else [*blocks, *blocks]:
-        out = out.mapInArrow(_remove_batches(docs.sparkSession.sparkContext.broadcast(block), window), docs.schema)
+    first = [block for _, block in zip(range(2), _each_block(benchmark))]
+    if len(first) == 1:
+        out = docs.mapInArrow(_remove_batches(docs.sparkSession.sparkContext.broadcast(first[0]), window), docs.schema)
+    else:
+        del first
+        # the caller's columns stand in a struct, so that none meets a result's name
+        rows, done = docs.select(F.struct("*").alias("_row"), "text"), None
+        while True:
+            found = materialise(find_contamination(rows, benchmark, window), "removal")
+            clean = found.where(F.size("spans") == 0).select("_row", "text")
+            done = clean if done is None else done.unionByName(clean)
+            hit = found.where(F.size("spans") > 0)
+            if hit.isEmpty():
+                break
+            rows = hit.mapInArrow(_cut_batches, rows.schema)
+        out = done.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -169,6 +169,26 @@ def test_contamination_in_many_blocks(spark, folder, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench).collect()} == clean
 
 
+def test_items_without_id_hit_words(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "one two three"), (8, "four")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x one two three y", "clash"), (2, "four one two", "clash")], "doc_id long, text string, spans string")
+    found = {r["doc_id"]: r for r in decontaminate.find_contamination(rows, bench).collect()}
+    assert ([tuple(s) for s in found[1]["spans"]], found[1]["items"]) == ([(1, 4)], ["7"])
+    alone = decontaminate.find_contamination(rows, bench.where("item_id IS NULL")).orderBy("doc_id").collect()
+    assert [([tuple(s) for s in r["spans"]], r["items"]) for r in alone] == [([(1, 4)], []), ([], [])]
+    assert [r["text"] for r in decontaminate.remove_contamination(rows, bench).orderBy("doc_id").collect()] == ["x  y", " one two"]
+
+
+@pytest.mark.parametrize("size", [8_000_000, 4])
+def test_removal_is_the_same_for_any_block_size(spark, odd, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c d e"), (3, "x y"), (4, "p a q")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "a x y b c end"), (2, "a b c d e f"), (3, "x p a q y"), (4, "none"), (5, None)], "doc_id long, text string")
+    got = decontaminate.remove_contamination(rows, bench, 4).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [" end", " f", "", "none", None]
+    assert decontaminate.remove_contamination(odd, bench, 4).columns == odd.columns
+
+
 def test_removal_leaves_no_window(spark, odd):
     bench = spark.createDataFrame([(1, "a b c d"), (4, "one")], "item_id long, text string")
     rows = spark.createDataFrame([(1, "x a b A B C D c d y", 19), (2, "clean text", 10), (3, None, None), (4, "One, two; one", 13)], "doc_id long, text string, n_chars long")

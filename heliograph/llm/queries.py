@@ -13,7 +13,7 @@ from heliograph.llm.fingerprints import fingerprint_documents
 from heliograph.llm.language import fit_dictionaries, held_out, identify_language
 from heliograph.llm.lexicon import bpe_round_trip
 from heliograph.llm.ngram_join import near_duplicates
-from heliograph.llm.secret_scan import findings_from_texts, fit_forest, scan
+from heliograph.llm.secret_scan import fit_on_texts, scan
 from heliograph.llm.site_tree import extract_text
 from heliograph.llm.token_ids import token_file_digests
 from heliograph.llm.tool_calls import derived_messages, link_calls, tools_table
@@ -48,7 +48,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = scan(docs.select("doc_id", "text", "source"), fit_forest(findings_from_texts(docs)))
+    found = scan(docs.select("doc_id", "text", "source"), fit_on_texts(docs))
     secret = F.filter("findings", lambda x: x["is_secret"])
     return found.select(
         "doc_id", F.size("findings").cast("long").alias("n_candidates"), F.size(secret).cast("long").alias("n_secrets"),

@@ -2,16 +2,19 @@
 
 Calls and results are hash-joined by conversation and identifier; calls are put in topological order of what they come
 after, by levels: a call's level is one above the highest level that it comes after; arguments are validated against the tools'
-schemas; each call with its result is serialised as canonical JSON (sorted keys, no blanks, no escapes beyond need).
+schemas; each call with its result is serialised as canonical JSON (sorted keys, no blanks, no escapes beyond need, equal
+numbers alike).
 
-No conversation is gathered in one place: rounds are joins on calls, and the order of a conversation's calls is the sort
-key (level, turn, call_id). Chains of calls are followed by doubling; rounds are needed only for calls after several.
+The order of a conversation's calls is the sort key (level, turn, call_id). Levels of a conversation of up to
+``GATHERED_LINKS`` links between calls are found in one task, from identifiers alone. A larger one isn't gathered: chains
+of its calls are followed by doubling, and rounds of joins are needed only for calls after several.
 
 Defined cases: calls without an identifier are dropped; of calls with one identifier in a conversation the first turn's
 counts, then the smallest arguments, and of results likewise, both with their number given. A result without a call is
-left out of the links and given by :func:`orphan_results`. A predecessor that is unknown is ignored. Calls in a cycle,
-and those after one, have a null level and the status ``cycle``. Null arguments are not valid JSON. A tool without a
-schema is ``unknown tool``. Empty tables give no rows.
+left out of the links and given by :func:`orphan_results`. Messages with a null conv_id are one conversation. A
+predecessor that is unknown is ignored. Calls in a cycle, and those after one, have a null level and the status ``cycle``.
+Null arguments, and objects with a repeated key, are not valid JSON. A tool without a schema is ``unknown tool``. Extra
+columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ import functools
 import json
 import math
 import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import materialise
 
+#: Links between the calls of a conversation up to which one task holds them, some hundred bytes each.
+GATHERED_LINKS = 100_000
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -41,9 +47,9 @@ def violation(value, schema: dict, at: str = "$") -> str | None:
     kinds = schema.get("type")
     if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return f"{at}: not of type {kinds if isinstance(kinds, str) else '/'.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
         return f"{at}: not the constant"
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
@@ -72,8 +78,21 @@ def violation(value, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def _plain(value):
+    """``value`` with one form for equal numbers: whole ones as integers up to 1e21, beyond that as floats where exact."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, float) and value == int(value) and abs(value) < 1e21:
+        return int(value)
+    if isinstance(value, int) and not isinstance(value, bool) and 10**21 <= abs(value) < 10**300 and int(float(value)) == value:
+        return float(value)
+    return value
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def _finite(number: str) -> float:
@@ -83,6 +102,13 @@ def _finite(number: str) -> float:
     return value
 
 
+def _unrepeated(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
 @functools.lru_cache(maxsize=1000)
 def _schema(text: str | None) -> dict | None:
     return json.loads(text) if text else None
@@ -95,7 +121,7 @@ def _serialise(batches):
         for r in rows:
             problem, arguments, state = None, None, "ok"
             try:
-                arguments = json.loads(r["arguments"] if r["arguments"] is not None else "", parse_constant=_finite, parse_float=_finite)
+                arguments = json.loads(r["arguments"] if r["arguments"] is not None else "", parse_constant=_finite, parse_float=_finite, object_pairs_hook=_unrepeated)
             except (ValueError, RecursionError):
                 problem, state = "not JSON", "invalid"
             if state == "ok":
@@ -126,34 +152,95 @@ def _results(messages: DataFrame) -> DataFrame:
     return results.groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.min(F.struct("turn", "text")).alias("r"), F.count(F.lit(1)).alias("n_results")).select("conv_id", "call_id", F.col("r.text").alias("result"), "n_results")
 
 
+def _level_batches(batches):
+    """Levels of conversations whose links come one after the other: calls leave when all that they wait for have left."""
+
+    def settle(conv, links: list[tuple[str, str]], out: list[tuple]) -> None:
+        waits, after, level = Counter(), defaultdict(list), {}
+        for call, before in links:
+            waits[call] += 1
+            after[before].append(call)
+        ready = [c for c in after if not waits[c]]
+        level.update(dict.fromkeys(ready, 0))
+        while ready:
+            done = ready.pop()
+            for call in after[done]:
+                level[call] = max(level.get(call, 0), level[done] + 1)
+                waits[call] -= 1
+                if not waits[call]:
+                    ready.append(call)
+        out += [(conv, call, n) for call, n in level.items() if not waits[call]]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["conv", "call_id", "level"])
+
+    conv, links = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        for c, call, before in zip(*(batch.column(n).to_pylist() for n in ("conv", "call_id", "before"))):
+            if c != conv:
+                settle(conv, links, out)
+                conv, links = c, []
+            links.append((call, before))
+        yield rows(out)
+    out = []
+    settle(conv, links, out)
+    yield rows(out)
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """Topological levels of ``calls`` (conv_id, call_id, after): rows (conv_id, call_id, level), null for cycles.
+    """Topological levels of ``calls`` (conv_id, call_id, after): rows (conv_id, call_id, level); calls in or after cycles have none."""
+    named = calls.select(_conversation().alias("conv"), "call_id", "after")
+    found = _levels(named)
+    number = F.when(F.col("conv").startswith("i"), F.substring("conv", 2, 30)).cast(calls.schema["conv_id"].dataType)
+    return found.select(number.alias("conv_id"), "call_id", "level")
+
+
+def _conversation() -> Column:
+    """A conversation's key, which is never null."""
+    return F.coalesce(F.concat(F.lit("i"), F.col("conv_id").cast("string")), F.lit("none"))
+
+
+def _levels(calls: DataFrame) -> DataFrame:
+    key = ["conv", "call_id"]
+    known = calls.select("conv", F.col("call_id").alias("before"))
+    edges = materialise(calls.select(*key, F.explode("after").alias("before")).distinct().join(known, ["conv", "before"], "left_semi").select(*key, "before"), "edges")
+    free = calls.select(*key).join(edges, key, "left_anti").withColumn("level", F.lit(0))
+    large = edges.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GATHERED_LINKS).select("conv")
+    large = materialise(large, "large-conversations")
+    some = not large.isEmpty()
+    small = edges.join(F.broadcast(large) if large.count() < 10_000 else large, "conv", "left_anti") if some else edges
+    settled = small.repartition("conv").sortWithinPartitions("conv").mapInArrow(_level_batches, "conv string, call_id string, level int")
+    out = free.unionByName(settled.where(F.col("level") > 0))  # calls after none are there already
+    return out.unionByName(_large_levels(calls.join(large, "conv", "left_semi"), edges.join(large, "conv", "left_semi")).where(F.col("level") > 0)) if some else out
+
+
+def _large_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels without gathering a conversation.
 
     A call after just one other points to it; pointers are followed by doubling until they reach a call that comes after
     none or after several. Only calls after several are then settled in rounds, each after all that it waits for.
     """
-    key = ["conv_id", "call_id"]
-    known = calls.select("conv_id", F.col("call_id").alias("before"))
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("before")).distinct().join(known, ["conv_id", "before"], "left_semi").select(*key, "before")
-    counted = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("first"))
-    edges, counted = materialise(edges, "edges"), materialise(counted, "degrees")
+    key = ["conv", "call_id"]
+    edges = materialise(edges, "edges")
+    counted = materialise(edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("first")), "degrees")
     chain = materialise(counted.where("n = 1").select(*key, F.col("first").alias("to"), F.lit(1).alias("steps")), "chain")
-    longest = calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    longest = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     for _ in range(int(longest).bit_length()):
-        hop = chain.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("on"), F.col("steps").alias("more"))
-        moved = chain.join(hop, ["conv_id", "to"], "left").select(*key, F.coalesce("on", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("on").isNotNull().alias("moved"))
+        hop = chain.select("conv", F.col("call_id").alias("to"), F.col("to").alias("on"), F.col("steps").alias("more"))
+        moved = chain.join(hop, ["conv", "to"], "left").select(*key, F.coalesce("on", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("on").isNotNull().alias("moved"))
         moved = materialise(moved, "chain")
         chain = moved.select(*key, "to", "steps")
         if moved.where("moved").isEmpty():
             break
     # what a call after several waits for: the ends of its predecessors' chains
-    through = chain.select("conv_id", F.col("call_id").alias("before"), "to", "steps")
-    waiting = edges.join(counted.where("n > 1").select(*key), key, "left_semi").join(through, ["conv_id", "before"], "left")
+    through = chain.select("conv", F.col("call_id").alias("before"), "to", "steps")
+    waiting = edges.join(counted.where("n > 1").select(*key), key, "left_semi").join(through, ["conv", "before"], "left")
     waiting = materialise(waiting.select(*key, F.coalesce("to", "before").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "waiting")
     done = last = calls.select(*key).join(counted.select(*key), key, "left_anti").withColumn("level", F.lit(0))
     best = None
     while not waiting.isEmpty():
-        met = waiting.join(last.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left").select(*key, "to", "steps", (F.col("level") + F.col("steps")).alias("reached"))
+        met = waiting.join(last.select("conv", F.col("call_id").alias("to"), "level"), ["conv", "to"], "left").select(*key, "to", "steps", (F.col("level") + F.col("steps")).alias("reached"))
         met = materialise(met, "waiting")
         some = met.groupBy(*key).agg(F.max("reached").alias("reached"), F.count_if(F.col("reached").isNull()).alias("open"))
         best = some if best is None else some.join(best.select(*key, F.col("reached").alias("was")), key, "left").select(*key, F.greatest("reached", "was").alias("reached"), "open")
@@ -163,15 +250,17 @@ def levels(calls: DataFrame) -> DataFrame:
         if last.isEmpty():
             break
         done = done.unionByName(last)
-    ends = done.select("conv_id", F.col("call_id").alias("to"), "level")
-    return done.unionByName(chain.join(ends, ["conv_id", "to"]).select(*key, (F.col("level") + F.col("steps")).cast("int").alias("level")))
+    ends = done.select("conv", F.col("call_id").alias("to"), "level")
+    return done.unionByName(chain.join(ends, ["conv", "to"]).select(*key, (F.col("level") + F.col("steps")).cast("int").alias("level")))
 
 
 def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """Links of ``messages`` (conv_id, turn, text, calls array of (id, name, arguments, after), result_of) with ``tools``
     (name, schema): one row per call with its level, status, first violation, and canonical JSON."""
-    calls = materialise(_calls(messages), "calls")
-    linked = calls.join(levels(calls), ["conv_id", "call_id"], "left").join(_results(messages), ["conv_id", "call_id"], "left").join(tools.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
+    calls = materialise(_calls(messages).withColumn("conv", _conversation()), "calls")
+    results = _results(messages).withColumn("conv", _conversation()).drop("conv_id")
+    key = ["conv", "call_id"]
+    linked = calls.join(_levels(calls.select(*key, "after")), key, "left").join(results, key, "left").join(tools.groupBy("name").agg(F.min("schema").alias("schema")), "name", "left")
     rows = linked.select("conv_id", "call_id", "turn", "level", "name", "n_calls", F.coalesce("n_results", F.lit(0)).alias("n_results"), "arguments", "result", "schema")
     return rows.mapInArrow(_serialise, "conv_id long, call_id string, turn long, level int, name string, n_calls long, n_results long, status string, error string, json string")
 
@@ -179,8 +268,8 @@ def link_calls(messages: DataFrame, tools: DataFrame) -> DataFrame:
 def orphan_results(messages: DataFrame) -> DataFrame:
     """Messages that give a result of no call of their conversation."""
     results = messages.where(F.col("result_of").isNotNull())
-    calls = messages.select(F.col("conv_id"), F.explode("calls").alias("c")).select("conv_id", F.col("c.id").alias("result_of"))
-    return results.join(calls, ["conv_id", "result_of"], "left_anti")
+    calls = messages.select(F.col("conv_id").alias("_conv"), F.explode("calls").alias("_c")).select("_conv", F.col("_c.id").alias("_of"))
+    return results.join(calls, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("result_of") == F.col("_of")), "left_anti")
 
 
 # The tools that derived messages call.

@@ -323,7 +323,37 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(spark.createDataFrame([], MESSAGES), tool_calls.tools_table(spark)).count() == 0
 
 
-def test_levels_match_a_plain_sort(spark):
+def test_equality_and_canonical_numbers():
+    from heliograph.llm.tool_calls import canonical, violation
+
+    assert violation(True, {"enum": [1]}) and violation(True, {"const": 1}) and violation(1, {"enum": [True]})
+    assert not violation(1.0, {"enum": [1]}) and not violation({"a": [1.0]}, {"const": {"a": [1]}})
+    assert canonical({"a": 1.0}) == canonical({"a": 1}) == '{"a":1}' and canonical(-0.0) == "0"
+    assert canonical(1e20) == canonical(10**20) == "1" + "0" * 20 and canonical(1e22) == canonical(10**22) and canonical(0.5) == "0.5"
+    assert canonical({"b": "é\u2028", "a": [True, None]}) == '{"a":[true,null],"b":"é\u2028"}'
+
+
+def test_odd_messages(spark):
+    """Null conversations, repeated keys, and columns named like results."""
+    rows = [(None, 0, "", [("a", "measure", '{"length":30}', [])], None, "x", 9), (None, 1, "r", [], "a", "x", 9), (5, 0, "", [("a", "measure", '{"length":30,"length":40}', ["a", None])], None, "x", 9)]
+    messages = spark.createDataFrame(rows, MESSAGES + ", level string, n int")
+    got = {r["conv_id"]: r for r in tool_calls.link_calls(messages, tool_calls.tools_table(spark)).collect()}
+    assert (got[None]["status"], got[None]["level"], got[None]["n_results"]) == ("ok", 0, 1)
+    assert (got[5]["status"], got[5]["error"]) == ("cycle", "not JSON")
+    assert tool_calls.orphan_results(messages).count() == 0
+
+
+@pytest.mark.parametrize("gathered", [100_000, 0])
+def test_many_calls_after_two_others(spark, monkeypatch, gathered):
+    monkeypatch.setattr(tool_calls, "GATHERED_LINKS", gathered)
+    count = 400 if gathered else 8
+    calls = spark.createDataFrame([(1, f"c{i}", [f"c{j}" for j in (i - 1, i - 2) if j >= 0]) for i in range(count)], "conv_id long, call_id string, after array<string>")
+    assert {r["call_id"]: r["level"] for r in tool_calls.levels(calls).collect()} == {f"c{i}": i for i in range(count)}
+
+
+@pytest.mark.parametrize("gathered", [100_000, 0])
+def test_levels_match_a_plain_sort(spark, monkeypatch, gathered):
+    monkeypatch.setattr(tool_calls, "GATHERED_LINKS", gathered)
     r = random.Random(4)
     rows, want = [(9, f"c{i}", [f"c{i - 1}"]) for i in range(1, 300)] + [(9, "c0", [])], {(9, f"c{i}"): i for i in range(300)}
     for conv in range(30):
@@ -348,6 +378,20 @@ def test_tool_calls_of_the_table(spark, folder):
     replied = turns[(turns["role"] == "user") & (turns["turn"] > 0)]
     pairs = asked.assign(turn=asked["turn"] + 1).merge(replied, on=["conv_id", "turn"])
     assert (got["n_results"] > 0).sum() == len(pairs)
+    messages = tool_calls.derived_messages(common.read_table(spark, folder, "conversations")).collect()
+    schemas, answers = dict(tool_calls.TOOLS), {(r["conv_id"], r["result_of"]): r["text"] for r in messages if r["result_of"]}
+    calls = {(r["conv_id"], c["id"]): c for r in messages for c in r["calls"]}
+    level = {}
+    for conv, turn in sorted((c, int(i[5:])) for c, i in calls):
+        level[conv, f"call_{turn}"] = level.get((conv, f"call_{turn - 2}"), -1) + 1
+    assert len(level) == len(got)
+    for r in got.itertuples():
+        call = calls[r.conv_id, r.call_id]
+        arguments = __import__("json").loads(call["arguments"])
+        answer = answers.get((r.conv_id, r.call_id))
+        wrong = tool_calls.violation(arguments, schemas[call["name"]])
+        assert r.status == ("invalid" if wrong else "ok" if (r.conv_id, r.call_id) in answers else "no result") and r.level == level[r.conv_id, r.call_id]
+        assert __import__("json").loads(r.json) == {"arguments": arguments, "id": r.call_id, "name": call["name"], "result": answer}
 
 
 def test_html_text(spark, folder):

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import read_table
+from heliograph.llm.common import materialise, read_table
 from heliograph.llm.decontaminate import find_contamination, words_hit
-from heliograph.llm.edit_counts import count_edited, derived_edits
+from heliograph.llm.edit_counts import RESULTS, apply_edits, build_trees, derived_edits
 from heliograph.llm.fingerprints import fingerprint_documents
 from heliograph.llm.language import fit_dictionaries, held_out, identify_language
 from heliograph.llm.lexicon import bpe_round_trip
@@ -57,7 +57,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_edited(derived_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path(TOKENIZER))
+    path = public_tokenizers.path(TOKENIZER)
+    trees = materialise(build_trees(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path), "count-trees")
+    return apply_edits(derived_edits(trees), path).select("doc_id", *RESULTS)
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,21 @@ def test_edit_counts(spark, folder, odd, none):
     assert edit_counts.count_edited(odd.withColumn("edits", F.lit(None).cast("array<struct<start:long,removed:long,inserted:string>>")), PATH).where("tokens_before <> tokens_after").count() == 0
 
 
+def test_kept_trees_take_further_edits(spark, odd):
+    """Edits on the table that earlier edits gave count as on trees built anew, and no untouched pre-token again."""
+    trees = edit_counts.build_trees(odd, PATH)
+    assert trees.columns == [*odd.columns, "lengths", "counts"]
+    once = common.materialise(edit_counts.apply_edits(edit_counts.derived_edits(trees), PATH), "once")
+    twice = edit_counts.apply_edits(edit_counts.derived_edits(once), PATH).collect()
+    anew = {(r["doc_id"], r["text"]): r for r in edit_counts.build_trees(once.drop("lengths", "counts"), PATH).collect()}
+    for r in once.collect():
+        assert (r["lengths"], r["counts"]) == (anew[r["doc_id"], r["text"]]["lengths"], anew[r["doc_id"], r["text"]]["counts"])
+    assert sorted(r["tokens_before"] for r in twice) == sorted(r["tokens_after"] for r in once.collect())
+    assert max(r["pretokens_counted"] for r in twice) < 200 < max(r["pretokens_after"] for r in twice)
+    nothing = edit_counts.apply_edits(once.withColumn("edits", F.lit(None).cast("array<struct<start:long,removed:long,inserted:string>>")), PATH)
+    assert nothing.where("pretokens_counted > 0 OR tokens_before <> tokens_after").count() == 0
+
+
 MESSAGES = "conv_id long, turn long, text string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, result_of string"
 
 

@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise, passes, ranges, text_buffers, worker_file
+from heliograph.llm.common import discard, hashed_share, materialise, passes, ranges, text_buffers, worker_file
 from heliograph.llm.pretokens import Distinct, boundaries, code_points
 
 #: Words in the lexicon at most, and the occurrences that one needs. Other words are merged, with the same result.
 LEXICON_WORDS, LEAST_COUNT = 1 << 16, 2
+#: Bytes of a word in the lexicon at most, so that its size is bounded; longer words are merged.
+LONGEST_WORD = 64
 #: Different words that a counting task gathers before it hands them on.
 GATHERED_WORDS = 200_000
 _NONE = np.int64(1) << 40
@@ -285,20 +287,26 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEAS
     """The commonest pre-tokens of all texts; ``most`` of them at most reach the driver.
 
     How common a word must be comes from a histogram of counts on a logarithmic scale, some thousand bars at most, so
-    that no task gathers or sorts the words.
+    that no task gathers or sorts the words. Of the first bar that doesn't fit whole, words are taken by a hash. Words
+    of more than ``LONGEST_WORD`` bytes are left out.
     """
     counts = docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.where(F.col("n") >= least).withColumn("bar", F.floor(64 * F.log2("n")).cast("int")), "word-counts")
+    counts = materialise(counts.where((F.col("n") >= least) & (F.octet_length("word") <= LONGEST_WORD)).withColumn("bar", F.floor(64 * F.log2("n")).cast("int")), "word-counts")
     bars = sorted(((r["bar"], r["words"]) for r in counts.groupBy("bar").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    lowest, total = None, 0
+    whole, part, share, total = [], None, 0.0, 0
     for bar, words in bars:
-        total += words
-        if total > most:
+        if total + words > most:
+            # a little less than what is left, since a hash doesn't share out exactly
+            part, share = bar, max(0.0, (most - total - 4 * (most - total) ** 0.5) / words)
             break
-        lowest = bar
-    if lowest is None:
-        return []
-    return sorted(counts.where(F.col("bar") >= lowest).select("word").toPandas()["word"])
+        whole.append(bar)
+        total += words
+    taken = F.col("bar") >= whole[-1] if whole else F.lit(False)
+    if part is not None:
+        taken = taken | ((F.col("bar") == part) & hashed_share(share, "word"))
+    found = sorted(counts.where(taken).select("word").toPandas()["word"])
+    discard(counts)
+    return found
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON_WORDS, least: int = LEAST_COUNT) -> bytes:
@@ -424,8 +432,11 @@ def bpe_decode(rows: DataFrame, tokenizer: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(_decode(tokenizer), "doc_id long, text string")
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as empty."""
+def bpe_round_trip(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None) -> DataFrame:
+    """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256. A null text counts as empty.
+
+    A ``lexicon`` of :func:`build_lexicon`, kept from an earlier run, saves a reading of the texts.
+    """
     docs = _inputs(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon or build_lexicon(docs, tokenizer))
     return docs.mapInArrow(_encode_decode(shared, tokenizer), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

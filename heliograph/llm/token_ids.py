@@ -5,9 +5,10 @@ running start, a stream of control bytes (four 2-bit lengths each) and a stream
 rank by frequency in the whole corpus, so that the commonest 256 ids take one byte. The rank table is a second folder.
 Parquet's committer makes a lost executor's half-written block invisible, and any file system that Spark reads will do.
 
-Shards are ranges of ``doc_id``; (shard, block) ascends with it. Rows with the same ``doc_id`` keep the order of their
-text; a null ``doc_id`` comes last; a null text is empty and holds the end id alone; an empty table gives empty files.
-Other columns are ignored.
+Shards are ranges of ``doc_id``, dealt to the files in order: files by name, and blocks within a file, ascend with it.
+Rows with the same ``doc_id`` are in the order of their text's first ``TIE_CHARS`` characters, then of their ids; a null
+``doc_id`` comes last; a null text is empty and holds the end id alone; an empty table gives empty files. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise, ordered_shards, passes, ranges, scratch_path, shard_count, text_buffers
+from heliograph.llm.common import discard, materialise, ordered_shards, passes, ranges, scratch_path, shard_count, text_buffers
 from heliograph.llm.lexicon import byte_alphabet
 from heliograph.llm.pretokens import Distinct, WordValues, boundaries, code_points
 
 #: Tokens in a block at most, unless a single document has more.
 BLOCK_TOKENS = 1 << 18
 #: Pre-tokens whose ids a worker keeps; beyond it the memory is emptied and filled anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
+#: Characters of a text that order rows with one doc_id.
+TIE_CHARS = 64
 # Lengths in bytes of the four values that a control byte describes, and the places of their bytes in the data stream.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 WIDTH = LENGTHS.sum(1).astype(np.int64)
@@ -142,23 +145,17 @@ def library_encoder(path: str) -> LibraryEncoder:
 
 def _encode_batches(path: str, end_id: int):
     def run(batches):
-        encoder, shard, start = library_encoder(path), None, 0
+        encoder = library_encoder(path)
         for batch in batches:
             raw, offsets = text_buffers(batch.column("text"))
-            shards, doc_ids = batch.column("shard").to_numpy(zero_copy_only=False), batch.column("doc_id")
             for lo, hi in passes(offsets):
                 ids, counts = encoder.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 parts = [np.append(p, np.uint32(end_id)).astype("<u4") for p in np.split(ids, np.cumsum(counts)[:-1])]
-                begin = np.zeros(hi - lo, np.int64)
-                for i, part in enumerate(parts):
-                    if shards[lo + i] != shard:
-                        shard, start = shards[lo + i], 0
-                    begin[i] = start
-                    start += len(part)
                 short = all(int(p.max()) < 1 << 16 for p in parts)
+                kept = [batch.column(c).slice(lo, hi - lo) for c in ("shard", "doc_id", "tie")]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("shard").slice(lo, hi - lo), doc_ids.slice(lo, hi - lo), pa.array(begin), pa.array(counts + 1, pa.int64()), pa.array([2 if short else 4] * len(parts), pa.int32()), pa.array([(p.astype("<u2") if short else p).tobytes() for p in parts], pa.binary())],
-                    ["shard", "doc_id", "shard_start", "n_tokens", "width", "ids"],
+                    [*kept, pa.array(counts + 1, pa.int64()), pa.array([2 if short else 4] * len(parts), pa.int32()), pa.array([(p.astype("<u2") if short else p).tobytes() for p in parts], pa.binary())],
+                    ["shard", "doc_id", "tie", "n_tokens", "width", "ids"],
                 )
 
     return run
@@ -182,22 +179,28 @@ def _count_batches(batches):
 
 
 def _block_batches(rank):
+    """Blocks of consecutive rows of a shard; a shard's rows lie in one task, one after the other."""
+
+    def block(shard: int, start: int, rows: list[tuple[int | None, np.ndarray]], table: np.ndarray) -> pa.RecordBatch:
+        control, data = pack(table[np.concatenate([ids for _, ids in rows])])
+        row = [[shard], [start], [[d for d, _ in rows]], [[len(ids) for _, ids in rows]], [control], [data]]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["shard", "shard_start", "doc_ids", "lengths", "control", "data"])
+
     def run(batches):
         table = rank.value
+        shard, start, rows, size = None, 0, [], 0
         for batch in batches:
-            parts, shards = _ids(batch), batch.column("shard").to_numpy(zero_copy_only=False)
-            doc_ids, begin = batch.column("doc_id"), batch.column("shard_start")
-            lo, n = 0, len(parts)
-            while lo < n:
-                hi, size = lo + 1, len(parts[lo])
-                while hi < n and shards[hi] == shards[lo] and size + len(parts[hi]) <= BLOCK_TOKENS:
-                    size += len(parts[hi])
-                    hi += 1
-                control, data = pack(table[np.concatenate(parts[lo:hi])])
-                row = [[int(shards[lo])], [begin[lo].as_py()], [doc_ids.slice(lo, hi - lo).to_pylist()], [[len(p) for p in parts[lo:hi]]], [control], [data]]
-                kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["shard", "shard_start", "doc_ids", "lengths", "control", "data"])
-                lo = hi
+            for own, doc_id, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), _ids(batch)):
+                if rows and (own != shard or size + len(ids) > BLOCK_TOKENS):
+                    yield block(shard, start, rows, table)
+                    start, rows, size = start + size, [], 0
+                if own != shard:
+                    shard, start = own, 0
+                rows.append((doc_id, ids))
+                size += len(ids)
+        if rows:
+            yield block(shard, start, rows, table)
 
     return run
 
@@ -205,13 +208,14 @@ def _block_batches(rank):
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Encode every text of ``docs`` (doc_id, text), append ``end_id`` to each and write the files under ``path``.
 
-    One shuffle moves the texts into ranges of ``doc_id``; what reaches the driver is one count for each id that
-    occurs, which the vocabulary bounds.
+    Texts are encoded where they lie; one shuffle moves their ids, some quarter of the bytes, into ranges of ``doc_id``.
+    What reaches the driver is one count for each id that occurs, which the vocabulary bounds.
     """
     spark = docs.sparkSession
-    sharded = ordered_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", shard_count(spark, 4))
-    ordered = sharded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "text")
-    encoded = ordered.mapInArrow(_encode_batches(tokenizer, end_id), "shard int, doc_id long, shard_start long, n_tokens long, width int, ids binary")
+    text = F.col("text").cast("string")
+    shards = shard_count(spark, 4)
+    sharded = ordered_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(text, 1, TIE_CHARS).alias("tie")), "doc_id", shards)
+    encoded = sharded.mapInArrow(_encode_batches(tokenizer, end_id), "shard int, doc_id long, tie string, n_tokens long, width int, ids binary")
     encoded = materialise(encoded, "token-ids")
     counted = encoded.select("width", "ids").mapInArrow(_count_batches, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counted = counted.sort_values(["n", "id"], ascending=[False, True])
@@ -219,7 +223,11 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2
     rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids_by_rank binary").write.parquet(f"{path}/ranks")
-    encoded.mapInArrow(_block_batches(spark.sparkContext.broadcast(rank)), "shard int, shard_start long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = encoded.repartitionById(files, F.floor(F.col("shard") * files / (shards + 1)).cast("int"))
+    ordered = dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tie", "ids").select("shard", "doc_id", "width", "ids")
+    ordered.mapInArrow(_block_batches(spark.sparkContext.broadcast(rank)), "shard int, shard_start long, doc_ids array<long>, lengths array<long>, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(encoded)
 
 
 def _read_batches(by_rank):

@@ -7,21 +7,25 @@ node is a branch with an importance of its own. Names are weights: an element na
 lowers the importance of what it holds, an article raises it. Names of html, body and of what the page's article stands in
 don't count. Branches of low weighted importance go from each page; the texts of the blocks left are joined in page order.
 
-Only counts for (host, node, text) are shuffled to build the trees. What goes back to the pages is one row for each host
-that has decided branches: broadcast if they are few, else joined by host and salt, so that a host with many pages is
-split.
+Only counts for (host, node, text) are shuffled to build the trees. Decided branches go back to the pages broadcast if they
+are few; else a page's own branches are looked up by a join on host, branch and a salt, so that neither a host's pages nor
+its branches ever meet in one place.
 
 Defined cases: a null html or url is empty, and the text of an empty page is empty. Nodes on fewer than four pages go by
-names alone, and so does the article of a page of which nothing else would be left. Open tags at the end of a page and stray end tags do no harm. Repeated rows stay; other columns are kept.
+names alone; of a page of which nothing would be left stays its article, and of that first what names don't lower. Open
+tags at the end of a page and stray end tags do no harm. The time for a page grows with its length, whatever it holds.
+Repeated rows stay; other columns are kept, but for html, text and n_chars.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +36,8 @@ from heliograph.llm.common import materialise
 LEAST_IMPORTANCE, PRESENTATION_SHARE, LEAST_PAGES = 0.2, 0.1, 4
 #: What an element's names, and an article, multiply importance by.
 NAMED_WEIGHT, ARTICLE_WEIGHT = 0.21, 1.5
-#: Decided branches of all hosts up to which they are broadcast, sixteen bytes each; beyond, pages are joined by host and salt.
-BROADCAST_NODES, SALTS = 500_000, 64
+#: Decided branches of all hosts up to which they are broadcast, some hundred bytes each; beyond, pages are joined with theirs.
+BROADCAST_NODES, SALTS = 200_000, 16
 # Elements of HTML by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -44,7 +48,14 @@ UNIMPORTANT = re.compile(
     r"form|search|login|signup|subscribe|newsletter|comment|comments|reply|replies|discussion|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|popup|modal|toolbar|widget|skip|copyright|contentinfo|complementary)(?![a-z])"
 )
 IMPORTANT = re.compile(r"(?<![a-z])(articlebody|main)(?![a-z])")
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+RAW = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in "script style noscript template textarea iframe svg title".split()}
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,99})")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_COMMENT_END = re.compile(r"--!?>")
+#: Characters after a tag's name that are tried in one go; longer tags are found by way of all quotes of the page.
+TAG_CHARS = 512
+#: Elements within each other that a tree tells apart, as browsers do; deeper ones are part of the last of them.
+DEEPEST = 512
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -54,11 +65,71 @@ def _described(tag: str, rest: str) -> tuple[str, bool, bool]:
     """Name of an element in the tree, and whether its names call it unimportant or an article."""
     names = " ".join(sorted({(a or b or c).lower() for _, a, b, c in _NAMES.findall(rest)})) if "=" in rest else ""
     words = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()
-    article = tag in ("article", "main") or bool(names and IMPORTANT.search(words))
-    unimportant = tag in DROPPED or bool(names and not article and tag not in ("html", "body") and UNIMPORTANT.search(words))
+    lowered = bool(names and UNIMPORTANT.search(words))
+    article = tag in ("article", "main") or bool(names and not lowered and IMPORTANT.search(words))
+    unimportant = tag in DROPPED or (lowered and not article and tag not in ("html", "body"))
     return f"{tag}.{names}" if names else tag, unimportant, article
 
 
+class _TagEnds:
+    """Where tags end: at the next ``>`` outside quotes, by chains over all quotes of the page that are followed once."""
+
+    def __init__(self, page: str):
+        self.page, self.places, self.ends = page, None, {}
+
+    def __call__(self, at: int) -> int:
+        if m := _REST.match(self.page, at, at + TAG_CHARS):
+            return m.end() - 1
+        if self.places is None:
+            self.places = [m.start() for m in re.finditer("[>\"']", self.page)]
+            after, self.partner = {}, [-1] * len(self.places)
+            for k in range(len(self.places) - 1, -1, -1):
+                mark = self.page[self.places[k]]
+                self.partner[k] = after.get(mark, -1)
+                after[mark] = k
+        k, way, end = bisect.bisect_left(self.places, at), [], -1
+        while k < len(self.places):
+            if k in self.ends:
+                end = self.ends[k]
+                break
+            way.append(k)
+            if self.page[self.places[k]] == ">":
+                end = self.places[k]
+                break
+            if self.partner[k] < 0:
+                break
+            k = self.partner[k] + 1
+        self.ends.update(dict.fromkeys(way, end))
+        return end
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Marks of a page: (start, end, tag, whether it closes, rest of the tag); no tag for what has no element and no text."""
+    at, last, ends = 0, page.rfind(">"), _TagEnds(page)
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            m = _COMMENT_END.search(page, start + 4)
+            at = m.end() if m else len(page)
+            yield start, at, None, False, ""
+        elif start > last:
+            break
+        elif m := _OPEN.match(page, start):
+            end = ends(m.end())
+            if end < 0:
+                continue
+            tag, at = m[2].lower(), end + 1
+            if tag in RAW and not m[1]:
+                close = RAW[tag].search(page, at)
+                at = close.end() if close else len(page)
+                yield start, at, None, False, ""
+            else:
+                yield start, at, tag, bool(m[1]), page[m.end() : end]
+        elif page[at : at + 1] in ("!", "?", "/") and page[at : at + 1]:
+            at = page.find(">", at) + 1
+            yield start, at, None, False, ""
+
+
 def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
     """Blocks of a page (path, text, unimportant by name, within an article), and each path's child layout."""
     blocks: list[tuple[str, str, tuple[int, ...], int]] = []
@@ -77,20 +148,21 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]
             if joined:
                 blocks.append((where[1], joined, where[2], where[3]))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
+    at = beyond = 0
+    for start, end, tag, closes, rest in tokens(page):
+        if start > at:
             if not text:
                 where = stack[-1]
-            text.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+            text.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closes:
             if tag in BLOCKS or tag in DROPPED:
                 flush()
+            if beyond and tag not in VOID:
+                beyond -= 1
+                continue
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             # an inline end tag doesn't close the block that it stands in
             if depth and (tag in BLOCKS or tag in DROPPED or not any(s[0] in BLOCKS for s in stack[depth + 1 :])):
@@ -107,10 +179,12 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]
                     del stack[depth:]
             if tag in ("li", "dd", "dt") and (depth := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("li", "dd", "dt", "ul", "ol", "dl")), 0)) and stack[depth][0] in ("li", "dd", "dt"):
                 del stack[depth:]
-        name, unimportant, article = _described(tag, m[4])
+        name, unimportant, article = _described(tag, rest)
         _, path, low, inside = stack[-1]
         number += 1
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
+        if len(stack) > DEEPEST and tag not in VOID and not rest.rstrip().endswith("/"):
+            beyond += 1
+        elif tag not in VOID and not rest.rstrip().endswith("/"):
             if tag in BLOCKS or tag in DROPPED or unimportant:
                 own = layouts.setdefault(path, [])
                 if not own or own[-1] != name:
@@ -145,7 +219,8 @@ def main_text(page: str | None, low: set[int] | dict[int, float]) -> str:
         return min(values) * (NAMED_WEIGHT if named else 1) * (ARTICLE_WEIGHT if inside and not named else 1) >= LEAST_IMPORTANCE
 
     kept = [b[1] for b in blocks if stays(*b)]
-    return "\n".join(kept or [b[1] for b in blocks if b[3] and not b[2]])
+    article = [b for b in blocks if b[3]]
+    return "\n".join(kept or [b[1] for b in article if not b[2]] or [b[1] for b in article])
 
 
 def _branch(node: int, text: int) -> int:
@@ -193,30 +268,65 @@ def style_tree(pages: DataFrame) -> DataFrame:
     nodes = nodes.where(F.col("pages") >= LEAST_PAGES).select("host", "node", "pages", "named", ((base - F.col("layout_logs") / F.col("pages")) / base).alias("presentation"), (1 - F.col("logs") / F.col("texts") / base).alias("content"))
     repeated = counts.where((F.col("kind") == "t") & (F.col("n") > 2)).select("host", "node", "feature", n.alias("n"))
     # 2 pages of 4 are content of 1/2, so that texts on fewer than 3 pages are never low
-    texts = nodes.join(repeated, ["host", "node"]).select("host", F.col("node").bitwiseXOR(F.shiftleft("feature", 1)).alias("node"), "pages", F.lit(False).alias("named"), "presentation", (1 - F.log("n") / base).alias("content"))
+    # a node may have very many repeated texts, so they meet their node by a salt
+    salted, dealt = nodes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), repeated.withColumn("_s", F.pmod("feature", F.lit(SALTS)).cast("int"))
+    texts = salted.join(dealt, ["host", "node", "_s"]).select("host", F.col("node").bitwiseXOR(F.shiftleft("feature", 1)).alias("node"), "pages", F.lit(False).alias("named"), "presentation", (1 - F.log("n") / base).alias("content"))
     return nodes.union(texts).withColumn("importance", PRESENTATION_SHARE * F.col("presentation") + (1 - PRESENTATION_SHARE) * F.col("content"))
 
 
-def _extract_batches(batches):
+def _texts(batch: pa.RecordBatch, texts: list[str], dropped: tuple[str, ...]) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c not in ("html", "text", "n_chars", *dropped)]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
+
+
+def _extract_batches(shared):
+    """Texts with the decided branches of all hosts at hand, a dict of importance by code for each."""
+
+    def run(batches):
+        hosts, none = shared.value, {}
+        for batch in batches:
+            yield _texts(batch, [main_text(page, hosts.get(host, none)) for page, host in zip(batch.column("html").to_pylist(), batch.column("_of").to_pylist())], ("_of",))
+
+    return run
+
+
+def _extract_joined(batches):
+    """Texts with each page's own decided branches beside it."""
+    for batch in batches:
+        known = [{x["code"]: x["importance"] for x in own or ()} for own in batch.column("_known").to_pylist()]
+        yield _texts(batch, [main_text(page, own) for page, own in zip(batch.column("html").to_pylist(), known)], ("_known",))
+
+
+def _branch_batches(batches):
+    """The codes of a page's branches: its nodes, and the texts of each."""
     for batch in batches:
-        texts = [main_text(page, dict(zip(low or (), values or ()))) for page, low, values in zip(*(batch.column(c).to_pylist() for c in ("html", "_low", "_values")))]
-        names = [c for c in batch.schema.names if c not in ("html", "_low", "_values", "text", "n_chars")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
+        key = [batch.column(c) for c in ("_of", "_a", "_b")]
+        at, codes = [], []
+        for i, page in enumerate(batch.column("html").to_pylist()):
+            own = set()
+            for path, text, _, _ in parse(page or "")[0]:
+                node = _code(path)
+                own |= {node, _branch(node, _code(text))}
+            at += [i] * len(own)
+            codes += own
+        yield pa.RecordBatch.from_arrays([*(k.take(pa.array(at, pa.int64())) for k in key), pa.array(codes, pa.int64())], ["_of", "_a", "_b", "code"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with text and n_chars instead of html."""
     low = style_tree(pages).where((F.col("importance") < LEAST_IMPORTANCE) | (F.col("named") & (F.col("importance") >= LEAST_IMPORTANCE / NAMED_WEIGHT)))
-    low = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("node", "importance")).alias("_found"))
-    low = materialise(low.select("_host", F.col("_found.node").alias("_low"), F.col("_found.importance").alias("_values")), "site-trees")
-    nodes = low.agg(F.sum(F.size("_low"))).first()[0] or 0
-    rows = pages.drop("text", "n_chars", "_low", "_values", "_host", "_of", "_salt").withColumn("html", F.col("html").cast("string")).withColumn("_of", _host("url"))
-    if nodes <= BROADCAST_NODES:
-        joined = rows.join(F.broadcast(low), F.col("_of") == F.col("_host"), "left")
-    else:  # a host's pages are dealt to many tasks, and its few unimportant nodes to each of them
-        salted = low.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
-        joined = rows.join(salted, (F.col("_of") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left").drop("_salt", "_part")
-    joined = joined.drop("_of", "_host")
-    schema = joined.drop("html", "_low", "_values").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return joined.mapInArrow(_extract_batches, schema)
+    low = materialise(low.groupBy(F.col("host").alias("_of"), F.col("node").alias("code")).agg(F.min("importance").alias("importance")), "site-trees")
+    rows = pages.drop("text", "n_chars", "_of", "_a", "_b", "_known").withColumn("html", F.col("html").cast("string")).withColumn("_of", _host("url"))
+    schema = rows.drop("html", "_of").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    if low.count() <= BROADCAST_NODES:
+        hosts: dict[str, dict[int, float]] = {}
+        for r in low.toLocalIterator():
+            hosts.setdefault(r["_of"], {})[r["code"]] = r["importance"]
+        return rows.mapInArrow(_extract_batches(pages.sparkSession.sparkContext.broadcast(hosts)), schema)
+    page = ["_of", "_a", "_b"]  # equal pages of a host have equal texts
+    keyed = rows.withColumns({"_a": F.coalesce(F.xxhash64("html"), F.lit(0).cast("long")), "_b": F.hash("html", F.char_length("html"))})
+    salted = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    codes = keyed.select(*page, "html").mapInArrow(_branch_batches, "_of string, _a long, _b int, code long").withColumn("_salt", F.pmod("_a", F.lit(SALTS)).cast("int"))
+    known = codes.join(salted, ["_of", "code", "_salt"]).groupBy(*page).agg(F.collect_set(F.struct("code", "importance")).alias("_known"))
+    joined = keyed.join(materialise(known, "page-branches"), page, "left").drop(*page)
+    return joined.mapInArrow(_extract_joined, schema)

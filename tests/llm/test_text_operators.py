@@ -86,6 +86,26 @@ def test_frequent_words_are_counted_over_all_texts(spark, odd):
     assert set(lexicon.frequent_words(odd, 1000, 2)) == {w for w, n in counts.items() if n > 1}
 
 
+def test_lexicon_of_words_alike_in_number(spark):
+    """A bar of the histogram that doesn't fit whole gives a part of its words, and long words none."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)) + " " + "y" * 70) for i in range(3)], "doc_id long, text string")
+    got = lexicon.frequent_words(docs, 300, 2)
+    assert 200 < len(got) <= 300 and not any("yyy" in w for w in got)
+    assert len(lexicon.frequent_words(docs, 10_000, 2)) == 600
+    kept = lexicon.build_lexicon(docs, PATH)
+    assert lexicon.bpe_round_trip(docs, PATH, kept).toPandas().equals(lexicon.bpe_round_trip(docs, PATH).toPandas())
+
+
+def test_token_file_lies_in_order(spark, tmp_path):
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents").repartition(7)
+    token_ids.write_token_file(docs, str(tmp_path / "file"), PATH)
+    import pyarrow.parquet as pq
+
+    files = sorted((tmp_path / "file" / "blocks").glob("part-*.parquet"))
+    seen = [d for f in files for ids in pq.read_table(f).column("doc_ids").to_pylist() for d in ids]
+    assert seen == sorted(r["doc_id"] for r in docs.select("doc_id").collect()) and len(files) > 2
+
+
 def check_fingerprints(got, docs):
     docs = docs.assign(text=docs["text"].fillna(""), order=docs["doc_id"].fillna(-1e18)).sort_values(["order", "text"], ascending=[False, True])
     texts = docs["text"].tolist()
@@ -444,6 +464,79 @@ def test_html_site_tree_decides_in_articles_and_beside_them(spark):
     assert got == ["Own again\nSign up for our letter\nTell a friend"] * 12
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for piece, end in (('<a "', ""), ("<a ", '">'), ("<!", ""), ("<a<", ">"), ("<a '\"", ">'"), ("<!-", "->"), ("<script ", "'>"), ("<div>", ""), ("</p>", "")):
+        page = "<p>Text</p>" + piece * (999_000 // len(piece)) + end
+        began = time.perf_counter()
+        assert "Text" in site_tree.main_text(page, {})
+        took = time.perf_counter() - began
+        assert took < (15 if piece in ("<div>", "</p>") else 4), (piece, took)
+    assert site_tree.main_text('<p title="a > b">one</p><p ' + "x='1' " * 400 + ">two</p><!-- > --><p>th<b>r</b>ee", {}) == "one\ntwo\nthree"
+
+
+def test_pages_whose_names_mislead():
+    long = "The long text of the page goes on and on. " * 5
+    main = lambda page: site_tree.main_text(page, {})
+    assert main(f'<body class="home has-sidebar"><article>{long}</article>') == long.strip()
+    assert main(f'<div class="main-menu">Home About</div><div class="content"><p>{long}') == long.strip()
+    assert long.strip() in main(f'<article>Teaser</article><div class="content">{long}</div>')
+    assert main(f'<article><div class="share-price">{long}</div></article>') == long.strip()
+
+
+def brute_importance(pages):
+    """The same entropies in plain Python: importance by (host, path) and by (host, path, text)."""
+    import math
+    from collections import defaultdict
+
+    seen, layouts, texts = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for host, page in pages:
+        blocks, own = site_tree.parse(page)
+        for path in {b[0] for b in blocks}:
+            seen[host, path] += 1
+            layouts[host, path][own.get(path, "")] += 1
+        for path, text in {b[:2] for b in blocks}:
+            texts[host, path][text] += 1
+    out = {}
+    for node, m in seen.items():
+        if m >= 4:
+            shows = -sum(n / m * math.log(n / m) for n in layouts[node].values()) / math.log(m)
+            holds = 1 - sum(math.log(n) for n in texts[node].values()) / len(texts[node]) / math.log(m)
+            out[node] = 0.1 * shows + 0.9 * holds
+            out |= {(*node, t): 0.1 * shows + 0.9 * (1 - math.log(n) / math.log(m)) for t, n in texts[node].items() if n > 2}
+    return out
+
+
+def test_importance_equals_plain_entropies(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        host = f"h{i % 3}.org"
+        body = "".join(f"<div class=c{k}><p>{r.choice(['same', f'own {i} {k}', f'few {i % 5}'])}</p>{'<ul><li>x</li></ul>' if r.random() < 0.3 else ''}</div>" for k in range(4))
+        rows.append((i, f"http://{host}/{i}", f"<div class=top>Site {host}</div>{body}<div class=end>{r.choice(['Bye', 'End'])}</div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_importance([(u.split("/")[2], h) for _, u, h in rows])
+    codes = {(k[0], site_tree._code(k[1]) if len(k) == 2 else site_tree._branch(site_tree._code(k[1]), site_tree._code(k[2]))): v for k, v in want.items()}
+    got = {(x["host"], x["node"]): x["importance"] for x in site_tree.style_tree(pages).collect()}
+    assert got.keys() == codes.keys() and all(abs(got[k] - codes[k]) < 1e-9 for k in got) and len(got) > 20
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_site_trees_without_names_or_articles(spark, monkeypatch, broadcast):
+    """Only how often things repeat tells content from the rest, differently on each host."""
+    monkeypatch.setattr(site_tree, "BROADCAST_NODES", broadcast)
+    rows, want = [], {}
+    for host in range(3):
+        for i in range(15):
+            own = f"Words {i} of {host} that stand on no other page"
+            parts = [f"<div><span>Welcome to {host}</span></div>", f"<section><p>{own}</p><p>Liked it? Tell {host}</p></section>", f"<div><p>All rights of {host}</p></div>"]
+            rows.append((100 * host + i, f"https://site{host}.net/{i}", "".join(parts[host:] + parts[:host])))
+            want[100 * host + i] = own
+    got = site_tree.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == want
+
+
 def brute_classes(docs, size=5, threshold=0.8):
     sets, ids, texts = [], docs["doc_id"].tolist(), docs["text"].tolist()
     for t in texts:

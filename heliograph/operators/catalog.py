@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.functions import ids
+
 # Names of the final classes by tree index.
 TREE_CLASSES = ["ew", "ea", "cep", "rr", "lpv", "rot", "yso"]
 
@@ -62,15 +64,40 @@ def pure(blended: Column, snr: Column, kind: Column, confidence: Column, signifi
     return keep
 
 
-def sensible(kind: Column, period: Column) -> Column:
-    """Whether a label's period is plausible for its class."""
-    return ((kind == "ew") & (period < 1.5)) | ((kind == "ea") & (period > 0.5)) | ((kind == "cep") & (period > 1) & (period < 75)) | ((kind == "rr") & (period < 2)) | ((kind == "lpv") & (period > 50)) | ((kind == "rot") & (period < 10))
+def sensible(kind: Column, period: Column, mags: tuple[Column, Column, Column] | None = None) -> Column:
+    """Whether a label's period is plausible for its class; a young star's colours, from three bands, mustn't be too blue."""
+    out = ((kind == "ew") & (period < 1.5)) | ((kind == "ea") & (period > 0.5)) | ((kind == "cep") & (period > 1) & (period < 75)) | ((kind == "rr") & (period < 2)) | ((kind == "lpv") & (period > 50)) | ((kind == "rot") & (period < 10))
+    if mags is None:
+        return out
+    red = F.coalesce(mags[0] - mags[1] > -1, F.lit(False)) | F.coalesce(mags[0] - mags[2] > 0, F.lit(False))
+    return F.coalesce(out, F.lit(False)) | ((kind == "yso") & red)
+
+
+#: Ranges of the order that a key's rows are cut into before they are packed.
+PACKED_RANGES = 256
 
 
 def packed(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, limit: int) -> DataFrame:
-    """Add ``file``: consecutive rows of a key fill files of about ``limit`` size, by a running sum."""
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("file", F.floor((F.sum(size).over(run) - size) / limit).cast("long"))
+    """Add ``file``: consecutive rows of a key fill files of about ``limit`` size, by a running sum.
+
+    Rows fall into ranges of the first order column, a number. Sizes are summed by key and range, the few sums of a key
+    are added up along its ranges, and running sums start from those: a window holds one range of a key, not all of it.
+    """
+    first = order[0]
+    cuts = df.select(F.percentile_approx(F.col(first).cast("double"), [k / PACKED_RANGES for k in range(1, PACKED_RANGES)], 4 * PACKED_RANGES).alias("q")).first()["q"]
+    bounds = F.array(*[F.lit(v) for v in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    rows = df.withColumns({"_size": size, "_range": F.coalesce(F.size(F.filter(bounds, lambda v: v <= F.col(first).cast("double"))), F.lit(-1))})
+    rows = rows.withColumn("_range", F.when(F.col(first).isNull(), -1).otherwise(F.col("_range")))
+    sums = rows.groupBy(*keys, "_range").agg(F.sum("_size").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    bases = sums.select(*named, F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    same = F.col("_range") == F.col("_of")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    run = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(bases, same).withColumn("file", F.floor((F.col("_base") + F.sum("_size").over(run) - F.col("_size")) / limit).cast("long"))
+    return out.drop("_size", "_range", "_of", "_base", *[f"_key{i}" for i in range(len(keys))])
 
 
 def every_kth(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, first: int = 0) -> DataFrame:
@@ -80,5 +107,27 @@ def every_kth(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
 def pretty_lines(df: DataFrame, columns: Sequence[str], key: str, separator: str = " | ") -> DataFrame:
     """(key, line): columns padded to their widest value, by one aggregation and one projection."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
-    widths = df.agg(*[F.greatest(F.max(F.char_length(v)), F.lit(len(c))).alias(c) for c, v in text.items()]).first()
-    return df.select(key, F.concat_ws(separator, *[F.rpad(v, widths[c] or len(c), " ") for c, v in text.items()]).alias("line"))
+    widths = df.agg(*[F.greatest(F.max(F.char_length(v)), F.lit(len(c))).alias(f"_{c}") for c, v in text.items()])
+    # one row of widths, whatever the table
+    return df.join(F.broadcast(widths)).select(key, F.concat_ws(separator, *[F.rpad(v, F.col(f"_{c}"), F.lit(" ")) for c, v in text.items()]).alias("line"))
+
+
+# The magnitude of the first band from which a source isn't saturated, and digits of the final catalog.
+SATURATED, DIGITS = 7.5, {"ra": 5, "dec": 4, "mag": 2, "amp": 2, "snr": 3, "period": 7, "significance": 3, "score": 4}
+
+
+def final_catalog(df: DataFrame, names: Mapping[str, Column]) -> DataFrame:
+    """The final catalog's columns from a joined table, without saturated sources; a missing magnitude doesn't drop one.
+
+    ``names`` gives ra, dec, the seven magnitudes mag1 to mag4, j, h, k, both amplitudes amp1, amp2, snr, three peaks peak1 to
+    peak3, significance, blended, score and type. Rounding is half to even. Transients have no significance.
+    """
+    r = lambda name, kind: F.bround(names[name], DIGITS[kind]).alias
+    transient = names["type"].isin("sn", "cv")
+    out = df.select(
+        *[names["id"].alias("cluster_id")], ids.designation(names["ra"], names["dec"]).alias("Designation"), r("ra", "ra")("RAJ2000"), r("dec", "dec")("DecJ2000"),
+        *[r(n, "mag")(out) for n, out in (("mag1", "W1mag"), ("mag2", "W2mag"), ("mag3", "W3mag"), ("mag4", "W4mag"), ("j", "Jmag"), ("h", "Hmag"), ("k", "Kmag"))],
+        r("amp1", "amp")("W1_amp"), r("amp2", "amp")("W2_amp"), r("snr", "snr")("variability_snr"), *[r(f"peak{k}", "period")(f"period_peak_{k}") for k in (1, 2, 3)],
+        F.when(~transient, F.bround(names["significance"], DIGITS["significance"])).alias("period_significance"), names["blended"].alias("blended"), r("score", "score")("confidence"), names["type"].alias("type"),
+    )
+    return out.where(~F.coalesce(F.col("W1mag") < SATURATED, F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.lightcurve import Curve
+from heliograph.sources.scratch import materialise
 
 # Ratios of an alias period to the cadence.
 ALIAS_RATIOS = (1 / 3, 1 / 2, 1, 2, 4 / 3, 3 / 2, 3, 4)
@@ -157,29 +158,189 @@ def _powers(t: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
     return sum(np.divide(a * a, b, out=np.zeros(len(p)), where=b > 1e-9) for a, b in parts) / (2 * y.var())
 
 
-def search(df: DataFrame, c: Curve, periods: np.ndarray, bins: int = 12, long_from: float = 15.0, block: int = 2000) -> DataFrame:
-    """Periodogram over a large grid, a source at a time in numpy: AOV for short trials, scaled Lomb-Scargle for long ones.
+# Bounds and steps, in days, of the pieces of the full trial grid.
+GRID_PIECES = [(0.1, 4, 0.00005), (4, 10, 0.00007), (10, 30, 0.0005), (30, 50, 0.001), (50, 100, 0.005), (100, 500, 0.025), (500, 1000, 0.5)]
+#: Rows of a source from which it is spread over tasks, values that a numpy pass holds, and periods of a task of a spread source.
+HOT_ROWS, PASS_VALUES, SPREAD_PERIODS = 200_000, 4_000_000, 20_000
 
-    Grids of some 1e5 periods would multiply the rows; here a task holds one source and a block of periods.
-    """
+
+def trial_grid(thin: int = 1) -> np.ndarray:
+    """The full grid of some 250,700 trial periods, or one whose steps are ``thin`` times as wide."""
+    return np.concatenate([np.arange(low, high, step * thin) for low, high, step in GRID_PIECES])
+
+
+def _statistics(t: np.ndarray, centred: np.ndarray, grid: np.ndarray, bins: int, long_from: float) -> np.ndarray:
+    """AOV for short trials, scaled Lomb-Scargle for long ones, in blocks of bounded size."""
+    out = np.zeros(len(grid))
+    block = max(1, PASS_VALUES // max(1, len(t)))
+    for lo in range(0, len(grid), block):
+        p = grid[lo : lo + block]
+        short = p < long_from
+        out[lo : lo + block][short] = _variances(t, centred, p[short], bins)
+        long = p[~short]
+        out[lo : lo + block][~short] = _powers(t, centred, long) * _long_scale(long, long_from)
+    return out
+
+
+def _long_scale(long: np.ndarray, long_from: float) -> np.ndarray:
+    return 1.7 + 0.75 * np.log10(long / long_from)
+
+
+def search(df: DataFrame, c: Curve, periods: np.ndarray, bins: int = 12, long_from: float = 15.0) -> DataFrame:
+    """The whole periodogram over a grid, a source at a time in numpy: for looking at a few sources. See :func:`search_peaks`."""
     grid = np.asarray(periods, float)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, y = pdf[c.time].to_numpy(float), pdf[c.flux].to_numpy(float)
-        n, out = len(t), np.zeros(len(grid))
-        centred = y - y.mean()
-        for lo in range(0, len(grid), block):
-            p = grid[lo : lo + block]
-            short = p < long_from
-            out[lo : lo + block][short] = _variances(t, centred, p[short], bins)
-            long = p[~short]
-            out[lo : lo + block][~short] = _powers(t, centred, long) * (1.7 + 0.75 * np.log10(long / long_from))
-        return pd.DataFrame({c.key: pdf[c.key].iloc[0], "period": grid, "sig": out})
+        y = pdf[c.flux].to_numpy(float)
+        return pd.DataFrame({c.key: pdf[c.key].iloc[0], "period": grid, "sig": _statistics(pdf[c.time].to_numpy(float), y - y.mean(), grid, bins, long_from)})
 
     kind = dict(df.dtypes)[c.key]
     return df.select(c.key, c.time, c.flux).groupBy(c.key).applyInPandas(one, f"{c.key} {kind}, period double, sig double")
 
 
+def _best(period: np.ndarray, sig: np.ndarray, peaks: int, separation: float) -> list[int]:
+    """Places of the best periods, the shorter of equal ones first; each rules out those within ``separation`` of itself."""
+    found, left = [], np.isfinite(sig)
+    while len(found) < peaks and left.any():
+        top = np.flatnonzero(left & (sig == sig[left].max()))
+        found.append(int(top[period[top].argmin()]))
+        left &= np.abs(period - period[found[-1]]) > separation * period[found[-1]]
+    return found
+
+
+def _fine(grid: np.ndarray, places: list[int], steps: int) -> np.ndarray:
+    """Even steps between the grid's neighbours of each place."""
+    ends = [(grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]) for i in places]
+    return np.concatenate([np.linspace(lo, hi, steps) for lo, hi in ends]) if ends else np.zeros(0)
+
+
+def _chosen(grid: np.ndarray, sig: np.ndarray, peaks: int, separation: float, longer_than: float) -> list[int]:
+    """Places on the grid that are refined: the best peaks, and the best long period."""
+    found, long = _best(grid, sig, peaks, separation), np.flatnonzero((grid > longer_than) & np.isfinite(sig))
+    return list(dict.fromkeys([*found, *([int(long[sig[long].argmax()])] if len(long) else [])]))
+
+
+def _peak_row(period: np.ndarray, sig: np.ndarray, peaks: int, separation: float, longer_than: float) -> list[float | None]:
+    """The nine columns of a source from all statistics known of it, refined ones too."""
+    order = np.argsort(period, kind="stable")
+    period, sig = period[order], sig[order]
+    row: list[float | None] = []
+    for i in (_best(period, sig, peaks, separation) + [None] * peaks)[:peaks]:
+        row += [None, None] if i is None else [float(period[i]), float(sig[i])]
+    long = np.flatnonzero(period > longer_than)
+    return row + ([float(period[long[sig[long].argmax()]]), float(sig[long].max())] if len(long) else [None, None])
+
+
+def search_peaks(df: DataFrame, c: Curve, periods: np.ndarray, peaks: int = 3, separation: float = 0.1, steps: int = 20, longer_than: float = 50.0, bins: int = 12, long_from: float = 15.0) -> DataFrame:
+    """Per source: the best ``peaks`` periods with their statistics, and the best one above ``longer_than`` days.
+
+    Two stages: the grid's peaks and its best long period are searched again in ``steps`` between their neighbours on the
+    grid, and all are ranked together. Only the result leaves a task, never the periodogram. A source of more than
+    ``HOT_ROWS`` rows is spread over tasks, whose sums for each period add up.
+    """
+    grid = np.asarray(periods, float)
+    kind = dict(df.dtypes)[c.key]
+    names = [n for k in range(1, peaks + 1) for n in (f"peak{k}", f"peak{k}_sig")] + ["best_long_period", "best_long_period_sig"]
+    schema = f"{c.key} {kind}, " + ", ".join(f"{n} double" for n in names)
+    rows = df.select(c.key, F.col(c.time).cast("double").alias("_t"), F.col(c.flux).cast("double").alias("_y")).where(F.col("_t").isNotNull() & F.col("_y").isNotNull())
+    sizes = rows.groupBy(c.key).agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"), F.sum("_y").alias("_s"))
+    hot = sizes.where(F.col("_n") > HOT_ROWS)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, y = pdf["_t"].to_numpy(), pdf["_y"].to_numpy()
+        y = y - y.mean()
+        sig = _statistics(t, y, grid, bins, long_from)
+        fine = _fine(grid, _chosen(grid, sig, peaks, separation, longer_than), steps)
+        every = np.concatenate((grid, fine)), np.concatenate((sig, _statistics(t, y, fine, bins, long_from)))
+        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(*every, peaks, separation, longer_than)]], columns=[c.key, *names])
+
+    plain = rows.join(hot.select(c.key), c.key, "left_anti").groupBy(c.key).applyInPandas(one, schema)
+    if hot.isEmpty():
+        return plain
+
+    def places(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("period")
+        period, sig = pdf["period"].to_numpy(), pdf["sig"].to_numpy()
+        fine = _fine(period, _chosen(period, sig, peaks, separation, longer_than), steps)
+        return pd.DataFrame({c.key: pdf[c.key].iloc[0], "period": np.concatenate((period, fine)), "sig": np.concatenate((sig, np.full(len(fine), np.nan)))})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(pdf["period"].to_numpy(), pdf["sig"].to_numpy(), peaks, separation, longer_than)]], columns=[c.key, *names])
+
+    spread = rows.join(hot.select(c.key, "_n", "_m"), c.key).withColumn("_y", F.col("_y") - F.col("_m"))
+    long_form = f"{c.key} {kind}, period double, sig double"
+    blocks = -(-len(grid) // SPREAD_PERIODS)
+    first = materialise(_spread_statistics(spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), c, kind, grid, bins, long_from), "periodogram")
+    both = materialise(first.groupBy(c.key).applyInPandas(places, long_form), "periods")
+    fine = both.where(F.col("sig").isNull()).groupBy(c.key).agg(F.sort_array(F.collect_set("period")).alias("_periods"))  # some dozens a source
+    again = _spread_statistics(spread.join(fine, c.key).withColumn("_block", F.lit(0)), c, kind, None, bins, long_from)
+    return plain.unionByName(both.where(F.col("sig").isNotNull()).unionByName(again).groupBy(c.key).applyInPandas(last, schema))
+
+
+def _spread_statistics(rows: DataFrame, c: Curve, kind: str, grid: np.ndarray | None, bins: int, long_from: float) -> DataFrame:
+    """(key, period, sig) of sources whose rows lie in many tasks: sums of each task, then their sums for each block of periods."""
+    part = ["_n", "_block"]
+
+    def wanted(pdf: pd.DataFrame) -> np.ndarray:
+        k = int(pdf["_block"].iloc[0])
+        return grid[k * SPREAD_PERIODS : (k + 1) * SPREAD_PERIODS] if grid is not None else np.asarray(pdf["_periods"].iloc[0], float)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, out = wanted(pdf), np.zeros((0, 0))
+        t, y = pdf["_t"].to_numpy(), pdf["_y"].to_numpy()
+        out = np.zeros((len(p), 2 * bins + 1))
+        out[:, -1] = (y**2).sum()
+        for lo in range(0, len(t), 20_000):
+            for k in range(0, len(p), 200):
+                out[k : k + 200, :-1] += _sums(t[lo : lo + 20_000], y[lo : lo + 20_000], p[k : k + 200], bins, long_from)
+        return pd.DataFrame({c.key: pdf[c.key].iloc[0], "_n": pdf["_n"].iloc[0], "_block": pdf["_block"].iloc[0], "period": p, "_sums": list(out)})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.groupby("period", sort=True)["_sums"].agg(lambda x: np.sum(np.stack(list(x)), axis=0))
+        return pd.DataFrame({c.key: pdf[c.key].iloc[0], "period": own.index.to_numpy(), "sig": _from_sums(np.stack(own.to_list()), own.index.to_numpy(), int(pdf["_n"].iloc[0]), bins, long_from)})
+
+    salts = F.least(F.lit(256), F.ceil(F.col("_n") / HOT_ROWS)).cast("int")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("_t", "_y"), salts))
+    found = dealt.groupBy(c.key, "_salt", *part).applyInPandas(sums, f"{c.key} {kind}, _n long, _block int, period double, _sums array<double>")
+    return found.groupBy(c.key, *part).applyInPandas(together, f"{c.key} {kind}, period double, sig double")
+
+
+def _sums(t: np.ndarray, y: np.ndarray, p: np.ndarray, bins: int, long_from: float) -> np.ndarray:
+    """Per period: numbers and sums of the phase bins of short ones; sums of products with cosine and sine of long ones."""
+    out = np.zeros((len(p), 2 * bins))
+    short = np.flatnonzero(p < long_from)
+    if len(short):
+        q = p[short]
+        cell = (np.floor((t[None, :] % q[:, None]) / q[:, None] * bins).astype(int).clip(0, bins - 1) + np.arange(len(q))[:, None] * bins).ravel()
+        out[short, :bins] = np.bincount(cell, minlength=len(q) * bins).reshape(-1, bins)
+        out[short, bins:] = np.bincount(cell, np.tile(y, len(q)), len(q) * bins).reshape(-1, bins)
+    long = np.flatnonzero(p >= long_from)
+    if len(long):
+        w = 2 * np.pi * t[None, :] / p[long][:, None]
+        cos, sin = np.cos(w), np.sin(w)
+        out[long, :4] = np.stack([cos @ y, sin @ y, (cos * cos).sum(1), (cos * sin).sum(1)], 1)
+    return out
+
+
+def _from_sums(sums: np.ndarray, p: np.ndarray, n: int, bins: int, long_from: float) -> np.ndarray:
+    """The statistics of :func:`_variances` and :func:`_powers` from added-up sums."""
+    squares, out, short = sums[:, -1], np.zeros(len(p)), p < long_from
+    count, total = sums[short, :bins], sums[short, bins : 2 * bins]
+    between = np.divide(total**2, count, out=np.zeros_like(total), where=count > 0).sum(1)
+    r, within = (count > 0).sum(1), squares[short] - between
+    ok = (r > 1) & (within > 1e-12)
+    out[short] = np.where(ok, (n - r) * between / np.where(ok, (r - 1) * within, 1), 0)
+    yc, ys, cc, cs = sums[~short, :4].T
+    ss = n - cc
+    tau = 0.5 * np.arctan2(2 * cs, cc - ss)
+    c, s = np.cos(tau), np.sin(tau)
+    parts = ((yc * c + ys * s, cc * c * c + 2 * cs * c * s + ss * s * s), (ys * c - yc * s, ss * c * c - 2 * cs * c * s + cc * s * s))
+    variance = np.maximum(squares[~short] / max(n, 1), 1e-300)
+    power = sum(np.divide(a * a, b, out=np.zeros(len(a)), where=b > 1e-9) for a, b in parts) / (2 * variance)
+    out[~short] = np.where(squares[~short] > 0, power, 0) * _long_scale(p[~short], long_from)
+    return out
+
+
 def refined(peaks: DataFrame, key: str, column: str, width: float = 0.05, steps: int = 20) -> DataFrame:
     """A fine grid of ``steps`` + 1 periods around each source's peak."""
     return peaks.select(key, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"), F.col(column).alias("_p")).select(key, (F.col("_p") * (1 - width) + F.col("k") * (2 * width * F.col("_p") / steps)).alias("period"))

@@ -78,6 +78,32 @@ def sensible_labels(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(ct.sensible(F.col("t"), F.col("d"))).select("p_partkey", "t")
 
 
+_FINAL = "f AS (SELECT p_partkey AS id, (p_partkey * 137.50776405::DOUBLE) - 360 * floor((p_partkey * 137.50776405::DOUBLE) / 360) AS ra, (p_partkey % 120) - 60 + 0.125::DOUBLE AS dec, p_retailprice / 100 + 0.0013::DOUBLE AS m, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size / 8.0::DOUBLE END AS s, ['sn','cv','rot','ew'][p_partkey % 4 + 1] AS t FROM part)"
+
+
+@query("WITH " + _FINAL + """ SELECT id AS cluster_id, round_even(ra, 5) AS RAJ2000, round_even(dec, 4) AS DecJ2000, round_even(m, 2) AS W1mag, round_even(m + 0.5, 2) AS W2mag, round_even(s, 2) AS W3mag, round_even(s * 3, 3) AS variability_snr, round_even(s / 7, 7) AS period_peak_1,
+ CASE WHEN t IN ('sn', 'cv') THEN NULL ELSE round_even(s / 3, 3) END AS period_significance, round_even(s / 10, 4) AS confidence, t AS type FROM f WHERE NOT coalesce(round_even(m, 2) < 7.5, false)""")
+def final_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The final catalog's projection, rounding and saturation cut over made-up photometry of all parts."""
+    k, m = F.col("p_partkey"), F.col("p_retailprice") / 100 + 0.0013
+    s = F.when(k % 3 != 0, F.col("p_size") / 8.0)
+    kind = F.get(F.array(*[F.lit(x) for x in ("sn", "cv", "rot", "ew")]), (k % 4).cast("int"))
+    names = {"id": k, "ra": F.pmod(k * F.lit(137.50776405), F.lit(360.0)), "dec": k % 120 - 60 + F.lit(0.125), "mag1": m, "mag2": m + 0.5, "mag3": s, "mag4": s, "j": m, "h": m, "k": m, "amp1": s, "amp2": s, "snr": s * 3}
+    names |= {"peak1": s / 7, "peak2": s / 9, "peak3": s / 11, "significance": s / 3, "blended": (k % 2).cast("int"), "score": s / 10, "type": kind}
+    shown = ["cluster_id", "RAJ2000", "DecJ2000", "W1mag", "W2mag", "W3mag", "variability_snr", "period_peak_1", "period_significance", "confidence", "type"]
+    return ct.final_catalog(table(spark, folder, "part"), names).select(*shown)
+
+
+@query("""WITH p AS (SELECT p_partkey, ['ew','yso','cep','yso'][p_partkey % 4 + 1] AS t, p_size / 4.0::DOUBLE AS d, p_retailprice / 100 AS a, p_size * 0.4::DOUBLE AS b, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size * 0.3::DOUBLE END AS c FROM part)
+SELECT p_partkey, t FROM p WHERE (t = 'ew' AND d < 1.5) OR (t = 'cep' AND d > 1 AND d < 75) OR (t = 'yso' AND (a - b > -1 OR coalesce(a - c > 0, false)))""")
+def sensible_colours(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels with plausible periods, and young stars that aren't too blue."""
+    k = F.col("p_partkey")
+    mags = (F.col("p_retailprice") / 100, F.col("p_size") * 0.4, F.when(k % 3 != 0, F.col("p_size") * 0.3))
+    rows = table(spark, folder, "part").withColumn("t", F.get(F.array(*[F.lit(x) for x in ("ew", "yso", "cep", "yso")]), (k % 4).cast("int")))
+    return rows.where(ct.sensible(F.col("t"), F.col("p_size") / 4.0, mags)).select("p_partkey", "t")
+
+
 @query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 10")
 def topk_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(10)

@@ -198,8 +198,8 @@ def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     return ep.sessions(table(spark, folder, "events"), "user_id", "ts", "6 hours")
 
 
-@query("WITH s AS (SELECT o_orderpriority, count(*) AS n, quantile_cont(o_totalprice, 0.9) AS q FROM orders WHERE o_custkey % 11 = 0 GROUP BY 1) SELECT o_orderpriority, n, round(q, 6) AS q90 FROM s WHERE n > 16 AND (n > 250 OR q < 400000)")
+@query("WITH s AS (SELECT o_custkey, count(*) AS n, quantile_cont(o_totalprice, 0.9) AS q FROM orders GROUP BY 1) SELECT o_custkey, n, round(q, 6) AS q90 FROM s WHERE n > 6 AND (n > 12 OR q < 400000)")
 def group_having(spark: SparkSession, folder: str) -> DataFrame:
     """Groups kept by their size, or by a quantile of theirs."""
-    stats = table(spark, folder, "orders").where(F.col("o_custkey") % 11 == 0).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.percentile("o_totalprice", F.lit(0.9)).alias("q90"))
-    return rounded(stats.where((F.col("n") > 16) & ((F.col("n") > 250) | (F.col("q90") < 400000))))
+    stats = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.percentile("o_totalprice", F.lit(0.9)).alias("q90"))
+    return rounded(stats.where((F.col("n") > 6) & ((F.col("n") > 12) | (F.col("q90") < 400000))))

@@ -96,11 +96,10 @@ def first_non_null(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(jn.first_present(rows, ["user_id"], [F.col("ts"), e], ["a", "b"]))
 
 
-@query("""WITH p AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 7 <> 0)
+@query("""WITH p AS (SELECT user_id, event_type, event_id FROM events)
 SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'signup') THEN 'signup' ELSE arg_min(event_type, event_id) END AS label FROM p GROUP BY 1""")
 def priority_label(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "events").where(F.col("event_id") % 7 != 0)
-    return jn.priority_label(rows, "user_id", "event_type", F.col("event_id"), ["purchase", "signup"])
+    return jn.priority_label(table(spark, folder, "events"), "user_id", "event_type", F.col("event_id"), ["purchase", "signup"])
 
 
 @query("SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
@@ -120,15 +119,13 @@ def set_union(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, folder, "supplier").select("s_nationkey")).distinct()
 
 
-_PTS = "WITH RECURSIVE p AS (SELECT event_id AS id, value AS v, user_id % 40 AS g FROM events WHERE user_id < 40), pts AS (SELECT id, (g * 9.0 + v / 2000)::DOUBLE AS ra, (g - 20.0)::DOUBLE AS dec FROM p)"
+_PTS = "pts AS (SELECT event_id AS id, user_id % 40 AS g, (user_id // 40) % 3000 AS strip, (user_id % 40) * 9.0::DOUBLE + value / 2000 AS ra, (user_id % 40) - 20.0::DOUBLE + ((user_id // 40) % 3000) * 0.02::DOUBLE AS dec FROM events)"
 
 
-@query(_PTS.replace("WITH RECURSIVE", "WITH") + """, s AS (SELECT *, round(dec) AS g FROM pts), o AS (SELECT *, lag(id) OVER (PARTITION BY g ORDER BY ra, id) AS prev, ra - lag(ra) OVER (PARTITION BY g ORDER BY ra, id) AS step FROM s),
- n AS (SELECT a.id, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND """ + haversine_sql("a", "b") + """ <= 3.0 GROUP BY 1)
-SELECT id, n AS neighbours FROM n""")
+@query("WITH " + _PTS + " SELECT a.id, count(*) AS neighbours FROM pts a JOIN pts b ON a.g = b.g AND a.strip = b.strip AND " + haversine_sql("a", "b") + " <= 3.0 GROUP BY 1")
 def eps_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbours within three arc seconds, the point itself included, of the users that the SQL names."""
-    pts = _points(table(spark, folder, "events").where(F.col("user_id") < 40))
+    """Neighbours within three arc seconds, the point itself included."""
+    pts = _points(table(spark, folder, "events"))
     return jn.within_radius(pts.select(F.col("id").alias("a"), "ra", "dec"), pts.select(F.col("id").alias("b"), "ra", "dec"), 3.0, ("a", "ra", "dec"), ("b", "ra", "dec")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
 
 

@@ -320,3 +320,51 @@ def test_prefer_double_and_one_class(spark):
     assert [r["d"] for r in got] == [6.0, 5.0, None]
     m = evaluation.confusion(spark.createDataFrame([(1, 1), (None, 1)], "t int, p int"), "t", "p")
     assert evaluation.summary_scores(m).first()["macro_f1"] == 1.0
+
+
+def test_pixels_neighbours_centres_and_rings(spark):
+    for order in (0, 2, 4):
+        count = 12 << 2 * order
+        n = F.col("id")
+        rows = {r["id"]: r for r in spark.range(count).select("id", healpix.neighbours(n, order).alias("n"), *[c.alias(k) for c, k in zip(healpix.centre(n, order), ("ra", "dec"))], healpix.to_ring(n, order).alias("ring")).collect()}
+        assert all(healpix._python_pixel(r["ra"], r["dec"], order) == i for i, r in rows.items())
+        by_ring = sorted(rows.values(), key=lambda r: r["ring"])
+        assert [r["ring"] for r in by_ring] == list(range(count)) and all(a["dec"] > b["dec"] - 1e-9 for a, b in zip(by_ring, by_ring[1:]))
+        assert all(i in rows[k]["n"] for i, r in rows.items() for k in r["n"] if k >= 0)
+        rng = np.random.default_rng(order)
+        for _ in range(1000 if order else 0):
+            a, d, turn = rng.uniform(0, 360), float(np.degrees(np.arcsin(rng.uniform(-1, 1)))), rng.uniform(0, 2 * np.pi)
+            here = healpix._python_pixel(a, d, order)
+            there = healpix._python_pixel(a + 1e-3 * np.cos(turn) / max(1e-3, np.cos(np.radians(d))), max(-90.0, min(90.0, d + 1e-3 * np.sin(turn))), order)
+            assert here == there or there in rows[here]["n"]
+    belt = {r["pixel"] for r in healpix.belt_cover(spark, 5.0, 3).collect()}
+    assert healpix._python_pixel(266.4, -29.0, 3) in belt and healpix._python_pixel(192.86, 27.13, 3) not in belt
+
+
+@pytest.mark.parametrize("hot", [10**6, 100])
+def test_peaks_of_spread_sources_equal_those_of_the_periodogram(spark, monkeypatch, hot):
+    monkeypatch.setattr(periods, "HOT_ROWS", hot)
+    monkeypatch.setattr(periods, "SPREAD_PERIODS", 150)
+    rng = np.random.default_rng(3)
+    rows = [(s, float(t), float(10 + np.sin(2 * np.pi * t / p) + 0.1 * rng.normal()), i) for s, p in ((1, 7.3), (2, 61.7)) for i, t in enumerate(rng.uniform(0, 900, 250))]
+    rows += [(3, 1.0, 2.0, 0), (4, None, 2.0, 0)]
+    df = spark.createDataFrame(rows, "source_id int, mjd double, flux double, tie int")
+    grid = np.concatenate([np.arange(2, 15, 0.05), np.arange(15, 100, 0.5)])
+    got = {r["source_id"]: r for r in periods.search_peaks(df, C, grid).collect()}
+    assert set(got) == {1, 2, 3} and abs(got[1]["peak1"] - 7.3) < 0.03 and abs(got[2]["peak1"] - 61.7) < 0.6 and got[2]["best_long_period"] == got[2]["peak1"]
+    coarse = {r["source_id"]: r for r in periods.top_peaks(periods.search(df.where("mjd is not null"), C, grid), "source_id").collect()}
+    for s in (1, 2):
+        assert got[s]["peak1_sig"] >= coarse[s]["peak1_sig"] - 1e-9 and abs(got[s]["peak1"] - coarse[s]["peak1"]) <= 0.5
+    assert 250_000 < len(periods.trial_grid()) < 251_500
+
+
+def test_packing_of_one_large_key(spark):
+    rows = [("a", i, 7 + i % 5) for i in range(2000)] + [("b", i, 9) for i in range(5)] + [(None, 3, 4), ("a", None, 6)]
+    got = catalog.packed(spark.createDataFrame(rows, "k string, i int, n int"), ["k"], ["i"], F.col("n"), 100).collect()
+    assert len(got) == len(rows)
+    total = 6
+    want = {None: 0}
+    for _, i, n in rows[:2000]:
+        want[i] = total // 100
+        total += n
+    assert {r["i"]: r["file"] for r in got if r["k"] == "a"} == want

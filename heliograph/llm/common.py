@@ -95,14 +95,19 @@ def worker_file(name: str, content: bytes) -> str:
     folder = os.path.join(tempfile.gettempdir(), f"heliograph-{os.getuid()}")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=folder, delete=False) as out:
-            out.write(content)
-        os.replace(out.name, path)
-        stem = name.split("-")[0] + "-"
-        own = sorted((e.stat().st_mtime, e.path) for e in os.scandir(folder) if e.name.startswith(stem))
-        for written, old in own[:-3]:
-            if written < time.time() - 3600:
-                with contextlib.suppress(FileNotFoundError):
-                    os.remove(old)
+    with contextlib.suppress(FileNotFoundError):
+        os.utime(path)  # in use: other workers leave it for another hour
+        return path
+    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as out:
+        out.write(content)
+    os.replace(out.name, path)
+    own, stem = [], name.split("-")[0] + "-"
+    for e in os.scandir(folder):
+        with contextlib.suppress(FileNotFoundError):  # another worker may be at the same
+            if e.name.startswith(stem):
+                own.append((e.stat().st_mtime, e.path))
+    for written, old in sorted(own)[:-3]:
+        if written < time.time() - 3600:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(old)
     return path

@@ -72,3 +72,19 @@ def fourier_amplitude(a: Column, k: int) -> Column:
     c = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["c"])
     d = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p["s"])
     return F.sqrt(c * c + d * d) / F.sqrt(n)
+
+
+def padded(a: Column, n: int, fill: Column) -> Column:
+    """The first ``n`` elements, filled up to ``n`` where there are fewer; null stays null."""
+    return F.slice(F.concat(a, F.array_repeat(fill, n)), 1, n)
+
+
+def trimmed(a: Column, least: int = 20) -> Column:
+    """The array without its trailing zeros and nulls, but not shorter than ``least`` elements if it has as many."""
+    last = F.array_max(F.transform(a, lambda v, i: F.when(v != 0, i + 1).otherwise(0)))
+    return F.when(F.size(a) == 0, a).otherwise(F.slice(a, F.lit(1), F.greatest(last, F.lit(least))))
+
+
+def repeated(a: Column, times: int) -> Column:
+    """Each element ``times`` times, in place."""
+    return F.flatten(F.transform(a, lambda v: F.array_repeat(v, times)))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.lightcurve import Curve, corrected_moments
+from heliograph.operators.periods import significance
 
 
 def von_neumann(df: DataFrame, c: Curve) -> DataFrame:
@@ -50,6 +52,17 @@ def feature_table(df: DataFrame, c: Curve) -> DataFrame:
     return out
 
 
+def full_features(df: DataFrame, c: Curve, period: str, others: Sequence[DataFrame] = ()) -> DataFrame:
+    """All seventeen statistics of a source in one row, with the columns of ``others`` (one row for each key) beside them.
+
+    ``period`` is a column that is constant within a source. A source that ``others`` lack keeps its row, with nulls.
+    """
+    out = feature_table(df, c).join(gaussian_chi2(df, c), c.key).join(significance(df, c, period), c.key)
+    for other in others:
+        out = out.join(other, c.key, "left")
+    return out
+
+
 # A published rational approximation of the normal integral, exact to some 1e-15, by falling powers.
 NORMAL_TOP = [0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
 NORMAL_BOTTOM = [0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]

@@ -203,3 +203,16 @@ def group_having(spark: SparkSession, folder: str) -> DataFrame:
     """Groups kept by their size, or by a quantile of theirs."""
     stats = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.percentile("o_totalprice", F.lit(0.9)).alias("q90"))
     return rounded(stats.where((F.col("n") > 6) & ((F.col("n") > 12) | (F.col("q90") < 400000))))
+
+
+@query(f"""WITH {EV_SQL}, l AS (SELECT user_id, list(CASE WHEN value > 20 THEN value ELSE 0 END ORDER BY t, event_id) AS a FROM ev GROUP BY 1),
+ x AS (SELECT user_id, a, greatest(5, coalesce(list_max(list_transform(range(len(a)), lambda i: CASE WHEN a[i + 1] <> 0 THEN i + 1 ELSE 0 END)), 0)) AS keep FROM l)
+SELECT user_id, CAST(least(keep, len(a)) AS BIGINT) AS trimmed, round(coalesce(a[40], 0), 6) AS fortieth, round(list_sum(a[1:40]), 4) AS padded_sum, CAST(40 AS BIGINT) AS padded, round(a[least(keep, len(a))], 6) AS last_value FROM x""")
+def array_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrays padded to one length, trimmed of trailing zeros, and with repeated elements."""
+    nested = op.nest(events(spark, folder), EV, ["value"]).select("user_id", F.transform("obs", lambda o: F.when(o["value"] > 20, o["value"]).otherwise(0.0)).alias("a"))
+    pad, cut = arrays.padded(F.col("a"), 40, F.lit(0.0)), arrays.trimmed(F.col("a"), 5)
+    return nested.select(
+        "user_id", F.size(cut).cast("long").alias("trimmed"), F.round(F.element_at(pad, 40), 6).alias("fortieth"), F.round(arrays.total(pad), 4).alias("padded_sum"), F.size(pad).cast("long").alias("padded"),
+        F.round(F.element_at(arrays.repeated(cut, 3), -1), 6).alias("last_value"),
+    )

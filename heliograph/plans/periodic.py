@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.operators import catalog
 from heliograph.operators import features as ft
 from heliograph.operators import periods as pd_
 from heliograph.plans.adapters import EV, EV_SQL, LC, events, lc_sql, light_curves, rounded
-from heliograph.plans.registry import query
+from heliograph.plans.registry import ORACLES, query
+from heliograph.sources.tables import table
 
 TRIALS = [7.0, 11.5, 23.0, 47.0, 61.0, 90.0, 182.5, 365.25]
 _GRID = "(SELECT unnest([" + ", ".join(f"{p}::DOUBLE" for p in TRIALS) + "]) AS period)"
@@ -145,9 +147,18 @@ def spread_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ft.spreads(light_curves(spark, folder), LC))
 
 
-@query()
+def _joined(*names: str) -> str:
+    """The SQL of queries whose rows are sources, side by side."""
+    parts = [f"({ORACLES[n]}) AS q{i}" for i, n in enumerate(names)]
+    return parts[0] + "".join(f" JOIN {part} USING (source_id)" for part in parts[1:])
+
+
+_STATISTICS = "* EXCLUDE (n), n"
+
+
+@query("SELECT " + _STATISTICS + " FROM " + _joined("spread_features", "skew_kurt", "stetson_ijk") + " JOIN (SELECT * EXCLUDE (n) FROM (" + ORACLES["von_neumann"] + ")) USING (source_id)")
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All statistics together; its parts have queries with SQL of their own."""
+    """Fifteen statistics together."""
     return rounded(ft.feature_table(light_curves(spark, folder), LC))
 
 
@@ -165,6 +176,29 @@ def gaussian_chi2(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ft.gaussian_chi2(light_curves(spark, folder), LC), 4)
 
 
+_BY_PART = "SELECT * FROM (" + (ORACLES["feature_table"] + " JOIN (" + ORACLES["gaussian_chi2"] + ") USING (source_id)").replace("l_suppkey AS source_id", "l_partkey AS source_id") + ")"
+
+
+@query(f"SELECT * FROM ({_BY_PART}) JOIN ({ORACLES['period_significance']}) USING (source_id) LEFT JOIN (SELECT p_partkey AS source_id, round(p_retailprice - p_size, 6) AS price, 0.0::DOUBLE AS size FROM part) USING (source_id)")
+def full_features(spark: SparkSession, folder: str) -> DataFrame:
+    """All seventeen statistics and colours, one row for each part."""
+    rows = light_curves(spark, folder, "l_partkey").withColumn("period", F.lit(23.3713))
+    bands = table(spark, folder, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    full = rounded(ft.full_features(rows, LC, "period", [catalog.colours(bands, "size", ["price"])]))
+    return full.withColumns({name: F.round(name, 4) for name in ("gaussian_chi2", "period_significance")})
+
+
+@query(_PART + f""", p AS (SELECT *, {_PHASE.replace("period", "23.3713::DOUBLE")} * 16 AS p, var_pop(flux) OVER (PARTITION BY source_id) AS va FROM lc), i AS (SELECT unnest(range(16)) AS bin),
+ f AS (SELECT source_id, bin, median(flux) AS m, var_pop(flux) / max(va) AS v FROM p JOIN i ON p >= bin - 0.25::DOUBLE AND p < bin + 1.25::DOUBLE GROUP BY 1, 2 HAVING count(*) >= 2),
+ w AS (SELECT s.source_id, i.bin, coalesce(m, 0) AS m, coalesce(v, 0) AS v FROM (SELECT DISTINCT source_id FROM lc) s CROSS JOIN i LEFT JOIN f ON f.source_id = s.source_id AND f.bin = i.bin),
+ g AS (SELECT *, min(m) OVER o AS ml, max(m) OVER o AS mh, min(v) OVER o AS vl, max(v) OVER o AS vh FROM w WINDOW o AS (PARTITION BY source_id))
+SELECT source_id, CAST(bin AS INT) AS bin, round((m - ml) / nullif(mh - ml, 0), 6) AS level, round((v - vl) / nullif(vh - vl, 0), 6) AS spread FROM g""")
+def phase_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping phase bins scaled within each source, empty bins included."""
+    shapes = pd_.phase_shape(light_curves(spark, folder, "l_partkey").withColumn("period", F.lit(23.3713)), LC, "period", 16, 0.25)
+    return rounded(shapes.select("source_id", F.posexplode(F.arrays_zip("level", "spread")).alias("bin", "s")).select("source_id", "bin", "s.level", "s.spread"))
+
+
 @query()
 def period_search(spark: SparkSession, folder: str) -> DataFrame:
     """Two-stage search on the full grid with steps a hundred times as wide; tests hold it against the whole periodogram."""

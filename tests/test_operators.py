@@ -368,3 +368,30 @@ def test_packing_of_one_large_key(spark):
         want[i] = total // 100
         total += n
     assert {r["i"]: r["file"] for r in got if r["k"] == "a"} == want
+
+
+def test_phase_shape_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    t, y = rng.uniform(0, 40, 60), rng.normal(0, 1, 60)
+    rows = [(1, float(a), float(b)) for a, b in zip(t, y)] + [(2, 1.0, 3.0), (2, 2.0, None), (3, None, 1.0)]
+    c = lightcurve.Curve(key="k", time="t", flux="y", ties=())
+    got = {r["k"]: r for r in periods.phase_shape(spark.createDataFrame(rows, "k int, t double, y double").withColumn("p", F.lit(7.0)), c, "p", 8, 0.25).collect()}
+    phase, want = (t % 7) / 7, np.zeros((8, 2))
+    for i in range(8):
+        inside = y[(phase >= (i - 0.25) / 8) & (phase < (i + 1.25) / 8)]
+        if len(inside) >= 2:
+            want[i] = np.median(inside), inside.var() / y.var()
+    want = (want - want.min(0)) / (want.max(0) - want.min(0))
+    assert np.allclose(got[1]["level"], want[:, 0]) and np.allclose(got[1]["spread"], want[:, 1])
+    assert got[2]["level"] == [None] * 8 and set(got) == {1, 2}
+
+
+def test_array_shapes(spark):
+    rows = [(1, [1.0, 0.0, 2.0, 0.0, None]), (2, []), (3, None), (4, [0.0, 0.0])]
+    d = spark.createDataFrame(rows, "k int, a array<double>")
+    a = F.col("a")
+    got = {r["k"]: r for r in d.select("k", arrays.padded(a, 3, F.lit(9.0)).alias("p"), arrays.trimmed(a, 1).alias("t"), arrays.repeated(a, 2).alias("r")).collect()}
+    assert got[1]["p"] == [1, 0, 2] and got[1]["t"] == [1, 0, 2] and got[1]["r"] == [1, 1, 0, 0, 2, 2, 0, 0, None, None]
+    assert got[2]["p"] == [9, 9, 9] and got[2]["t"] == [] and got[2]["r"] == []
+    assert got[3]["p"] is None and got[3]["t"] is None and got[3]["r"] is None
+    assert got[4]["p"] == [0, 0, 9] and got[4]["t"] == [0]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shares of the kinds in five sources, and the class of each: 0 quiet, 1 transient, 2 periodic.
@@ -42,3 +42,49 @@ def light_curves(keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
     flux = 100 + F.col("_amp") * shape + normal(k, s, F.col("_season"), F.col("_visit"))
     label = F.when(F.col("kind") == "transient", 1).when(F.col("kind").isin("pulsating", "eclipsing"), 2).otherwise(0)
     return rows.select(key, "kind", label.alias("label"), "period", "mjd", flux.alias("flux"), F.lit(1.0).alias("sig"))
+
+
+def between(low: float, high: float, *parts: Column) -> Column:
+    return low + (high - low) * uniform(*parts)
+
+
+def sparse_nulls(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """A quarter of the quiet sources keep 20 to 79 visits; 30 % of those are smoothed over two to six visits.
+
+    Other kinds keep their rows. At a curve's ends the mean is over the visits that there are.
+    """
+    k, s = F.col(key), F.lit(seed)
+    sparse = (F.col("kind") == "quiet") & (uniform(k, s, F.lit("sparse")) < 0.25)
+    order = Window.partitionBy(key).orderBy(uniform(k, s, F.col("mjd"), F.lit("keep")), "mjd")
+    rows = df.withColumns({"_sparse": sparse, "_place": F.row_number().over(order)})
+    rows = rows.where(~F.col("_sparse") | (F.col("_place") <= F.floor(between(20, 80, k, s, F.lit("kept")))))
+    width, smooth = F.floor(between(2, 7, k, s, F.lit("width"))), F.col("_sparse") & (uniform(k, s, F.lit("smooth")) < 0.3)
+    flux = F.col("flux")
+    for w in range(2, 7):
+        mean = F.avg("flux").over(Window.partitionBy(key).orderBy("mjd").rowsBetween(-(w // 2), (w - 1) // 2))
+        flux = F.when(smooth & (width == w), mean).otherwise(flux)
+    return rows.withColumn("flux", flux).drop("_sparse", "_place")
+
+
+def augmented(df: DataFrame, key: str, seed: int = 0, least: int = 40) -> DataFrame:
+    """Light curves as a model is trained on: noisy errors, up to five outliers, 5 to 65 % of visits missing, normalised.
+
+    Adds ``outlier``; flux becomes asinh((flux - median) / iqr), sig asinh(sig / iqr), mjd a share of 4,000 days since the
+    first visit. Missing visits don't take a curve below ``least`` rows, nor does a shorter curve lose any. A curve without
+    spread has null flux and sig. Draws depend on key, time and seed alone, so a task that is run again draws the same.
+    """
+    k, s, at = F.col(key), F.lit(seed), F.col("mjd")
+    own = Window.partitionBy(key)
+    shuffled = lambda what: F.row_number().over(own.orderBy(uniform(k, s, at, F.lit(what)), "mjd"))
+    q = lambda p: F.percentile("flux", F.lit(p))
+    before = df.groupBy(key).agg(F.median("flux").alias("_centre"), ((q(0.95) - q(0.05)) / 2).alias("_reach"), F.count(F.lit(1)).alias("_rows"))
+    rows = df.withColumns({"_ray": shuffled("ray"), "_miss": shuffled("miss")}).join(before, key)
+    rows = rows.withColumn("outlier", F.col("_ray") <= F.floor(between(0, 6, k, s, F.lit("rays"))))
+    noisy = F.col("sig") * (between(0.5, 0.75, k, s, F.lit("noise")) + 0.3 * normal(k, s, at, F.lit("error")))
+    stray = F.col("_centre") + F.col("_reach") * between(-3.5, 3.5, k, s, at, F.lit("stray"))
+    rows = rows.withColumns({"flux": F.when(F.col("outlier"), stray).otherwise(F.col("flux")), "sig": noisy * F.when(F.col("outlier"), between(0.2, 4, k, s, F.lit("factor"))).otherwise(1.0)})
+    missing = F.least(F.floor(between(0.05, 0.65, k, s, F.lit("share")) * F.col("_rows")), F.greatest(F.col("_rows") - least, F.lit(0)))
+    rows = rows.where(F.col("_miss") > missing).drop("_ray", "_miss", "_centre", "_reach", "_rows")
+    after = rows.groupBy(key).agg(F.median("flux").alias("_m"), (q(0.75) - q(0.25)).alias("_iqr"), F.min("mjd").alias("_first"))
+    scaled = {"flux": F.asinh(F.try_divide(F.col("flux") - F.col("_m"), F.col("_iqr"))), "sig": F.asinh(F.try_divide(F.col("sig"), F.col("_iqr"))), "mjd": (at - F.col("_first")) / 4000}
+    return rows.join(after, key).withColumns(scaled).drop("_m", "_iqr", "_first")

@@ -94,6 +94,14 @@ def synthetic_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ft.von_neumann(curves, c).join(ft.spreads(curves, c).select("source_id", "i90r"), "source_id").join(known, "source_id"), 4)
 
 
+@query()
+def synthetic_augmented(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse nulls, noise, outliers and missing visits for every supplier's curve; tests check each against its rule."""
+    keys = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    rows = synthetic.augmented(synthetic.sparse_nulls(synthetic.light_curves(keys, "source_id"), "source_id"), "source_id")
+    return rounded(rows.groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outlier").cast("long")).alias("outliers"), F.median("flux").alias("median_flux"), F.max("mjd").alias("span")), 4)
+
+
 @query("SELECT l_suppkey, round(avg(l_quantity), 6) AS mean_x, round(avg(l_discount), 6) AS mean_y, round(var_pop(l_quantity), 6) AS var_x, round(var_pop(l_discount), 6) AS var_y, round(covar_pop(l_quantity, l_discount), 6) AS cov_xy FROM lineitem GROUP BY 1")
 def gaussian_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ft.gaussian_fit(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity", "l_discount"))

@@ -395,3 +395,22 @@ def test_array_shapes(spark):
     assert got[2]["p"] == [9, 9, 9] and got[2]["t"] == [] and got[2]["r"] == []
     assert got[3]["p"] is None and got[3]["t"] is None and got[3]["r"] is None
     assert got[4]["p"] == [0, 0, 9] and got[4]["t"] == [0]
+
+
+def test_synthetic_noise_follows_its_rules(spark):
+    raw = synthetic.light_curves(spark.range(200).withColumnRenamed("id", "source_id"), "source_id")
+    sparse = synthetic.sparse_nulls(raw, "source_id")
+    counts = lambda d: {r["source_id"]: (r["kind"], r["n"], r["last"]) for r in d.groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("mjd").alias("last")).collect()}
+    full, kept = counts(raw), counts(sparse)
+    cut = [k for k in full if kept[k][1] < full[k][1]]
+    assert all(full[k][0] == "quiet" and 20 <= kept[k][1] < 80 for k in cut) and 5 < len(cut) < 40 and set(kept) == set(full)
+    rows = synthetic.augmented(sparse, "source_id").toPandas()
+    assert len(rows) == synthetic.augmented(sparse.repartition(7), "source_id").count()
+    for key, one in rows.groupby("source_id"):
+        n = kept[key][1]
+        assert min(n, 40) <= len(one) <= n and (n < 60 or len(one) <= 0.96 * n + 1)
+        assert one["outlier"].sum() <= 5 and abs(one["flux"].median()) < 1e-9 and one["mjd"].min() == 0 and one["mjd"].max() < 1
+        spread = np.sinh(one["flux"])
+        assert math.isclose(np.quantile(spread, 0.75) - np.quantile(spread, 0.25), 1, abs_tol=1e-6)
+    assert 100 < rows["outlier"].sum() < 600
+    assert synthetic.augmented(sparse.limit(0), "source_id").count() == 0

@@ -13,8 +13,12 @@ from heliograph.llm.fingerprints import fingerprint_documents
 from heliograph.llm.language import fit_dictionaries, held_out, identify_language
 from heliograph.llm.lexicon import bpe_round_trip
 from heliograph.llm.ngram_join import near_duplicates
+from heliograph.llm.quality_votes import fit_voters, score_quality
+from heliograph.llm.quality_votes import held_out as quality_held_out
+from heliograph.llm.repeat_runs import run_digests
 from heliograph.llm.secret_scan import fit_on_texts, scan
 from heliograph.llm.site_tree import extract_text
+from heliograph.llm.spelling_groups import count_words, group_variants, without_one
 from heliograph.llm.token_ids import token_file_digests
 from heliograph.llm.tool_calls import derived_messages, link_calls, tools_table
 
@@ -74,10 +78,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_fingerprints, op4_language, op5_decontaminate, op6_secrets, op7_edit_counts, op8_tool_calls, op9_html_text, op10_ngram_join)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), fit_voters(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(read_table(spark, sf_dir, "documents"), without_one))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_bpe, op3_fingerprints, op4_language, op5_decontaminate, op6_secrets, op7_edit_counts, op8_tool_calls, op9_html_text, op10_ngram_join, op11_periodic_runs, op12_quality, op13_spelling)}
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
-#: The rest is beyond SQL: tokenizers, automata, compression, hashing in chunks, forests, trees of counts, HTML.
+#: The rest is beyond SQL: tokenizers, automata, compression, hashing in chunks, forests, trees of counts, HTML, votes, checksums of words.
 ORACLES: dict[str, str] = {
     "op5_decontaminate": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
  iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS s FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) r(k) WHERE len(w) > 0),

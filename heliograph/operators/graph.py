@@ -154,6 +154,7 @@ def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str
     that the ring holds every point within ``margin_arcsec`` of the pixel.
 
     ``finer`` gives pixels of ``order`` that are cut, and the orders of their pieces; then ``pixel`` numbers the pieces.
+    ``shared`` tells whether a point has more than one row.
     """
     _, ra, dec = on
     finest = max(finer.values()) if finer else order
@@ -174,7 +175,8 @@ def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str
     on_edge = reduce(or_, [(inside.bitwiseAND(axis) == 0) | (inside.bitwiseAND(axis) == axis) for axis in axes])
     rows = rows.withColumn("_around", F.when(on_edge, F.filter(healpix.neighbours(F.col("_small"), border), lambda p: p >= 0)).otherwise(F.array().cast("array<bigint>")))
     pixels = F.array_distinct(F.transform(F.concat(F.array("_small"), "_around"), piece))
-    out = rows.withColumns({"_own": piece(F.col("_small")), "pixel": F.explode(pixels)})
+    out = rows.withColumns({"_own": piece(F.col("_small")), "_pixels": pixels})
+    out = out.withColumns({"shared": F.size("_pixels") > 1, "pixel": F.explode("_pixels")}).drop("_pixels")
     return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own", "_small", "_around")
 
 
@@ -297,20 +299,24 @@ def _dbscan_frame(pdf: pd.DataFrame, key: str, ra: str, dec: str, arcsec: float,
 PIXEL_ROWS = 100_000
 
 
+def pieces(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str, str, str]) -> DataFrame:
+    """:func:`with_halo` with pixels of more than ``PIXEL_ROWS`` points cut, into pieces of an order that follows their number, as far as the margin lets."""
+    _, ra, dec = on
+    border = border_order(margin_arcsec)
+    order = min(order, border)
+    sizes = points.groupBy(healpix.pixel(F.col(ra), F.col(dec), order).alias("pixel")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIXEL_ROWS)
+    finer = {r["pixel"]: min(border, order + math.ceil(0.5 * math.log2(r["n"] / PIXEL_ROWS))) for r in sizes.collect()}  # 12,288 pixels at order 5
+    return with_halo(points.select(*on), margin_arcsec, order, on, finer, border)
+
+
 def dbscan_by_pixel(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, order: int = 5, margin_arcsec: float = 0.0, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
     """The same clusters as :func:`dbscan`, of any length: pixels find local clusters, and shared core points join them.
 
     Four radii of margin make sure that a pixel knows which neighbours of its own points are core points; a wider margin
-    changes nothing. A task holds one pixel; one of more than ``PIXEL_ROWS`` points is cut, into pieces of an order that
-    follows its number of points, as far as the margin lets. Within a piece the work follows the number of cells.
+    changes nothing. A task holds one pixel, or a piece of a crowded one; there the work follows the number of cells.
     """
     key, ra, dec = on
-    margin = max(margin_arcsec, 4 * arcsec)
-    border = border_order(margin)
-    order = min(order, border)
-    sizes = points.groupBy(healpix.pixel(F.col(ra), F.col(dec), order).alias("pixel")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIXEL_ROWS)
-    finer = {r["pixel"]: min(border, order + math.ceil(0.5 * math.log2(r["n"] / PIXEL_ROWS))) for r in sizes.collect()}  # 12,288 pixels at order 5
-    halo = with_halo(points.select(*on), margin, order, on, finer, border)
+    halo = pieces(points, max(margin_arcsec, 4 * arcsec), order, on)
     kind = dict(points.dtypes)[key]
     found = materialise(halo.groupBy("pixel").applyInPandas(lambda pdf: _dbscan_frame(pdf, key, ra, dec, arcsec, least_points), f"{key} {kind}, core boolean, owner boolean, local {kind}"), "local-clusters")
     shared = found.where("core").groupBy(key).agg(F.collect_set("local").alias("all")).where(F.size("all") > 1)  # as many as pixels meet there

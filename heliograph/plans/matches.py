@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.operators import graph
+from heliograph.operators import density, graph
 from heliograph.operators import joins as jn
 from heliograph.plans.adapters import haversine_sql, positions, rounded, sky_sql
 from heliograph.plans.registry import query
+from heliograph.sources.scratch import materialise
 from heliograph.sources.tables import table, with_keys
 
 _ON = lambda key: (key, "ra", "dec")
@@ -135,12 +136,49 @@ def _points(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), (g * 9.0 + F.col("value") / 2000).alias("ra"), (g - 20.0 + strip * 0.02).alias("dec"))
 
 
-@query()
+_PAIRS = "pairs AS (SELECT a.id AS a, b.id AS b, " + haversine_sql("a", "b") + " AS d FROM pts a JOIN pts b ON a.g = b.g AND a.strip = b.strip WHERE " + haversine_sql("a", "b") + " <= {})"
+
+
+@query("WITH RECURSIVE " + _PTS + ", " + _PAIRS.format("3.0") + """, core AS (SELECT a AS id FROM pairs GROUP BY 1 HAVING count(*) >= 3),
+ links AS (SELECT a, b FROM pairs JOIN core x ON x.id = a JOIN core y ON y.id = b), t AS (SELECT id AS node, id AS root FROM core UNION SELECT b, root FROM t JOIN links ON a = node), named AS (SELECT node, min(root) AS cluster FROM t GROUP BY 1)
+SELECT node AS id, cluster FROM named UNION ALL SELECT a AS id, min(cluster) AS cluster FROM pairs JOIN named ON node = b WHERE a NOT IN (SELECT id FROM core) GROUP BY 1""")
 def dbscan(spark: SparkSession, folder: str) -> DataFrame:
-    """Density clusters of all events on the sky; tests hold it against a brute-force version."""
+    """Density clusters of all events on the sky."""
     return graph.dbscan(_points(table(spark, folder, "events")), 3.0, 3)
 
 
+RADII, LEAST = (1.0, 2.0, 3.0, 4.0, 5.0, 6.0), (2, 3, 5, 8)
+_CORES = "cores AS (SELECT a AS id, least, list_sort(list(d))[least] AS core FROM pairs, (SELECT unnest([" + ", ".join(map(str, LEAST)) + "]) AS least) GROUP BY 1, 2 HAVING count(*) >= least)"
+_GRID = "grid AS (SELECT unnest([" + ", ".join(map(str, LEAST)) + "]) AS least, radius FROM (SELECT unnest([" + ", ".join(f"{r}::DOUBLE" for r in RADII) + "]) AS radius))"
+
+
+@query("WITH RECURSIVE " + _PTS + ", " + _PAIRS.format("6.0") + ", " + _CORES + ", " + _GRID + """, known AS (SELECT DISTINCT a AS id FROM pairs JOIN events ON event_id = b WHERE event_type = 'purchase' AND d <= 4.0),
+ joins AS (SELECT a AS id, least, min(greatest(d, core)) AS since FROM pairs JOIN cores ON cores.id = b GROUP BY 1, 2), n AS (SELECT least, radius, count(*) AS n_points, count(known.id) AS n_matched FROM grid JOIN joins USING (least) LEFT JOIN known USING (id) WHERE since <= radius GROUP BY 1, 2),
+ within AS (SELECT id, least, radius FROM cores JOIN grid USING (least) WHERE core <= radius), t AS (SELECT id AS node, id AS root, least, radius FROM within UNION SELECT b, root, t.least, t.radius FROM t JOIN pairs ON a = node AND d <= t.radius JOIN within w ON w.id = b AND w.least = t.least AND w.radius = t.radius),
+ c AS (SELECT least, radius, count(DISTINCT cluster) AS n_clusters FROM (SELECT node, least, radius, min(root) AS cluster FROM t GROUP BY ALL) GROUP BY 1, 2), x AS (SELECT count(*) AS x FROM known)
+SELECT least, radius, coalesce(n_clusters, 0) AS n_clusters, coalesce(n_points, 0) AS n_points, coalesce(n_matched, 0) AS n_matched, round(0.3::DOUBLE * (x - coalesce(n_matched, 0)) / x::DOUBLE + (n_points - n_matched) / n_points::DOUBLE, 6) AS loss FROM grid LEFT JOIN n USING (least, radius) LEFT JOIN c USING (least, radius), x""")
+def clustering_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters, clustered points and loss for each radius and least number of points, off one forest for all of them."""
+    events = table(spark, folder, "events")
+    pts = _points(events)
+    truth = pts.join(events.where("event_type = 'purchase'").select(F.col("event_id").alias("id")), "id", "left_semi")
+    near = jn.within_radius(truth.select(F.col("id").alias("t"), "ra", "dec"), pts, 4.0, ("t", "ra", "dec"), ("id", "ra", "dec")).select("id").distinct()
+    known = materialise(near, "matched")
+    densities, forest = density.density_forest(pts, max(RADII), LEAST)
+    return rounded(density.parameter_grid(densities, forest, known, known.count(), RADII))
+
+
+@query("WITH RECURSIVE " + _PTS + ", " + _PAIRS.format("6.0") + """, cores AS (SELECT a AS id, list_sort(list(d))[4] AS core FROM pairs GROUP BY 1 HAVING count(*) >= 4), r AS (SELECT unnest([2.0::DOUBLE, 4.0::DOUBLE]) AS radius),
+ within AS (SELECT id, radius FROM cores, r WHERE core <= radius), t AS (SELECT id AS node, id AS root, radius FROM within UNION SELECT b, root, t.radius FROM t JOIN pairs ON a = node AND d <= t.radius JOIN within w ON w.id = b AND w.radius = t.radius), named AS (SELECT node, radius, min(root) AS cluster FROM t GROUP BY 1, 2),
+ joins AS (SELECT a AS id, arg_min(b, (greatest(d, core), b)) AS taker, min(greatest(d, core)) AS since FROM pairs JOIN cores ON cores.id = b GROUP BY 1)
+SELECT radius, j.id, cluster FROM joins j JOIN r ON since <= radius LEFT JOIN cores c ON c.id = j.id JOIN named USING (radius) WHERE node = CASE WHEN core <= radius THEN j.id ELSE taker END""")
+def density_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters at two radii, read off the same forest."""
+    densities, forest = density.density_forest(_points(table(spark, folder, "events")), 6.0, [4])
+    at = [density.clusters_at(densities, forest, r, 4).withColumn("radius", F.lit(r)) for r in (2.0, 4.0)]
+    return at[0].unionByName(at[1]).select("radius", "id", "cluster")
+
+
 @query("WITH p AS (" + sky_sql("part", "p_partkey") + ") SELECT p_partkey, round(sqrt((ra - 187.5::DOUBLE) * (ra - 187.5::DOUBLE) + (dec + 2.4::DOUBLE) * (dec + 2.4::DOUBLE)), 6) AS degrees FROM p WHERE ra BETWEEN 177.5 AND 197.5 AND dec BETWEEN -12.4 AND 7.6 AND sqrt((ra - 187.5::DOUBLE) * (ra - 187.5::DOUBLE) + (dec + 2.4::DOUBLE) * (dec + 2.4::DOUBLE)) < 10")
 def box_and_cone(spark: SparkSession, folder: str) -> DataFrame:
     """A box that prunes and a planar cone within it."""

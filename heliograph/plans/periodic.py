@@ -184,8 +184,9 @@ def full_features(spark: SparkSession, folder: str) -> DataFrame:
     """All seventeen statistics and colours, one row for each part."""
     rows = light_curves(spark, folder, "l_partkey").withColumn("period", F.lit(23.3713))
     bands = table(spark, folder, "part").select(F.col("p_partkey").alias("source_id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
-    full = rounded(ft.full_features(rows, LC, "period", [catalog.colours(bands, "size", ["price"])]))
-    return full.withColumns({name: F.round(name, 4) for name in ("gaussian_chi2", "period_significance")})
+    full = ft.full_features(rows, LC, "period", [catalog.colours(bands, "size", ["price"])])
+    rough = ("gaussian_chi2", "period_significance")
+    return full.withColumns({name: F.round(name, 4 if name in rough else 6) for name, kind in full.dtypes if kind == "double"})
 
 
 @query(_PART + f""", p AS (SELECT *, {_PHASE.replace("period", "23.3713::DOUBLE")} * 16 AS p, var_pop(flux) OVER (PARTITION BY source_id) AS va FROM lc), i AS (SELECT unnest(range(16)) AS bin),

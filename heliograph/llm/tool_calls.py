@@ -13,105 +13,25 @@ Defined cases: calls without an identifier are dropped; of calls with one identi
 counts, then the smallest arguments, and of results likewise, both with their number given. A result without a call is
 left out of the links and given by :func:`orphan_results`. Messages with a null conv_id are one conversation. A
 predecessor that is unknown is ignored. Calls in a cycle, and those after one, have a null level and the status ``cycle``.
-Null arguments, and objects with a repeated key, are not valid JSON. A tool without a schema is ``unknown tool``. Extra
-columns are ignored. Empty tables give no rows.
+Null arguments, and objects with a repeated key, are not valid JSON; arguments deeper than Python's parser goes are
+``nested too deep``. A tool without a schema is ``unknown tool``; a schema that can't be decided (see
+:mod:`heliograph.llm.json_schema`) gives the status ``unsupported schema`` and the reason. Extra columns are ignored.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import functools
-import json
-import math
-import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise
+from heliograph.llm.common import discard, materialise
+from heliograph.llm.json_schema import Unsupported, canonical, load_schema, parse, violation
 
 #: Links between the calls of a conversation up to which one task holds them, some hundred bytes each.
 GATHERED_LINKS = 100_000
-_KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-
-def _is(value, kind: str) -> bool:
-    if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and (kind == "number" or value == int(value))
-    return isinstance(value, _KINDS.get(kind, ()))
-
-
-def violation(value, schema: dict, at: str = "$") -> str | None:
-    """First violation of a JSON schema (the keywords used for tool arguments), or None."""
-    kinds = schema.get("type")
-    if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return f"{at}: not of type {kinds if isinstance(kinds, str) else '/'.join(kinds)}"
-    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
-        return f"{at}: not in enum"
-    if "const" in schema and canonical(value) != canonical(schema["const"]):
-        return f"{at}: not the constant"
-    if isinstance(value, str):
-        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", math.inf):
-            return f"{at}: bad length"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            return f"{at}: no match of pattern"
-    if _is(value, "number") and not (schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf)):
-        return f"{at}: out of range"
-    if isinstance(value, list):
-        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", math.inf):
-            return f"{at}: bad number of items"
-        for i, x in enumerate(value):
-            if "items" in schema and (found := violation(x, schema["items"], f"{at}[{i}]")):
-                return found
-    if isinstance(value, dict):
-        for name in schema.get("required", ()):
-            if name not in value:
-                return f"{at}: {name} is missing"
-        own = schema.get("properties", {})
-        for name in sorted(value):
-            if name in own:
-                if found := violation(value[name], own[name], f"{at}.{name}"):
-                    return found
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}: {name} is not allowed"
-    return None
-
-
-def _plain(value):
-    """``value`` with one form for equal numbers: whole ones as integers up to 1e21, beyond that as floats where exact."""
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_plain(v) for v in value]
-    if isinstance(value, float) and value == int(value) and abs(value) < 1e21:
-        return int(value)
-    if isinstance(value, int) and not isinstance(value, bool) and 10**21 <= abs(value) < 10**300 and int(float(value)) == value:
-        return float(value)
-    return value
-
-
-def canonical(value) -> str:
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-
-
-def _finite(number: str) -> float:
-    value = float(number)
-    if not math.isfinite(value):
-        raise ValueError(number)
-    return value
-
-
-def _unrepeated(pairs: list[tuple]) -> dict:
-    out = dict(pairs)
-    if len(out) < len(pairs):
-        raise ValueError("repeated key")
-    return out
-
-
-@functools.lru_cache(maxsize=1000)
-def _schema(text: str | None) -> dict | None:
-    return json.loads(text) if text else None
 
 
 def _serialise(batches):
@@ -121,15 +41,19 @@ def _serialise(batches):
         for r in rows:
             problem, arguments, state = None, None, "ok"
             try:
-                arguments = json.loads(r["arguments"] if r["arguments"] is not None else "", parse_constant=_finite, parse_float=_finite, object_pairs_hook=_unrepeated)
-            except (ValueError, RecursionError):
+                arguments = parse(r["arguments"])
+            except ValueError:
                 problem, state = "not JSON", "invalid"
-            if state == "ok":
-                schema = _schema(r["schema"])
-                if schema is None:
-                    problem, state = "unknown tool", "invalid"
-                elif problem := violation(arguments, schema):
-                    state = "invalid"
+            except RecursionError:
+                problem, state = "nested too deep", "invalid"
+            if state == "ok" and not r["schema"]:
+                problem, state = "unknown tool", "invalid"
+            elif state == "ok":
+                try:
+                    if problem := violation(arguments, load_schema(r["schema"])):
+                        state = "invalid"
+                except (Unsupported, RecursionError) as e:
+                    problem, state = str(e) if isinstance(e, Unsupported) else "circle", "unsupported schema"
             if r["level"] is None:
                 state = "cycle"
             elif state == "ok" and not r["n_results"]:
@@ -209,6 +133,8 @@ def _levels(calls: DataFrame) -> DataFrame:
     large = edges.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GATHERED_LINKS).select("conv")
     large = materialise(large, "large-conversations")
     some = not large.isEmpty()
+    if not some:
+        discard(large)
     small = edges.join(F.broadcast(large) if large.count() < 10_000 else large, "conv", "left_anti") if some else edges
     settled = small.repartition("conv").sortWithinPartitions("conv").mapInArrow(_level_batches, "conv string, call_id string, level int")
     out = free.unionByName(settled.where(F.col("level") > 0))  # calls after none are there already

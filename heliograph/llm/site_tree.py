@@ -3,17 +3,21 @@
 Pages of one host are merged into a style tree whose nodes are paths of tags with their classes, articles included. A
 node's importance joins two entropies over the host's pages: of the child layouts that it shows (presentation), and of the
 texts that it holds - a text on many of the pages says little (content). A text that stays the same on most pages of its
-node is a branch with an importance of its own. Names are weights: an element named as a menu, footer, advert or the like
-lowers the importance of what it holds, an article raises it. Names of html, body and of what the page's article stands in
-don't count. Branches of low weighted importance go from each page; the texts of the blocks left are joined in page order.
+node is a branch with an importance of its own. Names lean: an element whose class, id or role calls it a menu, advert or
+the like multiplies the importance of what it holds by little, and by more the larger its share of the page's text outside
+links; an article raises it. Names that entropies can't speak for (navigation, heads, footers, adverts, readers' comments), and
+those beside a page's article, get no such share. Names of html, body and of what the page's article stands in don't
+count; a class counts if all its parts are such names or words for places and boxes. Branches of low weighted importance go
+from each page; the texts of the blocks left are joined in page order.
 
 Only counts for (host, node, text) are shuffled to build the trees. Decided branches go back to the pages broadcast if they
 are few; else a page's own branches are looked up by a join on host, branch and a salt, so that neither a host's pages nor
 its branches ever meet in one place.
 
-Defined cases: a null html or url is empty, and the text of an empty page is empty. Nodes on fewer than four pages go by
-names alone; of a page of which nothing would be left stays its article, and of that first what names don't lower. Open
-tags at the end of a page and stray end tags do no harm. The time for a page grows with its length, whatever it holds.
+Defined cases: a null html or url is empty, and the text of an empty page is empty. Nodes on fewer than four pages have no
+entropy to speak of and count as half important; of a page of which nothing would be left stays its article, and of that
+first what names don't lower. Open tags at the end of a page and stray end tags do no harm, and no depth is too deep. Time
+and memory for a page grow with its length, whatever it holds: nodes are known by hashes of their paths.
 Repeated rows stay; other columns are kept, but for html, text and n_chars.
 """
 
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import materialise
+from heliograph.llm.common import discard, materialise
 
-LEAST_IMPORTANCE, PRESENTATION_SHARE, LEAST_PAGES = 0.2, 0.1, 4
-#: What an element's names, and an article, multiply importance by.
-NAMED_WEIGHT, ARTICLE_WEIGHT = 0.21, 1.5
+LEAST_IMPORTANCE, PRESENTATION_SHARE, LEAST_PAGES, UNKNOWN = 0.2, 0.1, 4, 0.5
+#: What an element's names multiply importance by, what a share of the page's text adds to that, and what an article multiplies it by.
+NAMED_WEIGHT, SHARE_WEIGHT, ARTICLE_WEIGHT = 0.15, 0.6, 1.5
 #: Decided branches of all hosts up to which they are broadcast, some hundred bytes each; beyond, pages are joined with theirs.
 BROADCAST_NODES, SALTS = 200_000, 16
 # Elements of HTML by role.
@@ -43,9 +47,17 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = set("head script style noscript template iframe object svg math canvas audio video select option textarea button form nav footer header aside menu dialog".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
-UNIMPORTANT = re.compile(
-    r"(?<![a-z])(nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|notice|notices|cookie|cookies|consent|gdpr|banner|ad|ads|adv|advert|adverts|advertisement|promo|sponsor|sponsored|"
-    r"form|search|login|signup|subscribe|newsletter|comment|comments|reply|replies|discussion|disqus|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|pagination|pager|popup|modal|toolbar|widget|skip|copyright|contentinfo|complementary)(?![a-z])"
+UNIMPORTANT = set(
+    "nav navbar navigation menu header masthead footer sidebar side aside notice notices cookie cookies consent gdpr banner ad ads adv advert adverts advertisement promo sponsor sponsored form search login signup subscribe newsletter "
+    "comment comments commentlist reply replies respond discussion disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager popup modal toolbar widget skip copyright contentinfo complementary".split()
+)
+#: Of those, names of what can be long and different on every page, and still isn't main text; elements that always are such.
+NEVER_MAIN = set("nav navbar navigation menu header masthead banner breadcrumb breadcrumbs pagination pager skip copyright ad ads adv advert adverts advertisement footer side sidebar aside comment comments commentlist reply replies respond discussion disqus related recommended contentinfo complementary".split())
+NEVER_MAIN_TAGS = DROPPED - {"form", "header"}
+#: Parts of a class that say where, how large or for whom, and nothing about what.
+NEUTRAL = set(
+    "main site page global primary secondary top bottom left right inner outer upper lower first last bar box boxes list lists item items area section sections wrapper wrap container block inline row col column panel slot unit link links button buttons icon icons "
+    "group tag tags body content text title author user users reader readers visitor post posts article articles entry story stories thread count message messages the js is has small large mobile desktop sticky fixed row wide full home web region zone policy up in out bg overlay".split()
 )
 IMPORTANT = re.compile(r"(?<![a-z])(articlebody|main)(?![a-z])")
 RAW = {tag: re.compile(f"</{tag}\\s*>", re.I) for tag in "script style noscript template textarea iframe svg title".split()}
@@ -54,21 +66,39 @@ _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _COMMENT_END = re.compile(r"--!?>")
 #: Characters after a tag's name that are tried in one go; longer tags are found by way of all quotes of the page.
 TAG_CHARS = 512
-#: Elements within each other that a tree tells apart, as browsers do; deeper ones are part of the last of them.
-DEEPEST = 512
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-@functools.lru_cache(maxsize=50_000)
-def _described(tag: str, rest: str) -> tuple[str, bool, bool]:
-    """Name of an element in the tree, and whether its names call it unimportant or an article."""
-    names = " ".join(sorted({(a or b or c).lower() for _, a, b, c in _NAMES.findall(rest)})) if "=" in rest else ""
+_PARTS = re.compile(r"[a-z]+")
+
+
+def _called(names: str) -> tuple[bool, bool]:
+    """Whether names call an element unimportant, and such that it never is main text: by single classes, all parts of which are telling or neutral."""
+    lowered = never = False
+    for name in names.split():
+        parts = set(_PARTS.findall(name))
+        if parts & UNIMPORTANT and parts <= UNIMPORTANT | NEUTRAL:
+            lowered = True
+            never |= bool(parts & NEVER_MAIN)
+    return lowered, never
+
+
+def _describe(tag: str, rest: str) -> tuple[int, bool, bool, bool, bool]:
+    names = " ".join(sorted({(a or b or c) for _, a, b, c in _NAMES.findall(rest)})) if "=" in rest else ""
     words = re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()
-    lowered = bool(names and UNIMPORTANT.search(words))
+    lowered, never = _called(words)
     article = tag in ("article", "main") or bool(names and not lowered and IMPORTANT.search(words))
-    unimportant = tag in DROPPED or (lowered and not article and tag not in ("html", "body"))
-    return f"{tag}.{names}" if names else tag, unimportant, article
+    lowered = lowered and not article and tag not in ("html", "body")
+    return _code(f"{tag}.{names.lower()}" if names else tag), lowered, tag in DROPPED, article, (lowered and never) or tag in NEVER_MAIN_TAGS
+
+
+_kept_descriptions = functools.lru_cache(maxsize=20_000)(_describe)
+
+
+def _described(tag: str, rest: str) -> tuple[int, bool, bool, bool, bool]:
+    """Code of an element in the tree; whether its names, or its tag, call it unimportant, an article, and never main text."""
+    return (_kept_descriptions if len(rest) < 500 else _describe)(tag, rest)
 
 
 class _TagEnds:
@@ -130,80 +160,155 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
             yield start, at, None, False, ""
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool, bool]], dict[str, str]]:
-    """Blocks of a page (path, text, unimportant by name, within an article), and each path's child layout."""
-    blocks: list[tuple[str, str, tuple[int, ...], int]] = []
-    layouts: dict[str, list[str]] = {}
-    # tag, path, the elements around that names call unimportant, and the outermost article; both by number
-    stack: list[tuple[str, str, tuple[int, ...], int]] = [("", "", (), 0)]
-    held: dict[int, tuple[int, ...]] = {}
-    number = 0
+class _Open:
+    """Open elements of a page, with the places of each tag and of the kinds that close others, so that no end tag is searched for."""
+
+    __slots__ = ("kinds", "stack", "tags")
+
+    def __init__(self):
+        # tag, node, innermost element around that names call unimportant, whether one never is main text, outermost article; elements by number
+        self.stack: list[tuple[str, int, int, bool, int]] = [("", 0, 0, False, 0)]
+        self.tags: dict[str, list[int]] = {}
+        self.kinds: dict[str, list[int]] = {"block": [], "closer": [], "list": []}
+
+    def push(self, tag: str, *rest) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, *rest))
+        self.tags.setdefault(tag, []).append(at)
+        for kind in _kinds_of(tag):
+            self.kinds[kind].append(at)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        for tag, *_ in reversed(self.stack[depth:]):
+            self.tags[tag].pop()
+            for kind in _kinds_of(tag):
+                self.kinds[kind].pop()
+        del self.stack[depth:]
+
+    def last(self, kind: str) -> int:
+        return self.kinds[kind][-1] if self.kinds[kind] else 0
+
+
+@functools.lru_cache(maxsize=1000)
+def _kinds_of(tag: str) -> tuple[str, ...]:
+    block = ("block",) if tag in BLOCKS or tag in DROPPED else ()
+    return (*block, *(("closer",) if tag in CLOSES_P else ()), *(("list",) if tag in ("li", "dd", "dt", "ul", "ol", "dl") else ()))
+
+
+def parse(page: str) -> tuple[list[tuple[int, str, bool, bool, float]], dict[int, int]]:
+    """Blocks of a page (node, text, unimportant by name, within an article, weight of its importance), and a code of each node's child layout."""
+    blocks: list[tuple[int, str, int, bool, int]] = []
+    layouts: dict[int, tuple[int, int]] = {}  # last child and code so far
+    around = _Open()
+    tagged: set[int] = set()  # articles by their tag
+    held: dict[int, int] = {}  # articles, and the innermost unimportant element that each stands in
+    up: list[int] = [0]  # unimportant elements in order, each with the one that it stands in
+    sizes, linked = [0], [0]
     text: list[str] = []
-    where = stack[-1]
+    where, anchors, links = around.stack[-1], 0, 0
 
     def flush() -> None:
+        nonlocal links
         if text:
             joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                blocks.append((where[1], joined, where[2], where[3]))
+                blocks.append((where[1], joined, where[2], where[3], where[4]))
+                sizes[where[2]] += len(joined)
+                linked[where[2]] += min(links, len(joined))
+        links = 0
 
-    at = beyond = 0
+    at = number = 0
     for start, end, tag, closes, rest in tokens(page):
         if start > at:
             if not text:
-                where = stack[-1]
+                where = around.stack[-1]
             text.append(page[at:start])
+            links += (start - at) * (anchors > 0)
         at = end
         if tag is None:
             continue
+        block = tag in BLOCKS or tag in DROPPED
         if closes:
-            if tag in BLOCKS or tag in DROPPED:
+            if block:
                 flush()
-            if beyond and tag not in VOID:
-                beyond -= 1
-                continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            anchors -= tag == "a" and anchors > 0
+            own = around.tags.get(tag)
             # an inline end tag doesn't close the block that it stands in
-            if depth and (tag in BLOCKS or tag in DROPPED or not any(s[0] in BLOCKS for s in stack[depth + 1 :])):
-                del stack[depth:]
+            if own and (block or around.last("block") < own[-1]):
+                around.cut(own[-1])
             continue
         if tag == "br":
             text.append(" ")
             continue
-        if tag in BLOCKS or tag in DROPPED:
+        if block:
             flush()
-            if tag in CLOSES_P:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in CLOSES_P), 0)
-                if depth and stack[depth][0] == "p":
-                    del stack[depth:]
-            if tag in ("li", "dd", "dt") and (depth := next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("li", "dd", "dt", "ul", "ol", "dl")), 0)) and stack[depth][0] in ("li", "dd", "dt"):
-                del stack[depth:]
-        name, unimportant, article = _described(tag, rest)
-        _, path, low, inside = stack[-1]
+            anchors = 0
+            depth = around.last("closer")
+            if tag in CLOSES_P and depth and around.stack[depth][0] == "p":
+                around.cut(depth)
+            depth = around.last("list")
+            if tag in ("li", "dd", "dt") and depth and around.stack[depth][0] in ("li", "dd", "dt"):
+                around.cut(depth)
+        if tag in VOID or rest.rstrip().endswith("/"):
+            continue
+        anchors += tag == "a"
+        name, lowered, by_tag, article, never = _described(tag, rest)
+        _, node, low, lost, inside = around.stack[-1]
         number += 1
-        if len(stack) > DEEPEST and tag not in VOID and not rest.rstrip().endswith("/"):
-            beyond += 1
-        elif tag not in VOID and not rest.rstrip().endswith("/"):
-            if tag in BLOCKS or tag in DROPPED or unimportant:
-                own = layouts.setdefault(path, [])
-                if not own or own[-1] != name:
-                    own.append(name)
-                path = f"{path}/{name}"
-            if article and not inside:
-                held[number] = low
-            stack.append((tag, path, (*low, number) if unimportant else low, inside or (number if article else 0)))
+        unimportant = lowered or (by_tag and not (tag == "header" and inside))  # an article's own header has its title
+        if block or unimportant:
+            last, code = layouts.get(node, (0, 0))
+            if last != name:
+                layouts[node] = (name, _step(code, name))
+            node = _step(node, name)
+        if article and not inside:
+            held[number] = low
+            if tag in ("article", "main"):
+                tagged.add(number)
+        if unimportant:
+            up.append(low)
+            sizes.append(0), linked.append(0)
+            low = len(up) - 1
+        around.push(tag, node, low, lost or never, inside or (number if article else 0))
     if at < len(page):
         if not text:
-            where = stack[-1]
+            where = around.stack[-1]
         text.append(page[at:])
+        links += (len(page) - at) * (anchors > 0)
     flush()
-    sizes: Counter = Counter()
-    for _, joined, _, inside in blocks:
+    own: Counter = Counter()
+    for _, joined, _, _, inside in blocks:
         if inside:
-            sizes[inside] += len(joined)
-    around = set(held[max(sizes, key=sizes.get)]) if sizes else set()  # what the longest article stands in
-    return [(path, joined, not around.issuperset(low), bool(inside)) for path, joined, low, inside in blocks], {path: ",".join(own) for path, own in layouts.items()}
+            own[inside] += len(joined)
+    for k in range(len(up) - 1, 0, -1):  # an element holds what elements in it hold
+        sizes[up[k]] += sizes[k]
+        linked[up[k]] += linked[k]
+    without = {0}  # unimportant elements that the longest article stands in, whose names don't count
+    low = held[max(own, key=own.get)] if own else 0
+    while low:
+        without.add(low)
+        low = up[low]
+    out = []
+    for node, joined, low, lost, inside in blocks:
+        if low in without:
+            out.append((node, joined, False, bool(inside), ARTICLE_WEIGHT if inside else 1.0))
+        else:  # what stands beside an article has no share to speak for it
+            share = 0.0 if lost or (not inside and not tagged.isdisjoint(own)) else (sizes[low] - linked[low]) / sizes[0]
+            out.append((node, joined, True, bool(inside), NAMED_WEIGHT + SHARE_WEIGHT * share))
+    return out, {node: code for node, (_, code) in layouts.items()}
+
+
+def _step(node: int, name: int) -> int:
+    """Code of a child with the code ``name`` of the node ``node``: multiplied and mixed 64-bit numbers, as Python's integers."""
+    x = (node * 0x9E3779B97F4A7C15 + name) & _ALL
+    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & _ALL
+    x ^= x >> 29
+    return x - (x >> 63 << 64)
+
+
+_ALL = (1 << 64) - 1
 
 
 def main_text(page: str | None, low: set[int] | dict[int, float]) -> str:
@@ -211,12 +316,9 @@ def main_text(page: str | None, low: set[int] | dict[int, float]) -> str:
     blocks, _ = parse(page or "")
     known = low if isinstance(low, dict) else dict.fromkeys(low, 0.0)
 
-    def stays(path: str, text: str, named: bool, inside: bool) -> bool:
-        node = _code(path) if known else 0
+    def stays(node: int, text: str, named: bool, inside: bool, weight: float) -> bool:
         values = [known[c] for c in (node, _branch(node, _code(text))) if c in known] if known else []
-        if not values:
-            return not named
-        return min(values) * (NAMED_WEIGHT if named else 1) * (ARTICLE_WEIGHT if inside and not named else 1) >= LEAST_IMPORTANCE
+        return (min(values) if values else UNKNOWN) * weight >= LEAST_IMPORTANCE
 
     kept = [b[1] for b in blocks if stays(*b)]
     article = [b for b in blocks if b[3]]
@@ -229,8 +331,9 @@ def _branch(node: int, text: int) -> int:
     return value - (value >> 63 << 64)
 
 
-def _code(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _code(text: str | int) -> int:
+    """The number of a text; a number stands for itself."""
+    return text if isinstance(text, int) else int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _host(column: str):
@@ -242,12 +345,12 @@ def _count_batches(batches):
         found: Counter = Counter()
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             blocks, layouts = parse(page or "")
-            own = {(p, t) for p, t, _, _ in blocks}
-            found.update((host, _code(p), "n", 0) for p in {p for p, _, named, _ in blocks if named})
-            nodes = {p for p, _ in own}
-            found.update((host, _code(p), "t", _code(t)) for p, t in own)
-            found.update((host, _code(p), "p", 0) for p in nodes)
-            found.update((host, _code(p), "l", _code(layouts.get(p, ""))) for p in nodes)
+            own = {(node, _code(text)) for node, text, *_ in blocks}
+            found.update((host, node, "n", 0) for node in {b[0] for b in blocks if b[2]})
+            nodes = {node for node, _ in own}
+            found.update((host, node, "t", text) for node, text in own)
+            found.update((host, node, "p", 0) for node in nodes)
+            found.update((host, node, "l", layouts.get(node, 0)) for node in nodes)
         if found:
             columns = [*zip(*found)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array([*found.values()], pa.int64())], ["host", "node", "kind", "feature", "n"])
@@ -259,8 +362,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     With m pages, content importance is 1 less the mean of ln(n) / ln(m) over a node's texts, n the pages with the text;
     presentation importance is the entropy of its layouts to the base m. A text on many pages has a row besides its node.
     """
+    return _importance(_site_counts(pages))
+
+
+def _site_counts(pages: DataFrame) -> DataFrame:
     counts = pages.select(_host("url").alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_count_batches, "host string, node long, kind string, feature long, n long")
-    counts = materialise(counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "site-counts")
+    return materialise(counts.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "site-counts")
+
+
+def _importance(counts: DataFrame) -> DataFrame:
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value))
     n = F.col("n").cast("double")
     nodes = counts.groupBy("host", "node").agg(of("p", n).alias("pages"), of("n", n).isNotNull().alias("named"), of("t", F.log(n)).alias("logs"), of("t", F.lit(1.0)).alias("texts"), of("l", n * F.log(n)).alias("layout_logs"))
@@ -304,8 +414,7 @@ def _branch_batches(batches):
         at, codes = [], []
         for i, page in enumerate(batch.column("html").to_pylist()):
             own = set()
-            for path, text, _, _ in parse(page or "")[0]:
-                node = _code(path)
+            for node, text, *_ in parse(page or "")[0]:
                 own |= {node, _branch(node, _code(text))}
             at += [i] * len(own)
             codes += own
@@ -314,8 +423,10 @@ def _branch_batches(batches):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """``pages`` (page_id, url, html, ...) with text and n_chars instead of html."""
-    low = style_tree(pages).where((F.col("importance") < LEAST_IMPORTANCE) | (F.col("named") & (F.col("importance") >= LEAST_IMPORTANCE / NAMED_WEIGHT)))
+    counts = _site_counts(pages)
+    low = _importance(counts).where((F.col("importance") < LEAST_IMPORTANCE) | F.col("named"))
     low = materialise(low.groupBy(F.col("host").alias("_of"), F.col("node").alias("code")).agg(F.min("importance").alias("importance")), "site-trees")
+    discard(counts)
     rows = pages.drop("text", "n_chars", "_of", "_a", "_b", "_known").withColumn("html", F.col("html").cast("string")).withColumn("_of", _host("url"))
     schema = rows.drop("html", "_of").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
     if low.count() <= BROADCAST_NODES:

@@ -7,7 +7,7 @@ A text is split at candidates, of these kinds:
 * private key blocks; credentials in addresses (``://user:secret@``); words with a prefix that services give their keys;
 * runs of 16 or more key-like characters with a digit.
 
-Nothing else is looked at: a secret of words, or of fewer than 16 characters, that nothing announces is missed.
+A candidate is the whole value, however long. Nothing else is looked at: a secret of words, or of fewer than 16 characters, that nothing announces is missed.
 
 Each candidate keeps the text before and after it. Features are its length, character transitions, the share of its
 letters that dictionary words cover, its path (the row's source and any path it stands in) and the neighbouring words.
@@ -25,6 +25,7 @@ without labelled findings of both kinds calls every candidate a secret. Rows, re
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -53,11 +54,11 @@ KEY_PREFIXES = [
 ]
 PLACEHOLDERS = r"(?i)^(<.*|\$.*|%.*|\{.*|\[.*|(.)\2{3,}|.*(changeme|change_me|example|placeholder|redacted|dummy|sample|insert|your).*|(none|null|true|false|todo|test|nothing|undefined).*)$"
 _ANNOUNCED = r"(?<![A-Za-z0-9])(?i:(?:[a-z0-9]{1,20}[_\-])?(?:" + "|".join(re.escape(w) for w in sorted(SECRET_WORDS, key=len, reverse=True)) + r")(?:[_\-][a-z0-9]{1,20})?[\"']?\s{0,3}[=:]\s{0,3})"
-_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,20000}-----END [A-Z ]{0,20}PRIVATE KEY-----"
+_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----"
 _RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: Odd groups hold what stays before a value, even ones and the last the value.
 CANDIDATE = (
-    f"({_ANNOUNCED}[\"'])" + r"([^\"'\n]{4,200})(?=[\"'])|" + f"({_ANNOUNCED})" + r"([^\s\"'<>,;]{6,200})|(://[^\s/:@]{1,64}:)([^\s/@]{3,128})(?=@)|"
+    f"({_ANNOUNCED}[\"'])" + r"([^\"'\n]{4,})(?=[\"'])|" + f"({_ANNOUNCED})" + r"([^\s\"'<>,;]{6,})|(://[^\s/:@]+:)([^\s/@]{3,})(?=@)|"
     + f"({_BLOCK}|(?<![A-Za-z0-9])(?:{'|'.join(KEY_PREFIXES)})(?![A-Za-z0-9])|{_RUN})"
 )
 FEATURES = [
@@ -100,7 +101,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column, dic
         "other_share": share("[A-Za-z0-9]"),
         "blanks": F.char_length(F.regexp_replace(candidate, "\\S", "")),
         "known_form": candidate.rlike(f"^({'|'.join(KEY_PREFIXES)})$") | candidate.startswith("-----BEGIN "),
-        "in_address": tail.rlike(r"://[^\s/:@]{1,64}:$"),
+        "in_address": tail.rlike(r"://[^\s/:@]+:$"),
         "placeholder": candidate.rlike(PLACEHOLDERS),
     }
     return {name: F.coalesce(c.cast("double"), F.lit(0.0)) for name, c in out.items()}
@@ -200,7 +201,7 @@ def _expression(tree: str) -> str:
 
 
 class Forest:
-    """A fitted forest: SQL expressions of its trees, and the dictionary that its features use."""
+    """A fitted forest: SQL expressions of its trees, and the dictionary that its features use; kept as JSON, it scans other tables as it is."""
 
     def __init__(self, trees: list[str], dictionary: list[str]):
         self.trees, self.dictionary = trees, dictionary
@@ -213,6 +214,15 @@ class Forest:
         return "(" + " + ".join(votes) + f") / {len(votes)}D"
 
 
+    def to_json(self) -> str:
+        return json.dumps({"trees": self.trees, "dictionary": self.dictionary})
+
+    @classmethod
+    def from_json(cls, text: str) -> Forest:
+        kept = json.loads(text)
+        return cls(kept["trees"], kept["dictionary"])
+
+
 def _featured(findings: DataFrame, dictionary: list[str]) -> DataFrame:
     known = findings.where(F.col("candidate").isNotNull() & F.col("is_secret").isNotNull()).select(F.coalesce("before", F.lit("")).alias("before"), "candidate", F.coalesce("after", F.lit("")).alias("after"), "path", F.col("is_secret").cast("double").alias("label"))
     return known.select("label", *[c.alias(n) for n, c in features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), dictionary).items()])

@@ -260,6 +260,32 @@ def test_forest_on_shapes_it_has_not_seen(spark):
     assert right / total > 0.75
 
 
+def test_precision_and_recall_of_unseen_shapes(spark):
+    """For each third of the shapes left out of the fit; the figures are in the README."""
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents")
+    made, words = secret_scan.findings_from_texts(docs).cache(), secret_scan.common_words(docs)
+    figures = []
+    for fold in range(3):
+        forest = secret_scan.Forest.from_json(secret_scan.fit_forest(made.where(f"shape % 3 <> {fold}"), words).to_json())
+        rows = made.where(f"shape % 3 = {fold}").withColumn("x", F.struct(*[c.alias(n) for n, c in secret_scan.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), words).items()]))
+        got = rows.select("is_secret", (F.expr(forest.score("x")) >= 0.5).cast("int").alias("p")).toPandas()
+        hits = ((got["p"] == 1) & (got["is_secret"] == 1)).sum()
+        figures.append((round(hits / (got["p"] == 1).sum(), 3), round(hits / (got["is_secret"] == 1).sum(), 3)))
+    assert all(precision > 0.55 and recall > 0.35 for precision, recall in figures)
+
+
+def test_long_values_are_whole(spark):
+    """Keys of any length are candidates and go as a whole, in a time that grows with the text."""
+    values = {360: 'token = {} end', 5_000: 'password = "{}" end', 300: "https://{u}:{}@host.org", 30_000: "-----BEGIN PRIVATE KEY-----{}-----END PRIVATE KEY-----"}
+    texts = [form.format("aB3x" * (n // 4), u="user" * 40) for n, form in values.items()]
+    out = secret_scan.redact(spark.createDataFrame([(t,) for t in texts], "text string"), secret_scan.Forest([], [])).collect()
+    assert [r["text"] for r in out] == ["token = [SECRET] end", 'password = "[SECRET]" end', "https://" + "user" * 40 + ":[SECRET]@host.org", "[SECRET]"]
+    for piece in ('password="', "token= ", "://a:", "-----BEGIN PRIVATE KEY-----", "password = 'x y ", "a1" * 50 + "@"):
+        text = piece * (1_000_000 // len(piece))
+        whole = secret_scan.scan(spark.createDataFrame([(text,)], "text string"), secret_scan.Forest([], [])).select(F.array_join("pieces", "").alias("t")).first()["t"]
+        assert whole == text
+
+
 def test_forest_depends_on_the_findings_alone(spark):
     made = secret_scan.findings_from_texts(common.read_table(spark, "/root/testdata/sf0.01", "documents"))
     one, seven = (secret_scan.fit_forest(made.repartition(n), ["the", "and"]) for n in (1, 7))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from heliograph.plans import assembly, curves, matches, models, periodic, scalars, storage  # noqa: E402, F401
+from heliograph.plans import assembly, curves, learning, matches, models, periodic, scalars, storage  # noqa: E402, F401

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +171,79 @@ def belt_cover(spark: SparkSession, latitude: float, order: int, finer: int = 3)
     return pixels.where(F.abs(geo.galactic_latitude(ra, dec)) < latitude).select(F.shiftright("id", 2 * finer).cast("long").alias("pixel")).distinct()
 
 
+def reach(order: int) -> float:
+    """Degrees from a pixel's centre within which all of any pixel of that order lies: half the longest diagonal, that of the pixels beside a cap's corner."""
+    side = 1 << order
+    one, two = 2 / 3, 1 - (1 - 1 / side) ** 2 / 3
+    cosine = one * two + math.sqrt(1 - one * one) * math.sqrt(max(0.0, 1 - two * two)) * math.cos(math.pi / (4 * side))
+    return math.degrees(math.acos(min(1.0, cosine))) * (1 + 1e-9)
+
+
+def centres(nested: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`centre` for arrays."""
+    side, inside = 1 << order, nested & ((1 << 2 * order) - 1)
+    face, x, y = nested >> 2 * order, np.zeros_like(nested), np.zeros_like(nested)
+    for k in range(order):
+        x |= (inside >> 2 * k & 1) << k
+        y |= (inside >> 2 * k + 1 & 1) << k
+    ring = ((face >> 2) + 2) * side - x - y - 1
+    quarter = np.where(ring < side, ring, np.where(ring > 3 * side, 4 * side - ring, side))
+    shifted = np.where((ring < side) | (ring > 3 * side), 0, (ring - side) & 1)
+    place = (2 * (face & 3) + (face >> 2 != 1)) * quarter + x - y + 1 + shifted >> 1
+    cap = quarter * quarter / (3.0 * side * side)
+    z = np.where(ring < side, 1 - cap, np.where(ring > 3 * side, cap - 1, (2 * side - ring) * 2 / (3.0 * side)))
+    return np.mod((place - (shifted + 1) * 0.5) * 90 / quarter, 360.0), np.degrees(np.arcsin(z))
+
+
+def tree_cover(spark: SparkSession, outside: Callable[[np.ndarray, np.ndarray], np.ndarray], orders: Sequence[int], finer: int = 3) -> DataFrame:
+    """(order, pixel) of all pixels that meet a region, by descent in the tree of nested pixels.
+
+    ``outside(ra, dec)`` gives the degrees from positions to the region, 0 or less inside. A pixel is followed while its
+    centre is no further away than it reaches, so none that meets the region is left out; following it ``finer`` orders
+    below the finest asked for leaves out all but those that come within a thin rim. Tasks start from pixels nine orders
+    above the last, so that a task holds a quarter of a million of them at most.
+    """
+    wanted, last = sorted(set(orders)), max(orders) + finer
+    start = max(0, last - 9)
+
+    def run(batches):
+        for batch in batches:
+            pixels = batch.column("id").to_numpy()
+            for first in pixels[outside(*centres(pixels, start)) <= reach(start)]:
+                own = np.array([first])
+                for order in range(start + 1, last + 1):
+                    own = (4 * own[:, None] + np.arange(4)).ravel()
+                    own = own[outside(*centres(own, order)) <= reach(order)]
+                for order in wanted:
+                    found = np.unique(own >> 2 * (last - order))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), order, np.int32)), pa.array(found)], ["order", "pixel"])
+
+    found = spark.range(12 << 2 * start).mapInArrow(run, "order int, pixel long")
+    return found.distinct() if min(wanted) < start else found
+
+
+def from_circle(ra0: float, dec0: float, radius: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Degrees from positions to a filled circle."""
+
+    def outside(ra, dec):
+        d, half = np.radians(dec), np.sin(np.radians(ra - ra0) / 2)
+        h = np.sin((d - math.radians(dec0)) / 2) ** 2 + np.cos(d) * math.cos(math.radians(dec0)) * half * half
+        return np.degrees(2 * np.arcsin(np.sqrt(np.minimum(1.0, h)))) - radius
+
+    return outside
+
+
+def from_belt(latitude: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Degrees from positions to the belt around the galactic plane."""
+
+    def outside(ra, dec):
+        d, pole = np.radians(dec), math.radians(geo.POLE_DEC)
+        s = np.sin(d) * math.sin(pole) + np.cos(d) * math.cos(pole) * np.cos(np.radians(ra - geo.POLE_RA))
+        return np.abs(np.degrees(np.arcsin(np.clip(s, -1, 1)))) - latitude
+
+    return outside
+
+
 def subdivision_order(rows: Column) -> Column:
     """Order into which a partition of ``rows`` rows is cut so that pieces fit in memory; never coarser than 5."""
     small = F.ceil(0.5 * F.log2(rows / 19e6))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.sources.scratch import discard, materialise
+
 #: Shares of the kinds in five sources, and the class of each: 0 quiet, 1 transient, 2 periodic.
 KINDS = ["quiet", "quiet", "transient", "pulsating", "eclipsing"]
 CLASSES = {"quiet": 0, "transient": 1, "pulsating": 2, "eclipsing": 2}
@@ -44,6 +47,95 @@ def light_curves(keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.select(key, "kind", label.alias("label"), "period", "mjd", flux.alias("flux"), F.lit(1.0).alias("sig"))
 
 
+#: Attempts drawn at a time for curves that may be refused, and points of a curve that is taken.
+ATTEMPTS, LEAST_VISITS = 8, 40
+#: Values of a pulse's control grid, its zeros at both ends, and the reach of the kernel that smooths it.
+GRID, MARGIN, KERNEL = 110, 13, 40
+
+
+def visits(keys: DataFrame, key: str, *parts: Column) -> DataFrame:
+    """Visits (mjd, season, visit) of each row of ``keys``: bursts every season, over ten years."""
+    rows = keys.withColumn("season", F.explode(F.sequence(F.lit(0), F.lit(int(SPAN // SEASON))))).withColumn("visit", F.explode(F.sequence(F.lit(0), F.lit(VISITS - 1))))
+    return rows.withColumn("mjd", F.col("season") * SEASON + 10 * uniform(F.col(key), *parts, F.col("season")) + F.col("visit") * STEP)
+
+
+def _log_normal(x: Column, duration: Column, width: Column, centre: Column) -> Column:
+    away = F.acosh(duration / x) - centre
+    return F.exp(-away * away / (2 * width * width)) / (x * width * math.sqrt(2 * math.pi))
+
+
+def _burst(keys: DataFrame, key: str, s: Column) -> DataFrame:
+    """Visits of bursts for each (key, attempt), those that are seen: some only while the burst lasts, some sparse elsewhere."""
+    k, n = F.col(key), F.col("attempt")
+    draw = lambda what, low=0.0, high=1.0: between(low, high, k, s, n, F.lit(what))
+    rows = keys.withColumns({
+        "_sigma": F.pow(F.lit(10.0), draw("sigma", 0.0, 1.0)), "_base": 50 + 150 * draw("base"), "_only": draw("only") < 0.5, "_sparse": draw("sparse") < 0.4, "_gone": draw("gone", 0.4, 1.0),
+        "_wide": F.pow(F.lit(3.0), draw("wide")), "_duration": draw("duration", 300.0, 2000.0), "_width": draw("width", 0.9, 1.75), "_centre": draw("centre", 1.0, 1.75), "_missed": F.greatest(F.lit(0.0), draw("missed", -0.25, 0.15)),
+    })
+    rows = rows.withColumns({"_amp": F.col("_sigma") * F.pow(F.lit(10.0), draw("amp", 0.5, 1.75)), "_start": draw("start") * (4000 - F.col("_duration"))})
+    rows = visits(rows, key, s, n).where(uniform(k, s, n, F.col("season"), F.lit("missed")) >= F.col("_missed"))
+    x, length = F.col("mjd") - F.col("_start"), F.col("_duration")
+    during = (x > 0) & (x < length)
+    top = length * (F.exp(-F.col("_width")) - 0.065)
+    raw = lambda at: _log_normal(at, length, F.col("_width"), F.col("_centre"))
+    level = F.when(during, F.col("_base") + F.col("_amp") / raw(top) * (raw(x) - raw(length))).otherwise(F.col("_base"))
+    far = ~during | (x > 0.5 * length)
+    hidden = (F.col("_only") & (far | (during & (x < top)))) | (F.col("_sparse") & far & (uniform(k, s, n, F.col("mjd"), F.lit("gone")) < F.col("_gone")))
+    spread = F.col("_sigma") * F.when(during & (x < 200), F.col("_wide")).otherwise(1.0)
+    flux = level + F.col("_sigma") * normal(k, s, n, F.col("mjd"))
+    return rows.where(~hidden).select(key, "attempt", "mjd", flux.alias("flux"), spread.alias("sig"), length.alias("duration"), F.col("_start").alias("start"))
+
+
+def bursts(keys: DataFrame, key: str, seed: int = 0, least: int = LEAST_VISITS) -> DataFrame:
+    """A log-normal burst for each key, drawn again until ``least`` visits of it are seen: the first attempt that has them.
+
+    Attempts are numbered, and each draws from its own number, so that a curve depends on key and seed alone. Attempts are
+    counted ``ATTEMPTS`` at a time, for those keys only that still lack one; the counts of a round are written.
+    """
+    s, parts, first = F.lit(seed), [], 0
+    left = keys.select(key).distinct()
+    while True:
+        tries = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + ATTEMPTS - 1))))
+        seen = _burst(tries, key, s).groupBy(key, "attempt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        taken = materialise(seen.groupBy(key).agg(F.min("attempt").alias("attempt")), "attempts")
+        parts.append(taken)
+        rest = materialise(left.join(taken, key, "left_anti"), "attempts-left")
+        if first:
+            discard(left)
+        left, first = rest, first + ATTEMPTS
+        if left.isEmpty():
+            discard(left)
+            return _burst(reduce(DataFrame.unionByName, parts), key, s)
+
+
+def pulses(keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Pulsating curves of random shape (key, mjd, flux, sig, period, grid): two or three peaks of alternating sign.
+
+    Peaks stand on a control grid of ``GRID`` values; a sum of bells, as far as ``KERNEL`` reaches, smooths them; the
+    grid between margins of zeros is scaled to the amplitude, and read between its values at each visit's phase.
+    """
+    k, s = F.col(key), F.lit(seed)
+    draw = lambda what, low=0.0, high=1.0: between(low, high, k, s, F.lit(what))
+    band = draw("band")
+    period = F.when(band < 0.3, draw("p0", 0.1, 3.0)).when(band < 0.8, draw("p1", 3.0, 100.0)).when(band < 0.95, draw("p2", 100.0, 1000.0)).otherwise(draw("p3", 1000.0, 4000.0))
+    sigma = F.pow(F.lit(10.0), draw("sigma"))
+    peaks = F.when(draw("peaks") < 0.5, 2).otherwise(3)
+    span = F.lit(float(GRID)) / peaks
+    centre = lambda i: F.floor(span * i + 1 + uniform(k, s, i, F.lit("at")) * (span - 1 - KERNEL / 2)) + MARGIN
+    height = lambda i: F.when(i % 2 == 0, 1.0).otherwise(-1.0) * (0.15 + 0.85 * uniform(k, s, i, F.lit("height")))
+    of = F.transform(F.sequence(F.lit(0), peaks - 1), lambda i: F.struct(centre(i).alias("c"), height(i).alias("h")))
+    rows = keys.select(key).distinct().withColumns({"period": period, "sig": sigma, "_of": of, "_soft": KERNEL * draw("soft", 4.0, 9.0), "_amp": 3 * sigma + F.abs(2.5 * sigma * normal(k, s, F.lit("amp"))), "_base": 50 + 150 * draw("base")})
+    bell = lambda g, p: F.when(F.abs(g - p["c"]) <= KERNEL, p["h"] * F.exp(-(g - p["c"]) * (g - p["c"]) / F.col("_soft"))).otherwise(0.0)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(GRID + 2 * MARGIN - 1)), lambda g: F.aggregate("_of", F.lit(0.0), lambda total, p: total + bell(g, p)))
+    rows = rows.withColumn("_grid", grid)
+    rows = rows.withColumn("_top", F.array_max(F.transform("_grid", F.abs))).withColumn("grid", F.transform("_grid", lambda v: F.col("_base") + F.col("_amp") * v / F.col("_top")))
+    rows = visits(rows.drop("_grid", "_top", "_of", "_soft"), key, s)
+    place = (F.size("grid") - 1) * F.pmod(F.col("mjd"), F.col("period")) / F.col("period")
+    at = lambda i: F.get("grid", i.cast("int"))
+    level = at(F.floor(place)) + (at(F.ceil(place)) - at(F.floor(place))) * (place - F.floor(place))
+    return rows.select(key, "mjd", (level + F.col("sig") * normal(k, s, F.col("mjd"))).alias("flux"), "sig", "period", "grid")
+
+
 def between(low: float, high: float, *parts: Column) -> Column:
     return low + (high - low) * uniform(*parts)
 

@@ -209,3 +209,19 @@ def pixel_halo(spark: SparkSession, folder: str) -> DataFrame:
 def dbscan_by_pixel(spark: SparkSession, folder: str) -> DataFrame:
     """The same clusters by pixels with margins; tests hold it against the clustering without pixels."""
     return graph.dbscan_by_pixel(_points(table(spark, folder, "events")), 3.0, 3, margin_arcsec=120.0)
+
+
+@query("WITH c AS (" + sky_sql("customer", "c_custkey") + """), s AS (SELECT c_custkey, ra, dec, degrees(asin(greatest(-1.0, least(1.0, sin(radians(dec)) * sin(radians(27.12825::DOUBLE)) + cos(radians(dec)) * cos(radians(27.12825::DOUBLE)) * cos(radians(ra - 192.85948::DOUBLE)))))) AS b FROM c)
+SELECT 'belt' AS region, c_custkey FROM s WHERE abs(b) <= 12 UNION ALL SELECT 'circle' AS region, c_custkey FROM s WHERE """ + haversine_sql("s", "(SELECT 266.4::DOUBLE AS ra, 66.5::DOUBLE AS dec)").replace("(SELECT 266.4::DOUBLE AS ra, 66.5::DOUBLE AS dec).ra", "266.4::DOUBLE").replace("(SELECT 266.4::DOUBLE AS ra, 66.5::DOUBLE AS dec).dec", "66.5::DOUBLE") + " <= 15 * 3600")
+def region_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions in a belt and in a circle: first by pixels of the region's cover, an equi-join, then exactly."""
+    from heliograph.functions import geo, healpix
+
+    rows = positions(spark, folder, "customer", "c_custkey").withColumn("pixel", healpix.pixel(F.col("ra"), F.col("dec"), 5).cast("long"))
+    belt = F.abs(geo.galactic_latitude(F.col("ra"), F.col("dec"))) <= 12
+    circle = geo.haversine_arcsec(F.col("ra"), F.col("dec"), F.lit(266.4), F.lit(66.5)) <= 15 * 3600
+    out = []
+    for name, outside, exactly in (("belt", healpix.from_belt(12.0), belt), ("circle", healpix.from_circle(266.4, 66.5, 15.0), circle)):
+        cover = healpix.tree_cover(spark, outside, [5]).select("pixel")
+        out.append(rows.join(cover, "pixel", "left_semi").where(exactly).select(F.lit(name).alias("region"), "c_custkey"))
+    return out[0].unionByName(out[1])

@@ -102,6 +102,16 @@ def synthetic_augmented(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rows.groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outlier").cast("long")).alias("outliers"), F.median("flux").alias("median_flux"), F.max("mjd").alias("span")), 4)
 
 
+@query()
+def synthetic_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """A burst and a pulse of random shape for every supplier: points, attempts taken, range; tests hold them against their rules."""
+    keys = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    common = [F.count(F.lit(1)).alias("n"), F.median("flux").alias("median_flux"), (F.max("flux") - F.min("flux")).alias("range")]
+    bursts = synthetic.bursts(keys, "source_id").groupBy("source_id").agg(*common, F.min("attempt").alias("attempt")).withColumn("kind", F.lit("burst"))
+    pulses = synthetic.pulses(keys, "source_id").groupBy("source_id").agg(*common, F.lit(0).alias("attempt")).withColumn("kind", F.lit("pulse"))
+    return rounded(bursts.unionByName(pulses), 4)
+
+
 @query("SELECT l_suppkey, round(avg(l_quantity), 6) AS mean_x, round(avg(l_discount), 6) AS mean_y, round(var_pop(l_quantity), 6) AS var_x, round(var_pop(l_discount), 6) AS var_y, round(covar_pop(l_quantity, l_discount), 6) AS cov_xy FROM lineitem GROUP BY 1")
 def gaussian_fit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ft.gaussian_fit(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity", "l_discount"))

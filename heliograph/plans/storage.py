@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import ids
+from heliograph.operators import positional
 from heliograph.operators.lightcurve import histogram, nan_to_null
 from heliograph.plans.adapters import rounded
 from heliograph.plans.registry import query
 from heliograph.sources import tables
 from heliograph.sources.scratch import scratch_path
 from heliograph.sources.tables import table
+from heliograph.streaming import monitor
 
 
 def _packed_id() -> Column:
@@ -82,3 +84,60 @@ def nested_written(spark: SparkSession, folder: str) -> DataFrame:
     rows.write.parquet(path)
     back = spark.read.schema("l_suppkey long, lines array<int>").parquet(path)
     return back.select("l_suppkey", F.size("lines").cast("long").alias("n"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x).alias("lines"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS price, row_number() OVER (ORDER BY o_orderkey) - 1 AS row FROM orders")
+def positional_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids in one table and values in another, over several files each, matched by their places; unequal lengths would fail."""
+    ids_at, values_at = scratch_path(spark, "ids"), scratch_path(spark, "values")
+    orders = table(spark, folder, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
+    orders.select("o_orderkey").repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(ids_at)
+    orders.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").select("price").write.parquet(values_at)
+    return positional.match_by_position(spark.read.parquet(ids_at), spark.read.parquet(values_at)).select("o_orderkey", "price", "row")
+
+
+@query("SELECT c_custkey, c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def whole_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables that must have the same keys, once each, side by side."""
+    rows = table(spark, folder, "customer")
+    return positional.full_one_to_one(rows.select("c_custkey", F.col("c_acctbal").alias("balance")), rows.select("c_custkey", F.col("c_mktsegment").alias("segment")), "c_custkey")
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS balance, c_nationkey, round(avg(round(c_acctbal, 2)) OVER (PARTITION BY c_nationkey), 4) AS nation_mean FROM customer")
+def enriched_in_place(spark: SparkSession, folder: str) -> DataFrame:
+    """A column added to a partitioned table in its place, ten partitions in a first run and the others in a second."""
+    path = scratch_path(spark, "in-place")
+    rows = table(spark, folder, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("balance"), "c_nationkey")
+    rows.repartition("c_nationkey").write.partitionBy("c_nationkey").parquet(path)
+    means = lambda df: df.withColumn("nation_mean", F.round(F.avg("balance").over(Window.partitionBy("c_nationkey")), 4))
+    tables.enrich_partitions(spark, path, "c_nationkey", ["nation_mean"], means, at_once=5, most=10)
+    tables.enrich_partitions(spark, path, "c_nationkey", ["nation_mean"], means)
+    return spark.read.option("mergeSchema", True).parquet(path).select("c_custkey", "balance", "c_nationkey", "nation_mean")
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, any_value(c_mktsegment) AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def bucketed_join(spark: SparkSession, folder: str) -> DataFrame:
+    """A left 1:1 join of two tables dealt to the same buckets, without an exchange."""
+    at = [scratch_path(spark, n) for n in ("bucketed-orders", "bucketed-customers")]
+    names = [path.rsplit("/", 1)[-1].replace("-", "_") for path in at]
+    orders = tables.write_bucketed(table(spark, folder, "orders").select("o_custkey", "o_totalprice"), names[0], at[0], "o_custkey", 8)
+    customers = tables.write_bucketed(table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), names[1], at[1], "o_custkey", 8)
+    sums = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return sums.join(customers.hint("merge"), "o_custkey", "left")
+
+
+@query("""WITH l AS (SELECT o_custkey % 300 AS part, CAST(o_orderkey % 3 <> 0 AS INT) AS status, min(o_orderkey) AS k FROM orders GROUP BY 1, 2)
+SELECT CAST(status AS VARCHAR) AS status, count(*) AS parts, CAST(sum(k % 1000) AS BIGINT) AS rows, CAST(sum(k % 100) AS BIGINT) AS included FROM l GROUP BY 1""")
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Progress lines as a stream of files, each part and status counted once, through a sink that a replay doesn't double."""
+    lines, out, state = (scratch_path(spark, n) for n in ("log", "progress", "progress-state"))
+    orders = table(spark, folder, "orders")
+    part, status, k = F.col("o_custkey") % 300, (F.col("o_orderkey") % 3 != 0).cast("int"), F.col("o_orderkey")
+    line = F.concat_ws("_", part, status, k % 1000, k % 100, F.lit("1.5"))
+    # a part's first line comes first; others of the same part and status are in later files
+    first = orders.groupBy(part.alias("p"), status.alias("s")).agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")
+    orders.join(first, "o_orderkey", "left_semi").select(line.alias("value")).coalesce(1).write.text(lines)
+    monitor.log_sink(monitor.completion_stream(spark.readStream.schema("value string").text(lines)), out, state, "complete").awaitTermination()
+    orders.select(line.alias("value")).write.mode("append").text(lines)
+    monitor.log_sink(monitor.completion_stream(spark.readStream.schema("value string").text(lines)), out, state, "complete").awaitTermination()
+    return monitor.latest(spark, out, "status")

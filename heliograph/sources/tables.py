@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions import ids
+from heliograph.sources.scratch import has_path, remove_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +48,48 @@ def enrich(spark: SparkSession, source: str, target: str, add) -> DataFrame:
     return spark.read.parquet(target)
 
 
+def enrich_partitions(spark: SparkSession, path: str, partition: str, added: Sequence[str], add: Callable[[DataFrame], DataFrame], at_once: int = 64, most: int | None = None) -> int:
+    """Columns ``added`` to a partitioned Parquet table in its place, by ``add`` on rows without them; the partitions done.
+
+    ``at_once`` partitions are written to a folder beside the table, replace their old ones, and are noted as done. A run
+    that is stopped goes on where it was: a whole staged folder is put in place first, a part of one is thrown away,
+    partitions noted as done are skipped, and one replaced but not noted is done again from the same rows. ``most``
+    partitions at most are done in a run. Partition values, some thousands, reach the driver.
+    """
+    staged, noted = f"{path.rstrip('/')}.staged", f"{path.rstrip('/')}.done"
+
+    def put_in_place() -> int:
+        rows = spark.read.option("mergeSchema", True).parquet(staged)
+        values = rows.select(partition).distinct()
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        values.withColumn("done", F.lit(True)).coalesce(1).write.mode("append").parquet(noted)
+        n = values.count()
+        remove_path(spark, staged)
+        return n
+
+    count = 0
+    if has_path(spark, f"{staged}/_SUCCESS"):
+        count += put_in_place()
+    while most is None or count < most:
+        rows = spark.read.option("mergeSchema", True).parquet(path)
+        todo = rows.select(partition).distinct()
+        if has_path(spark, noted):
+            todo = todo.join(spark.read.parquet(noted).select(partition).distinct(), partition, "left_anti")
+        some = [r[0] for r in todo.orderBy(partition).limit(at_once if most is None else min(at_once, most - count)).collect()]
+        if not some:
+            break
+        plain = rows.drop(*added).where(F.col(partition).isin(some))
+        add(plain).write.mode("overwrite").partitionBy(partition).parquet(staged)
+        count += put_in_place()
+    return count
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table in ``path`` whose rows are dealt to ``buckets`` by key, sorted in each: joins and sums by the key need no exchange."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """CSV files with a header and a stated schema; an empty field is null, and missing files of a glob aren't read."""
     return spark.read.schema(schema).option("header", True).option("ignoreMissingFiles", True).csv(path)

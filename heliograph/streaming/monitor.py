@@ -27,6 +27,33 @@ def progress_stream(spark: SparkSession, folder: str) -> DataFrame:
     return parse_progress(spark.readStream.text(folder)).groupBy("status").agg(F.sum("rows").alias("rows"), F.approx_count_distinct("part").alias("parts"))
 
 
+def completion_stream(lines: DataFrame) -> DataFrame:
+    """Parts, rows and seconds by status, each (part, status) counted once whatever is written or read again.
+
+    The first line of a part and status counts. The state holds one entry for each part and status, and the sums.
+    """
+    known = parse_progress(lines).where("part is not null and status is not null").dropDuplicates(["part", "status"])
+    return known.groupBy("status").agg(F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"), F.sum("included").alias("included"))
+
+
+def log_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Start writing a stream's batches to ``path``, each to a folder of its number: a batch that is replayed replaces itself.
+
+    The query goes on from ``checkpoint`` when started again, and ends when all that has arrived is written.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last row of each key over all batches of :func:`log_sink` in update mode."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(key).agg(F.max(F.struct("batch", F.struct("*").alias("row"))).alias("last")).select("last.row.*").drop("batch")
+
+
 def session_stream(spark: SparkSession, folder: str, schema, key: str, time: str, gap: str, late: str) -> DataFrame:
     """Sessions of an event stream; those that ended before the watermark are final and leave the state."""
     events = spark.readStream.schema(schema).parquet(folder).withWatermark(time, late)

@@ -160,8 +160,9 @@ def _powers(t: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 # Bounds and steps, in days, of the pieces of the full trial grid.
 GRID_PIECES = [(0.1, 4, 0.00005), (4, 10, 0.00007), (10, 30, 0.0005), (30, 50, 0.001), (50, 100, 0.005), (100, 500, 0.025), (500, 1000, 0.5)]
-#: Rows of a source from which it is spread over tasks, values that a numpy pass holds, and periods of a task of a spread source.
-HOT_ROWS, PASS_VALUES, SPREAD_PERIODS = 200_000, 4_000_000, 20_000
+#: Rows of a source, and rows times periods, from which it is spread over tasks; values that a numpy pass holds, and periods of
+#: a task of a spread source.
+HOT_ROWS, HOT_WORK, PASS_VALUES, SPREAD_PERIODS = 200_000, 4_000_000_000, 4_000_000, 20_000
 
 
 def trial_grid(thin: int = 1) -> np.ndarray:
@@ -231,12 +232,44 @@ def _peak_row(period: np.ndarray, sig: np.ndarray, peaks: int, separation: float
     return row + ([float(period[long[sig[long].argmax()]]), float(sig[long].max())] if len(long) else [None, None])
 
 
-def search_peaks(df: DataFrame, c: Curve, periods: np.ndarray, peaks: int = 3, separation: float = 0.1, steps: int = 20, longer_than: float = 50.0, bins: int = 12, long_from: float = 15.0) -> DataFrame:
+def _usual_gaps(t: np.ndarray, split: float) -> tuple[float, float]:
+    """Medians of the gaps between different times below and above ``split`` days; NaN where there are none."""
+    gaps = np.diff(np.unique(t))
+    return tuple(float(np.median(g)) if len(g) else np.nan for g in (gaps[gaps < split], gaps[gaps > split]))
+
+
+def _without_aliases(period: np.ndarray, sig: np.ndarray, cadences: tuple[float, float] | None, tolerance: float) -> np.ndarray:
+    """0 for periods in any band around a multiple of a cadence."""
+    if cadences is None:
+        return sig
+    bad = np.outer(ALIAS_RATIOS, [x for x in cadences if x is not None and np.isfinite(x)]).ravel()
+    hit = (np.abs(period[:, None] - bad) <= tolerance * bad).any(1) if len(bad) else np.zeros(len(period), bool)
+    return np.where(hit, 0.0, sig)
+
+
+def _with_double(period: np.ndarray, sig: np.ndarray, most: float | None, factor: float) -> np.ndarray:
+    """If the best period is ``most`` days or less, the statistic of the trial nearest to its double times ``factor``."""
+    best = _best(period, sig, 1, 0.0) if most is not None else []
+    if not best or period[best[0]] > most:
+        return sig
+    out, away = sig.copy(), np.abs(period - 2 * period[best[0]])
+    out[np.lexsort((period, away))[0]] *= factor
+    return out
+
+
+def search_peaks(
+    df: DataFrame, c: Curve, periods: np.ndarray, peaks: int = 3, separation: float = 0.1, steps: int = 20, longer_than: float = 50.0, bins: int = 12, long_from: float = 15.0,
+    aliases: float | None = None, split: float = 50.0, double_up_to: float | None = None, double_factor: float = 2.0,
+) -> DataFrame:
     """Per source: the best ``peaks`` periods with their statistics, and the best one above ``longer_than`` days.
 
     Two stages: the grid's peaks and its best long period are searched again in ``steps`` between their neighbours on the
     grid, and all are ranked together. Only the result leaves a task, never the periodogram. A source of more than
-    ``HOT_ROWS`` rows is spread over tasks, whose sums for each period add up.
+    ``HOT_ROWS`` rows, or ``HOT_WORK`` rows times periods, is spread over tasks, whose sums for each period add up.
+
+    With ``aliases``, periods within that share of a multiple of the source's own cadences (median gaps below and above
+    ``split`` days) count 0 in both stages. With ``double_up_to``, the double of a best period of so many days or less
+    counts ``double_factor`` times on the grid, before peaks are chosen.
     """
     grid = np.asarray(periods, float)
     kind = dict(df.dtypes)[c.key]
@@ -244,37 +277,57 @@ def search_peaks(df: DataFrame, c: Curve, periods: np.ndarray, peaks: int = 3, s
     schema = f"{c.key} {kind}, " + ", ".join(f"{n} double" for n in names)
     rows = df.select(c.key, F.col(c.time).cast("double").alias("_t"), F.col(c.flux).cast("double").alias("_y")).where(F.col("_t").isNotNull() & F.col("_y").isNotNull())
     sizes = rows.groupBy(c.key).agg(F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_m"), F.sum("_y").alias("_s"))
-    hot = sizes.where(F.col("_n") > HOT_ROWS)
+    hot = sizes.where(F.col("_n") > min(HOT_ROWS, HOT_WORK // max(1, len(grid))))
+
+    def weighed(period: np.ndarray, sig: np.ndarray, cadences: tuple[float, float] | None) -> np.ndarray:
+        return _with_double(period, _without_aliases(period, sig, cadences, aliases), double_up_to, double_factor)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         t, y = pdf["_t"].to_numpy(), pdf["_y"].to_numpy()
         y = y - y.mean()
-        sig = _statistics(t, y, grid, bins, long_from)
+        cadences = _usual_gaps(t, split) if aliases is not None else None
+        sig = weighed(grid, _statistics(t, y, grid, bins, long_from), cadences)
         fine = _fine(grid, _chosen(grid, sig, peaks, separation, longer_than), steps)
-        every = np.concatenate((grid, fine)), np.concatenate((sig, _statistics(t, y, fine, bins, long_from)))
-        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(*every, peaks, separation, longer_than)]], columns=[c.key, *names])
+        again = _without_aliases(fine, _statistics(t, y, fine, bins, long_from), cadences, aliases)
+        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(np.concatenate((grid, fine)), np.concatenate((sig, again)), peaks, separation, longer_than)]], columns=[c.key, *names])
 
     plain = rows.join(hot.select(c.key), c.key, "left_anti").groupBy(c.key).applyInPandas(one, schema)
     if hot.isEmpty():
         return plain
 
+    def known(pdf: pd.DataFrame) -> tuple[float, float] | None:
+        return (pdf["_short"].iloc[0], pdf["_long"].iloc[0]) if aliases is not None else None
+
     def places(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("period")
-        period, sig = pdf["period"].to_numpy(), pdf["sig"].to_numpy()
+        period = pdf["period"].to_numpy()
+        sig = weighed(period, pdf["sig"].to_numpy(), known(pdf))
         fine = _fine(period, _chosen(period, sig, peaks, separation, longer_than), steps)
         return pd.DataFrame({c.key: pdf[c.key].iloc[0], "period": np.concatenate((period, fine)), "sig": np.concatenate((sig, np.full(len(fine), np.nan)))})
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(pdf["period"].to_numpy(), pdf["sig"].to_numpy(), peaks, separation, longer_than)]], columns=[c.key, *names])
+        period = pdf["period"].to_numpy()
+        sig = _without_aliases(period, pdf["sig"].to_numpy(), known(pdf), aliases)
+        return pd.DataFrame([[pdf[c.key].iloc[0], *_peak_row(period, sig, peaks, separation, longer_than)]], columns=[c.key, *names])
 
     spread = rows.join(hot.select(c.key, "_n", "_m"), c.key).withColumn("_y", F.col("_y") - F.col("_m"))
+    cadences = _hot_cadences(spread, c.key, split) if aliases is not None else None
+    beside = lambda table: table if cadences is None else table.join(cadences, c.key, "left")
     long_form = f"{c.key} {kind}, period double, sig double"
     blocks = -(-len(grid) // SPREAD_PERIODS)
     first = materialise(_spread_statistics(spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), c, kind, grid, bins, long_from), "periodogram")
-    both = materialise(first.groupBy(c.key).applyInPandas(places, long_form), "periods")
+    both = materialise(beside(first).groupBy(c.key).applyInPandas(places, long_form), "periods")
     fine = both.where(F.col("sig").isNull()).groupBy(c.key).agg(F.sort_array(F.collect_set("period")).alias("_periods"))  # some dozens a source
     again = _spread_statistics(spread.join(fine, c.key).withColumn("_block", F.lit(0)), c, kind, None, bins, long_from)
-    return plain.unionByName(both.where(F.col("sig").isNotNull()).unionByName(again).groupBy(c.key).applyInPandas(last, schema))
+    return plain.unionByName(beside(both.where(F.col("sig").isNotNull()).unionByName(again)).groupBy(c.key).applyInPandas(last, schema))
+
+
+def _hot_cadences(rows: DataFrame, key: str, split: float) -> DataFrame:
+    """(key, _short, _long) of large sources: their different times are sorted once, by a window that keeps one row at a time."""
+    times = rows.select(key, "_t").distinct()
+    gap = F.col("_t") - F.lag("_t").over(Window.partitionBy(key).orderBy("_t"))
+    gaps = times.withColumn("_gap", gap).where("_gap is not null")
+    return gaps.groupBy(key).agg(F.median(F.when(F.col("_gap") < split, F.col("_gap"))).alias("_short"), F.median(F.when(F.col("_gap") > split, F.col("_gap"))).alias("_long"))
 
 
 def _spread_statistics(rows: DataFrame, c: Curve, kind: str, grid: np.ndarray | None, bins: int, long_from: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,6 +207,18 @@ def period_search(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pd_.search_peaks(light_curves(spark, folder), LC, pd_.trial_grid(100)), 4)
 
 
+# AOV of the trials without aliases, and the trial nearest to twice a short best period counted double
+_WEIGHED = _EXC + """, z AS (SELECT source_id, arg_max(period, (sig, -period)) AS p FROM x GROUP BY 1), d AS (SELECT x.source_id, arg_min(period, (abs(period - 2 * p), period)) AS q FROM x JOIN z USING (source_id) WHERE p <= 25 GROUP BY 1),
+ l1 AS (SELECT x.source_id, period, CASE WHEN period = q THEN 2 * sig ELSE sig END AS sig FROM x LEFT JOIN d USING (source_id))"""
+
+
+@query(_WITH + _WEIGHED + "".join(_PEAK.format(k=k, n=k + 1) for k in (1, 2, 3)) + """, long AS (SELECT source_id, arg_max(period, (sig, -period)) AS p, max(sig) AS s FROM l1 WHERE period > 50 GROUP BY 1)
+SELECT p1.source_id, p1.p AS peak1, round(p1.s, 4) AS peak1_sig, p2.p AS peak2, round(p2.s, 4) AS peak2_sig, p3.p AS peak3, round(p3.s, 4) AS peak3_sig, long.p AS best_long_period, round(long.s, 4) AS best_long_period_sig FROM p1 LEFT JOIN p2 USING (source_id) LEFT JOIN p3 USING (source_id) LEFT JOIN long USING (source_id)""")
+def masked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The search within tasks on few trials, each source without its own aliases, doubles of short periods raised."""
+    return rounded(pd_.search_peaks(light_curves(spark, folder), LC, np.array(TRIALS), steps=0, long_from=1e9, aliases=0.085, split=20.0, double_up_to=25.0), 4)
+
+
 @query(_WITH + _AOV + ", b AS (SELECT source_id, arg_max(period, (sig, -period)) AS p, round(max(sig), 4) AS s FROM a WHERE sig IS NOT NULL GROUP BY 1) SELECT source_id, p AS period, CASE WHEN p <= 12 THEN 2 * p ELSE p END AS preferred, s AS sig FROM b")
 def double_period(spark: SparkSession, folder: str) -> DataFrame:
     """The best period, or twice that where it is short."""

@@ -358,6 +358,34 @@ def test_peaks_of_spread_sources_equal_those_of_the_periodogram(spark, monkeypat
     assert 250_000 < len(periods.trial_grid()) < 251_500
 
 
+@pytest.mark.parametrize("hot", [10**6, 100])
+def test_search_without_aliases_and_with_doubles(spark, monkeypatch, hot):
+    """Against the same rules on the whole periodogram; spread sources and others agree."""
+    monkeypatch.setattr(periods, "HOT_WORK", 240 * hot)
+    monkeypatch.setattr(periods, "SPREAD_PERIODS", 90)
+    rng = np.random.default_rng(6)
+    times = np.concatenate([season * 180 + np.arange(25) * 1.5 + rng.uniform(0, 0.3, 25) for season in range(10)])
+    shapes = {1: lambda t: np.sin(2 * np.pi * t / 3.1), 2: lambda t: np.sin(2 * np.pi * t / 37.0), 3: lambda t: np.sin(2 * np.pi * t / 1.52)}
+    rows = [(s, float(t), float(10 + f(t) + 0.1 * rng.normal()), i) for s, f in shapes.items() for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "source_id int, mjd double, flux double, tie int")
+    grid = np.concatenate([np.arange(1.2, 15, 0.1), np.arange(15, 200, 1.8)])
+    got = {r["source_id"]: r for r in periods.search_peaks(df, C, grid, aliases=0.085, double_up_to=4.0).collect()}
+    unrefined = {r["source_id"]: r for r in periods.search_peaks(df, C, grid, steps=0, aliases=0.085, double_up_to=4.0).collect()}
+    plain = {r["source_id"]: r for r in periods.search_peaks(df, C, grid).collect()}
+    own = {s: g.sort_values("period") for s, g in periods.search(df, C, grid).toPandas().groupby("source_id")}
+    for s, rest in own.items():
+        gaps = np.diff(np.unique(times))
+        bad = [r * np.median(g) for g in (gaps[gaps < 50], gaps[gaps > 50]) for r in periods.ALIAS_RATIOS]
+        period, sig = rest["period"].to_numpy(), rest["sig"].to_numpy().copy()
+        sig[[any(abs(p - b) <= 0.085 * b for b in bad) for p in period]] = 0
+        best = period[sig.argmax()]
+        if best <= 4:
+            sig[np.abs(period - 2 * best).argmin()] *= 2
+        top = period[sig.argmax()]
+        assert abs(unrefined[s]["peak1"] - top) < 1e-9 and abs(unrefined[s]["peak1_sig"] - sig.max()) < 1e-6 * sig.max() and all(abs(got[s]["peak1"] - b) > 0.085 * b for b in bad)
+    assert any(abs(plain[s]["peak1"] - got[s]["peak1"]) > 0.1 for s in own)
+
+
 def test_packing_of_one_large_key(spark):
     rows = [("a", i, 7 + i % 5) for i in range(2000)] + [("b", i, 9) for i in range(5)] + [(None, 3, 4), ("a", None, 6)]
     got = catalog.packed(spark.createDataFrame(rows, "k string, i int, n int"), ["k"], ["i"], F.col("n"), 100).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,61 @@ def harmonise(parts: Sequence[tuple[DataFrame, str, Mapping[str, Column]]], colu
     return out
 
 
+@dataclass(frozen=True)
+class Rule:
+    """How a published catalog becomes (source_id, catalog, ra, dec, period, type): its columns' names, or a fixed type, or a map of types."""
+
+    name: str
+    id: str
+    type: str | None = "type"
+    fixed: str | None = None
+    period: str | None = "period"
+    ra: str = "ra"
+    dec: str = "dec"
+    types: Mapping[int, str | None] | None = None
+    least_score: tuple[str, float] | None = None
+
+
+# The thirteen label catalogs, the columns that each has, and what is kept of it.
+RULES = [
+    Rule("chen-neowise", "WISE"),
+    Rule("chen-ztf", "ZTF"),
+    Rule("petrosky", "AllWISE", types={0: None, 1: "EB"}),
+    Rule("gaia-cepheids", "GaiaDR3"),
+    Rule("gaia-ebs", "GaiaDR3", None, "EB"),
+    Rule("gaia-lpvs", "GaiaDR3"),
+    Rule("gaia-oscillators", "GaiaDR3", None, "oscillator"),
+    Rule("gaia-rotators", "GaiaDR3", None, "rotator"),
+    Rule("gaia-rrlyrae", "GaiaDR3"),
+    Rule("gaia-sts", "GaiaDR3", None, "short-timescale"),
+    Rule("spicy", "SPICY", "class", period=None),
+    Rule("assef-agn", "WISE_Designation", None, "agn", None, "RA", "Dec"),
+    Rule("gaia-general", "source_id", "best_class_name", period=None, least_score=("best_class_score", 0.5)),
+]
+
+
+def harmonise_catalogs(tables: Mapping[str, DataFrame], rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Published catalogs by name, brought to common columns by their rules; catalogs that aren't given are left out.
+
+    Identifiers become text. Where a rule maps types, rows of a type without a name go; where it has a least score, rows
+    must be above it. One narrow plan over all tables.
+    """
+    parts = []
+    for rule in rules:
+        if (df := tables.get(rule.name)) is None:
+            continue
+        if rule.least_score:
+            df = df.where(F.col(rule.least_score[0]) > rule.least_score[1])
+        kind = F.lit(rule.fixed) if rule.type is None else F.col(rule.type)
+        if rule.types is not None:
+            kind = F.coalesce(*[F.when(kind == k, v) for k, v in rule.types.items()])
+            df = df.where(kind.isNotNull())
+        period = F.col(rule.period).cast("double") if rule.period else F.lit(None).cast("double")
+        columns = {"source_id": F.col(rule.id).cast("string"), "ra": F.col(rule.ra).cast("double"), "dec": F.col(rule.dec).cast("double"), "period": period, "type": kind.cast("string")}
+        parts.append((df, rule.name, columns))
+    return harmonise(parts, ["source_id", "ra", "dec", "period", "type"])
+
+
 def mapped(value: Column, table: Mapping[str, str], fallback: Column | None = None) -> Column:
     """Many-to-one value mapping; a missing key gives ``fallback`` or null."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.operators import catalog as ct
@@ -85,13 +85,53 @@ _FINAL = "f AS (SELECT p_partkey AS id, (p_partkey * 137.50776405::DOUBLE) - 360
  CASE WHEN t IN ('sn', 'cv') THEN NULL ELSE round_even(s / 3, 3) END AS period_significance, round_even(s / 10, 4) AS confidence, t AS type FROM f WHERE NOT coalesce(round_even(m, 2) < 7.5, false)""")
 def final_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The final catalog's projection, rounding and saturation cut over made-up photometry of all parts."""
+    shown = ["cluster_id", "RAJ2000", "DecJ2000", "W1mag", "W2mag", "W3mag", "variability_snr", "period_peak_1", "period_significance", "confidence", "type"]
+    return ct.final_catalog(table(spark, folder, "part"), _final_names()).select(*shown)
+
+
+def _final_names() -> dict[str, Column]:
     k, m = F.col("p_partkey"), F.col("p_retailprice") / 100 + 0.0013
     s = F.when(k % 3 != 0, F.col("p_size") / 8.0)
     kind = F.get(F.array(*[F.lit(x) for x in ("sn", "cv", "rot", "ew")]), (k % 4).cast("int"))
     names = {"id": k, "ra": F.pmod(k * F.lit(137.50776405), F.lit(360.0)), "dec": k % 120 - 60 + F.lit(0.125), "mag1": m, "mag2": m + 0.5, "mag3": s, "mag4": s, "j": m, "h": m, "k": m, "amp1": s, "amp2": s, "snr": s * 3}
     names |= {"peak1": s / 7, "peak2": s / 9, "peak3": s / 11, "significance": s / 3, "blended": (k % 2).cast("int"), "score": s / 10, "type": kind}
-    shown = ["cluster_id", "RAJ2000", "DecJ2000", "W1mag", "W2mag", "W3mag", "variability_snr", "period_peak_1", "period_significance", "confidence", "type"]
-    return ct.final_catalog(table(spark, folder, "part"), names).select(*shown)
+    return names
+
+
+_NAMED = """(SELECT *, 'J' || lpad(CAST((a // 360000) % 24 AS VARCHAR), 2, '0') || lpad(CAST((a // 6000) % 60 AS VARCHAR), 2, '0') || lpad(CAST((a // 100) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(a % 100 AS VARCHAR), 2, '0')
+ || CASE WHEN dec < 0 THEN '-' ELSE '+' END || lpad(CAST(d // 36000 AS VARCHAR), 2, '0') || lpad(CAST((d // 600) % 60 AS VARCHAR), 2, '0') || lpad(CAST((d // 10) % 60 AS VARCHAR), 2, '0') || '.' || CAST(d % 10 AS VARCHAR) AS name
+ FROM (SELECT *, CAST(round(ra / 15 * 360000) AS BIGINT) AS a, CAST(floor(abs(dec) * 36000 + 1e-6) AS BIGINT) AS d FROM f))"""
+
+
+@query("WITH " + _FINAL + f""" SELECT id AS cluster_id, name AS "Designation", round_even(ra, 5) AS "RAJ2000", round_even(dec, 4) AS "DecJ2000", round_even(m, 2) AS "W1mag", round_even(m + 0.5, 2) AS "W2mag", round_even(s, 2) AS "W3mag", round_even(s + 0.25, 2) AS "W4mag", round_even(m + 0.11, 2) AS "Jmag", round_even(m + 0.22, 2) AS "Hmag",
+ round_even(m - 0.33, 2) AS "Kmag", round_even(s / 6, 2) AS "W1_amp", round_even(s / 13, 2) AS "W2_amp", round_even(s * 3, 3) AS variability_snr, round_even(s / 7, 7) AS period_peak_1, round_even(s / 9, 7) AS period_peak_2, round_even(s / 11, 7) AS period_peak_3,
+ CASE WHEN t IN ('sn', 'cv') THEN NULL ELSE round_even(s / 3, 3) END AS period_significance, CAST(id % 2 AS INT) AS blended, round_even(s / 10, 4) AS confidence, t AS type FROM {_NAMED} WHERE NOT coalesce(round_even(m, 2) < 7.5, false)""")
+def final_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """All twenty-one columns of the final catalog."""
+    names = _final_names()
+    m, s = names["mag1"], names["mag3"]
+    names |= {"mag4": s + 0.25, "j": m + 0.11, "h": m + 0.22, "k": m - 0.33, "amp1": s / 6, "amp2": s / 13}
+    return ct.final_catalog(table(spark, folder, "part"), names)
+
+
+@query("""WITH p AS (SELECT *, p_partkey % 13 AS i, (p_partkey % 3600) / 10.0::DOUBLE AS ra, (p_partkey % 170) - 85.0::DOUBLE AS dec, ['chen-neowise','chen-ztf','petrosky','gaia-cepheids','gaia-ebs','gaia-lpvs','gaia-oscillators','gaia-rotators','gaia-rrlyrae','gaia-sts','spicy','assef-agn','gaia-general'][p_partkey % 13 + 1] AS catalog FROM part)
+SELECT catalog, CAST(p_partkey AS VARCHAR) AS source_id, ra, dec, CASE WHEN i IN (10, 11, 12) THEN NULL ELSE CAST(p_size AS DOUBLE) END AS period,
+ CASE i WHEN 2 THEN 'EB' WHEN 4 THEN 'EB' WHEN 6 THEN 'oscillator' WHEN 7 THEN 'rotator' WHEN 9 THEN 'short-timescale' WHEN 11 THEN 'agn' ELSE p_brand END AS type FROM p WHERE NOT (i = 2 AND p_partkey % 2 = 0) AND NOT (i = 12 AND (p_size % 10) / 10.0::DOUBLE <= 0.5)""")
+def harmonised_catalogs(spark: SparkSession, folder: str) -> DataFrame:
+    """Thirteen catalogs with columns of their own, cut from the parts, brought together by their rules."""
+    k = F.col("p_partkey")
+    base = table(spark, folder, "part").withColumns({"ra_": (k % 3600) / 10.0, "dec_": k % 170 - F.lit(85.0)})
+    raw = {}
+    for i, rule in enumerate(ct.RULES):
+        columns = {rule.id: k, rule.ra: F.col("ra_"), rule.dec: F.col("dec_")}
+        if rule.period:
+            columns[rule.period] = F.col("p_size")
+        if rule.type:
+            columns[rule.type] = (k % 2).cast("int") if rule.types else F.col("p_brand")
+        if rule.least_score:
+            columns[rule.least_score[0]] = (F.col("p_size") % 10) / 10.0
+        raw[rule.name] = base.where(k % 13 == i).select(*[v.alias(n) for n, v in columns.items()])
+    return ct.harmonise_catalogs(raw)
 
 
 @query("""WITH p AS (SELECT p_partkey, ['ew','yso','cep','yso'][p_partkey % 4 + 1] AS t, p_size / 4.0::DOUBLE AS d, p_retailprice / 100 AS a, p_size * 0.4::DOUBLE AS b, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size * 0.3::DOUBLE END AS c FROM part)

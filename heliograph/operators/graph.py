@@ -92,9 +92,7 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     linked = materialise(_cell_pairs(flat, chord), "cell-pairs")
     unsure = linked.where(~F.col("sure")).select("a", "b")
     named = core.join(cells.select("f", "cell"), "f")
-    ends = unsure.join(named.select(F.col("cell").alias("a"), F.struct("x", "y", "z").alias("p")).distinct(), "a").join(named.select(F.col("cell").alias("b"), F.struct("x", "y", "z").alias("q")).distinct(), "b")
-    apart = sum(((F.col(f"p.{c}") - F.col(f"q.{c}")) * (F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz"), F.lit(0.0))
-    edges = linked.where("sure").select("a", "b").union(ends.where(apart <= chord * chord).select("a", "b").distinct())
+    edges = linked.where("sure").select("a", "b").union(_reaching(unsure, named.select("cell", "x", "y", "z").distinct(), chord))
     roots = components(edges)
     cells = materialise(cells.join(roots.select(F.col("node").alias("cell"), "root"), "cell", "left").select("f", F.coalesce("root", "cell").alias("cluster")), "clusters")
     inner = core.join(cells, "f").select("id", "x", "y", "z", "f", "cluster")
@@ -106,6 +104,62 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     return all_.join(big, "cluster", "left_semi").select(key, "cluster")
 
 
+#: Pairs of points that two cells, or parts of them, may make; beyond, they are compared by smaller parts first.
+PAIR_POINTS = 1_000_000
+
+
+def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> DataFrame:
+    """(a, b) of ``pairs`` of cells that have two points within the radius; ``points`` has (cell, x, y, z).
+
+    Pairs of few points are compared. Cells of others are cut into parts of half the width again and again: parts too far
+    apart go, two parts wholly in reach decide their pair, which then needs no more work, and parts of few points are
+    compared. Parts of equal points have no width, so that every pair is decided in the end.
+    """
+    square = lambda one, two: sum(((F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) * (F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) for c in "xyz"), F.lit(0.0))
+
+    def compared(left: DataFrame, held: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs (a, b, ...) with a hit among the points of their parts."""
+        p, q = (held.select(*[F.col(c).alias(f"{side}{c[4:]}") for c in on], F.struct("x", "y", "z").alias(name)) for side, name in (("a", "p"), ("b", "q")))
+        return left.join(p, [f"a{c[4:]}" for c in on]).join(q, [f"b{c[4:]}" for c in on]).where(square("p", "q") <= chord * chord).select("a", "b").distinct()
+
+    sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counted = pairs.join(sizes.select(F.col("cell").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cell").alias("b"), F.col("n").alias("nb")), "b")
+    large = materialise(counted.where(F.col("na") * F.col("nb") > PAIR_POINTS).select("a", "b"), "large-pairs")
+    found = compared(counted.where(F.col("na") * F.col("nb") <= PAIR_POINTS).select("a", "b"), points, ["cell"])
+    if large.isEmpty():
+        discard(large)
+        return found
+    parts, left, level = [found], large, 0
+    root = F.struct(*[F.lit(None).cast("long").alias(c) for c in "xyz"])
+    while True:
+        level += 1
+        side = chord / 2 / 2**level
+        part = F.struct(*[F.floor(F.col(c) / side).cast("long").alias(c) for c in "xyz"])
+        above = root if level == 1 else F.struct(*[F.floor(F.col(c) / (2 * side)).cast("long").alias(c) for c in "xyz"])
+        held = points.withColumns({"cell_part": part, "_above": above})
+        extent = [g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("lo_", F.min), ("hi_", F.max))]
+        boxes = held.groupBy("cell", "cell_part", "_above").agg(F.count(F.lit(1)).alias("n"), *extent)
+        if level == 1:
+            left = left.withColumns({"a_part": root, "b_part": root})
+        one, two = (boxes.select(F.col("cell").alias(s_), F.col("_above").alias(f"_{s_}"), F.struct("cell_part", "n", *[f"{n}{c}" for c in "xyz" for n in ("lo_", "hi_")]).alias(name)) for s_, name in (("a", "l"), ("b", "r")))
+        met = left.join(one, [left.a == one.a, left.a_part.eqNullSafe(one._a) if level > 1 else F.lit(True)]).drop(one.a)
+        met = met.join(two, [met.b == two.b, met.b_part.eqNullSafe(two._b) if level > 1 else F.lit(True)]).drop(two.b)
+        gap = lambda c: F.greatest(F.lit(0.0), F.col(f"l.lo_{c}") - F.col(f"r.hi_{c}"), F.col(f"r.lo_{c}") - F.col(f"l.hi_{c}"))
+        span = lambda c: F.greatest(F.col(f"l.hi_{c}"), F.col(f"r.hi_{c}")) - F.least(F.col(f"l.lo_{c}"), F.col(f"r.lo_{c}"))
+        near, far = (sum((g(c) * g(c) for c in "xyz"), F.lit(0.0)) for g in (gap, span))
+        rows = met.where(near <= chord * chord).select("a", "b", F.col("l.cell_part").alias("a_part"), F.col("r.cell_part").alias("b_part"), (far <= chord * chord).alias("sure"), (F.col("l.n") * F.col("r.n")).alias("n"))
+        rows = materialise(rows, "parts")
+        sure = materialise(rows.where("sure").select("a", "b").distinct(), "reaching")
+        open_ = rows.where("not sure").join(sure, ["a", "b"], "left_anti")
+        few = materialise(compared(open_.where(F.col("n") <= PAIR_POINTS).select("a", "b", "a_part", "b_part"), held, ["cell", "cell_part"]), "reaching")
+        before, left = left, materialise(open_.where(F.col("n") > PAIR_POINTS).join(few, ["a", "b"], "left_anti").select("a", "b", "a_part", "b_part"), "large-pairs")
+        parts += [sure, few]
+        discard(rows, before)
+        if left.isEmpty():
+            discard(left)
+            return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def _cell_pairs(cells: DataFrame, chord: float) -> DataFrame:
     """(a, b, sure) of core cells near each other, once each: sure if their extents alone put all points in reach."""
     steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]

@@ -276,6 +276,19 @@ def test_clustering_takes_the_events_of_all_users(spark, name):
     assert got == wanted and events["user_id"][events["event_id"].isin(got)].max() >= 40
 
 
+@pytest.mark.parametrize("most", [10**6, 40, 0])
+def test_large_cells_are_compared_by_parts(spark, monkeypatch, most):
+    """Dense cells whose extents don't decide: rings and diagonals that miss each other or touch in one point, and repeated points."""
+    monkeypatch.setattr(graph, "PAIR_POINTS", most)
+    rng = np.random.default_rng(11)
+    t = rng.uniform(0, 1, 60)
+    shapes = [(0.2 * t, 0.2 * t), (0.2 * t + 0.62, 0.2 * t - 0.62), (0.2 * t + 3, 0.2 * (1 - t)), (0.2 * t + 3.7, 0.2 * (1 - t) + 0.7), (np.full(30, 6.0), np.full(30, 0.0)), (np.full(30, 6.99), np.full(30, 0.0)), (np.full(30, 9.0), np.full(30, 0.0)), (np.full(30, 10.01), np.full(30, 0.0))]
+    x = np.concatenate([np.stack(s_, 1) for s_ in shapes])
+    df = spark.createDataFrame([(i, float(50 + a / 3600), float(b / 3600)) for i, (a, b) in enumerate(x)], "id int, ra double, dec double")
+    got = {r["id"]: r["cluster"] for r in graph.dbscan(df, 1.0, 5).collect()}
+    assert got == brute_dbscan([complex(a, b) for a, b in x], 1.0, 5)
+
+
 @pytest.mark.parametrize("rows", [10**6, 50])
 def test_pixels_join_long_clusters_and_cut_crowded_pixels(spark, monkeypatch, rows):
     monkeypatch.setattr(graph, "PIXEL_ROWS", rows)

@@ -6,7 +6,8 @@ has as well; only that stretch is counted again, and only the sums above its lea
 
 Trees are kept: :func:`build_trees` gives a table of documents with their leaves, which is written once. Edits take rows
 of that table and give rows of the same form, for further edits. Nothing but the stretches that edits touch is split or
-counted again, and a leaf that no edit reaches is not even read out.
+counted again. The sums above the leaves aren't kept: they are added up anew from the kept leaves when a row is read, by
+numpy; the pre-tokens of a leaf that no edit reaches are not looked at one by one.
 
 The byte-level pattern looks at most two characters past a pre-token's end, and never back, so the boundaries up to two
 characters before an edit hold, and from a common boundary after it all later ones do. Strings of special tokens count as

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from heliograph.llm import common, decontaminate, edit_counts, fingerprints, language, lexicon, ngram_join, secret_scan, site_tree, token_ids, tool_calls
 from heliograph.llm.queries import QUERIES
 from heliograph.operators import graph
-from test_text_kernels import brute_windows, lower_words
+from test_text_kernels import brute_windows, lower_words, plain_distance
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -115,6 +115,64 @@ def check_fingerprints(got, docs):
     want = sorted((len(t), hashlib.sha256(e.encode()).hexdigest(), m) for t, e, m in zip(texts, edited, marks))
     assert sorted((r.n_chars, r.edited_sha256, r.fingerprint) for r in got.itertuples()) == want
     assert got["near_edited"].between(0, 1).all() and got["near_next"].between(0, 1).all()
+    # likenesses of plain edit distances over signatures at common block sizes
+    changed = [fingerprints.fingerprints([e.encode()])[0] for e in edited]
+    likes = sorted((m, c, round(plain_likeness(m, c), 9), round(plain_likeness(m, n), 9)) for m, c, n in zip(marks, changed, marks[1:] + marks[:1]))
+    assert sorted((r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got.itertuples()) == likes
+
+
+def plain_likeness(x, y):
+    """The best of 1 - distance / longer length over common block sizes; other than the larger text's least, of ten characters or more each."""
+    if x == y:
+        return 1.0
+    (n, *a), (m, *b) = x.split(":"), y.split(":")
+    a, b = ({int(k) + i: s for i, s in enumerate(own)} for k, own in ((n, a), (m, b)))
+    best, low = 0.0, max(int(n), int(m))
+    for level in sorted(a.keys() & b.keys()):
+        p, q = a[level], b[level]
+        short = min(len(p), len(q))
+        common = short < 5 or any(p[i : i + 5] in q for i in range(len(p) - 4))
+        if short and (level == low or short >= 10) and common:
+            best = max(best, 1 - plain_distance(p, q) / max(len(p), len(q)))
+    return best
+
+
+def plain_language(text, dictionaries):
+    """Sizes of a text's pieces under each language's dictionary, all with one compressor call each."""
+    import zstandard as z
+
+    words = list(dict.fromkeys(language.letters(text).split()))
+    joined = b" ".join(words)
+    pieces = [joined[i : i + 2048] for i in range(0, len(joined), 2048)]
+    if len(pieces) > 1 and len(pieces[-1]) < 512:
+        last = pieces.pop()
+        pieces[-1] += last
+    if len(pieces) == 1 and len(joined) >= 200:
+        cut = joined.find(b" ", len(joined) // 2)
+        pieces = [joined[:cut], joined[cut:]] if cut > 0 else pieces
+    sizes = {}
+    for name, content in dictionaries.items():
+        params = z.ZstdCompressionParameters.from_level(3, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        c = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[name] = sum(len(c.compress(p)) for p in pieces)
+    return sizes
+
+
+def test_language_is_the_smallest_by_plain_compression(spark, folder):
+    known = language.fit_dictionaries(common.read_table(spark, folder, "documents"))
+    docs = texts_of(spark, folder)
+    got = QUERIES["op4_language"](spark, folder).toPandas().set_index("doc_id")
+    level = 0
+    for r in docs.itertuples():
+        sizes = plain_language(r.text, known)
+        two = sorted(sizes.values())[:2]
+        if two[0] == two[1]:
+            level += 1
+            continue
+        row = got.loc[r.doc_id]
+        assert row["lang_pred"] == min(sizes, key=sizes.get)
+        assert row["score"] in (0.0, pytest.approx((two[1] - two[0]) / two[1])) and row["rejected"] == (row["score"] < language.LEAST_MARGIN)
+    assert level < 10
 
 
 def test_fingerprints(spark, folder, odd, none):

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions import geo
-from heliograph.operators.lightcurve import Curve
+from heliograph.operators import graph
+from heliograph.operators.lightcurve import Curve, prepare
 
 
 def gaps(df: DataFrame, c: Curve) -> DataFrame:
@@ -95,6 +96,23 @@ def periodic_rule(df: DataFrame, c: Curve, least: int = 120, spread: float = 3,
     return stats.select(c.key, "n_points", "range65", "iqr", (~F.coalesce(no, F.lit(False))).alias("variable"))
 
 
+def rule_catalog(df: DataFrame, c: Curve, scored: DataFrame, places: DataFrame, confident: float = 0.0, transient: dict | None = None, periodic: dict | None = None) -> DataFrame:
+    """(key, ra, dec, type, confidence) of sources that a score calls variable and that their class's rule confirms.
+
+    ``scored`` has (key, class, confidence), class 1 for transient and 2 for periodic; others, and those of ``confident`` or
+    less, go before any light curve is looked at. ``places`` has (key, ra, dec), one or more rows a source, averaged on the
+    sphere and rounded to seven digits. A source whose curve the masks leave too short has no rule's word and goes.
+    """
+    flagged = scored.where(F.col("class").isin(1, 2) & (F.col("confidence") > confident)).select(c.key, "class", "confidence")
+    rows = prepare(df.join(flagged.select(c.key, "class"), c.key), c)
+    one = transient_rule(rows.where("class = 1"), c, **(transient or {})).where("transient").select(c.key)
+    two = periodic_rule(rows.where("class = 2"), c, **(periodic or {})).where("variable").select(c.key)
+    kept = flagged.join(one.unionByName(two), c.key, "left_semi")
+    centres = graph.centroids(places.join(kept.select(c.key), c.key, "left_semi"), c.key, "ra", "dec")
+    names = F.when(F.col("class") == 1, "transient").otherwise("periodic")
+    return kept.join(centres, c.key).select(c.key, F.round("ra", 7).alias("ra"), F.round("dec", 7).alias("dec"), names.alias("type"), "confidence")
+
+
 def sessions(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     """Session windows of events, in batch or, with a watermark, in a stream."""
     return df.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

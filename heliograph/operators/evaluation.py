@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.sources.scratch import discard, materialise
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return df.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
@@ -62,11 +64,12 @@ def per_class_sample(df: DataFrame, label: str, n: int, order: Sequence[Column])
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
-def two_means(df: DataFrame, key: str, x: str, y: str, rounds: int = 8) -> DataFrame:
+def two_means(df: DataFrame, key: str, x: str, y: str, rounds: int = 12) -> DataFrame:
     """Per key: centre distance of two means over the spread sqrt of summed squared (q90 - q10), and the within error.
 
     Centres start at the extremes along the wider axis. A round assigns rows to their nearer centre and averages again:
-    aggregations only, so a key of any size is spread over tasks.
+    aggregations only, so a key of any size is spread over tasks. Rounds are written, and end when no key's error
+    changes any more, or after ``rounds``.
     """
     rows = df.select(key, F.col(x).alias("x"), F.col(y).alias("y")).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     q = lambda c, p: F.percentile(c, F.lit(p))
@@ -74,15 +77,21 @@ def two_means(df: DataFrame, key: str, x: str, y: str, rounds: int = 8) -> DataF
     wide = F.col("sx") >= F.col("sy")
     pick = lambda a, b, f: F.when(wide, F.col(f"{a}.{f}")).otherwise(F.col(f"{b}.{f}"))
     base = base.select(key, "sx", "sy", *[pick(a, b, f).alias(n) for a, b, f, n in (("xl", "yl", "x", "ax"), ("xl", "yl", "y", "ay"), ("xh", "yh", "x", "bx"), ("xh", "yh", "y", "by"))])
+    base = materialise(base.withColumn("inertia", F.lit(None).cast("double")), "two-means")
     for _ in range(rounds):
-        near = rows.join(base, key)
+        near = rows.join(base.withColumnRenamed("inertia", "_was"), key)
         da = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
         db = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
         in_a = da <= db
         moved = near.groupBy(key).agg(
-            F.max("sx").alias("sx"), F.max("sy").alias("sy"), *[F.coalesce(F.avg(F.when(cond, F.col(v))), F.max(f"{c}{v}")).alias(f"{c}{v}") for c, cond in (("a", in_a), ("b", ~in_a)) for v in "xy"], F.sum(F.least(da, db)).alias("inertia")
+            F.max("sx").alias("sx"), F.max("sy").alias("sy"), *[F.coalesce(F.avg(F.when(cond, F.col(v))), F.max(f"{c}{v}")).alias(f"{c}{v}") for c, cond in (("a", in_a), ("b", ~in_a)) for v in "xy"], F.sum(F.least(da, db)).alias("inertia"), F.max("_was").alias("_was"),
         )
-        base = moved
+        moved = materialise(moved, "two-means")
+        discard(base)
+        base = moved.drop("_was")
+        base._scratch = moved._scratch
+        if moved.where(~(F.abs(F.col("inertia") - F.coalesce("_was", F.lit(float("inf")))) <= 1e-12 * F.col("inertia"))).isEmpty():
+            break
     d = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
     return base.select(key, F.try_divide(d, F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))).alias("blend_ratio"), "inertia")
 

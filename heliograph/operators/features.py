@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators.lightcurve import Curve, corrected_moments
 from heliograph.operators.periods import significance
+from heliograph.sources.scratch import discard, materialise
 
 
 def von_neumann(df: DataFrame, c: Curve) -> DataFrame:
@@ -121,28 +122,36 @@ def gaussian_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.var_pop(x).alias("var_x"), F.var_pop(y).alias("var_y"), F.covar_pop(x, y).alias("cov_xy"))
 
 
-def mixture_ratio(df: DataFrame, key: str, value: str, rounds: int = 12) -> DataFrame:
+def mixture_ratio(df: DataFrame, key: str, value: str, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
     """Mean log-likelihood of two normal components less that of one, per key.
 
-    Expectation-maximisation by rounds of aggregation: a key's rows never meet in one task.
+    Expectation-maximisation by rounds of aggregation: a key's rows never meet in one task. Rounds are written, and end
+    when no key's means move by more than ``tolerance`` of its deviation, or after ``rounds``.
     """
     rows = df.select(key, F.col(value).alias("v")).where(F.col(value).isNotNull())
     base = rows.groupBy(key).agg(F.avg("v").alias("m"), F.greatest(F.var_pop("v"), F.lit(1e-12)).alias("s"), F.percentile("v", F.lit(0.25)).alias("a"), F.percentile("v", F.lit(0.75)).alias("b"))
     state = base.withColumns({"sa": F.col("s"), "sb": F.col("s"), "wa": F.lit(0.5)})
     density = lambda m, s: F.exp(-(F.col("v") - m) * (F.col("v") - m) / (2 * s)) / F.sqrt(2 * math.pi * s)
     both = lambda: (F.col("wa") * density(F.col("a"), F.col("sa")), (1 - F.col("wa")) * density(F.col("b"), F.col("sb")))
+    state = materialise(state, "mixture")
     for _ in range(rounds):
         pa, pb = both()
         r = rows.join(state, key).withColumn("r", F.coalesce(F.try_divide(pa, pa + pb), F.lit(0.5)))
         v, w = F.col("v"), F.col("r")
-        sums = r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("na"), F.sum(w * v).alias("xa"), F.sum(w * v * v).alias("xxa"), F.sum(v).alias("x"), F.sum(v * v).alias("xx"), F.max("m").alias("m"), F.max("s").alias("s"))
+        sums = r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("na"), F.sum(w * v).alias("xa"), F.sum(w * v * v).alias("xxa"), F.sum(v).alias("x"), F.sum(v * v).alias("xx"), F.max("m").alias("m"), F.max("s").alias("s"), F.max("a").alias("_a"), F.max("b").alias("_b"))
         nb = F.col("n") - F.col("na")
         mean_a, mean_b = F.col("xa") / F.greatest("na", F.lit(1e-9)), (F.col("x") - F.col("xa")) / F.greatest(nb, F.lit(1e-9))
         floor = F.col("s") * 1e-3
-        state = sums.select(
-            key, "m", "s", mean_a.alias("a"), mean_b.alias("b"), F.greatest(F.col("xxa") / F.greatest("na", F.lit(1e-9)) - mean_a * mean_a, floor).alias("sa"),
+        moved = sums.select(
+            key, "m", "s", "_a", "_b", mean_a.alias("a"), mean_b.alias("b"), F.greatest(F.col("xxa") / F.greatest("na", F.lit(1e-9)) - mean_a * mean_a, floor).alias("sa"),
             F.greatest((F.col("xx") - F.col("xxa")) / F.greatest(nb, F.lit(1e-9)) - mean_b * mean_b, floor).alias("sb"), (F.col("na") / F.col("n")).alias("wa"),
         )
+        moved = materialise(moved, "mixture")
+        discard(state)
+        state = moved.drop("_a", "_b")
+        state._scratch = moved._scratch
+        if moved.where(F.greatest(F.abs(F.col("a") - F.col("_a")), F.abs(F.col("b") - F.col("_b"))) > tolerance * F.sqrt("s")).isEmpty():
+            break
     pa, pb = both()
     return rows.join(state, key).groupBy(key).agg((F.avg(F.log(F.greatest(pa + pb, F.lit(1e-300)))) - F.avg(F.log(density(F.col("m"), F.col("s"))))).alias("ratio"))
 

@@ -419,17 +419,19 @@ def phase_bins(df: DataFrame, c: Curve, period: str, bins: int = 64, least: int
     return out.select(c.key, "bin", "n", F.when(enough, F.col("_m")).otherwise(0.0).alias("median_flux"), F.when(enough, F.col("_v")).otherwise(0.0).alias("var_ratio"))
 
 
-def phase_shape(df: DataFrame, c: Curve, period: str, bins: int = 64, overlap: float = 0.0, least: int = 2) -> DataFrame:
-    """Per source and every phase bin: median and share of variance, each scaled to 0 to 1 over the source's bins.
+def phase_shape(df: DataFrame, c: Curve, period: str, bins: int = 64, overlap: float = 0.0, least: int = 2, level: str = "median", scaled_bins: bool = True) -> DataFrame:
+    """Per source and every phase bin: median (or mean, by ``level``) and share of variance, each scaled to 0 to 1 over the source's bins.
 
     A bin reaches into its neighbours by the share ``overlap`` (below 1) of its width; phases don't wrap. Bins of fewer
-    than ``least`` rows count as 0 and 0 before scaling; a source whose bins are all alike has nulls. What is gathered
-    for a source is ``bins`` small rows, whatever its number of observations.
+    than ``least`` rows count as 0 and 0 before scaling; a source whose bins are all alike has nulls. Without
+    ``scaled_bins`` the values stay as they are. What is gathered for a source is ``bins`` small rows, whatever its number
+    of observations.
     """
     place = phase(F.col(c.time), F.col(period)) * bins
     reach = F.sequence(F.greatest(F.floor(place - overlap), F.lit(0)), F.least(F.floor(place + overlap), F.lit(bins - 1)))
     rows = df.where(F.col(c.time).isNotNull() & F.col(period).isNotNull()).select(c.key, c.flux, F.var_pop(c.flux).over(c.whole()).alias("_all"), F.explode(reach).alias("_bin"))
-    filled = rows.groupBy(c.key, "_bin").agg(F.median(c.flux).alias("level"), F.coalesce(F.try_divide(F.var_pop(c.flux), F.max("_all")), F.lit(0.0)).alias("spread"), F.count(c.flux).alias("_n"))
+    middle = {"median": F.median, "mean": F.avg}[level]
+    filled = rows.groupBy(c.key, "_bin").agg(middle(c.flux).alias("level"), F.coalesce(F.try_divide(F.var_pop(c.flux), F.max("_all")), F.lit(0.0)).alias("spread"), F.count(c.flux).alias("_n"))
     entry = F.when(F.col("_n") >= least, F.struct(F.col("_bin").cast("int").alias("key"), F.struct("level", "spread").alias("value")))
     known = filled.groupBy(c.key).agg(F.map_from_entries(F.collect_list(entry)).alias("_known"))
     zero = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("spread"))
@@ -437,6 +439,8 @@ def phase_shape(df: DataFrame, c: Curve, period: str, bins: int = 64, overlap: f
 
     def scaled(name: str) -> Column:
         values = F.col("_bins")[name]
+        if not scaled_bins:
+            return values.alias(name)
         low, high = F.array_min(values), F.array_max(values)
         return F.transform(values, lambda v: F.try_divide(v - low, high - low)).alias(name)
 

@@ -180,3 +180,14 @@ def augmented(df: DataFrame, key: str, seed: int = 0, least: int = 40) -> DataFr
     after = rows.groupBy(key).agg(F.median("flux").alias("_m"), (q(0.75) - q(0.25)).alias("_iqr"), F.min("mjd").alias("_first"))
     scaled = {"flux": F.asinh(F.try_divide(F.col("flux") - F.col("_m"), F.col("_iqr"))), "sig": F.asinh(F.try_divide(F.col("sig"), F.col("_iqr"))), "mjd": (at - F.col("_first")) / 4000}
     return rows.join(after, key).withColumns(scaled).drop("_m", "_iqr", "_first")
+
+
+def turned(df: DataFrame, key: str, level: str = "level", seed: int = 0, flip: float = 0.4, sign: float = 0.4) -> DataFrame:
+    """Arrays of phase bins as a model is trained on: a random shift of their level, some read backwards, some with the sign changed.
+
+    Adds ``shift``, ``flipped`` and ``negated``, drawn for each key, so that a task that is run again draws the same.
+    """
+    k, s = F.col(key), F.lit(seed)
+    drawn = {"shift": uniform(k, s, F.lit("shift")), "flipped": uniform(k, s, F.lit("flip")) < flip, "negated": uniform(k, s, F.lit("sign")) < sign}
+    moved = F.transform(F.col(level), lambda v: F.when(F.col("negated"), -(v + F.col("shift"))).otherwise(v + F.col("shift")))
+    return df.withColumns(drawn).withColumn(level, F.when(F.col("flipped"), F.reverse(moved)).otherwise(moved))

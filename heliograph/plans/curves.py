@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from heliograph.functions import arrays, geo
 from heliograph.operators import epochs as ep
 from heliograph.operators import lightcurve as op
-from heliograph.plans.adapters import EV, EV_SQL, LC, MASK_SQL, events, lc_sql, light_curves, rounded
-from heliograph.plans.registry import query
+from heliograph.plans.adapters import EV, EV_SQL, LC, MASK_SQL, events, lc_sql, light_curves, positions, rounded, sky_sql
+from heliograph.plans.registry import ORACLES, query
 from heliograph.sources.tables import table
 
 _WITH = "WITH " + lc_sql()
@@ -191,6 +191,36 @@ def variable_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(rules.join(stats, "source_id"))
 
 
+_RULES = f"""WITH v AS ({ORACLES["variable_catalog"]}), {lc_sql()}, m AS (SELECT * FROM lc WHERE {MASK_SQL}), c AS (SELECT *, avg(flux) OVER (PARTITION BY source_id) AS mu, stddev_pop(flux) OVER (PARTITION BY source_id) AS sd FROM m),
+ k AS (SELECT *, count(*) OVER (PARTITION BY source_id) AS cnt FROM c WHERE abs(flux - mu) < 4 * sd), p AS (SELECT * FROM k WHERE cnt >= 20),
+ s AS (SELECT source_id, count(*) AS n, quantile_cont(flux, 0.8) - quantile_cont(flux, 0.15) AS r, quantile_cont(flux, 0.75) - quantile_cont(flux, 0.25) AS iqr, median(sig) AS ms, -2.5 * log10(avg(flux) / 309.54) AS mag FROM p GROUP BY 1),
+ f AS (SELECT s_suppkey AS source_id, s_suppkey % 3 AS kind, (s_suppkey % 10) / 10.0::DOUBLE AS confidence FROM supplier)"""
+
+
+@query(_RULES + f""" SELECT f.source_id, round(ra, 6) AS ra, round(dec, 6) AS dec, CASE kind WHEN 1 THEN 'transient' ELSE 'periodic' END AS type, confidence FROM f JOIN ({sky_sql("supplier", "s_suppkey")}) x ON x.s_suppkey = f.source_id
+ LEFT JOIN v ON v.source_id = f.source_id LEFT JOIN s ON s.source_id = f.source_id WHERE kind IN (1, 2) AND confidence > 0.15 AND CASE WHEN kind = 1 THEN coalesce(transient, false) ELSE coalesce(NOT (n < 20 OR r < 10.4 * ms OR (mag < 8 AND iqr < 2 / mag)), false) END""")
+def rule_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """From scores to the catalog: each class's rule on masked curves, centroids, types; scores here by arithmetic."""
+    k = F.col("s_suppkey")
+    scored = table(spark, folder, "supplier").select(k.alias("source_id"), (k % 3).cast("int").alias("class"), ((k % 10) / 10.0).alias("confidence"))
+    places = positions(spark, folder, "supplier", "s_suppkey").withColumnRenamed("s_suppkey", "source_id")
+    return rounded(ep.rule_catalog(light_curves(spark, folder), LC, scored, places, 0.15, {"rise": 8}, {"least": 20, "spread": 10.4}))
+
+
+@query()
+def scored_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with scores of a network over the curves, centred over all sources since its weights aren't trained; tests hold it against its parts."""
+    from heliograph.operators import network
+    from heliograph.plans.learning import curve_arrays
+
+    scores = network.network_scores(curve_arrays(spark, folder), "source_id", ["flux", "sig", "mjd"], network.wave_network(), 3)
+    usual = scores.agg(*[F.avg(F.get("scores", k)).alias(f"m{k}") for k in range(3)], *[F.stddev_pop(F.get("scores", k)).alias(f"s{k}") for k in range(3)]).first()
+    p = arrays.softmax(F.array(*[(F.get("scores", k) - usual[f"m{k}"]) / max(usual[f"s{k}"], 1e-12) for k in range(3)]))
+    scored = scores.where("scores is not null").withColumn("p", p).select("source_id", arrays.argmax(F.col("p")).alias("class"), F.array_max("p").alias("confidence"))
+    places = positions(spark, folder, "supplier", "s_suppkey").withColumnRenamed("s_suppkey", "source_id")
+    return rounded(ep.rule_catalog(light_curves(spark, folder), LC, scored, places, 0.4, {"rise": 8}, {"least": 20, "spread": 10.4}))
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events),
  w AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM w GROUP BY user_id, k""")

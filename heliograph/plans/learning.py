@@ -26,7 +26,7 @@ def boosted_classes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(boosting.best_per_source(boosting.apply_boosted(rows, model), "vec_id").drop(*names))
 
 
-def _arrays(spark: SparkSession, folder: str) -> DataFrame:
+def curve_arrays(spark: SparkSession, folder: str) -> DataFrame:
     rows = light_curves(spark, folder).withColumns({"flux": F.asinh(F.col("flux") / 1000), "sig": F.asinh(F.col("sig") / 1000), "mjd": F.col("mjd") / 4000})
     return parallel(nest(rows, LC, ["flux", "sig"]), "source_id", ["flux", "sig", "mjd"])
 
@@ -34,7 +34,7 @@ def _arrays(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def network_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Three scores for every supplier's curve by convolutions, a wavelet and a Fourier layer; tests hold the layers against loops."""
-    scored = network.network_scores(_arrays(spark, folder), "source_id", ["flux", "sig", "mjd"], network.wave_network(), 3)
+    scored = network.network_scores(curve_arrays(spark, folder), "source_id", ["flux", "sig", "mjd"], network.wave_network(), 3)
     p = arrays.softmax(F.col("scores"))
     return rounded(scored.withColumn("p", p).select("source_id", arrays.argmax(F.col("p")).alias("class"), F.array_max("p").alias("confidence")))
 

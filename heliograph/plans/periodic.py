@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heliograph.operators import catalog
 from heliograph.operators import features as ft
 from heliograph.operators import periods as pd_
+from heliograph.operators import synthetic
 from heliograph.plans.adapters import EV, EV_SQL, LC, events, lc_sql, light_curves, rounded
 from heliograph.plans.registry import ORACLES, query
 from heliograph.sources.tables import table
@@ -201,6 +202,22 @@ def phase_shape(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(shapes.select("source_id", F.posexplode(F.arrays_zip("level", "spread")).alias("bin", "s")).select("source_id", "bin", "s.level", "s.spread"))
 
 
+@query(_WITH + """, p AS (SELECT *, floor(((mjd - 23.3713::DOUBLE * floor(mjd / 23.3713::DOUBLE)) / 23.3713::DOUBLE) * 16) AS bin FROM lc), a AS (SELECT source_id, var_pop(flux) AS va FROM lc GROUP BY 1), i AS (SELECT unnest(range(16)) AS bin),
+ f AS (SELECT source_id, bin, avg(flux) AS m, var_pop(flux) AS v FROM p GROUP BY 1, 2) SELECT a.source_id, CAST(i.bin AS INT) AS bin, round(coalesce(m, 0), 4) AS level, round(coalesce(v / va, 0), 6) AS spread FROM a CROSS JOIN i LEFT JOIN f ON f.source_id = a.source_id AND f.bin = i.bin""")
+def phase_means(spark: SparkSession, folder: str) -> DataFrame:
+    """Means and shares of variance of phase bins that don't overlap, as they are; empty bins are 0."""
+    shapes = pd_.phase_shape(light_curves(spark, folder).withColumn("period", F.lit(23.3713)), LC, "period", 16, 0.0, 1, "mean", False)
+    long = shapes.select("source_id", F.posexplode(F.arrays_zip("level", "spread")).alias("bin", "s")).select("source_id", "bin", F.round("s.level", 4).alias("level"), F.round("s.spread", 6).alias("spread"))
+    return long
+
+
+@query()
+def turned_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Phase bins with a random shift, direction and sign for each supplier; tests hold them against their rule."""
+    shapes = pd_.phase_shape(light_curves(spark, folder).withColumn("period", F.lit(23.3713)), LC, "period", 16)
+    return rounded(synthetic.turned(shapes.select("source_id", "level"), "source_id").select("source_id", "shift", "flipped", "negated", F.get("level", 0).alias("first_level"), F.get("level", 15).alias("last_level")))
+
+
 @query()
 def period_search(spark: SparkSession, folder: str) -> DataFrame:
     """Two-stage search on the full grid with steps a hundred times as wide; tests hold it against the whole periodogram."""

@@ -122,3 +122,12 @@ def scalar_formats(spark: SparkSession, folder: str) -> DataFrame:
         "p_partkey", F.bround(v, 3).alias("half_even"), F.round(v, 3).alias("half_up"), F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).alias("cut"),
         F.lpad(F.col("p_size").cast("string"), 4, "0").alias("filled"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("first_word"), F.trim(F.concat(F.lit("  "), "p_brand", F.lit(" "))).alias("trimmed"),
     )
+
+
+@query("SELECT DISTINCT pixel, true AS own FROM (" + _C + _PIX + ")")
+def pixel_centres(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels of the customers: whether each holds its own centre."""
+    pixels = healpix_pixel(spark, folder).select("pixel").distinct()
+    ra, dec = healpix.centre(F.col("pixel").cast("long"), 5)
+    at = pixels.withColumns({"_ra": ra, "_dec": dec})
+    return at.select("pixel", (healpix.pixel(F.col("_ra"), F.col("_dec"), 5) == F.col("pixel")).alias("own"))

@@ -141,3 +141,14 @@ def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
     orders.select(line.alias("value")).write.mode("append").text(lines)
     monitor.log_sink(monitor.completion_stream(spark.readStream.schema("value string").text(lines)), out, state, "complete").awaitTermination()
     return monitor.latest(spark, out, "status")
+
+
+@query("SELECT c_nationkey AS part, count(*) AS n, CAST(count(DISTINCT c_custkey % 2) AS BIGINT) AS runs FROM customer GROUP BY 1")
+def outputs_by_partition(spark: SparkSession, folder: str) -> DataFrame:
+    """Partial outputs of two runs, grouped by the partition number in their files' names."""
+    path = scratch_path(spark, "outputs")
+    rows = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    for run in (0, 1):
+        tables.write_csv(rows.where(F.col("c_custkey") % 2 == run), f"{path}/run{run}", "c_nationkey")
+    parts = [tables.file_parts(tables.read_csv(spark, f"{path}/run{run}", "c_custkey long"), r"c_nationkey=(\d+)/").withColumn("run", F.lit(run)) for run in (0, 1)]
+    return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run").alias("runs"))

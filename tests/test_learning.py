@@ -152,4 +152,4 @@ def test_encoder_tells_unseen_shapes_better_than_the_mean(spark):
     code = np.stack(held["code"].to_numpy())
     assert np.allclose(code, y @ directions.T) and np.allclose(held["code_error"], ((y - code @ directions) ** 2).mean(1), atol=1e-9)
     assert held["code_error"].mean() < (y**2).mean()
-    assert learning.network_scores(spark, at).agg(F.count("confidence")).first()[0] == learning._arrays(spark, at).count()
+    assert learning.network_scores(spark, at).agg(F.count("confidence")).first()[0] == learning.curve_arrays(spark, at).count()

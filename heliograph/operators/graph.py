@@ -39,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved
         if not changed:
             discard(both)
-            return labels.drop("was")
+            out = labels.drop("was")
+            out._scratch = labels._scratch
+            return out
 
 
 def _gridded(points: DataFrame, key: str, ra: str, dec: str, chord: float) -> DataFrame:
@@ -85,6 +87,7 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     counted = _in_reach(thin, rows, chord).groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     found = thin.join(counted, "id").select("id", "x", "y", "z", "f", (F.col("n") >= least_points).alias("core"))
     found = materialise(rows.where("dense").select("id", "x", "y", "z", "f", F.lit(True).alias("core")).unionByName(found), "core-points")
+    discard(rows)
     core = found.where("core").drop("core")
     extent = [g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("lo_", F.min), ("hi_", F.max))]
     cells = materialise(core.groupBy("f").agg(F.min("id").alias("cell"), *extent), "cells")
@@ -92,9 +95,11 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     linked = materialise(_cell_pairs(flat, chord), "cell-pairs")
     unsure = linked.where(~F.col("sure")).select("a", "b")
     named = core.join(cells.select("f", "cell"), "f")
-    edges = linked.where("sure").select("a", "b").union(_reaching(unsure, named.select("cell", "x", "y", "z").distinct(), chord))
-    roots = components(edges)
-    cells = materialise(cells.join(roots.select(F.col("node").alias("cell"), "root"), "cell", "left").select("f", F.coalesce("root", "cell").alias("cluster")), "clusters")
+    reaching, written = _reaching(unsure, named.select("cell", "x", "y", "z").distinct(), chord)
+    roots = components(linked.where("sure").select("a", "b").union(reaching))
+    discard(linked, *written)
+    before, cells = cells, materialise(cells.join(roots.select(F.col("node").alias("cell"), "root"), "cell", "left").select("f", F.coalesce("root", "cell").alias("cluster")), "clusters")
+    discard(before, roots)
     inner = core.join(cells, "f").select("id", "x", "y", "z", "f", "cluster")
     border = _in_reach(found.where(~F.col("core")), inner, chord).groupBy(F.col("l.id").alias("id")).agg(F.min("r.cluster").alias("cluster"))
     all_ = inner.select(F.col("id").alias(key), "cluster").union(border.select(F.col("id").alias(key), "cluster"))
@@ -108,8 +113,8 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
 PAIR_POINTS = 1_000_000
 
 
-def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> DataFrame:
-    """(a, b) of ``pairs`` of cells that have two points within the radius; ``points`` has (cell, x, y, z).
+def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) of ``pairs`` of cells that have two points within the radius, and the tables that it reads; ``points`` has (cell, x, y, z).
 
     Pairs of few points are compared. Cells of others are cut into parts of half the width again and again: parts too far
     apart go, two parts wholly in reach decide their pair, which then needs no more work, and parts of few points are
@@ -128,7 +133,7 @@ def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> DataFrame:
     found = compared(counted.where(F.col("na") * F.col("nb") <= PAIR_POINTS).select("a", "b"), points, ["cell"])
     if large.isEmpty():
         discard(large)
-        return found
+        return found, []
     parts, left, level = [found], large, 0
     root = F.struct(*[F.lit(None).cast("long").alias(c) for c in "xyz"])
     while True:
@@ -154,10 +159,10 @@ def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> DataFrame:
         few = materialise(compared(open_.where(F.col("n") <= PAIR_POINTS).select("a", "b", "a_part", "b_part"), held, ["cell", "cell_part"]), "reaching")
         before, left = left, materialise(open_.where(F.col("n") > PAIR_POINTS).join(few, ["a", "b"], "left_anti").select("a", "b", "a_part", "b_part"), "large-pairs")
         parts += [sure, few]
-        discard(rows, before)
+        discard(rows, large if level == 1 else before)
         if left.isEmpty():
             discard(left)
-            return reduce(DataFrame.unionByName, parts).distinct()
+            return reduce(DataFrame.unionByName, parts).distinct(), parts[1:]
 
 
 def _cell_pairs(cells: DataFrame, chord: float) -> DataFrame:

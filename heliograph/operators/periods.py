@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.lightcurve import Curve
-from heliograph.sources.scratch import materialise
+from heliograph.sources.scratch import discard, materialise
 
 # Ratios of an alias period to the cadence.
 ALIAS_RATIOS = (1 / 3, 1 / 2, 1, 2, 4 / 3, 3 / 2, 3, 4)
@@ -317,6 +317,7 @@ def search_peaks(
     blocks = -(-len(grid) // SPREAD_PERIODS)
     first = materialise(_spread_statistics(spread.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), c, kind, grid, bins, long_from), "periodogram")
     both = materialise(beside(first).groupBy(c.key).applyInPandas(places, long_form), "periods")
+    discard(first)
     fine = both.where(F.col("sig").isNull()).groupBy(c.key).agg(F.sort_array(F.collect_set("period")).alias("_periods"))  # some dozens a source
     again = _spread_statistics(spread.join(fine, c.key).withColumn("_block", F.lit(0)), c, kind, None, bins, long_from)
     return plain.unionByName(beside(both.where(F.col("sig").isNotNull()).unionByName(again)).groupBy(c.key).applyInPandas(last, schema))

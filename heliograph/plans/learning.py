@@ -12,7 +12,7 @@ from heliograph.operators.catalog import TREE_CLASSES
 from heliograph.operators.lightcurve import nest, parallel
 from heliograph.plans.adapters import LC, lc_sql, light_curves, rounded
 from heliograph.plans.registry import query
-from heliograph.sources.scratch import materialise, scratch_path
+from heliograph.sources.scratch import discard, materialise, scratch_path
 from heliograph.sources.tables import table
 
 
@@ -54,6 +54,7 @@ def trained_classes(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     known = materialise(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(5)) > 0).select("embedding", "label"), "training")
     state, kept = training.train(known, "embedding", "label", list(range(10)), 12, 12, folder=scratch_path(spark, "checkpoints"), least_f1=0.1)
+    discard(known)
     last = training.load_checkpoint(spark, kept[-1]) if kept else state
     return rounded(training.predict(rows, "vec_id", "embedding", last, [str(k) for k in range(10)], 12), 4)
 

@@ -137,19 +137,32 @@ def fit_voters(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
     def run(batches):
         for batch in batches:
-            held = [counts for _, counts in term_counts(batch.column("text"))]
-            rows = np.concatenate(held) if held else np.zeros((0, TERMS), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("quality"), pa.array([r.tobytes() for r in rows], pa.binary())], ["_id", "quality", "counts"])
+            held = [row for _, counts in term_counts(batch.column("text")) for row in counts]
+            places = [np.flatnonzero(row) for row in held]
+            sparse = [pa.array([x.tobytes() for x in part], pa.binary()) for part in ([at.astype("<u2") for at in places], [row[at] for row, at in zip(held, places)])]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("quality"), *sparse], ["_id", "quality", "terms", "counts"])
 
     kind = dict(drawn.dtypes)["_id"]
-    got: pd.DataFrame = pairs.select("_id", "quality", "text").mapInArrow(run, f"_id {kind}, quality int, counts binary").orderBy("_id", "quality", F.xxhash64("counts")).limit(2 * sample_rows).toPandas()
+    got: pd.DataFrame = pairs.select("_id", "quality", "text").mapInArrow(run, f"_id {kind}, quality int, terms binary, counts binary").orderBy("_id", "quality", F.xxhash64("terms", "counts")).limit(2 * sample_rows).toPandas()
     frequency = document_frequencies(docs)
     rarity = (1 + np.log((1 + frequency[0]) / (1 + frequency[1:]))).astype(np.float32)
-    counts = np.frombuffer(b"".join(got["counts"]), np.float32).reshape(-1, TERMS) if len(got) else np.zeros((0, TERMS), np.float32)
-    rows = weigh(counts, rarity)
-    _, axes = np.linalg.eigh((rows.T @ rows).astype(np.float64))  # right singular vectors, the leading ones last
+
+    def weighed():
+        """Blocks of the sample's matrix, which is never held whole."""
+        for lo in range(0, len(got), TEXTS_AT_ONCE):
+            part = got.iloc[lo : lo + TEXTS_AT_ONCE]
+            counts = np.zeros((len(part), TERMS), np.float32)
+            for row, at, n in zip(counts, part["terms"], part["counts"]):
+                row[np.frombuffer(at, "<u2")] = np.frombuffer(n, np.float32)
+            yield weigh(counts, rarity)
+
+    products = np.zeros((TERMS, TERMS))
+    for rows in weighed():
+        products += rows.T @ rows
+    _, axes = np.linalg.eigh(products)  # right singular vectors, the leading ones last
     turn = np.ascontiguousarray(axes[:, ::-1][:, :dimensions].astype(np.float32))
-    return Voters(rarity, turn, unit(rows @ turn), got["quality"].to_numpy(np.float64))
+    vectors = [unit(rows @ turn) for rows in weighed()]
+    return Voters(rarity, turn, np.concatenate(vectors) if vectors else np.zeros((0, turn.shape[1]), np.float32), got["quality"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:

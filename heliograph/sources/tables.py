@@ -54,12 +54,14 @@ def enrich_partitions(spark: SparkSession, path: str, partition: str, added: Seq
     ``at_once`` partitions are written to a folder beside the table, replace their old ones, and are noted as done. A run
     that is stopped goes on where it was: a whole staged folder is put in place first, a part of one is thrown away,
     partitions noted as done are skipped, and one replaced but not noted is done again from the same rows. ``most``
-    partitions at most are done in a run. Partition values, some thousands, reach the driver.
+    partitions at most are done in a run. Partition values, some thousands, reach the driver; null is one of them.
     """
     staged, noted = f"{path.rstrip('/')}.staged", f"{path.rstrip('/')}.done"
 
     def put_in_place() -> int:
+        kind = spark.read.parquet(path).schema[partition].dataType  # a folder of the null partition alone doesn't tell
         rows = spark.read.option("mergeSchema", True).parquet(staged)
+        rows = rows.withColumn(partition, F.col(partition).cast(kind))
         values = rows.select(partition).distinct()
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         values.withColumn("done", F.lit(True)).coalesce(1).write.mode("append").parquet(noted)
@@ -74,11 +76,13 @@ def enrich_partitions(spark: SparkSession, path: str, partition: str, added: Seq
         rows = spark.read.option("mergeSchema", True).parquet(path)
         todo = rows.select(partition).distinct()
         if has_path(spark, noted):
-            todo = todo.join(spark.read.parquet(noted).select(partition).distinct(), partition, "left_anti")
+            done = spark.read.parquet(noted).select(F.col(partition).alias("_done")).distinct()
+            todo = todo.join(done, F.col(partition).eqNullSafe(F.col("_done")), "left_anti")
         some = [r[0] for r in todo.orderBy(partition).limit(at_once if most is None else min(at_once, most - count)).collect()]
         if not some:
             break
-        plain = rows.drop(*added).where(F.col(partition).isin(some))
+        wanted = F.col(partition).isin([v for v in some if v is not None])
+        plain = rows.drop(*added).where(wanted | F.col(partition).isNull() if None in some else wanted)
         add(plain).write.mode("overwrite").partitionBy(partition).parquet(staged)
         count += put_in_place()
     return count

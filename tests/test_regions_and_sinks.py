@@ -99,6 +99,15 @@ def test_enrichment_that_is_stopped_goes_on(spark, tmp_path):
     assert calls == [[0, 1], [2, 3], [3, 4]]
 
 
+def test_a_null_partition_is_enriched_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("p")).write.partitionBy("p").parquet(path)
+    add = lambda df: df.withColumn("twice", F.col("id") * 2)
+    assert tables.enrich_partitions(spark, path, "p", ["twice"], add, at_once=1) == 3 and tables.enrich_partitions(spark, path, "p", ["twice"], add) == 0
+    got = spark.read.parquet(path).toPandas()
+    assert len(got) == 20 and (got["twice"] == got["id"] * 2).all() and got["p"].isna().sum() == 7
+
+
 def test_replayed_batches_count_once(spark, tmp_path):
     log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
     write = lambda lines: spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(log)

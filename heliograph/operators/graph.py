@@ -90,10 +90,10 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     discard(rows)
     core = found.where("core").drop("core")
     extent = [g(c).alias(f"{n}{c}") for c in "xyz" for n, g in (("lo_", F.min), ("hi_", F.max))]
-    cells = materialise(core.groupBy("f").agg(F.min("id").alias("cell"), *extent), "cells")
-    flat = cells.select("cell", "f", "lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z")
+    cells = materialise(core.groupBy("f").agg(F.min("id").alias("cell"), F.count(F.lit(1)).alias("n"), *extent), "cells")
+    flat = cells.select("cell", "f", "n", "lo_x", "hi_x", "lo_y", "hi_y", "lo_z", "hi_z")
     linked = materialise(_cell_pairs(flat, chord), "cell-pairs")
-    unsure = linked.where(~F.col("sure")).select("a", "b")
+    unsure = linked.where(~F.col("sure")).select("a", "b", "n")
     named = core.join(cells.select("f", "cell"), "f")
     reaching, written = _reaching(unsure, named.select("cell", "x", "y", "z").distinct(), chord)
     roots = components(linked.where("sure").select("a", "b").union(reaching))
@@ -114,11 +114,12 @@ PAIR_POINTS = 1_000_000
 
 
 def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b) of ``pairs`` of cells that have two points within the radius, and the tables that it reads; ``points`` has (cell, x, y, z).
+    """(a, b) of ``pairs`` (a, b, n) of cells that have two points within the radius, and the tables that it reads.
 
-    Pairs of few points are compared. Cells of others are cut into parts of half the width again and again: parts too far
-    apart go, two parts wholly in reach decide their pair, which then needs no more work, and parts of few points are
-    compared. Parts of equal points have no width, so that every pair is decided in the end.
+    ``points`` has the different positions (cell, x, y, z); n is the number of pairs of points, or more. Pairs of few points
+    are compared. Cells of others are cut into parts of half the width again and again: parts too far apart go, two parts
+    wholly in reach decide their pair, which then needs no more work, and parts of few points are compared. Parts of equal
+    points have no width, so that every pair is decided in the end.
     """
     square = lambda one, two: sum(((F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) * (F.col(f"{one}.{c}") - F.col(f"{two}.{c}")) for c in "xyz"), F.lit(0.0))
 
@@ -127,13 +128,11 @@ def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> tuple[DataFr
         p, q = (held.select(*[F.col(c).alias(f"{side}{c[4:]}") for c in on], F.struct("x", "y", "z").alias(name)) for side, name in (("a", "p"), ("b", "q")))
         return left.join(p, [f"a{c[4:]}" for c in on]).join(q, [f"b{c[4:]}" for c in on]).where(square("p", "q") <= chord * chord).select("a", "b").distinct()
 
-    sizes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    counted = pairs.join(sizes.select(F.col("cell").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cell").alias("b"), F.col("n").alias("nb")), "b")
-    large = materialise(counted.where(F.col("na") * F.col("nb") > PAIR_POINTS).select("a", "b"), "large-pairs")
-    found = compared(counted.where(F.col("na") * F.col("nb") <= PAIR_POINTS).select("a", "b"), points, ["cell"])
-    if large.isEmpty():
-        discard(large)
+    few = pairs.where(F.col("n") <= PAIR_POINTS).select("a", "b")
+    found = compared(few, points, ["cell"])
+    if pairs.where(F.col("n") > PAIR_POINTS).isEmpty():
         return found, []
+    large = materialise(pairs.where(F.col("n") > PAIR_POINTS).select("a", "b"), "large-pairs")
     parts, left, level = [found], large, 0
     root = F.struct(*[F.lit(None).cast("long").alias(c) for c in "xyz"])
     while True:
@@ -166,7 +165,7 @@ def _reaching(pairs: DataFrame, points: DataFrame, chord: float) -> tuple[DataFr
 
 
 def _cell_pairs(cells: DataFrame, chord: float) -> DataFrame:
-    """(a, b, sure) of core cells near each other, once each: sure if their extents alone put all points in reach."""
+    """(a, b, sure, n) of core cells near each other, once each: sure if their extents alone put all points in reach; n pairs of points."""
     steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
     around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i, j, k in steps])
     half, f = chord / 2, F.col("f")
@@ -176,7 +175,7 @@ def _cell_pairs(cells: DataFrame, chord: float) -> DataFrame:
     span = lambda c: F.greatest(F.col(f"l.hi_{c}"), F.col(f"r.hi_{c}")) - F.least(F.col(f"l.lo_{c}"), F.col(f"r.lo_{c}"))
     near, far = (sum((g(c) * g(c) for c in "xyz"), F.lit(0.0)) for g in (gap, span))
     met = one.join(two, F.col("l._f") == F.col("r.f")).where(near <= chord * chord)
-    return met.select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), (far <= chord * chord).alias("sure"))
+    return met.select(F.col("l.cell").alias("a"), F.col("r.cell").alias("b"), (far <= chord * chord).alias("sure"), (F.col("l.n") * F.col("r.n")).alias("n"))
 
 
 def centroids(df: DataFrame, key: str, ra: str, dec: str) -> DataFrame:

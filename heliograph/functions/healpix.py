@@ -179,6 +179,51 @@ def reach(order: int) -> float:
     return math.degrees(math.acos(min(1.0, cosine))) * (1 + 1e-9)
 
 
+def pixels(ra: np.ndarray, dec: np.ndarray, order: int) -> np.ndarray:
+    """:func:`pixel` for arrays."""
+    side = 1 << order
+    mask, long = side - 1, lambda v: np.floor(v).astype(np.int64)
+    z, turn = np.sin(np.radians(dec)), np.mod(ra, 360.0) / 90
+    up, down = long(side * (0.5 + turn) - side * z * 0.75), long(side * (0.5 + turn) + side * z * 0.75)
+    face_up, face_down = up >> order, down >> order
+    belt_face = np.where(face_up == face_down, (face_up & 3) + 4, np.where(face_up < face_down, face_up, face_down + 8))
+    quarter = np.minimum(3, long(turn))
+    within, reach_ = turn - quarter, side * np.sqrt(3 * (1 - np.abs(z)))
+    one, two = np.minimum(mask, long(within * reach_)), np.minimum(mask, long((1 - within) * reach_))
+    belt, north = np.abs(z) <= 2 / 3, z >= 0
+    face = np.where(belt, belt_face, np.where(north, quarter, quarter + 8))
+    x = np.where(belt, down & mask, np.where(north, mask - two, one))
+    y = np.where(belt, mask - (up & mask), np.where(north, mask - one, two))
+    return _nested(face, x, y, order)
+
+
+def _nested(face: np.ndarray, x: np.ndarray, y: np.ndarray, order: int) -> np.ndarray:
+    out = face << 2 * order
+    for k in range(order):
+        out = out | (x >> k & 1) << 2 * k | (y >> k & 1) << 2 * k + 1
+    return out
+
+
+def neighbour_pixels(nested: np.ndarray, order: int) -> np.ndarray:
+    """:func:`neighbours` for arrays: eight columns."""
+    side, inside = 1 << order, nested & ((1 << 2 * order) - 1)
+    face, x, y = nested >> 2 * order, np.zeros_like(nested), np.zeros_like(nested)
+    for k in range(order):
+        x |= (inside >> 2 * k & 1) << k
+        y |= (inside >> 2 * k + 1 & 1) << k
+    beyond, turns, out = np.array(BEYOND), np.array(TURNS), np.empty((len(nested), 8), np.int64)
+    for column, (i, j) in enumerate(((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))):
+        at_x, at_y = x + i, y + j
+        over = lambda v: np.where(v < 0, -1, np.where(v >= side, 1, 0))
+        border = 4 + over(at_x) + 3 * over(at_y)
+        into, turn = beyond[border, face], turns[border, face >> 2]
+        at_x, at_y = at_x % side, at_y % side
+        at_x, at_y = np.where(turn & 1, side - 1 - at_x, at_x), np.where(turn & 2, side - 1 - at_y, at_y)
+        to_x, to_y = np.where(turn & 4, at_y, at_x), np.where(turn & 4, at_x, at_y)
+        out[:, column] = np.where(into < 0, -1, _nested(np.maximum(into, 0), to_x, to_y, order))
+    return out
+
+
 def centres(nested: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """:func:`centre` for arrays."""
     side, inside = 1 << order, nested & ((1 << 2 * order) - 1)

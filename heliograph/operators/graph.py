@@ -8,10 +8,13 @@ from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from heliograph.functions import geo, healpix, ids
+from heliograph.operators import reach
 from heliograph.sources.scratch import discard, materialise
 
 
@@ -56,16 +59,9 @@ def _on_sphere(cell: list[Column], side: float) -> Column:
     return F.abs(F.sqrt(sum(((c + 0.5) * (c + 0.5) for c in cell), F.lit(0.0))) * side - 1) <= 0.8661 * side
 
 
-def _in_reach(left: DataFrame, right: DataFrame, chord: float) -> DataFrame:
-    """Rows of both sides (named l and r) within the radius: cells as wide as it, the left side in all 27 around its own."""
-    wide = lambda c: F.floor(F.col(f"f.{c}") / 2)
-    around = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    one = left.withColumn("_s", F.explode(around)).withColumns({f"_{c}": wide(c) + F.col(f"_s.{c}") for c in "xyz"}).drop("_s")
-    one = one.where(_on_sphere([F.col(f"_{c}") for c in "xyz"], chord)).alias("l")
-    two = right.withColumns({f"_{c}": wide(c) for c in "xyz"}).alias("r")
-    apart = sum(((F.col(f"l.{c}") - F.col(f"r.{c}")) * (F.col(f"l.{c}") - F.col(f"r.{c}")) for c in "xyz"), F.lit(0.0))
-    same = (F.col("l._x") == F.col("r._x")) & (F.col("l._y") == F.col("r._y")) & (F.col("l._z") == F.col("r._z"))
-    return one.join(two, same & (apart <= chord * chord))
+def _named(rows: DataFrame, *others: str) -> DataFrame:
+    """Points with the names that :mod:`reach` takes."""
+    return rows.select("id", *others, *[F.col(c).alias(f"_{c}") for c in "xyz"])
 
 
 def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: int = 1, on: tuple[str, str, str] = ("id", "ra", "dec")) -> DataFrame:
@@ -84,7 +80,7 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     full = rows.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     rows = materialise(rows.join(full, "f").select("id", "x", "y", "z", "f", (F.col("n") >= least_points).alias("dense")), "points")
     thin = rows.where(~F.col("dense"))
-    counted = _in_reach(thin, rows, chord).groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    counted = reach.counts(_named(thin), _named(rows), arcsec, "id")
     found = thin.join(counted, "id").select("id", "x", "y", "z", "f", (F.col("n") >= least_points).alias("core"))
     found = materialise(rows.where("dense").select("id", "x", "y", "z", "f", F.lit(True).alias("core")).unionByName(found), "core-points")
     discard(rows)
@@ -101,7 +97,7 @@ def dbscan(points: DataFrame, arcsec: float, least_points: int, least_members: i
     before, cells = cells, materialise(cells.join(roots.select(F.col("node").alias("cell"), "root"), "cell", "left").select("f", F.coalesce("root", "cell").alias("cluster")), "clusters")
     discard(before, roots)
     inner = core.join(cells, "f").select("id", "x", "y", "z", "f", "cluster")
-    border = _in_reach(found.where(~F.col("core")), inner, chord).groupBy(F.col("l.id").alias("id")).agg(F.min("r.cluster").alias("cluster"))
+    border = reach.firsts(_named(found.where(~F.col("core"))), _named(inner, "cluster"), arcsec, "id", ["cluster"], ["cluster"])
     all_ = inner.select(F.col("id").alias(key), "cluster").union(border.select(F.col("id").alias(key), "cluster"))
     if least_members <= 1:
         return all_
@@ -217,25 +213,49 @@ def with_halo(points: DataFrame, margin_arcsec: float, order: int, on: tuple[str
     _, ra, dec = on
     finest = max(finer.values()) if finer else order
     border = max(border_order(margin_arcsec) if border is None else border, finest)
-    orders = F.create_map(*[F.lit(x) for pair in finer.items() for x in pair]) if finer else None
+    cut_pixels = np.array(sorted(finer or {}), np.int64)
+    cut_orders = np.array([finer[p] for p in cut_pixels.tolist()] if finer else [], np.int64)
 
-    def piece(small):  # numbers are nested: a coarser pixel's number is a finer one's without its last bits
-        fine = F.shiftright(small, 2 * (border - finest))
+    def piece(small: np.ndarray) -> np.ndarray:  # numbers are nested: a coarser pixel's number is a finer one's without its last bits
+        fine = small >> 2 * (border - finest)
         if not finer:
             return fine
-        cut = F.coalesce(F.try_element_at(orders, F.shiftright(fine, 2 * (finest - order))), F.lit(order))
-        return F.call_function("shiftright", fine, (2 * (finest - cut)).cast("int")) + cut.cast("long") * F.lit(1 << 40)
-
-    rows = points.withColumn("_small", healpix.pixel(F.col(ra), F.col(dec), border).cast("long"))
-    # most points lie within their piece and touch no other
-    inside = F.col("_small").bitwiseAND(F.lit((1 << 2 * (border - finest)) - 1).cast("long"))
-    axes = [F.lit((0x5555555555555555 << k) & ((1 << 2 * (border - finest)) - 1)).cast("long") for k in (0, 1)]
-    on_edge = reduce(or_, [(inside.bitwiseAND(axis) == 0) | (inside.bitwiseAND(axis) == axis) for axis in axes])
-    rows = rows.withColumn("_around", F.when(on_edge, F.filter(healpix.neighbours(F.col("_small"), border), lambda p: p >= 0)).otherwise(F.array().cast("array<bigint>")))
-    pixels = F.array_distinct(F.transform(F.concat(F.array("_small"), "_around"), piece))
-    out = rows.withColumns({"_own": piece(F.col("_small")), "_pixels": pixels})
-    out = out.withColumns({"shared": F.size("_pixels") > 1, "pixel": F.explode("_pixels")}).drop("_pixels")
-    return out.withColumn("owner", F.col("pixel") == F.col("_own")).drop("_own", "_small", "_around")
+        coarse = fine >> 2 * (finest - order)
+        at = np.minimum(np.searchsorted(cut_pixels, coarse), len(cut_pixels) - 1)
+        cut = np.where(cut_pixels[at] == coarse, cut_orders[at], order)
+        return (fine >> 2 * (finest - cut)) + (cut << 40)
+
+    low_bits = (1 << 2 * (border - finest)) - 1
+    axes = [(0x5555555555555555 << k) & low_bits for k in (0, 1)]
+
+    def spread(batches):
+        for batch in batches:
+            position = [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()) for c in (ra, dec)]
+            known = np.flatnonzero((position[0].is_valid().to_numpy(False)) & (position[1].is_valid().to_numpy(False)))
+            small = healpix.pixels(*(c.to_numpy(False)[known] for c in position), border)
+            own = piece(small)
+            # most points lie within their piece and touch no other
+            inside = small & low_bits
+            edge = np.flatnonzero(reduce(or_, [((inside & axis) == 0) | ((inside & axis) == axis) for axis in axes]))
+            around = healpix.neighbour_pixels(small[edge], border)
+            there = np.where(around >= 0, piece(np.maximum(around, 0)), -1)
+            rows, other = np.repeat(edge, 8), there.ravel()
+            new = (other >= 0) & (other != own[rows])
+            pairs = np.unique(np.stack([rows[new], other[new]], 1), axis=0)
+            shared = np.zeros(len(batch), bool)
+            shared[known[pairs[:, 0]]] = True
+            whole = np.zeros(len(batch), np.int64)
+            whole[known] = own
+            missing = np.ones(len(batch), bool)
+            missing[known] = False
+            at = np.concatenate((np.arange(len(batch)), known[pairs[:, 0]]))
+            none = np.concatenate((missing, np.zeros(len(pairs), bool)))
+            columns = [batch.column(k).take(pa.array(at)) for k in range(batch.num_columns)]
+            columns += [pa.array(shared[at]), pa.array(np.concatenate((whole, pairs[:, 1])), pa.int64(), mask=none), pa.array(np.concatenate((np.ones(len(batch), bool), np.zeros(len(pairs), bool))), mask=none)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "shared", "pixel", "owner"])
+
+    schema = StructType([*points.schema.fields, StructField("shared", BooleanType()), StructField("pixel", LongType()), StructField("owner", BooleanType())])
+    return points.mapInArrow(spread, schema)
 
 
 #: Pairs of points that a pixel's task compares at a time, at most.

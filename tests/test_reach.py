@@ -49,8 +49,30 @@ def test_work_follows_points(skies, monkeypatch):
     assert (reach.count_near(v, v, 0.01) == 4000).all()
 
 
-@pytest.mark.parametrize("name", ["eps_neighbours", "radius_join", "radius_count"])
+@pytest.mark.parametrize("name", ["eps_neighbours", "radius_join", "radius_count", "synthetic_features"])
 def test_nothing_exploded_is_broadcast(spark, folder, name):
     df = registry.QUERIES[name](spark, folder)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan.split("Initial Plan")[0]
+
+
+def test_equal_differences_are_equal_distances():
+    """Points in a row at equal steps: the order of ids decides between neighbours on both sides, whatever vectors' rounding says."""
+    ra = 9.0 + np.arange(41) / 2048
+    dec = np.full(41, -19.0)
+    left, right = (reach.haversine(ra[1:-1], dec[1:-1], ra[k], dec[k]) for k in (slice(0, -2), slice(2, None)))
+    assert (left == right).all()
+
+
+def test_border_rings_in_numpy(spark):
+    """Arrays and expressions give the same pixels and neighbours."""
+    from pyspark.sql import functions as F
+
+    from heliograph.functions import healpix
+
+    rng = np.random.default_rng(2)
+    ra, dec = rng.uniform(0, 360, 400), np.degrees(np.arcsin(rng.uniform(-1, 1, 400)))
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.arange(400), "ra": ra, "dec": dec})).withColumn("p", healpix.pixel(F.col("ra"), F.col("dec"), 6))
+    got = rows.withColumn("n", healpix.neighbours(F.col("p"), 6)).orderBy("k").collect()
+    mine = healpix.pixels(ra, dec, 6)
+    assert [r["p"] for r in got] == mine.tolist() and [r["n"] for r in got] == healpix.neighbour_pixels(mine, 6).tolist()

@@ -35,9 +35,12 @@ def stetson(df: DataFrame, c: Curve) -> DataFrame:
 
 
 def spreads(df: DataFrame, c: Curve) -> DataFrame:
-    """Interquantile ranges, median deviation, chi and error statistics."""
+    """Interquantile ranges, median deviation, chi and error statistics.
+
+    Both sides of the join are shuffled: either may be far larger than Spark's estimate, so none is broadcast.
+    """
     q = lambda p: F.percentile(c.flux, F.lit(p))
-    rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")), c.key)
+    rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")).hint("merge"), c.key)
     return rows.groupBy(c.key).agg(
         (q(0.6) - q(0.4)).alias("i60r"), (q(0.75) - q(0.25)).alias("i75r"), (q(0.9) - q(0.1)).alias("i90r"), F.median(F.abs(F.col(c.flux) - F.col("_m"))).alias("mad"),
         F.avg(c.chi).alias("mean_chi"), F.stddev_pop(c.chi).alias("std_chi"), F.max("_s").alias("median_sigma"), F.median(F.abs(F.col(c.sigma) - F.col("_s"))).alias("mad_sigma"),
@@ -49,7 +52,7 @@ def feature_table(df: DataFrame, c: Curve) -> DataFrame:
     """All statistics of a source side by side; every part is keyed by the source, so its shuffle serves the joins."""
     out = spreads(df, c)
     for part in (corrected_moments(df, c.key, c.flux), von_neumann(df, c).drop("n"), stetson(df, c)):
-        out = out.join(part, c.key)
+        out = out.join(part.hint("merge"), c.key)
     return out
 
 
@@ -109,7 +112,7 @@ def band_choice(df: DataFrame, c: Curve, second: tuple[str, str]) -> DataFrame:
 def robust(df: DataFrame, c: Curve) -> DataFrame:
     """Median deviation over the median error, median skew, and interquantile ranges over the median error."""
     q = lambda p: F.percentile(c.flux, F.lit(p))
-    rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")), c.key)
+    rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")).hint("merge"), c.key)
     s = F.max("_s")
     return rows.groupBy(c.key).agg(
         F.try_divide(F.median(F.abs(F.col(c.flux) - F.col("_m"))), s).alias("mad_over_noise"), F.try_divide(F.avg(c.flux) - F.max("_m"), F.stddev_pop(c.flux)).alias("median_skew"),

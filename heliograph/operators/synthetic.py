@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.operators.lightcurve import dealt
 from heliograph.sources.scratch import discard, materialise
 
 #: Shares of the kinds in five sources, and the class of each: 0 quiet, 1 transient, 2 periodic.
@@ -47,7 +48,7 @@ def light_curves(keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.select(key, "kind", label.alias("label"), "period", "mjd", flux.alias("flux"), F.lit(1.0).alias("sig"))
 
 
-#: Attempts drawn at a time for curves that may be refused, and points of a curve that is taken.
+#: Attempts drawn at a time, at most, for curves that may be refused, and points of a curve that is taken.
 ATTEMPTS, LEAST_VISITS = 8, 40
 #: Values of a pulse's control grid, its zeros at both ends, and the reach of the kernel that smooths it.
 GRID, MARGIN, KERNEL = 110, 13, 40
@@ -90,22 +91,25 @@ def bursts(keys: DataFrame, key: str, seed: int = 0, least: int = LEAST_VISITS)
     """A log-normal burst for each key, drawn again until ``least`` visits of it are seen: the first attempt that has them.
 
     Attempts are numbered, and each draws from its own number, so that a curve depends on key and seed alone. Attempts are
-    counted ``ATTEMPTS`` at a time, for those keys only that still lack one; the counts of a round are written.
+    counted one, two, four and so on, ``ATTEMPTS`` at most, at a time, for those keys only that still lack one; the counts
+    of a round are written.
     """
-    s, parts, first = F.lit(seed), [], 0
+    s, parts, first, size = F.lit(seed), [], 0, 1
     left = keys.select(key).distinct()
     while True:
-        tries = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + ATTEMPTS - 1))))
+        if first:
+            left, before = dealt(left, key, 2_000), left
+        tries = left.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(first + size - 1))))
         seen = _burst(tries, key, s).groupBy(key, "attempt").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
         taken = materialise(seen.groupBy(key).agg(F.min("attempt").alias("attempt")), "attempts")
         parts.append(taken)
         rest = materialise(left.join(taken, key, "left_anti"), "attempts-left")
         if first:
-            discard(left)
-        left, first = rest, first + ATTEMPTS
+            discard(before)
+        left, first, size = rest, first + size, min(ATTEMPTS, 2 * size)
         if left.isEmpty():
             discard(left)
-            return _burst(reduce(DataFrame.unionByName, parts), key, s)
+            return _burst(dealt(reduce(DataFrame.unionByName, parts), key, 2_000), key, s)
 
 
 def pulses(keys: DataFrame, key: str, seed: int = 0) -> DataFrame:

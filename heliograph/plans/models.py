@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from heliograph.operators import evaluation as ev
 from heliograph.operators import features as ft
 from heliograph.operators import synthetic
-from heliograph.operators.lightcurve import Curve
+from heliograph.operators.lightcurve import Curve, dealt
 from heliograph.plans.adapters import rounded
 from heliograph.plans.registry import query
 from heliograph.sources.tables import table
@@ -84,20 +84,25 @@ def tree_classify(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ev.apply_trees(rows, model, features).select("vec_id", "label", "tree_prediction", "tree_score"))
 
 
+def _suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys in parts of a few thousand, since each becomes a whole curve."""
+    return dealt(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id")), "source_id", 2_000)
+
+
 @query()
 def synthetic_features(spark: SparkSession, folder: str) -> DataFrame:
     """Synthetic light curves for every supplier, and their variability statistics beside the known class."""
-    keys = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    keys = _suppliers(spark, folder)
     curves = synthetic.light_curves(keys, "source_id").withColumn("chi", F.lit(1.0))
     c = Curve(ties=("flux",))
     known = curves.groupBy("source_id").agg(F.min("kind").alias("kind"), F.min("label").alias("label"), F.min("period").alias("period"))
-    return rounded(ft.von_neumann(curves, c).join(ft.spreads(curves, c).select("source_id", "i90r"), "source_id").join(known, "source_id"), 4)
+    return rounded(ft.von_neumann(curves, c).join(ft.spreads(curves, c).select("source_id", "i90r").hint("merge"), "source_id").join(known.hint("merge"), "source_id"), 4)
 
 
 @query()
 def synthetic_augmented(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse nulls, noise, outliers and missing visits for every supplier's curve; tests check each against its rule."""
-    keys = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    keys = _suppliers(spark, folder)
     rows = synthetic.augmented(synthetic.sparse_nulls(synthetic.light_curves(keys, "source_id"), "source_id"), "source_id")
     return rounded(rows.groupBy("source_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outlier").cast("long")).alias("outliers"), F.median("flux").alias("median_flux"), F.max("mjd").alias("span")), 4)
 
@@ -105,7 +110,7 @@ def synthetic_augmented(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def synthetic_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """A burst and a pulse of random shape for every supplier: points, attempts taken, range; tests hold them against their rules."""
-    keys = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    keys = _suppliers(spark, folder)
     common = [F.count(F.lit(1)).alias("n"), F.median("flux").alias("median_flux"), (F.max("flux") - F.min("flux")).alias("range")]
     bursts = synthetic.bursts(keys, "source_id").groupBy("source_id").agg(*common, F.min("attempt").alias("attempt")).withColumn("kind", F.lit("burst"))
     pulses = synthetic.pulses(keys, "source_id").groupBy("source_id").agg(*common, F.lit(0).alias("attempt")).withColumn("kind", F.lit("pulse"))

@@ -260,8 +260,12 @@ def _classified(docs: DataFrame, size: int, threshold: float, recall: float) ->
     )
     marks = nodes.where(F.col("marks").isNotNull()).select("node", (8 * F.col("runs")).alias("size"), F.explode(F.expr(f"transform(sequence(0, {bands - 1}), k -> substring(marks, 8 * k + 1, 8))")).alias("mark"))
     buckets = materialise(marks.groupBy("mark").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")).where(F.col("least") != F.col("most")).drop("most"), "buckets")
-    ties = marks.join(buckets.select("mark", "least"), "mark").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(ties)
+    # a node of many buckets ties their few least nodes together, and itself to one of them: ties don't repeat with a group's size
+    tied = materialise(marks.join(buckets.select("mark", "least"), "mark").groupBy("node").agg(F.collect_set("least").alias("all")).select("node", F.array_min("all").alias("low"), "all"), "tied")
+    hubs = components(tied.select(F.explode("all").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
+    groups = tied.select("node", "low").join(hubs.select(F.col("node").alias("low"), F.col("root").alias("_root")), "low", "left").select("node", F.coalesce("_root", "low").alias("root"))
+    groups = materialise(groups, "groups")
+    discard(tied, hubs)
     units = materialise(_units(marks, buckets, groups), "units")
     candidates = groups.join(nodes.select("node", "first", "copies", "marks"), "node").select("node", "root", "copies", "marks", "first.doc_id", "first.text_key")
     found = docs.join(candidates.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "root", "copies", "marks", "text")

@@ -25,8 +25,8 @@ from heliograph.llm.secret_scan import fit_on_texts, redact
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose language is clear: a text of no letters, of a narrow margin or of two languages goes."""
-    whole = docs.select(F.struct("*").alias("row"), "text")  # so that no column of docs meets a result's name
-    return identify_language(whole, fit_dictionaries(docs)).where(~F.col("rejected")).select("row.*")
+    names = ["text" if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)]  # so that no column meets a result's name
+    return identify_language(docs.toDF(*names), fit_dictionaries(docs)).where(~F.col("rejected")).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

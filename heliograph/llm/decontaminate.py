@@ -30,7 +30,7 @@ from heliograph.llm.words import Words, mix
 
 WINDOW = 10
 #: Bytes of text in an indexed shard, and of benchmark text in a block of windows.
-SHARD_BYTES, BLOCK_BYTES = 4_000_000, 8_000_000
+SHARD_BYTES, BLOCK_BYTES = 1_000_000, 8_000_000
 #: Passes over blocks that run in one stage; then the rows found so far are written.
 PASSES_AT_ONCE = 4
 FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import discard, materialise, passes, text_buffers
+from heliograph.llm.common import discard, materialise, passes, small_batches, text_buffers
 from heliograph.llm.words import Words, mix, shingles
 from heliograph.operators.graph import components
 
@@ -251,6 +251,11 @@ def _text_keyed(docs: DataFrame) -> DataFrame:
 
 def _classified(docs: DataFrame, size: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_key, node) of ``docs``, and nodes (node, root, first, class_id, copies, links, text_links)."""
+    with small_batches(docs.sparkSession):  # all that goes through Python is written in here
+        return _written(docs, size, threshold, recall)
+
+
+def _written(docs: DataFrame, size: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     bands, rows = banding(threshold, recall)
     docs = _text_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     sketches = materialise(docs.mapInArrow(_sketch(size, bands, rows), "doc_id long, text_key long, node binary, marks binary, runs long"), "sketches")

@@ -744,3 +744,37 @@ def test_stages_take_odd_rows(spark, folder, odd, none, name, stage):
     if name != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == odd.columns
     assert 0 < out.count() <= odd.count()
+
+
+def test_near_duplicates_take_small_arrow_batches(spark, monkeypatch):
+    """A task's whole part of a table in one batch took an executor of the pipeline over its memory."""
+
+    def watched(real):
+        def made(*given):
+            def run(batches):
+                def small():
+                    for batch in batches:
+                        assert batch.num_rows <= 1000, "a large batch"
+                        yield batch
+
+                yield from real(*given)(small())
+
+            return run
+
+        return made
+
+    for name in ("_sketch", "_candidate_sets", "_verify"):
+        monkeypatch.setattr(ngram_join, name, watched(getattr(ngram_join, name)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six seven eight "), (F.col("id") % 1500).cast("string")).alias("text"))
+    got = ngram_join.near_duplicates(docs)
+    assert got.count() == 3000 and got.agg(F.min("n_copies")).first()[0] == 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_language_stage_sends_a_text_once(spark):
+    docs = spark.createDataFrame([(k, f"the house of the {w} stands by the river and the road", "en", "a.b", 0.5) for k, w in enumerate(("king", "queen", "baker", "miller", "judge", "clerk"))], "doc_id long, text string, lang string, `a.b` string, score double")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and kept.schema == docs.schema and sorted(kept.collect()) == sorted(docs.collect())
+    sent = [line for line in kept._jdf.queryExecution().executedPlan().toString().split("\n") if "MapInArrow" in line]
+    assert len(sent) == 1 and "row#" not in sent[0] and sent[0].count("text#") == 2  # once to Python and once back

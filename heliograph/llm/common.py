@@ -15,35 +15,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.sources.scratch import clear_scratch, discard, materialise, scratch_path, shared_dir  # noqa: F401
+from heliograph.sources.scratch import clear_scratch, discard, materialise, scratch_path, shared_dir, small_batches  # noqa: F401
 
 #: Upper bound of the text bytes that one numpy pass works on; a longer document makes a pass of its own.
 PASS_BYTES = 1_000_000
 
 
-#: Rows of an Arrow batch where :func:`small_batches` holds. Spark's own 10,000 are a task's whole part of a text table.
-BATCH_ROWS = 1_000
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of ``rows`` at most in what is run inside: the JVM, outside its heap, and the worker hold a batch each.
-
-    Spark reads the setting when it runs a query, so that this is for tables written inside. The session's own value, if
-    smaller, stays, and is back afterwards.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if 0 < int(before) <= rows:
-        yield
-        return
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ curve has null results.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -101,21 +101,19 @@ def forward(curves: np.ndarray, layers: Sequence[tuple]) -> np.ndarray:
 VALUES_AT_ONCE = 500_000
 
 
-def _stacked(columns: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places of curves, values (curves, channels, length)) of a batch, by length."""
+def _stacked(columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of curves, values (curves, channels, length)) of a batch, by length, one forward pass's share at a time."""
     offsets = [c.offsets.to_numpy() for c in columns]
     lengths = np.diff(offsets[0])
     if any(c.null_count for c in columns) or any(not np.array_equal(np.diff(o), lengths) for o in offsets[1:]):
         raise ValueError("a null array, or arrays of different lengths")
-    values = [np.nan_to_num(c.values.cast(pa.float64()).to_numpy(zero_copy_only=False)) for c in columns]
-    out = []
+    values = [c.values.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns]
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
         step = max(1, VALUES_AT_ONCE // max(1, int(n) * len(columns)))
         for lo in range(0, len(rows) if n else 0, step):
             own = rows[lo : lo + step]
-            out.append((own, np.stack([v[o[own][:, None] + np.arange(n)] for v, o in zip(values, offsets)], 1)))
-    return out
+            yield own, np.nan_to_num(np.stack([v[o[own][:, None] + np.arange(n)] for v, o in zip(values, offsets)], 1))
 
 
 def network_scores(df: DataFrame, key: str, channels: Sequence[str], layers: Sequence[tuple], results: int, name: str = "scores") -> DataFrame:

@@ -10,8 +10,12 @@ from heliograph.operators import epochs as ep
 from heliograph.operators import lightcurve as op
 from heliograph.plans.adapters import EV, EV_SQL, LC, MASK_SQL, events, lc_sql, light_curves, positions, rounded, sky_sql
 from heliograph.plans.registry import ORACLES, query
+from heliograph.sources.scratch import materialise, small_batches
 from heliograph.sources.tables import table
 
+#: Curves of an Arrow batch of the network's.
+CURVES_AT_ONCE = 200
+
 _WITH = "WITH " + lc_sql()
 _PART = "WITH " + lc_sql("l_partkey")
 _MASKED = _WITH + f", m AS (SELECT * FROM lc WHERE {MASK_SQL})"
@@ -214,6 +218,8 @@ def scored_catalog(spark: SparkSession, folder: str) -> DataFrame:
     from heliograph.plans.learning import curve_arrays
 
     scores = network.network_scores(curve_arrays(spark, folder), "source_id", ["flux", "sig", "mjd"], network.wave_network(), 3)
+    with small_batches(spark, CURVES_AT_ONCE):  # written, since they are read twice: a small row for each source
+        scores = materialise(scores, "scores")
     usual = scores.agg(*[F.avg(F.get("scores", k)).alias(f"m{k}") for k in range(3)], *[F.stddev_pop(F.get("scores", k)).alias(f"s{k}") for k in range(3)]).first()
     p = arrays.softmax(F.array(*[(F.get("scores", k) - usual[f"m{k}"]) / max(usual[f"s{k}"], 1e-12) for k in range(3)]))
     scored = scores.where("scores is not null").withColumn("p", p).select("source_id", arrays.argmax(F.col("p")).alias("class"), F.array_max("p").alias("confidence"))

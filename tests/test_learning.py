@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,27 @@ def test_encoder_tells_unseen_shapes_better_than_the_mean(spark):
     assert np.allclose(code, y @ directions.T) and np.allclose(held["code_error"], ((y - code @ directions) ** 2).mean(1), atol=1e-9)
     assert held["code_error"].mean() < (y**2).mean()
     assert learning.network_scores(spark, at).agg(F.count("confidence")).first()[0] == learning.curve_arrays(spark, at).count()
+
+
+def test_a_batch_of_curves_is_stacked_in_shares():
+    """Whole copies of a batch, and of all its stacks, made the workers' memory grow with it."""
+    rng = np.random.default_rng(3)
+    values, cuts = rng.normal(size=1_000_000), np.arange(0, 1_000_001, 500, dtype=np.int32)
+    columns = [pa.ListArray.from_arrays(cuts, values) for _ in range(3)]
+    tracemalloc.start()
+    seen = 0
+    for places, curves in network._stacked(columns):
+        assert curves.size <= network.VALUES_AT_ONCE and np.array_equal(curves[0, 0], values[cuts[places[0]] : cuts[places[0] + 1]])
+        seen += len(places)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 2000 and most < 30_000_000  # the columns hold 24 MB, copied twice before
+
+
+def test_scored_catalog_runs_its_network_once_in_small_batches(spark, monkeypatch):
+    from heliograph.plans import curves
+
+    written = []
+    monkeypatch.setattr(curves, "materialise", lambda df, name, real=curves.materialise: written.append((name, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))) or real(df, name))
+    got = curves.scored_catalog(spark, "/root/testdata/sf0.001")
+    assert written == [("scores", "200")] and "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()

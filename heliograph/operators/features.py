@@ -8,30 +8,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.operators.lightcurve import Curve, corrected_moments
+from heliograph.operators.lightcurve import Curve, moment_parts
 from heliograph.operators.periods import significance
 from heliograph.sources.scratch import discard, materialise
 
 
-def von_neumann(df: DataFrame, c: Curve) -> DataFrame:
-    """Inverse von Neumann ratio: (n - 1) sum (x - mean)^2 over n sum of squared steps."""
+#: Rows with helper columns, and aggregates over them by source: parts that share one shuffle.
+Part = tuple[DataFrame, list[Column]]
+
+
+def _von_neumann(df: DataFrame, c: Curve) -> Part:
     rows = df.withColumns({"_step": F.col(c.flux) - F.lag(c.flux).over(c.ordered())})
     n = F.count(F.lit(1))
-    return rows.groupBy(c.key).agg(n.alias("n"), F.try_divide((n - 1) * F.var_pop(c.flux) * n, n * F.sum(F.col("_step") * F.col("_step"))).alias("inv_von_neumann"))
+    return rows, [F.try_divide((n - 1) * F.var_pop(c.flux) * n, n * F.sum(F.col("_step") * F.col("_step"))).alias("inv_von_neumann")]
 
 
-def stetson(df: DataFrame, c: Curve) -> DataFrame:
-    """Stetson I, J and K from residuals sqrt(n / (n - 1)) (x - mean) / error and products of neighbours."""
+def von_neumann(df: DataFrame, c: Curve) -> DataFrame:
+    """Inverse von Neumann ratio: (n - 1) sum (x - mean)^2 over n sum of squared steps."""
+    rows, found = _von_neumann(df, c)
+    return rows.groupBy(c.key).agg(F.count(F.lit(1)).alias("n"), *found)
+
+
+def _stetson(df: DataFrame, c: Curve) -> Part:
     own = c.whole()
     n = F.count(F.lit(1)).over(own)
     rows = df.withColumn("_d", F.sqrt(F.try_divide(n, n - 1)) * F.try_divide(F.col(c.flux) - F.avg(c.flux).over(own), F.col(c.sigma)))
     rows = rows.withColumn("_p", F.col("_d") * F.lead("_d").over(c.ordered()))
     m = F.count("_p")
-    return rows.groupBy(c.key).agg(
+    return rows, [
         (F.sqrt(F.try_divide(F.lit(1.0), F.count(F.lit(1)) * (F.count(F.lit(1)) - 1))) * F.sum("_p")).alias("stetson_i"),
         F.try_divide(F.sum(F.signum("_p") * F.sqrt(F.abs("_p"))), m).alias("stetson_j"),
         F.try_divide(F.avg(F.abs("_d")), F.sqrt(F.avg(F.col("_d") * F.col("_d")))).alias("stetson_k"),
-    )
+    ]
+
+
+def stetson(df: DataFrame, c: Curve) -> DataFrame:
+    """Stetson I, J and K from residuals sqrt(n / (n - 1)) (x - mean) / error and products of neighbours."""
+    rows, found = _stetson(df, c)
+    return rows.groupBy(c.key).agg(*found)
 
 
 def spreads(df: DataFrame, c: Curve) -> DataFrame:
@@ -39,21 +53,32 @@ def spreads(df: DataFrame, c: Curve) -> DataFrame:
 
     Both sides of the join are shuffled: either may be far larger than Spark's estimate, so none is broadcast.
     """
-    q = lambda p: F.percentile(c.flux, F.lit(p))
+    levels = [0.1, 0.25, 0.4, 0.6, 0.75, 0.9]  # of one sorted table of values, not a table for each
     rows = df.join(df.groupBy(c.key).agg(F.median(c.flux).alias("_m"), F.median(c.sigma).alias("_s")).hint("merge"), c.key)
-    return rows.groupBy(c.key).agg(
-        (q(0.6) - q(0.4)).alias("i60r"), (q(0.75) - q(0.25)).alias("i75r"), (q(0.9) - q(0.1)).alias("i90r"), F.median(F.abs(F.col(c.flux) - F.col("_m"))).alias("mad"),
+    stats = rows.groupBy(c.key).agg(
+        F.percentile(c.flux, F.array(*[F.lit(p) for p in levels])).alias("_q"), F.median(F.abs(F.col(c.flux) - F.col("_m"))).alias("mad"),
         F.avg(c.chi).alias("mean_chi"), F.stddev_pop(c.chi).alias("std_chi"), F.max("_s").alias("median_sigma"), F.median(F.abs(F.col(c.sigma) - F.col("_s"))).alias("mad_sigma"),
-        F.try_divide(q(0.75) - q(0.25), F.max("_s")).alias("iqr_over_sigma"),
+    )
+    q = lambda p: F.get("_q", levels.index(p))
+    return stats.select(
+        c.key, (q(0.6) - q(0.4)).alias("i60r"), (q(0.75) - q(0.25)).alias("i75r"), (q(0.9) - q(0.1)).alias("i90r"), "mad", "mean_chi", "std_chi", "median_sigma", "mad_sigma",
+        F.try_divide(q(0.75) - q(0.25), F.col("median_sigma")).alias("iqr_over_sigma"),
     )
 
 
-def feature_table(df: DataFrame, c: Curve) -> DataFrame:
-    """All statistics of a source side by side; every part is keyed by the source, so its shuffle serves the joins."""
-    out = spreads(df, c)
-    for part in (corrected_moments(df, c.key, c.flux), von_neumann(df, c).drop("n"), stetson(df, c)):
-        out = out.join(part.hint("merge"), c.key)
-    return out
+def _beside(df: DataFrame, c: Curve, chi2: bool) -> DataFrame:
+    """Moments, von Neumann ratio, Stetson indices and, with ``chi2``, the distance from a normal distribution: one shuffle, one aggregation."""
+    rows, ratio = _von_neumann(df, c)
+    rows, indices = _stetson(rows, c)
+    rows, distance = _gaussian_chi2(rows, c) if chi2 else (rows, [])
+    raw, finished = moment_parts(c.flux)
+    sums = rows.groupBy(c.key).agg(*raw, *ratio, *indices, *distance)
+    return sums.select(c.key, *finished, "inv_von_neumann", "stetson_i", "stetson_j", "stetson_k", *(["gaussian_chi2"] if chi2 else []))
+
+
+def feature_table(df: DataFrame, c: Curve, chi2: bool = False) -> DataFrame:
+    """All statistics of a source side by side, keyed by the source; those that need no medians share a shuffle."""
+    return spreads(df, c).join(_beside(df, c, chi2).hint("merge"), c.key)
 
 
 def full_features(df: DataFrame, c: Curve, period: str, others: Sequence[DataFrame] = ()) -> DataFrame:
@@ -61,7 +86,7 @@ def full_features(df: DataFrame, c: Curve, period: str, others: Sequence[DataFra
 
     ``period`` is a column that is constant within a source. A source that ``others`` lack keeps its row, with nulls.
     """
-    out = feature_table(df, c).join(gaussian_chi2(df, c), c.key).join(significance(df, c, period), c.key)
+    out = feature_table(df, c, True).join(significance(df, c, period), c.key)
     for other in others:
         out = out.join(other, c.key, "left")
     return out
@@ -89,14 +114,20 @@ def normal_cdf(z: Column) -> Column:
     return F.when(~F.isnan(z), F.when(z > 0, 1 - tail).otherwise(tail))
 
 
-def gaussian_chi2(df: DataFrame, c: Curve) -> DataFrame:
-    """Squared differences between a source's empirical distribution and a normal one, over the normal one, summed."""
+def _gaussian_chi2(df: DataFrame, c: Curve) -> Part:
     own = c.whole()
     n = F.count(F.lit(1)).over(own)
     rank = F.row_number().over(Window.partitionBy(c.key).orderBy(c.flux, *c.ties))
     z = F.try_divide(F.col(c.flux) - F.avg(c.flux).over(own), F.stddev_pop(c.flux).over(own))
-    rows = df.select(c.key, (rank / n).alias("empirical"), z.alias("z")).withColumn("expected", normal_cdf(F.col("z")))
-    return rows.groupBy(c.key).agg(F.sum(F.try_divide((F.col("empirical") - F.col("expected")) * (F.col("empirical") - F.col("expected")), F.col("expected"))).alias("gaussian_chi2"))
+    rows = df.withColumns({"_empirical": rank / n, "_z": z}).withColumn("_expected", normal_cdf(F.col("_z")))
+    away = F.col("_empirical") - F.col("_expected")
+    return rows, [F.sum(F.try_divide(away * away, F.col("_expected"))).alias("gaussian_chi2")]
+
+
+def gaussian_chi2(df: DataFrame, c: Curve) -> DataFrame:
+    """Squared differences between a source's empirical distribution and a normal one, over the normal one, summed."""
+    rows, found = _gaussian_chi2(df, c)
+    return rows.groupBy(c.key).agg(*found)
 
 
 def band_choice(df: DataFrame, c: Curve, second: tuple[str, str]) -> DataFrame:

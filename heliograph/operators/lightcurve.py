@@ -124,12 +124,17 @@ def histogram(values: DataFrame, column: str, bins: int, low: float, high: float
     return inside.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).withColumn("log_n", F.log10(F.col("n") + 1))
 
 
-def corrected_moments(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Bias-corrected skewness and kurtosis, from Spark's population forms."""
+def moment_parts(value: str) -> tuple[list[Column], list[Column]]:
+    """Aggregates, and what :func:`corrected_moments` makes of them."""
     n = F.col("n").cast("double")
-    rows = df.groupBy(key).agg(F.count(value).alias("n"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2"))
-    return rows.select(
-        key, "n",
+    return [F.count(value).alias("n"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2")], [
+        F.col("n"),
         F.when(n > 2, F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)).alias("kurt"),
-    )
+    ]
+
+
+def corrected_moments(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Bias-corrected skewness and kurtosis, from Spark's population forms."""
+    raw, finished = moment_parts(value)
+    return df.groupBy(key).agg(*raw).select(key, *finished)

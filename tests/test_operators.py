@@ -455,3 +455,10 @@ def test_synthetic_noise_follows_its_rules(spark):
         assert math.isclose(np.quantile(spread, 0.75) - np.quantile(spread, 0.25), 1, abs_tol=1e-6)
     assert 100 < rows["outlier"].sum() < 600
     assert synthetic.augmented(sparse.limit(0), "source_id").count() == 0
+
+
+def test_full_features_move_rows_no_oftener_than_needed(spark, folder):
+    """Each statistic had a shuffle of its own, and each quantile a table of a source's values."""
+    plan = registry.QUERIES["full_features"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.split("\n")) <= 4
+    assert plan.count("percentile(") <= 5

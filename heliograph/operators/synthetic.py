@@ -173,17 +173,18 @@ def augmented(df: DataFrame, key: str, seed: int = 0, least: int = 40) -> DataFr
     own = Window.partitionBy(key)
     shuffled = lambda what: F.row_number().over(own.orderBy(uniform(k, s, at, F.lit(what)), "mjd"))
     q = lambda p: F.percentile("flux", F.lit(p))
-    before = df.groupBy(key).agg(F.median("flux").alias("_centre"), ((q(0.95) - q(0.05)) / 2).alias("_reach"), F.count(F.lit(1)).alias("_rows"))
-    rows = df.withColumns({"_ray": shuffled("ray"), "_miss": shuffled("miss")}).join(before, key)
+    # Spark's estimate doesn't see a key's many rows, so that a join with a curve's statistics would broadcast the curves
+    before = {"_centre": q(0.5).over(own), "_reach": (q(0.95).over(own) - q(0.05).over(own)) / 2, "_rows": F.count(F.lit(1)).over(own)}
+    rows = df.where(F.col(key).isNotNull()).withColumns({"_ray": shuffled("ray"), "_miss": shuffled("miss"), **before})
     rows = rows.withColumn("outlier", F.col("_ray") <= F.floor(between(0, 6, k, s, F.lit("rays"))))
     noisy = F.col("sig") * (between(0.5, 0.75, k, s, F.lit("noise")) + 0.3 * normal(k, s, at, F.lit("error")))
     stray = F.col("_centre") + F.col("_reach") * between(-3.5, 3.5, k, s, at, F.lit("stray"))
     rows = rows.withColumns({"flux": F.when(F.col("outlier"), stray).otherwise(F.col("flux")), "sig": noisy * F.when(F.col("outlier"), between(0.2, 4, k, s, F.lit("factor"))).otherwise(1.0)})
     missing = F.least(F.floor(between(0.05, 0.65, k, s, F.lit("share")) * F.col("_rows")), F.greatest(F.col("_rows") - least, F.lit(0)))
     rows = rows.where(F.col("_miss") > missing).drop("_ray", "_miss", "_centre", "_reach", "_rows")
-    after = rows.groupBy(key).agg(F.median("flux").alias("_m"), (q(0.75) - q(0.25)).alias("_iqr"), F.min("mjd").alias("_first"))
+    rows = rows.withColumns({"_m": q(0.5).over(own), "_iqr": q(0.75).over(own) - q(0.25).over(own), "_first": F.min("mjd").over(own)})
     scaled = {"flux": F.asinh(F.try_divide(F.col("flux") - F.col("_m"), F.col("_iqr"))), "sig": F.asinh(F.try_divide(F.col("sig"), F.col("_iqr"))), "mjd": (at - F.col("_first")) / 4000}
-    return rows.join(after, key).withColumns(scaled).drop("_m", "_iqr", "_first")
+    return rows.withColumns(scaled).drop("_m", "_iqr", "_first")
 
 
 def turned(df: DataFrame, key: str, level: str = "level", seed: int = 0, flip: float = 0.4, sign: float = 0.4) -> DataFrame:

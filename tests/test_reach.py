@@ -76,3 +76,9 @@ def test_border_rings_in_numpy(spark):
     got = rows.withColumn("n", healpix.neighbours(F.col("p"), 6)).orderBy("k").collect()
     mine = healpix.pixels(ra, dec, 6)
     assert [r["p"] for r in got] == mine.tolist() and [r["n"] for r in got] == healpix.neighbour_pixels(mine, 6).tolist()
+
+
+def test_augmented_curves_are_not_broadcast(spark, folder):
+    """Joins with a curve's statistics broadcast whole curves, and drew each curve anew for each of them."""
+    plan = registry.QUERIES["synthetic_augmented"](spark, folder)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Broadcast" not in plan and plan.count("Scan parquet") == 1

@@ -82,3 +82,17 @@ def test_augmented_curves_are_not_broadcast(spark, folder):
     """Joins with a curve's statistics broadcast whole curves, and drew each curve anew for each of them."""
     plan = registry.QUERIES["synthetic_augmented"](spark, folder)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Broadcast" not in plan and plan.count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("arcsec", [1500.0, 40_000.0, 400_000.0])
+def test_a_side_is_repeated_into_few_cells(spark, arcsec):
+    """All 27 neighbours took a row each; the pairs are those of brute force."""
+    rng = np.random.default_rng(9)
+    ra, dec = rng.uniform(0, 360, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))
+    ra[:60], dec[:60] = 180 + rng.normal(0, 0.5, 60), rng.normal(0, 0.5, 60)
+    rows = spark.createDataFrame(pd.DataFrame({"a": np.arange(300), "ra": ra, "dec": dec}))
+    v = np.stack([np.cos(np.radians(dec)) * np.cos(np.radians(ra)), np.cos(np.radians(dec)) * np.sin(np.radians(ra)), np.sin(np.radians(dec))], 1)
+    want = ((v[:, None] - v[None]) ** 2).sum(2) <= reach.chord_of(arcsec) ** 2
+    got = joins.within_radius(rows, rows.withColumnRenamed("a", "b"), arcsec, ("a", "ra", "dec"), ("b", "ra", "dec")).select("a", "b").toPandas()
+    assert len(got) == want.sum() and want[got["a"], got["b"]].all() and not got.duplicated().any()
+    assert joins._cells(rows, "ra", "dec", reach.chord_of(arcsec), True).count() <= 8 * 300
